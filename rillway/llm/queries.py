@@ -6,15 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm import bpe
+from rillway.llm import bpe, secrets
+from rillway.llm.line_dedup import line_dedup
+from rillway.llm.mixing import mix
+from rillway.llm.quality import quality
+from rillway.llm.url_filter import url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), RULES)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     coded = coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"))
@@ -22,5 +35,62 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op5_byte_bpe": op5_byte_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents")).drop("repeat_starts", "repeat_ends")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    number = lambda k: F.size(F.filter("base", lambda s: s["rank"] == k)).cast("long")
+    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op3_url_filter": op3_url_filter,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_line_dedup": op9_line_dedup,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) >> 24 AS cell FROM documents),
+        s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3] AS weight FROM s),
+        l AS (SELECT *, (1.5 * sum(source_size) OVER () - 2.0 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        t AS (SELECT source, source_size, CAST(least(weight * coalesce((SELECT arg_min(level, source_size / weight) FROM l WHERE level * weight <= 2.0 * source_size), 1e300), 2.0 * source_size) AS DOUBLE) AS target FROM l),
+        u AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS whole FROM t),
+        c AS (SELECT source, cell, sum(size) AS mass FROM d GROUP BY source, cell),
+        r AS (SELECT *, coalesce(sum(mass) OVER (PARTITION BY source ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+        SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, CAST(u.source_size AS BIGINT) AS source_size, u.target,
+               CAST(d.size * (u.whole + CASE WHEN r.mass > 0 AND u.target - u.whole * u.source_size - r.before >= r.mass / 2.0 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source JOIN r ON r.source IS NOT DISTINCT FROM d.source AND r.cell = d.cell""",
+    "op3_url_filter": r"""
+        WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        q AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+        rules(h, p, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        hits AS (SELECT page_id, arg_max(h || rules.p, length(h || rules.p)) AS rule, arg_max(verdict, length(h || rules.p)) AS verdict
+                 FROM q JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p) GROUP BY page_id)
+        SELECT q.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q LEFT JOIN hits USING (page_id)""",
+    "op9_line_dedup": r"""
+        WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
+        total AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
+        occ AS (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM pages),
+        often AS (SELECT occ.source, line FROM occ JOIN total ON occ.source IS NOT DISTINCT FROM total.source
+                  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY occ.source, line, total HAVING count(*) >= 5 AND count(*) > 0.1 * total),
+        drops AS (SELECT source, list(line) AS drops FROM often GROUP BY source),
+        cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(drops, []), x)) AS kept
+                FROM documents LEFT JOIN drops ON documents.source IS NOT DISTINCT FROM drops.source)
+        SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
+               sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256 FROM cut""",
+}
