@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 import itertools
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from rillway.llm.common import over_texts
 
 #: Pieces whose ids a worker keeps at most; beyond it the store starts anew (speed only, never results).
-KEPT_PIECES = 200_000
+KEPT_PIECES = 100_000
 
 
 @functools.cache
@@ -51,9 +52,10 @@ def merge_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
 
 
 class PieceCoder:
-    """Ids of pieces, and bytes of ids, for one rank file."""
+    """Ids of texts for one rank file and pattern."""
 
     def __init__(self, ranks_path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the only one it has
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         ranks = read_ranks(ranks_path)
@@ -62,10 +64,6 @@ class PieceCoder:
         merges = [tuple(name[x] for x in merge_pair(t, ranks)) for t in sorted(ranks, key=ranks.get) if len(t) > 1]
         self.library = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        back = {c: b for b, c in enumerate(shown)}
-        self.token_bytes = [b""] * (max(ranks.values()) + 1)
-        for i, text in ((i, self.library.id_to_token(i)) for i in ranks.values()):
-            self.token_bytes[i] = bytes(back[c] for c in text)
         self.split = regex.compile(pattern).findall
         self.kept: dict[str, bytes] = {}
 
@@ -80,6 +78,16 @@ class PieceCoder:
             self.kept[piece] = np.array(coded.ids, "<u4").tobytes()
         return [b"".join(map(self.kept.__getitem__, pieces)) for pieces in split]
 
+
+class TokenBytes:
+    """Bytes of ids, from the characters that stand for bytes in each token's name."""
+
+    def __init__(self, ranks_path: str):
+        shown = byte_characters()
+        back = {c: b for b, c in enumerate(shown)}
+        named = {i: "".join(shown[b] for b in token) for token, i in read_ranks(ranks_path).items()}
+        self.token_bytes = [bytes(back[c] for c in named.get(i, "")) for i in range(max(named) + 1)]
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -93,6 +101,11 @@ class PieceCoder:
         return character[starts] - 1 if len(ends) else ends, character[ends - 1] if len(ends) else ends
 
 
+@functools.cache
+def token_table(ranks_path: str) -> TokenBytes:
+    return TokenBytes(ranks_path)
+
+
 @functools.cache
 def coder(ranks_path: str, pattern: str) -> PieceCoder:
     return PieceCoder(ranks_path, pattern)
@@ -110,7 +123,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         arrays = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
         names = [id_col, "n_tokens", "ids"]
         if offsets:
-            spans = [own.offsets(x) for x in ids]
+            spans = [token_table(ranks_path).offsets(x) for x in ids]
             arrays += [pa.array([s[k] for s in spans], pa.list_(pa.int64())) for k in (0, 1)]
             names += ["starts", "ends"]
         return pa.RecordBatch.from_arrays(arrays, names)
@@ -120,12 +133,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     return over_texts(df.select(id_col, text_col), text_col, run, schema)
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids", carry: tuple[str, ...] = ()) -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", carry: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns of `carry`, and decoded (binary): the bytes that the ids stand for; null ids decode to none."""
 
     def run(batches):
         for batch in batches:
-            own = coder(ranks_path, pattern)
+            own = token_table(ranks_path)
             out = [own.decode(x or b"") for x in batch.column(ids_col).to_pylist()]
             kept = batch.select([id_col, *carry])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.binary())], [*kept.schema.names, "decoded"])
