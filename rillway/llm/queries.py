@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway.llm import bpe, secrets
+from rillway.llm.imatch import imatch_edited
+from rillway.llm.licenses import license_scan
 from rillway.llm.line_dedup import line_dedup
 from rillway.llm.mixing import mix
 from rillway.llm.quality import quality
@@ -28,6 +30,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch_edited(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     coded = coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"))
@@ -35,6 +41,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("repeat_starts", "repeat_ends")
 
@@ -54,7 +64,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_url_filter": op3_url_filter,
+    "op4_imatch": op4_imatch,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_license_scan": op6_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,

@@ -120,7 +120,7 @@ def thresholds(cells: list[tuple[int, int, int]], q: float) -> dict[int, int]:
     return out
 
 
-def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1e-3, q: float = 1e-3) -> DataFrame:
+def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1e-2, q: float = 1e-3) -> DataFrame:
     """id, base and spans: arrays of (start, rank in KINDS, end) in code points, end exclusive, by start then rank.
 
     One scan of the texts; its spans and tokens are kept as a table. The step-up rule needs only the counts of tokens
