@@ -12,6 +12,7 @@ from rillway.llm.licenses import license_scan
 from rillway.llm.line_dedup import line_dedup
 from rillway.llm.mixing import mix
 from rillway.llm.quality import quality
+from rillway.llm.suffix_dedup import suffix_dedup
 from rillway.llm.url_filter import url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -61,6 +62,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_url_filter": op3_url_filter,
@@ -70,6 +76,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
