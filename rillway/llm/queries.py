@@ -11,6 +11,7 @@ from rillway.llm.imatch import imatch_edited
 from rillway.llm.licenses import license_scan
 from rillway.llm.line_dedup import line_dedup
 from rillway.llm.mixing import mix
+from rillway.llm.near_dedup import near_dedup
 from rillway.llm.quality import quality
 from rillway.llm.suffix_dedup import suffix_dedup
 from rillway.llm.url_filter import url_filter
@@ -27,6 +28,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
@@ -69,6 +74,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_near_dedup": op2_near_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_imatch": op4_imatch,
     "op5_byte_bpe": op5_byte_bpe,
