@@ -242,9 +242,9 @@ def _first_match(i):
     if stated is None:
         raise TypeError("regex needs a pattern that the flow states")
     hit = F.regexp_like(i["text"].column, _pattern(i))
-    groups = [F.regexp_extract(i["text"].column, _pattern(i), k + 1) for k in range(re.compile(stated).groups)]
+    groups = [F.call_function("regexp_extract", i["text"].column, _pattern(i), F.lit(k + 1)) for k in range(re.compile(stated).groups)]
     listed = F.array(*groups).cast("array<string>")
-    return {"output_1": Value(F.when(hit, F.regexp_extract(i["text"].column, _pattern(i), 0)).otherwise(F.lit("")), STR), "output_2": Value(F.when(hit, listed).otherwise(F.array().cast("array<string>")), T.ArrayType(STR)), "output_3": Value(hit, BOOL)}
+    return {"output_1": Value(F.when(hit, F.call_function("regexp_extract", i["text"].column, _pattern(i), F.lit(0))).otherwise(F.lit("")), STR), "output_2": Value(F.when(hit, listed).otherwise(F.array().cast("array<string>")), T.ArrayType(STR)), "output_3": Value(hit, BOOL)}
 
 
 #: Sources and small helpers that example flows use; column reads a column of the run's table.

@@ -408,3 +408,119 @@ def signal_match(spark, sf_dir):
     waiting = run(Flow((Node("hold", "signal-wait", {"signal_name": "purchase", "correlation": "user_id == run.c_custkey && value > 50"}),)), table(spark, sf_dir, "customer")).waiting("hold")
     signals = table(spark, sf_dir, "events").select(F.col("event_type").alias("signal_name"), F.struct("user_id", "value").alias("payload"))
     return match_signals(waiting, signals, "c_custkey", "user_id == run.c_custkey && value > 50").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("signal_outer", "SELECT c_custkey, count(e.event_id) > 0 AS answered FROM customer LEFT JOIN events e ON e.user_id = c_custkey AND e.event_type = 'purchase' GROUP BY c_custkey")
+def signal_outer(spark, sf_dir):
+    from rillway.plans.run import match_signals
+
+    waiting = run(Flow((Node("hold", "signal-wait", {"signal_name": "purchase"}),)), table(spark, sf_dir, "customer")).waiting("hold")
+    signals = table(spark, sf_dir, "events").select(F.col("event_type").alias("signal_name"), F.struct("user_id").alias("payload"))
+    met = match_signals(waiting, signals, "c_custkey", "user_id == run.c_custkey").select("c_custkey").distinct().withColumn("hit", F.lit(True))
+    return waiting.select("c_custkey").join(met, "c_custkey", "left").select("c_custkey", F.coalesce("hit", F.lit(False)).alias("answered"))
+
+
+@register("review_toggle", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'edited' ELSE lower(o_orderpriority) END AS out FROM orders")
+def review_toggle(spark, sf_dir):
+    from rillway.operators.standard import standard
+    from rillway.registry import Input, Operator, Output
+    from rillway.functions.expression import Value
+    from rillway.widgets import widget
+    from pyspark.sql import types as T
+
+    registry = standard()
+    registry.add(Operator("draft", inputs=(Input("text", "str"), Input("review", "bool", False, widget=widget("HumanReview", prompt="look"))), outputs=(Output("result", "str"),), expr=lambda i: Value(F.lower(i["text"].column), T.StringType())))
+    flow = Flow((col("o_orderpriority"), col("large"), Node("out", "draft")), (wire("o_orderpriority", "out", "text"), wire("large", "out", "review")))
+    first = run(flow, table(spark, sf_dir, "orders").withColumn("large", F.col("o_totalprice") > 300000), registry)
+    edited = first.resume("out", first.waiting("out").select("o_orderkey", F.lit("edited").alias("response")), "o_orderkey")
+    return first.project([OutputRef("out", "out")], ("o_orderkey",)).unionByName(edited.project([OutputRef("out", "out")], ("o_orderkey",)))
+
+
+@register("flow_file", "SELECT p_partkey, reverse(upper(p_name)) AS out FROM part")
+def flow_file(spark, sf_dir):
+    from rillway.sources.files import flow_from_yaml, flow_to_yaml
+
+    flow = Flow((col("p_name"), Node("up", "text-uppercase"), Node("out", "text-reverse")), (wire("p_name", "up", "text"), wire("up", "out", "text")), id="both")
+    r = run(flow_from_yaml(flow_to_yaml(flow)), table(spark, sf_dir, "part"))
+    return r.project([OutputRef("out", "out")], ("p_partkey",))
+
+
+@register("canvas_round_trip", "SELECT p_partkey, '<' || p_name || '>' AS out FROM part")
+def canvas_round_trip(spark, sf_dir):
+    from rillway.sources.files import from_canvas, to_canvas
+
+    r = run(from_canvas(to_canvas(one("template", template="<{input}>", input="@p_name"))), table(spark, sf_dir, "part"))
+    return r.project([OutputRef("out", "out")], ("p_partkey",))
+
+
+@register("condition_filter", "SELECT p_partkey FROM part WHERE p_size > 25 AND contains(p_name, 'an')")
+def condition_filter(spark, sf_dir):
+    from rillway.sources.tables import filter_rows
+
+    return filter_rows(table(spark, sf_dir, "part"), [{"column": "p_size", "operator": "er større end", "value": 25}, {"column": "p_name", "operator": "contains", "value": "an"}]).select("p_partkey")
+
+
+@register("sse_frames", "SELECT 'data: {\"r_regionkey\":' || r_regionkey || ',\"type\":\"flow_complete\"}' || chr(10) || chr(10) AS frame FROM region")
+def sse(spark, sf_dir):
+    from rillway.sources.tables import sse_frames
+
+    r = run(one("text-uppercase", text="@r_name"), table(spark, sf_dir, "region"))
+    return sse_frames(r.events("r_regionkey").filter("type = 'flow_complete'").select("r_regionkey", "type"))
+
+
+@register("regex_first", "SELECT c_custkey, regexp_extract(c_name, '([A-Za-z]+)#0*([1-9][0-9]*)', 0) AS hit, regexp_extract(c_name, '([A-Za-z]+)#0*([1-9][0-9]*)', 2) AS number FROM customer")
+def regex_first(spark, sf_dir):
+    r = run(one("regex", text="@c_name", pattern="([A-Za-z]+)#0*([1-9][0-9]*)"), table(spark, sf_dir, "customer"))
+    return r.runs.select("c_custkey", r.column("out", "output_1").alias("hit"), F.get(r.column("out", "output_2"), F.lit(1)).alias("number"))
+
+
+@register("combine_and_context", "SELECT p_partkey, p_brand || ' ' || 'eu' AS out FROM part")
+def combine_and_context(spark, sf_dir):
+    r = run(one("combine", a="@p_brand", b="@place"), table(spark, sf_dir, "part"), context={"place": "eu"})
+    return r.project([OutputRef("out", "out")], ("p_partkey",))
+
+
+@register("store_guard", "SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'g' ELSE 'e' END AS branch FROM orders")
+def store_guard(spark, sf_dir):
+    flow = Flow((col("o_totalprice"), Node("which", "decision"), Node("a", "text", {"value": "a"}), Node("b", "text", {"value": "b"})), (wire("o_totalprice", "which", "value"), Edge("g", "which", "a", None, None, "value > double(store.limit)", 1), Edge("e", "which", "b")))
+    r = run(flow, table(spark, sf_dir, "orders"), store={"limit": "150000"})
+    return r.runs.select("o_orderkey", r.lowering.env["which"].taken.alias("branch"))
+
+
+@register("join_top_k", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 2")
+def join_top_k(spark, sf_dir):
+    from rillway.operators.relational import top_k
+
+    return top_k(table(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], 2).select("o_custkey", "o_orderkey")
+
+
+@register("agg_by_segment", "SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, round(max(c_acctbal), 2) AS most FROM customer GROUP BY c_mktsegment")
+def agg_by_segment(spark, sf_dir):
+    from rillway.operators.relational import group
+
+    return group(table(spark, sf_dir, "customer"), ["c_mktsegment"], n=F.count(F.lit(1)), most=F.round(F.max("c_acctbal"), 2))
+
+
+@register("as_of_join", "SELECT a.event_id, b.value AS price FROM events a ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) b ON a.user_id = b.user_id AND a.ts >= b.ts WHERE a.event_type <> 'purchase'")
+def as_of_join(spark, sf_dir):
+    from rillway.operators.relational import as_of
+
+    rows = table(spark, sf_dir, "events")
+    prices = rows.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("price"))
+    return as_of(rows.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts"), prices, "user_id", "ts", "price").select("event_id", "price")
+
+
+@register("running_total", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS n FROM events")
+def running_total(spark, sf_dir):
+    from rillway.operators.relational import running
+
+    return running(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts").asc(), F.col("event_id").asc()], n=F.count(F.lit(1))).select("event_id", "n")
+
+
+@register("stream_tumbling", "SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
+def stream_tumbling(spark, sf_dir):
+    # The same call serves a stream; here the table is read whole, as all of its windows are asked for.
+    from rillway.streaming.runs import tumbling
+
+    rows = table(spark, sf_dir, "events")
+    return tumbling(rows, "ts", "1 day", "1 hour", ["event_type"], n=F.count(F.lit(1))).select("event_type", F.col("window.start").alias("day"), "n")
