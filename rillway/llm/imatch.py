@@ -31,10 +31,15 @@ def lexicon(texts: DataFrame, low: float, high: float) -> list[str]:
     return [r[0] for r in band.select("term").collect()]
 
 
-def prints(text: Column, held: list[str]) -> Column:
-    """array of hashes: of all lexicon terms, then of each subset's (null where it has none)."""
-    kept = F.array_sort(F.filter(terms(text), lambda w: w.isin(held) if held else F.lit(False)))
-    return F.transform(kept, lambda w: F.xxhash64(w))
+def with_hashes(rows: DataFrame, text_col: str, held: list[str]) -> DataFrame:
+    """rows with `hashes`: those of the text's sorted lexicon terms.
+
+    The lexicon is one SQL list, which Spark turns into a hash set; terms have no ASCII punctuation, so no quotes.
+    """
+    if not held:
+        return rows.withColumn("hashes", F.array().cast("array<bigint>"))
+    listed = ", ".join(f"'{w}'" for w in held)
+    return rows.withColumn("_terms", terms(F.col(text_col))).withColumn("hashes", F.expr(f"transform(array_sort(filter(_terms, w -> w IN ({listed}))), w -> xxhash64(w))")).drop("_terms")
 
 
 def fingerprint(hashes: str) -> Column:
@@ -64,21 +69,17 @@ def with_next(rows: DataFrame, blocks: int) -> DataFrame:
     Rows go to blocks of consecutive ids, cut at approximate quantiles; each block also gets a copy of the row that
     follows its last. The driver sees one bound and one row name per block, never rows.
     """
-    cuts = rows.agg(F.percentile_approx("id", F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), 10_000).alias("q")).first()["q"] if blocks > 1 else None
+    cuts = rows.agg(F.percentile_approx("id", F.expr(f"array({', '.join(str(i / blocks) + 'D' for i in range(1, blocks))})"), 10_000).alias("q")).first()["q"] if blocks > 1 else None
     bounds = sorted(set(cuts or []))
-    block = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("id"))), F.lit(0)) if bounds else F.lit(0)
-    block = F.when(F.col("id").isNull(), 0).otherwise(block)
-    own = rows.withColumn("block", block).withColumn("copy", F.lit(False))
+    block = F.coalesce(F.size(F.filter(F.expr(f"array({', '.join(f'{b}L' for b in bounds)})"), lambda b: b <= F.col("id"))), F.lit(0)) if bounds else F.lit(0)
+    own = rows.withColumn("block", F.when(F.col("id").isNull(), 0).otherwise(block)).withColumn("copy", F.lit(False))
     firsts = sorted((r["block"], r["f"]["id"], r["f"]["key"]) for r in own.groupBy("block").agg(F.min(F.struct("id", "key")).alias("f")).collect())
     if not firsts:
         return rows.withColumn("next", F.struct(*rows.columns))
-    to = F.lit(None).cast("int")
-    wanted = F.lit(False)
-    for i, (_, name, key) in enumerate(firsts):
-        here = F.col("id").eqNullSafe(F.lit(name)) & (F.col("key") == F.lit(key))
-        wanted = wanted | here
-        to = F.when(here, F.lit(firsts[i - 1][0])).otherwise(to)
-    copies = rows.filter(wanted).withColumn("block", to).withColumn("copy", F.lit(True))
+    # One row for each block, so the broadcast is bounded by the number of blocks.
+    kind = rows.schema["id"].dataType.simpleString()
+    moves = rows.sparkSession.createDataFrame([(name, key, firsts[i - 1][0]) for i, (_, name, key) in enumerate(firsts)], f"to_id {kind}, to_key long, block int")
+    copies = rows.join(F.broadcast(moves), F.col("id").eqNullSafe(F.col("to_id")) & (F.col("key") == F.col("to_key"))).drop("to_id", "to_key").withColumn("copy", F.lit(True))
     order = Window.partitionBy("block").orderBy("copy", F.col("id").asc_nulls_first(), "key")
     return own.unionByName(copies).withColumn("next", F.lead(F.struct(*rows.columns)).over(order)).filter("not copy").drop("block", "copy")
 
@@ -87,7 +88,7 @@ def imatch(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: f
     """id, text, prints: the fingerprint of each text as an array of hashes."""
     texts = df.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     held = lexicon(texts, low, high)
-    return texts.withColumn("hashes", prints(F.col("text"), held)).withColumn("prints", fingerprint("hashes")).drop("hashes")
+    return with_hashes(texts, "text", held).withColumn("prints", fingerprint("hashes")).drop("hashes")
 
 
 def imatch_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = 0.005, high: float = 0.2) -> DataFrame:
@@ -96,12 +97,12 @@ def imatch_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     held = lexicon(texts, low, high)
-    own = texts.withColumn("key", F.xxhash64("text")).withColumn("hashes", prints(F.col("text"), held)).select("id", "key", "text", fingerprint("hashes").alias("prints"))
-    paired = with_next(own, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = with_hashes(texts.withColumn("key", F.xxhash64("text")), "text", held).select("id", "key", "text", fingerprint("hashes").alias("prints"))
+    paired = with_next(own, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = paired.select("id", n.cast("long").alias("n_chars"), "prints", F.col("next.prints").alias("next_prints"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half)).alias("edited"))
-    done = edited.withColumn("hashes", prints(F.col("edited"), held)).withColumn("edited_prints", fingerprint("hashes"))
+    done = with_hashes(edited, "edited", held).withColumn("edited_prints", fingerprint("hashes"))
     return done.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown("prints").alias("fingerprint"), shown("edited_prints").alias("edited_fingerprint"),
         likeness("prints", "edited_prints").alias("near_edited"), likeness("prints", "next_prints").alias("near_next"),
