@@ -468,7 +468,7 @@ def sse(spark, sf_dir):
     return sse_frames(r.events("r_regionkey").filter("type = 'flow_complete'").select("r_regionkey", "type"))
 
 
-@register("regex_first", "SELECT c_custkey, regexp_extract(c_name, '([A-Za-z]+)#0*([1-9][0-9]*)', 0) AS hit, regexp_extract(c_name, '([A-Za-z]+)#0*([1-9][0-9]*)', 2) AS number FROM customer")
+@register("regex_first", "SELECT c_custkey, regexp_extract(c_name, '([A-Za-z]+)#0*([1-9][0-9]*)', 0) AS hit, CASE WHEN regexp_matches(c_name, '#0*[1-9]') THEN regexp_extract(c_name, '([A-Za-z]+)#0*([1-9][0-9]*)', 2) END AS number FROM customer")
 def regex_first(spark, sf_dir):
     r = run(one("regex", text="@c_name", pattern="([A-Za-z]+)#0*([1-9][0-9]*)"), table(spark, sf_dir, "customer"))
     return r.runs.select("c_custkey", r.column("out", "output_1").alias("hit"), F.get(r.column("out", "output_2"), F.lit(1)).alias("number"))
