@@ -50,6 +50,11 @@ _WORDS = {"true": "True", "false": "False", "null": "None", "$": "root_", "not":
 _MARKS = {"&&": " and ", "||": " or ", "!": "~"}
 _RESERVED = {"root_", "lambda", "if", "else", "for", "await", "yield", "is", "True", "False"}
 
+_KNOWN = (
+    ast.Constant, ast.Name, ast.Load, ast.List, ast.Dict, ast.Attribute, ast.Subscript, ast.UnaryOp, ast.Invert, ast.USub, ast.BoolOp, ast.And, ast.Or, ast.IfExp, ast.Call,
+    ast.Compare, ast.Eq, ast.NotEq, ast.Lt, ast.LtE, ast.Gt, ast.GtE, ast.In, ast.BinOp, ast.Add, ast.Sub, ast.Mult, ast.Div, ast.Mod,
+)
+
 
 def _tokens(source: str) -> list[str]:
     out, at = [], 0
@@ -131,9 +136,12 @@ def parse(source: str) -> ast.expr:
     if not tokens:
         raise ExpressionParseError("empty expression")
     try:
-        return ast.parse(_group(tokens, 0, None)[0].strip(), mode="eval").body
+        tree = ast.parse(_group(tokens, 0, None)[0].strip(), mode="eval").body
     except (SyntaxError, ValueError) as e:
         raise ExpressionParseError(f"can't read {source!r}: {e}") from None
+    if strange := [type(n).__name__ for n in ast.walk(tree) if not isinstance(n, _KNOWN)]:
+        raise ExpressionParseError(f"{strange[0]} isn't part of the language")
+    return tree
 
 
 def identifiers(source: str) -> set[str]:

@@ -1,7 +1,8 @@
 """Lowering: a compiled flow over a table of runs becomes one chain of selects.
 
-Each node is a struct column: `v_<handle>` its values, `l_<handle>` where a handle may be dead on its own, `live`
-(false where the branch was not taken), `fault` (why it gave no value), for decisions `taken`. Native nodes of one
+Each node is a few flat columns: `<node>__v_<handle>` its values, `__l_<handle>` where a handle may be dead on its own,
+`__live` (false where the branch was not taken), `__fault` (why it gave no value), for decisions `__taken`. Flat, so
+that Catalyst folds what is constant and never copies what two readers share. Native nodes of one
 layer share a select, which Catalyst folds with its neighbours; loops over lists are higher-order functions; Python
 nodes run as Arrow-batched functions that get `live` and skip dead rows themselves.
 """
@@ -287,22 +288,23 @@ class Lowering:
             faults = [*faults, fault]
         return self.finish(node, op, op.expr(inputs), live, faults, env)
 
-    def store_in(self, df: DataFrame, node_id: str, placed: Placed) -> tuple[Column, Placed]:
-        """The node's struct column, and the node read back from it."""
+    def store_in(self, node_id: str, placed: Placed) -> tuple[list[Column], Placed]:
+        """The node's columns, and the node read back from them."""
         name = self.prefix + node_id
-        at = lambda f: F.col(f"`{name}`.`{f}`")
-        fields, handles = [], {}
+        at = lambda f: F.col(f"`{name}__{f}`")
+        columns, handles = [], {}
         for h, x in placed.handles.items():
-            kind = T.StringType() if isinstance(x.value.kind, T.NullType) else x.value.kind
-            fields += [x.value.column.cast(kind).alias(f"v_{h}") if isinstance(x.value.kind, T.NullType) else x.value.column.alias(f"v_{h}")]
+            void = isinstance(x.value.kind, T.NullType)
+            kind = T.StringType() if void else x.value.kind
+            columns.append((x.value.column.cast(kind) if void else x.value.column).alias(f"{name}__v_{h}"))
             own = x.live is not placed.live
             if own:
-                fields.append(x.live.alias(f"l_{h}"))
+                columns.append(x.live.alias(f"{name}__l_{h}"))
             handles[h] = Handle(Value(at(f"v_{h}"), kind), at(f"l_{h}" if own else "live"))
-        fields += [F.coalesce(placed.live, F.lit(False)).alias("live"), placed.fault.alias("fault")]
+        columns += [F.coalesce(placed.live, F.lit(False)).alias(f"{name}__live"), placed.fault.alias(f"{name}__fault")]
         if placed.taken is not None:
-            fields.append(placed.taken.alias("taken"))
-        return F.struct(*fields).alias(name), Placed(handles, at("live"), at("fault"), at("taken") if placed.taken is not None else None)
+            columns.append(placed.taken.alias(f"{name}__taken"))
+        return columns, Placed(handles, at("live"), at("fault"), at("taken") if placed.taken is not None else None)
 
     # -- Python operators ----------------------------------------------------------------------------------------
 
@@ -336,8 +338,8 @@ class Lowering:
         if key is not None:
             made["idempotency_key"] = key
         placed = self.finish(node, op, made, live, [bad, F.col(f"`{name}`.fault_")], env)
-        column, env[node.id] = self.store_in(df, node.id, placed)
-        return df.select("*", column)
+        columns, env[node.id] = self.store_in(node.id, placed)
+        return df.select("*", *columns)
 
     # -- loops and sub-flows -------------------------------------------------------------------------------------
 
@@ -586,8 +588,8 @@ class Lowering:
             if placed:
                 columns = []
                 for i, p in placed.items():
-                    column, self.env[i] = self.store_in(df, i, p)
-                    columns.append(column)
+                    more, self.env[i] = self.store_in(i, p)
+                    columns += more
                 df = df.select("*", *columns)
             self.done |= set(placed)
             for n in python:
@@ -617,8 +619,8 @@ class Lowering:
         self.done.add(node.id)
         self.waits.append(Wait(node.id, op.pauses, waiting, frozenset(self.done)))
         gone = Placed({"result": Handle(Value(F.lit(None).cast("string"), T.StringType()), F.lit(False))}, F.lit(False), F.lit(None).cast("string"))
-        column, self.env[node.id] = self.store_in(df, node.id, gone)
-        return df.filter(~live).select("*", column)
+        columns, self.env[node.id] = self.store_in(node.id, gone)
+        return df.filter(~live).select("*", *columns)
 
     def _review(self, df: DataFrame, node: Node) -> DataFrame:
         """Runs whose HumanReview input is true pause after the node's value is known."""

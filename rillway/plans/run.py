@@ -152,9 +152,9 @@ class Result:
         kind = dict((f.name, f.dataType) for f in rows.schema.fields)["_response"]
         lowering = replace(self.lowering, env={i: p for i, p in self.lowering.env.items() if i in wait.after}, waits=[], done=set(wait.after))
         answered = Placed({"result": Handle(Value(F.col("_response"), kind), F.lit(True))}, F.lit(True), F.lit(None).cast("string"))
-        name = f"{lowering.prefix}{node_id}"
-        column, lowering.env[node_id] = lowering.store_in(rows, node_id, answered)
-        rows = rows.drop(name).select("*", column).drop("_response")
+        columns, lowering.env[node_id] = lowering.store_in(node_id, answered)
+        old = [c for c in rows.columns if c.startswith(f"{lowering.prefix}{node_id}__")]
+        rows = rows.drop(*old).select("*", *columns).drop("_response")
         return Result(lowering, lowering.rows(rows))
 
 
