@@ -1,0 +1,28 @@
+"""The pipeline's stages against brute force, each on its own input."""
+
+import corpus_pipeline as P
+from rillway.llm import mixing, near_dedup, quality
+from rillway.llm.line_dedup import line_dedup
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    (_, rules), (_, lines), (_, near), (_, mix), (_, encode) = P.STAGES
+    kept = rules(spark, docs, SF).cache()
+    verdicts = {r["doc_id"] for r in quality.quality(docs).filter("kept").collect()}
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == verdicts
+    cut = lines(spark, kept, SF).cache()
+    wanted = {r["doc_id"]: r["text"] for r in line_dedup(kept).collect()}
+    assert cut.columns == docs.columns and {r["doc_id"]: r["text"] for r in cut.collect()} == wanted
+    assert all(r["n_chars"] == len(r["text"]) for r in cut.collect())
+    one = near(spark, cut, SF).cache()
+    stays = {r["doc_id"] for r in near_dedup.near_dedup(cut).filter("stays").collect()}
+    assert one.columns == docs.columns and {r["doc_id"] for r in one.collect()} == stays
+    mixed = mix(spark, one, SF).cache()
+    times = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(one).collect() if r["size"]}
+    assert mixed.columns == docs.columns and mixed.count() == sum(times.values())
+    last = encode(spark, mixed, SF)
+    rows = last.collect()
+    assert len(rows) == mixed.count() and all(r["round_trip"] and len(r["ids"]) == 4 * r["n_tokens"] for r in rows)
