@@ -111,10 +111,11 @@ def coder(ranks_path: str, pattern: str) -> PieceCoder:
     return PieceCoder(ranks_path, pattern)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
     """id, n_tokens and ids (binary, little-endian unsigned 32-bit), one row per row of df.
 
-    offsets=True adds starts and ends: arrays of code point positions of each token in its text.
+    offsets=True adds starts and ends: arrays of code point positions of each token in its text. decoded=True adds
+    decoded (binary), what the ids decode to, without another trip of the ids through the JVM.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -126,10 +127,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             spans = [token_table(ranks_path).offsets(x) for x in ids]
             arrays += [pa.array([s[k] for s in spans], pa.list_(pa.int64())) for k in (0, 1)]
             names += ["starts", "ends"]
+        if decoded:
+            arrays.append(pa.array([token_table(ranks_path).decode(x) for x in ids], pa.binary()))
+            names.append("decoded")
         return pa.RecordBatch.from_arrays(arrays, names)
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids binary" + ", starts array<long>, ends array<long>" * offsets
+    schema = f"`{id_col}` {kind}, n_tokens long, ids binary" + ", starts array<long>, ends array<long>" * offsets + ", decoded binary" * decoded
     return over_texts(df.select(id_col, text_col), text_col, run, schema)
 
 
