@@ -9,6 +9,7 @@ nodes run as Arrow-batched functions that get `live` and skip dead rows themselv
 
 from __future__ import annotations
 
+import inspect
 import json
 import time
 from collections.abc import Iterable
@@ -34,6 +35,7 @@ from rillway.types import spark_type
 #: Items that a loop takes of its list, and rounds that a while loop may make.
 MAX_ITEMS, MAX_ROUNDS = 1000, 1000
 FAN_IN = "\n\n"
+STORE = T.MapType(T.StringType(), T.StringType())
 
 
 @dataclass(frozen=True)
@@ -326,10 +328,19 @@ class Lowering:
         schema = T.StructType([T.StructField(n, k) for n, k in plain.items()]).add("live_", T.ArrayType(T.StringType())).add("fault_", T.StringType()).add("attempts_", T.IntegerType())
         retries = int(node.data.get("max_retries", op.max_retries))
         delay, limit = float(node.data.get("retry_delay", op.retry_delay)), op.timeout
+        stores = "store" in inspect.signature(op.fn).parameters
+        if stores:
+            schema = schema.add("store_", STORE)
+            if "store" not in df.columns:
+                df = df.withColumn("store", F.create_map().cast(STORE))
+                self.columns["store"] = STORE
+            names, shipped, coded = [*names, "store"], [*shipped, F.to_json(F.struct(F.col("store").alias("x")))], coded | {"store"}
         call = F.udf(_runner(op.fn, names, coded, plain, retries, delay, limit), schema, useArrow=True).asNondeterministic()
         name = f"{self.prefix}{node.id}__call"
         bad = F.coalesce(*faults) if faults else F.lit(None).cast("string")
         df = df.withColumn(name, call(live & bad.isNull(), *shipped))
+        if stores:
+            df = df.withColumn("store", F.coalesce(F.col(f"`{name}`.store_"), "store"))
         made: dict[str, Any] = {}
         for o in outs:
             c = F.col(f"`{name}`.`{o.name}`")
@@ -676,6 +687,8 @@ def _runner(fn, names, coded, outputs, retries, delay, limit):
         if not live:
             return None
         args = {n: json.loads(v).get("x") if n in coded and v is not None else v for n, v in zip(names, values, strict=True)}
+        if "store" in args:
+            args["store"] = FlowStore(args["store"] or {})
         for attempt in range(retries + 1):
             try:
                 made = once(args)
@@ -689,11 +702,37 @@ def _runner(fn, names, coded, outputs, retries, delay, limit):
         elif not (isinstance(made, dict) and set(made) >= set(outputs)):
             made = {"result": made}
         dead = [k for k, v in made.items() if v is SKIPPED]
-        return {**{k: None if k in dead else plain(made.get(k), kind) for k, kind in outputs.items()}, "live_": [k for k in outputs if k not in dead], "fault_": None, "attempts_": attempt + 1}
+        told = {"store_": args["store"].to_dict()} if "store" in args else {}
+        return {**{k: None if k in dead else plain(made.get(k), kind) for k, kind in outputs.items()}, "live_": [k for k in outputs if k not in dead], "fault_": None, "attempts_": attempt + 1, **told}
 
     return run
 
 
+class FlowStore:
+    """A run's side values, as text, that a Python operator with a `store` parameter reads and changes."""
+
+    def __init__(self, held: dict[str, str]):
+        self._held = dict(held)
+
+    def set(self, key: str, value: Any) -> None:
+        self._held[key] = value if isinstance(value, str) else json.dumps(value)
+
+    def get(self, key: str, default: Any = None) -> Any:
+        return self._held.get(key, default)
+
+    def has(self, key: str) -> bool:
+        return key in self._held
+
+    def keys(self) -> list[str]:
+        return list(self._held)
+
+    def clear(self) -> None:
+        self._held = {}
+
+    def to_dict(self) -> dict[str, str]:
+        return dict(self._held)
+
+
 class _Skipped:
     """What a Python operator returns for a handle that isn't taken."""
 
@@ -705,4 +744,4 @@ class _Skipped:
 
 
 SKIPPED = _Skipped()
-__all__ = ["SKIPPED", "FlowError", "Lowering", "Wait", "connection_labels", "literal"]
+__all__ = ["SKIPPED", "FlowStore", "FlowError", "Lowering", "Wait", "connection_labels", "literal"]

@@ -320,3 +320,35 @@ def test_native_flow_is_one_stage(rows):
     plan = run(queries.price_flow(), rows.select(F.col("x").alias("o_totalprice"), F.col("words").alias("o_orderpriority")))
     text = plan.project([OutputRef("out", "out")])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Python" not in text
+
+
+def test_store_is_threaded(rows):
+    registry = standard()
+
+    @registry.node("keep")
+    def keep(text: str, store) -> str:
+        store.set("n", int(store.get("n", "0")) + 1)
+        store.set("last", text)
+        return text
+
+    flow = Flow((col("words"), Node("a", "keep"), Node("b", "keep")), (wire("words", "a", "text"), wire("a", "b", "text")))
+    r = run(flow, rows.filter("id = 1"), registry, store={"seed": "x"})
+    r.runs.select(r.column("b")).collect()
+    assert r.runs.select("store").first()["store"] == {"seed": "x", "n": "2", "last": "a bb c"}
+
+
+def test_deadline(spark):
+    from rillway.plans.control import Control
+
+    def _sleep(batches):
+        import time
+
+        for b in batches:
+            time.sleep(4)
+            yield b
+
+    slow = lambda: spark.range(0, 4, 1, 4).mapInPandas(_sleep, "id long").collect()
+    assert Control(spark).run(slow, timeout=1.0).status == "timeout"
+    assert Control(spark).run(lambda: 7).value == 7
+    with pytest.raises(ZeroDivisionError):
+        Control(spark).run(lambda: 1 / 0)

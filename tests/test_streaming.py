@@ -6,8 +6,8 @@ from rillway.streaming.runs import once_per_key, run_stream, tumbling, wait_for_
 
 
 def drain(df, name, mode="append", tmp=None):
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    query.processAllAvailable()
+    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination(60)
     query.stop()
     return df.sparkSession.table(name)
 
