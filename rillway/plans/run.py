@@ -63,7 +63,8 @@ class Result:
     def events(self, key: str) -> DataFrame:
         """key, seq, type, node_id, error, result: what happened in each run, node by node, in one pass.
 
-        Nodes give node_start and node_complete, node_error, or node_skipped, the run flow_complete or flow_error.
+        Nodes give node_start, node_retry for each further attempt, runtime_warning, and node_complete or node_error;
+        or node_skipped. The run gives flow_complete or flow_error.
         """
         kinds = T.StructType([T.StructField(n, T.StringType()) for n in ("type", "node_id", "error", "result")])
         none = F.lit(None).cast("string")
@@ -77,7 +78,16 @@ class Result:
             result = F.to_json(F.struct(*[F.when(x.live, x.value.column).alias(h) for h, x in shown.items()])) if shown else none
             started = p.live | p.fault.isNotNull()
             ended = F.when(p.fault.isNotNull(), event("node_error", i, p.fault)).otherwise(event("node_complete", i, none, result))
-            parts.append(F.when(started, F.array(event("node_start", i), ended)).otherwise(F.array(event("node_skipped", i))))
+            between = []
+            call = f"{self.lowering.prefix}{i}__call"
+            if call in self.runs.columns:
+                tries = F.coalesce(F.col(f"`{call}`.attempts_"), F.lit(1))
+                between.append(F.array_repeat(event("node_retry", i), tries - 1))
+            if "truncated" in p.handles:
+                told = p.handles["truncated"].value.column
+                between.append(F.when(told.isNotNull(), F.array(event("runtime_warning", i, told))).otherwise(F.array().cast(T.ArrayType(kinds))))
+            happened = F.concat(F.array(event("node_start", i)), *between, F.array(ended))
+            parts.append(F.when(started, happened).otherwise(F.array(event("node_skipped", i))))
             node = self.compiled.flow.by_id.get(i)
             if node is not None and self.compiled.flow.policy(node) != "continue":
                 failed = failed | p.fault.isNotNull()
@@ -85,6 +95,21 @@ class Result:
         rows = self.runs.select(key, F.posexplode(F.concat(*parts, last)).alias("seq", "e"))
         return rows.select(key, "seq", "e.*")
 
+    def pauses(self, key: str) -> DataFrame | None:
+        """key, type (signal_waiting or flow_paused), node_id, wait (JSON): the runs that stopped; None if no node can."""
+        out = None
+        for w in self.waits:
+            kind = "signal_waiting" if w.kind == "signal" else "flow_paused"
+            rows = w.rows.select(key, F.lit(kind).alias("type"), F.lit(w.node_id).alias("node_id"), F.to_json(F.col(f"`{self.lowering.prefix}{w.node_id}__wait`")).alias("wait"))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def undo_events(self, key: str) -> DataFrame:
+        """key, step, type, node_id, compensation_node_id, result, error: compensation_start and how it ended."""
+        done = self.undo(key)
+        ended = F.when(F.col("error").isNull(), "compensation_complete").otherwise("compensation_failed")
+        return done.withColumn("type", F.explode(F.array(F.lit("compensation_start"), ended))).select(key, "step", "type", "node_id", "compensation_node_id", "result", "error")
+
     def compensation(self, key: str) -> DataFrame:
         """key, step, node_id, compensation_node_id, original_inputs, original_output: what failed runs must undo.
 

@@ -524,3 +524,21 @@ def stream_tumbling(spark, sf_dir):
 
     rows = table(spark, sf_dir, "events")
     return tumbling(rows, "ts", "1 day", "1 hour", ["event_type"], n=F.count(F.lit(1))).select("event_type", F.col("window.start").alias("day"), "n")
+
+
+@register("pause_events", "SELECT o_orderkey, 'flow_paused' AS type, 'ask' AS node_id, '{\"prompt\":\"approve?\"}' AS wait FROM orders WHERE o_totalprice > 200000")
+def pause_events(spark, sf_dir):
+    return run(approval(), table(spark, sf_dir, "orders")).pauses("o_orderkey")
+
+
+@register("compensation_events", "SELECT o_orderkey, unnest(['compensation_start', 'compensation_complete']) AS type, 'refund' AS compensation_node_id FROM orders WHERE o_orderkey % 2 = 0")
+def compensation_events(spark, sf_dir):
+    return run(order_saga(), table(spark, sf_dir, "orders")).undo_events("o_orderkey").select("o_orderkey", "type", "compensation_node_id")
+
+
+@register("warning_events", "SELECT p_partkey, 'each' AS node_id FROM part WHERE len(string_split(p_name, ' ')) <> len(string_split(p_type, ' '))")
+def warning_events(spark, sf_dir):
+    nodes = (col("p_name"), col("p_type"), Node("a", "text-split", {"separator": " "}), Node("b", "text-split", {"separator": " "}), Node("each", "for-each-start"), Node("pair", "text-concat", {"separator": "-"}), Node("all", "for-each-end"))
+    edges = (wire("p_name", "a", "text"), wire("p_type", "b", "text"), wire("a", "each", "items"), wire("b", "each", "items"), wire("each", "pair", "a", "output_1"), wire("each", "pair", "b", "output_3"), wire("pair", "all", "items"))
+    r = run(Flow(nodes, edges), table(spark, sf_dir, "part"))
+    return r.events("p_partkey").filter("type = 'runtime_warning'").select("p_partkey", "node_id")
