@@ -14,6 +14,7 @@ import base64
 import functools
 import itertools
 import os
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from rillway.llm.common import over_texts
 
 #: Pieces whose ids a worker keeps at most; beyond it the store starts anew (speed only, never results).
-KEPT_PIECES = 100_000
+KEPT_PIECES = 250_000
 
 
 @functools.cache
@@ -75,7 +76,7 @@ class PieceCoder:
             self.kept = {}
             new = list(set(itertools.chain.from_iterable(split)))
         for piece, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.kept[piece] = np.array(coded.ids, "<u4").tobytes()
+            self.kept[piece] = struct.pack(f"<{len(coded)}I", *coded.ids)
         return [b"".join(map(self.kept.__getitem__, pieces)) for pieces in split]
 
 
