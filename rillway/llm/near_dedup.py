@@ -6,8 +6,11 @@ near another only if shingles that other texts have make up `threshold` of its w
 sampled. A sample is the (shingle, level) of least weighted hash; `rows` samples make a band key. Members of a band
 are compared by exact weighted Jaccard similarity with three of them (never all with all): the one whose shingles are
 the most common, which is the original where copies were edited apart, and those of least and greatest key. Verified
-links are closed into classes. A pair of similarity 0.8 shares a band with probability 0.9998; a pair of which neither
-is one of the three in any shared band, nor both near a third, is missed (tests/llm holds this against brute force).
+links are closed into classes. Where the members of a band are then of several classes, all of them are compared with
+all texts of such bands by an exact join (`crossing`): two texts of similarity t share a shingle that lies before t of
+the larger text's weight and before 2t / (1 + t) of the smaller one's, in order from the rarest shingle. So texts
+around a passage that many share meet by what else they share, and every pair that shares a band ends in one class. A
+pair of similarity 0.8 shares a band with probability 0.9998.
 
 Weights are tf * (1 + damp * idf), idf = ln(N / df) / ln N: damped, so that a passage that many copies share still
 counts nearly as much as the words an edit made rare; otherwise copies in large groups would drift apart.
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillway.llm.common import byte_words, cut, mix64, text_bytes, word_hashes
@@ -202,6 +205,37 @@ def closed(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _weighed(texts: DataFrame) -> DataFrame:
+    """id, root, total, shingle, weight: one row per shingle of a text."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                shingle, weight = np.frombuffer(row["shingles"], np.int32), np.frombuffer(row["weights"], np.float32).astype(np.float64)
+                n = len(shingle)
+                parts = [pa.array(np.full(n, row["id"], np.int64)), pa.array([row["root"]] * n, pa.string()), pa.array(np.full(n, weight.sum())), pa.array(shingle), pa.array(weight)]
+                yield pa.RecordBatch.from_arrays(parts, ["id", "root", "total", "shingle", "weight"])
+
+    return texts.select("id", "root", "shingles", "weights").mapInArrow(run, "id long, root string, total double, shingle int, weight double")
+
+
+def crossing(texts: DataFrame, threshold: float) -> DataFrame:
+    """x and y, roots of texts (id, root, shingles, weights) of different roots and similarity `threshold` or more: all
+    such pairs of roots. Only shingles before the bounds meet, and only if what is left of both texts can suffice."""
+    t = threshold - 1e-5  # sums of weights are rounded
+    rows = _weighed(texts)
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle", "n")
+    from_common = Window.partitionBy("id").orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    probe = cut(rows.join(shared, "shingle").withColumn("rest", F.sum("weight").over(from_common)).filter(F.col("rest") >= t * F.col("total")).select("shingle", "id", "root", "total", "rest"))
+    a, b = probe.filter(F.col("rest") >= 2 * t / (1 + t) * F.col("total")).alias("a"), probe.alias("b")
+    smaller = (F.col("a.total") < F.col("b.total")) | (F.col("a.total") == F.col("b.total")) & (F.col("a.id") < F.col("b.id"))
+    enough = F.least("a.rest", "b.rest") >= t / (1 + t) * (F.col("a.total") + F.col("b.total"))
+    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") != F.col("b.root")) & smaller & enough)
+    pairs = met.select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
+    of = lambda k: texts.select(F.col("id").alias("ij"[k]), F.col("root").alias("xy"[k]), F.col("shingles").alias(f"s{k + 1}"), F.col("weights").alias(f"w{k + 1}"))
+    return _verified(pairs.join(of(0), "i").join(of(1), "j"), threshold).distinct()
+
+
 def text_key(text_col: str):
     return F.coalesce(F.md5(F.col(text_col)), F.lit("null"))
 
@@ -225,7 +259,15 @@ def class_roots(df: DataFrame, id_col: str, text_col: str, threshold: float, ban
     ends = members.groupBy("band").agg(F.min(F.struct("rarity", "key")).getField("key").alias("lead"), F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
     met = members.join(ends, "band").select("key", F.explode(F.array_distinct(F.array("lead", "low", "high"))).alias("y")).filter("key <> y")
     pairs = met.select(F.least("key", "y").alias("x"), F.greatest("key", "y").alias("y")).distinct()
-    return closed(_verified(pairs.join(of(0), "x").join(of(1), "y"), threshold))
+    roots = closed(_verified(pairs.join(of(0), "x").join(of(1), "y"), threshold))
+    rooted = cut(sampled.select("key", "bands").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    banded = rooted.select("key", "root", F.explode("bands").alias("band"))
+    mixed = banded.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
+    several = banded.join(mixed, "band").select("key", "root").distinct()
+    left = cut(sampled.select("key", "shingles", "weights").join(several, "key").withColumn("id", F.monotonically_increasing_id()))
+    merged = closed(crossing(left, threshold)).withColumnRenamed("root", "last")
+    final = rooted.select(F.col("key").alias("of"), "root").join(merged.withColumnRenamed("key", "root"), "root", "left")
+    return final.select(F.col("of").alias("key"), F.coalesce("last", "root").alias("root"))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 16, rows_each: int = 4, damp: float = 0.02, chunk_bytes: int = 1 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:

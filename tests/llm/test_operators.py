@@ -1,9 +1,10 @@
 """Each operator against brute force, with nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -99,6 +100,32 @@ def test_near_dedup_links(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(of.values()))
 
 
+def test_near_dedup_shared_passage(spark):
+    """Families around a passage that all their texts share, against all pairs' weighted Jaccard similarity."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    some = lambda n: [word() for _ in range(n)]
+    texts = []
+    for passage, both, own in ((360, 20, 36), (360, 34, 36), (360, 52, 36)):
+        core = some(passage)
+        for _ in range(100):
+            pair = some(both)
+            texts += [" ".join(core + pair + some(own)) for _ in range(2)]
+    bags = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+    df = Counter(s for bag in bags for s in bag)
+    bags = [{s: n * (1 + 0.02 * math.log(len(texts) / df[s]) / math.log(len(texts))) for s, n in bag.items()} for bag in bags]
+    total = [sum(bag.values()) for bag in bags]
+    root = list(range(len(texts)))
+    for i, a in enumerate(bags):
+        for j in range(i):
+            least = sum(min(v, bags[j][s]) for s, v in a.items() if s in bags[j])
+            if root[i] != root[j] and least / (total[i] + total[j] - least) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 200 < len(set(root)) < 500
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs(spark, texts)).collect()} == dict(enumerate(root))
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.near_dedup(docs(spark, ["x"]).filter("false")).collect() == []
     lone = spark.createDataFrame([(None, None, 1)], "doc_id long, text string, key int")
