@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: The base phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Openings of well-known licenses and notices, in words as the scan sees them, and their labels.
+#: Openings of well-known licenses and notices, in words as the scan sees them, and their labels; NOTICES are added below.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
@@ -37,6 +37,31 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
+_CC = {"": "", "-sa": " sharealike", "-nc": " noncommercial", "-nd": " noderivatives", "-nc-sa": " noncommercial sharealike", "-nc-nd": " noncommercial noderivatives"}
+_APART = {"sharealike": "share alike", "noncommercial": "non commercial", "noderivatives": "no derivatives"}
+
+#: Names of licenses as short notices give them ("released under the ..."), and their labels.
+NAMES = (
+    *(("mit", x) for x in ("mit license", "expat license")),
+    ("isc", "isc license"),
+    *(("bsd", x) for x in ("bsd license", "bsd 2 clause", "bsd 3 clause", "2 clause bsd", "3 clause bsd", "two clause bsd", "three clause bsd", "new bsd license", "modified bsd license", "revised bsd license", "simplified bsd license")),
+    *((f"apache-{a}.{b}", f"apache {x}{a} {b}") for a, b in ("20", "11") for x in ("", "license ", "license version ")),
+    ("apache-2.0", "apache license v2 0"),
+    *((f"gpl-{v}.0", x + v) for v in "23" for x in ("gnu general public license version ", "gnu general public license v", "gnu gpl version ", "gnu gpl v", "gpl version ", "gpl v", "gplv")),
+    *(("lgpl", x) for x in ("gnu lesser general public license", "gnu library general public license", "gnu lgpl", "lgpl")),
+    *((f"lgpl-{label}", x + v) for label, v in (("2.1", "2 1"), ("3.0", "3")) for x in ("gnu lesser general public license version ", "gnu lesser general public license v", "gnu lgpl version ", "gnu lgpl v", "lgpl version ", "lgpl v", "lgplv")),
+    *(("agpl-3.0", x) for x in ("gnu affero general public license version 3", "gnu affero general public license v3", "gnu agpl v3", "agplv3")),
+    *((f"mpl-{a}.{b}", f"{x}{a} {b}") for a, b in ("20", "11") for x in ("mozilla public license ", "mozilla public license version ", "mozilla public license v ", "mozilla public license v", "mpl ", "mpl version ", "mpl v")),
+    *((f"cc-by{k}", f"cc by{k.replace('-', ' ')} {v}") for k in _CC for v in ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    *((f"cc-by{k}", f"creative commons attribution{x} {v}") for k, name in _CC.items() for x in {name, " ".join(_APART.get(w, w) for w in (" " + name.strip()).split(" "))} for v in ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    *(("cc0", x) for x in ("cc0 1 0", "creative commons zero")),
+    *(("unlicense", x) for x in ("unlicense",)),
+)
+
+#: A notice has nine words at most: of seven positions all are asked, so that another version doesn't pass for it.
+NOTICES = tuple(sorted({(label, " ".join(f"{lead} {name}".split()[-9:])) for label, name in NAMES for lead in ("under", "under the", "under a", "terms of the") if len(f"{lead} {name}".split()) > 2}))
+TEMPLATES += NOTICES
+
 
 def words(text: Column) -> Column:
     """Lower-cased (A-Z) words: runs of digits, letters and anything beyond ASCII."""

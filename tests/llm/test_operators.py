@@ -246,6 +246,40 @@ def test_licenses(spark, texts):
     assert licenses.license_scan(docs(spark, ["x"]).filter("false")).collect() == []
 
 
+def test_license_notices(spark):
+    """Each short notice bears its label and no other license's; clean texts bear none."""
+    wanted = {
+        "Released under the MIT License.": "mit",
+        "This code is distributed under the terms of the MIT license": "mit",
+        "Licensed under the ISC License.": "isc",
+        "Released under the BSD 3-Clause License.": "bsd",
+        "Available under a BSD license": "bsd",
+        "Released under the Apache License 2.0": "apache-2.0",
+        "Released under the GNU General Public License v3": "gpl,gpl-3.0",
+        "Released under the GPL, version 2": "gpl-2.0",
+        "Licensed under the GNU Lesser General Public License, version 2.1.": "gpl,lgpl,lgpl-2.1",
+        "Licensed under the GNU Lesser General Public License, version 2.0.": "gpl,lgpl",
+        "under the terms of the GNU Lesser General Public License version 3": "gpl,lgpl,lgpl-3.0",
+        "Released under the GNU Affero General Public License version 3": "agpl-3.0,gpl",
+        "Released under the Mozilla Public License, version 2.0.": "mpl-2.0",
+        "Subject to the terms of the Mozilla Public License, v. 1.1": "mpl-1.1",
+        "Shared under CC BY-SA 3.0": "cc-by,cc-by-sa",
+        "Licensed under CC BY-NC-ND 2.5.": "cc-by,cc-by-nc-nd",
+        "Licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "cc-by-nc-sa",
+        "under a Creative Commons Attribution-Share Alike 3.0 Unported License": "cc-by-sa",
+        "Released under CC0 1.0": "cc0",
+        "Released under the Unlicense": "unlicense",
+        "The MIT campus lies under the bridge; a license was released.": "",
+        "Students of the MIT met under a lesser public arch, version 3.": "",
+        "An apache helicopter flew under the clouds 2.0 times; creative commons of the mozilla.": "",
+    }
+    found = {r["doc_id"]: r for r in licenses.license_scan(docs(spark, list(wanted))).collect()}
+    assert {t: found[i]["labels"] for i, t in enumerate(wanted)} == wanted
+    every = [notice for _, notice in licenses.NOTICES]
+    found = {r["doc_id"]: r for r in licenses.license_scan(docs(spark, every)).collect()}
+    assert all(label in found[i]["labels"].split(",") and found[i]["score"] == 1 for i, (label, _) in enumerate(licenses.NOTICES))
+
+
 # -- 7 quality
 
 
