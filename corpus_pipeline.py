@@ -19,6 +19,10 @@ from rillway.llm.mixing import mixed
 from rillway.llm.near_dedup import keep_one
 from rillway.llm.quality import keep_good
 
+#: Boilerplate ratio of the pipeline: in the gap of sf0.1 between lines on 1.0 to 4.6 % of a source's distinct texts and
+#: the line that is on 8.7 to 13.2 % in every source. op9's 0.1, which its SQL states, lies within the latter range.
+LINE_RATIO = 0.05
+
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -29,7 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go; n_chars follows the text."""
-    cut = line_dedup(docs).drop("n_lines", "n_dropped")
+    cut = line_dedup(docs, ratio=LINE_RATIO).drop("n_lines", "n_dropped")
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
