@@ -270,23 +270,26 @@ def class_roots(df: DataFrame, id_col: str, text_col: str, threshold: float, ban
     return final.select(F.col("of").alias("key"), F.coalesce("last", "root").alias("root"))
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 16, rows_each: int = 4, damp: float = 0.02, chunk_bytes: int = 1 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """id, class_id (least id of the class), class_rows, stays (one row of each class); one row per row of df."""
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 16, rows_each: int = 4, damp: float = 0.02, chunk_bytes: int = 1 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+    """key, class_id (least id of the class), class_rows, leads (one key of each class); one row per distinct text."""
     roots = class_roots(df, id_col, text_col, threshold, bands, rows_each, damp, chunk_bytes, bucket_bytes)
-    rows = df.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"))
-    copies = rows.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
+    copies = df.select(F.col(id_col).alias("id"), text_key(text_col).alias("key")).groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
     rooted = copies.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    classes = rooted.groupBy("root").agg(F.min(F.struct("low", "key")).alias("first"), F.sum("n").alias("class_rows"))
-    known = cut(rooted.join(classes, "root").select("key", F.col("first.low").alias("class_id"), "class_rows", (F.col("key") == F.col("first.key")).alias("leads")))
+    found = rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "key")).alias("first"), F.sum("n").alias("class_rows"))
+    return cut(rooted.join(found, "root").select("key", F.col("first.low").alias("class_id"), "class_rows", (F.col("key") == F.col("first.key")).alias("leads")))
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id, class_id (least id of the class), class_rows, stays (one row of each class; rows of one id and text alike);
+    one row per row of df."""
+    rows = df.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"))
+    known = classes(df, id_col, text_col, **options)
     return rows.join(known, "key").select(F.col("id").alias(id_col), "class_id", "class_rows", (F.col("leads") & F.col("id").eqNullSafe(F.col("class_id"))).alias("stays"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df with one row of each class: the row of least id (of repeated rows one)."""
-    held = near_dedup(df, id_col, text_col, **options).filter("stays").select(F.col("class_id").alias("_near_id")).distinct()
-    # Rows of one id may differ: the class's own text is found by its key.
+    """df with one row of each class: the row of least id (of repeated rows one) that bears the class's leading text."""
+    held = classes(df, id_col, text_col, **options).filter("leads").select(F.col("key").alias("_near_of"), F.col("class_id").alias("_near_id"))
     rows = df.withColumn("_near_key", text_key(text_col))
-    low = rows.groupBy("_near_key").agg(F.min(id_col).alias("_near_low"))
-    mine = low.join(held, low["_near_low"].eqNullSafe(held["_near_id"]), "left_semi").withColumnRenamed("_near_key", "_near_of")
-    kept = rows.join(mine, (F.col("_near_key") == F.col("_near_of")) & F.col(id_col).eqNullSafe(F.col("_near_low")), "left_semi")
+    kept = rows.join(held, (F.col("_near_key") == F.col("_near_of")) & F.col(id_col).eqNullSafe(F.col("_near_id")), "left_semi")
     return kept.dropDuplicates([id_col, "_near_key"]).select(*df.columns)

@@ -126,6 +126,19 @@ def test_near_dedup_shared_passage(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs(spark, texts)).collect()} == dict(enumerate(root))
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    """One row of each class stays, although near texts have null ids or share one, or an id of another class's row."""
+    rnd = random.Random(4)
+    words = [["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(200)] for _ in range(4)]
+    near = lambda k, i: " ".join([*words[k][: 190 + i]])
+    rows = [(None, near(0, 0)), (None, near(0, 5)), (None, near(0, 9)), (7, near(1, 0)), (7, near(1, 4)), (7, near(1, 9)), (1, near(2, 0)), (2, near(2, 5)), (1, near(3, 0)), (1, near(3, 0)), (None, near(3, 6))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dedup.keep_one(df).collect()
+    assert sorted(words.index(next(w for w in words if r["text"].startswith(w[0]))) for r in kept) == [0, 1, 2, 3]
+    assert {words.index(next(w for w in words if r["text"].startswith(w[0]))): r["doc_id"] for r in kept} == {0: None, 1: 7, 2: 1, 3: 1}
+    assert sorted({r["class_rows"] for r in near_dedup.near_dedup(df).collect()}) == [2, 3]
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.near_dedup(docs(spark, ["x"]).filter("false")).collect() == []
     lone = spark.createDataFrame([(None, None, 1)], "doc_id long, text string, key int")
