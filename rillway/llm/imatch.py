@@ -1,13 +1,17 @@
 """Document fingerprints by I-Match, in DataFrame operations only.
 
-Terms whose document frequency lies in a band (so whose inverse document frequency does) form the lexicon; a text's
-distinct lexicon terms, sorted, are hashed whole and for each of several randomised subsets of the lexicon. A subset
-holds a term when a hash of term and subset says so, so subsets need no tables. The lexicon is bounded: terms in at
-least a share p of the texts number at most (mean distinct terms of a text) / p.
-
-Defined results: a null text counts as empty; texts without lexicon terms share the fingerprint of no terms, and two
-such are alike (1.0); equal texts have equal fingerprints; null ids come first and ties of ids are ordered by the
-text's hash; other columns are ignored.
+Terms whose document frequency lies in a band (so whose inverse document frequency does) form the lexicon. A text's
+distinct lexicon terms, as 64-bit hashes in ascending order, are hashed whole and for each of several randomised subsets
+of the lexicon; a term's own hash says which subset, if any, holds it, so subsets need no tables.
+
+The lexicon has at most (mean distinct terms of a text) / low terms, whatever the number of texts. Its size is checked:
+up to max_listed terms it is one list in the plan, which Spark turns into a hash set; beyond, texts' terms are joined to
+it as a table, with the same results.
+
+Defined results: a null text counts as empty; a text with under FEW lexicon terms is hashed by all its distinct terms,
+one without terms by itself, so that different texts differ; equal texts have equal fingerprints, whatever their ids;
+long texts are taken whole; null ids come first, and ties of ids are ordered by the text's hash; ids that are ordered
+(imatch_edited) are numbers; other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,94 +19,161 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SUBSETS, SUBSET_SHARE = 32, 64
+from rillway.llm.common import picked
 
+#: The first six bits of a term's hash are its slot; each of the 32 slots of hashes that are not negative is a randomised
+#: subset, of 1 / 64 of the lexicon.
+SLOT_SHIFT = 58
+#: Below so many lexicon terms all terms of a text are taken.
+FEW = 4
+#: Rows are put in order in blocks of about so many bytes of text, but never in more blocks than the driver can list.
+#: Small tables get a block for each shuffle partition, of LEAST_BYTES at least.
+BLOCK_BYTES, MAX_BLOCKS, LEAST_BYTES = 32 << 20, 8192, 1 << 20
 
-def terms(text: Column) -> Column:
+
+def term_hashes(text: Column) -> Column:
+    """Hashes of a text's distinct terms: lower-cased runs of ASCII letters and digits and of all beyond ASCII."""
     parts = F.split(F.lower(text), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    return F.array_distinct(F.filter(parts, lambda w: w != ""))
+    return F.array_distinct(F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def lexicon(texts: DataFrame, low: float, high: float) -> list[str]:
-    """The terms in a share of the texts between low and high, and in two at least; bounded by low, see above."""
+def lexicon(texts: DataFrame, low: float, high: float) -> DataFrame:
+    """term (its hash) of the terms in a share of the texts between low and high, and in two at least."""
     n = texts.count()
-    counted = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    band = counted.filter((F.col("n") >= max(2.0, low * n)) & (F.col("n") <= max(2.0, high * n)))
-    return [r[0] for r in band.select("term").collect()]
+    counted = texts.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter((F.col("n") >= max(2.0, low * n)) & (F.col("n") <= max(2.0, high * n))).select("term")
 
 
-def with_hashes(rows: DataFrame, text_col: str, held: list[str]) -> DataFrame:
-    """rows with `hashes`: those of the text's sorted lexicon terms.
+class Lexicon:
+    """The lexicon of a table of texts (id, key, text), as a list where it is small, else as a table."""
+
+    def __init__(self, texts: DataFrame, low: float, high: float, max_listed: int):
+        self.table = lexicon(texts, low, high)
+        few = [r[0] for r in self.table.limit(max_listed + 1).collect()]  # a check of the size, not a cut
+        self.listed = sorted(few) if len(few) <= max_listed else None
+
+    def with_terms(self, rows: DataFrame, text: str, out: str) -> DataFrame:
+        """rows (id, key, ...) with `out`: the hashes of the text's lexicon terms, or of all terms of texts with few."""
+        rows = rows.withColumn("_all", term_hashes(F.col(text)))
+        if self.listed is None:
+            near = rows.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.explode("_all").alias("term"))
+            held = near.join(self.table, "term").groupBy("_id", "_key").agg(F.collect_set("term").alias("_held"))
+            rows = rows.join(held, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").drop("_id", "_key")
+        elif self.listed:
+            rows = rows.withColumn("_held", F.expr(f"filter(_all, t -> t IN ({', '.join(f'{t}L' if t > -(2**63) else 'bigint(-9223372036854775808)' for t in self.listed)}))"))
+        else:
+            rows = rows.withColumn("_held", F.lit(None).cast("array<bigint>"))
+        return rows.withColumn(out, F.sort_array(F.when(F.size("_held") >= FEW, F.col("_held")).otherwise(F.col("_all")))).drop("_all", "_held")
 
-    The lexicon is one SQL list, which Spark turns into a hash set; terms have no ASCII punctuation, so no quotes.
-    """
-    if not held:
-        return rows.withColumn("hashes", F.array().cast("array<bigint>"))
-    listed = ", ".join(f"'{w}'" for w in held)
-    return rows.withColumn("_terms", terms(F.col(text_col))).withColumn("hashes", F.expr(f"transform(array_sort(filter(_terms, w -> w IN ({listed}))), w -> xxhash64(w))")).drop("_terms")
 
+def fingerprint(terms: str, text: Column) -> Column:
+    """whole: the hash of a text's sorted term hashes; subsets: one for each subset with a term of the text, ascending,
+    its first bits being the subset's slot. Sorted hashes come slot by slot, so one fold finds all subsets."""
+    ended = lambda s: F.when(s["slot"] < 0, s["done"]).otherwise(F.concat(s["done"], F.array(F.shiftleft(s["slot"].cast("long"), SLOT_SHIFT).bitwiseOR(F.shiftrightunsigned(s["hash"], 64 - SLOT_SHIFT)))))
+    state = lambda slot, hash_, done: F.struct(slot.alias("slot"), hash_.alias("hash"), done.alias("done"))
 
-def fingerprint(hashes: str) -> Column:
-    """The array of SUBSETS + 1 hashes of a text's sorted term hashes."""
-    h = F.col(hashes)
-    subset = lambda k: F.filter(h, lambda x: F.pmod(F.xxhash64(x, F.lit(k)), F.lit(SUBSET_SHARE)) == 0)
-    hashed = lambda a: F.when(F.size(a) > 0, F.xxhash64(a))
-    return F.array(hashed(h), *[hashed(subset(k)) for k in range(SUBSETS)])
+    def step(s: Column, x: Column) -> Column:
+        slot = F.shiftright(x, SLOT_SHIFT).cast("int")
+        return F.when(slot == s["slot"], state(slot, F.xxhash64(s["hash"], x), s["done"])).otherwise(state(slot, F.xxhash64(x), ended(s)))
 
+    start = state(F.lit(-1), F.lit(0).cast("long"), F.array().cast("array<bigint>"))
+    subsets = F.aggregate(F.filter(terms, lambda x: x >= 0), start, step, ended)
+    whole = F.when(F.size(terms) > 0, F.xxhash64(terms)).otherwise(F.xxhash64(text))
+    return F.struct(whole.alias("whole"), subsets.alias("subsets"))
 
-def shown(prints_col: str) -> Column:
-    return F.array_join(F.transform(prints_col, lambda x: F.coalesce(F.lower(F.hex(x)), F.lit("-"))), ".")
+
+def shown(prints: str) -> Column:
+    return F.concat_ws(".", F.lower(F.hex(f"{prints}.whole")), F.array_join(F.transform(f"{prints}.subsets", lambda x: F.lower(F.hex(x))), "."))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of equal hashes among those that either has; 1 where neither has any."""
-    pairs = F.arrays_zip(F.slice(a, 2, SUBSETS).alias("x"), F.slice(b, 2, SUBSETS).alias("y"))
-    either = F.size(F.filter(pairs, lambda p: p["x"].isNotNull() | p["y"].isNotNull()))
-    equal = F.size(F.filter(pairs, lambda p: p["x"] == p["y"]))
-    whole = F.get(F.col(a), F.lit(0)).eqNullSafe(F.get(F.col(b), F.lit(0)))
-    return F.when(either > 0, equal / either).otherwise(whole.cast("double"))
+    """Share of equal subset hashes among the subsets that either has; where neither has any, 1 for equal whole hashes."""
+    slots = lambda c: F.transform(f"{c}.subsets", lambda x: F.shiftright(x, SLOT_SHIFT))
+    either = F.size(F.array_union(slots(a), slots(b)))
+    equal = F.size(F.array_intersect(f"{a}.subsets", f"{b}.subsets"))
+    return F.when(either > 0, equal / either).otherwise((F.col(f"{a}.whole") == F.col(f"{b}.whole")).cast("double"))
+
+
+def _listed(values: list) -> Column:
+    return F.expr(f"array({', '.join(map(repr, values))})")
 
 
-def with_next(rows: DataFrame, blocks: int) -> DataFrame:
-    """rows (id, key, ...) with `next`: the struct of the following row by id then key; after the last, the first.
+def _level(bounds: list, id_: Column) -> Column:
+    """How many of the ascending bounds are not above the id, found in two steps of about sqrt(n) comparisons."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    upto = lambda a: F.size(F.filter(a, lambda b: b <= id_))
+    group = upto(_listed([g[0] for g in groups]))
+    inner = F.expr(f"array({', '.join(f'array({", ".join(map(repr, g))})' for g in groups)})")
+    return F.when(group == 0, 0).otherwise((group - 1) * step + upto(F.get(inner, F.greatest(group - 1, F.lit(0)))))
 
-    Rows go to blocks of consecutive ids, cut at approximate quantiles; each block also gets a copy of the row that
-    follows its last. The driver sees one bound and one row name per block, never rows.
+
+def with_block(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """rows (id, key, text) with `block`, ascending in (id, key), nulls first; blocks hold about block_bytes of text.
+
+    Blocks are cut at approximate quantiles of the ids. The rows of an id that fills several blocks, and null ids, are
+    dealt over theirs by key, which is a hash and so even.
     """
-    cuts = rows.agg(F.percentile_approx("id", F.expr(f"array({', '.join(str(i / blocks) + 'D' for i in range(1, blocks))})"), 10_000).alias("q")).first()["q"] if blocks > 1 else None
-    bounds = sorted(set(cuts or []))
-    block = F.coalesce(F.size(F.filter(F.expr(f"array({', '.join(f'{b}L' for b in bounds)})"), lambda b: b <= F.col("id"))), F.lit(0)) if bounds else F.lit(0)
-    own = rows.withColumn("block", F.when(F.col("id").isNull(), 0).otherwise(block)).withColumn("copy", F.lit(False))
-    firsts = sorted((r["block"], r["f"]["id"], r["f"]["key"]) for r in own.groupBy("block").agg(F.min(F.struct("id", "key")).alias("f")).collect())
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n"), F.count("id").alias("ids")).first()
+    least = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size["bytes"] or 0) // LEAST_BYTES))
+    blocks = min(MAX_BLOCKS, max(1, least, -(-(size["bytes"] or 0) // block_bytes)))
+    nulls = -(-blocks * (size["n"] - size["ids"]) // max(size["n"], 1))
+    cuts: list = []
+    if blocks > 1 and size["ids"]:
+        shares = ", ".join(f"{i / blocks}D" for i in range(1, blocks))
+        cuts = sorted(rows.agg(F.percentile_approx("id", F.expr(f"array({shares})"), 10 * blocks).alias("q")).first()["q"])
+    unit = F.col("key") / F.lit(2.0**64) + 0.5
+    among = lambda m: F.least(F.floor(unit * m), F.lit(m) - 1)
+    block = _level(cuts, F.col("id"))
+    crowded = [(u, cuts.index(u), cuts.count(u)) for u in sorted({u for u, v in zip(cuts, cuts[1:], strict=False) if u == v})]
+    if crowded:
+        listed = F.expr(f"array({', '.join(f'struct({u!r} AS u, {p} AS p, {m} AS m)' for u, p, m in crowded)})")
+        own = F.get(F.filter(listed, lambda x: x["u"] == F.col("id")), F.lit(0))
+        block = F.coalesce(own["p"] + 1 + among(own["m"]), block)
+    return rows.withColumn("block", F.when(F.col("id").isNull(), among(nulls) - nulls).otherwise(block).cast("int"))
+
+
+def ordered(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """rows (id, key, text) with `block` and `copy`: each block has a copy of the row that follows its last, so that
+    neighbours can be found within blocks. The driver sees one id and key per block, never rows."""
+    own = with_block(rows, block_bytes)
+    firsts = sorted(((r["block"], r["f"]["id"], r["f"]["key"]) for r in own.groupBy("block").agg(F.min(F.struct("id", "key")).alias("f")).collect()), key=lambda x: x[0])
+    own = own.withColumn("copy", F.lit(False))
     if not firsts:
-        return rows.withColumn("next", F.struct(*rows.columns))
-    # One row for each block, so the broadcast is bounded by the number of blocks.
+        return own
     kind = rows.schema["id"].dataType.simpleString()
     moves = rows.sparkSession.createDataFrame([(name, key, firsts[i - 1][0]) for i, (_, name, key) in enumerate(firsts)], f"to_id {kind}, to_key long, block int")
-    copies = rows.join(F.broadcast(moves), F.col("id").eqNullSafe(F.col("to_id")) & (F.col("key") == F.col("to_key"))).drop("to_id", "to_key").withColumn("copy", F.lit(True))
-    order = Window.partitionBy("block").orderBy("copy", F.col("id").asc_nulls_first(), "key")
-    return own.unionByName(copies).withColumn("next", F.lead(F.struct(*rows.columns)).over(order)).filter("not copy").drop("block", "copy")
+    # At most MAX_BLOCKS rows and those of null ids, so the broadcast is bounded.
+    copies = rows.join(F.broadcast(moves), F.col("id").eqNullSafe(F.col("to_id")) & (F.col("key") == F.col("to_key"))).dropDuplicates(["to_id", "to_key", "block"]).drop("to_id", "to_key")
+    return own.unionByName(copies.withColumn("copy", F.lit(True)))
 
 
-def imatch(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = 0.005, high: float = 0.2) -> DataFrame:
-    """id, text, prints: the fingerprint of each text as an array of hashes."""
-    texts = df.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    held = lexicon(texts, low, high)
-    return with_hashes(texts, "text", held).withColumn("prints", fingerprint("hashes")).drop("hashes")
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return picked(df, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
 
 
-def imatch_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = 0.005, high: float = 0.2) -> DataFrame:
+def imatch(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = 0.005, high: float = 0.2, max_listed: int = 100_000) -> DataFrame:
+    """id, text, prints: the fingerprint of each text (whole, subsets)."""
+    texts = _texts(df, id_col, text_col)
+    done = Lexicon(texts, low, high, max_listed).with_terms(texts, "text", "terms")
+    return done.select(F.col("id").alias(id_col), "text", fingerprint("terms", F.col("text")).alias("prints"))
+
+
+def imatch_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = 0.005, high: float = 0.2, max_listed: int = 100_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: each text against itself
     with its second half replaced by the head of the next text, and against the next text."""
-    spark = df.sparkSession
-    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    held = lexicon(texts, low, high)
-    own = with_hashes(texts.withColumn("key", F.xxhash64("text")), "text", held).select("id", "key", "text", fingerprint("hashes").alias("prints"))
-    paired = with_next(own, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = _texts(df, id_col, text_col)
+    held = Lexicon(texts, low, high, max_listed)
+    own = held.with_terms(ordered(texts, block_bytes), "text", "terms").withColumn("prints", fingerprint("terms", F.col("text"))).drop("terms")
+    order = Window.partitionBy("block").orderBy("copy", F.col("id").asc_nulls_first(), "key")
+    paired = own.withColumn("next", F.lead(F.struct("text", "prints")).over(order)).filter("not copy")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = paired.select("id", n.cast("long").alias("n_chars"), "prints", F.col("next.prints").alias("next_prints"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half)).alias("edited"))
-    done = with_hashes(edited, "edited", held).withColumn("edited_prints", fingerprint("hashes"))
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half))
+    rows = paired.select("id", n.cast("long").alias("n_chars"), "prints", F.col("next.prints").alias("next_prints"), edited.alias("edited"))
+    done = held.with_terms(rows.withColumn("key", F.xxhash64("edited")), "edited", "terms").withColumn("edited_prints", fingerprint("terms", F.col("edited")))
     return done.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown("prints").alias("fingerprint"), shown("edited_prints").alias("edited_fingerprint"),
         likeness("prints", "edited_prints").alias("near_edited"), likeness("prints", "next_prints").alias("near_next"),

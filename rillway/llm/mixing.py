@@ -5,8 +5,9 @@ level by level, until a cell of hashes holds one document as a rule. Documents b
 taken: no sort over documents, no state that grows with them.
 
 Defined results: a null text has size 0; a null source is a source of its own, after all others; a null id hashes
-as the empty string; rows with equal ids share their hash and are taken or left together; an empty table gives an
-empty result; other columns pass through unless they bear a result's name, which then holds the result.
+as the empty string; rows with equal ids share their hash and are taken or left together; long texts are counted whole;
+an empty table gives an empty result; other columns pass through unless they bear a result's name, in any case, which
+then holds the result.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillway.llm.common import cut
+from rillway.llm.common import cut, placed
 
 #: Bits of the hash, and of each level of the histogram.
 HASH_BITS, LEVEL_BITS, LEVELS = 60, 12, 3
@@ -79,21 +80,30 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "whole", (F.col("prefix") + fits.cast("long")).alias("below"))
 
 
+RESULTS = ("size", "source_size", "target", "taken")
+
+
+def _timed(df: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """df's columns by place, with _size, _source_size, _target and _times (how often the mix takes the row)."""
+    rows, (id_, source, text) = placed(df, id_col, source_col, text_col)
+    rows = rows.withColumn("_size", word_count(F.col(text))).withColumn("_hash", row_hash(F.col(id_)))
+    sized = cut(rows.select(F.col(source).alias("source"), F.col("_size").alias("size"), F.col("_hash").alias("hash")))
+    limits = thresholds(sized, source_targets(sized, weights, share, most)).toDF("_of", "_source_size", "_target", "_whole", "_below")
+    times = F.col("_whole") + (F.shiftright("_hash", HASH_BITS - LEVEL_BITS * LEVELS) < F.col("_below")).cast("long")
+    return rows.join(limits, F.col(source).eqNullSafe(F.col("_of")), "left").withColumn("_times", times)
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """df's rows with size, source_size, target and taken (words the mix takes of the row, repeats counted)."""
-    size, code = word_count(F.col(text_col)), row_hash(F.col(id_col))
-    sized = cut(df.select(F.col(source_col).alias("source"), size.alias("size"), code.alias("hash")))
-    limits = thresholds(sized, source_targets(sized, weights, share, most)).select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), "whole", "below")
-    limits = limits.withColumnsRenamed({"whole": "_mix_whole", "below": "_mix_below"})
-    kept = [c for c in df.columns if c not in ("size", "source_size", "target", "taken")]
-    rows = df.select(*kept, size.alias("_mix_size"), code.alias("_mix_hash"))
-    times = F.col("_mix_whole") + (F.shiftright("_mix_hash", HASH_BITS - LEVEL_BITS * LEVELS) < F.col("_mix_below")).cast("long")
-    return rows.join(limits, F.col(source_col).eqNullSafe(F.col("_mix_source")), "left").select(
-        *kept, F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_size") * times).alias("taken")
-    )
-
-
-def mixed(df: DataFrame, **options) -> DataFrame:
-    """df's own columns and rows as the mix has them: a row taken twice is there twice, one not taken is gone."""
-    found = mix(df, **options).withColumn("_mix_times", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int"))
-    return found.filter("_mix_times > 0").withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_times")))).select(*df.columns)
+    found = _timed(df, id_col, source_col, text_col, weights, share, most)
+    own = [(f"_c{i}", c) for i, c in enumerate(df.columns) if c.lower() not in RESULTS]
+    rows = found.select(*[c for c, _ in own], "_size", "_source_size", "_target", F.col("_size") * F.col("_times"))
+    return rows.toDF(*[name for _, name in own], *RESULTS)
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """df's own columns and rows as the mix has them: a row taken twice is there twice, one not taken, or without words,
+    is gone."""
+    found = _timed(df, id_col, source_col, text_col, weights, share, most).filter("_size > 0 and _times > 0")
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))
+    return found.withColumn("_copy", copies).select(*[f"_c{i}" for i in range(len(df.columns))]).toDF(*df.columns)

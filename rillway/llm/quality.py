@@ -1,11 +1,14 @@
 """Quality rules with suffix-array repetition.
 
 For each text a suffix array over its words is built by rank doubling (all texts of a slice at once, ranks kept
-apart by text); longest common prefixes of neighbouring suffixes give the maximal repeated substrings, whose spans
-are united. Rules limit the share of words those spans cover and the longest of them.
+apart by text; words are numbered exactly, equal numbers mean equal bytes). Longest common prefixes of neighbours
+form intervals; an interval whose suffixes don't all follow the same word is a maximal repeated substring. The spans of
+those with `window` words or more are united, and rules limit the share of words that the spans cover and the longest
+repeat.
 
 Defined results: a null or empty text has no words, fails the least-words rule and is not kept; repeated rows are
-judged alike; other columns don't matter (quality) or pass through unchanged (keep_good).
+judged alike; null or repeated ids are as good as any; long texts are measured whole; other columns, whatever their
+names, don't matter (quality) or pass through unchanged (keep_good); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rillway.llm.common import byte_words, mix64, over_texts, slices, text_bytes, word_hashes
+from rillway.llm.common import byte_words, exact_ids, over_texts, picked, placed, slices, text_bytes
 
 WORD_BYTES = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
 LINE_BYTES = np.array([b != 0x0A for b in range(256)])
@@ -22,11 +25,11 @@ SYMBOL_BYTES = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
 WINDOW = 8
 
 
-def suffix_ranks(words: np.ndarray, rows: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], dict[int, np.ndarray]]:
-    """Suffix array of word keys (equal suffixes only within a row), the ranks after each doubling, and for each
-    prefix length the positions whose prefix of that length occurs again in its row. last: end of each word's row."""
+def suffix_ranks(words: np.ndarray, rows: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffix array of word numbers (equal suffixes only within a row) and the ranks after each doubling: level k tells
+    suffixes apart by their first 2^k words. last: end of each word's row."""
     n = len(words)
-    key = mix64(words + rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = rows * np.int64(words.max(initial=0) + 1) + words
     order = np.argsort(key, kind="stable")
     rank = np.zeros(n, np.int64)
 
@@ -39,7 +42,7 @@ def suffix_ranks(words: np.ndarray, rows: np.ndarray, last: np.ndarray) -> tuple
 
     places = np.arange(n)
     tied = settle(places, np.concatenate(([True], key[order][1:] != key[order][:-1]))) if n else places
-    levels, repeated, length = [rank.copy()], {1: order[tied]}, 1
+    levels, length = [rank.copy()], 1
     while len(tied):
         at = order[tied]
         ahead = at + length
@@ -50,36 +53,74 @@ def suffix_ranks(words: np.ndarray, rows: np.ndarray, last: np.ndarray) -> tuple
         tied = settle(tied, np.concatenate(([True], pair[1:] != pair[:-1])))
         length *= 2
         levels.append(rank.copy())
-        repeated[length] = order[tied]
-    return order, levels, repeated
-
-
-def longest_prefixes(order: np.ndarray, levels: list[np.ndarray], last: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """For the positions `among`, the longest prefix that each shares with a neighbour in the suffix array."""
+    return order, levels
+
+
+def common_prefixes(order: np.ndarray, levels: list[np.ndarray], last: np.ndarray, window: int) -> np.ndarray:
+    """For each place of the suffix array, the words that its suffix shares with the one before; 0 if under window."""
+    n, level = len(order), window.bit_length() - 1
+    out = np.zeros(n, np.int64)
+    if n < 2 or level >= len(levels):
+        return out
+    rank = levels[level][order]
+    near = np.flatnonzero(rank[1:] == rank[:-1]) + 1
+    a, b = order[near], order[near - 1]
+    have = np.zeros(len(near), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        x, y = a + have, b + have
+        inside = (x < last[a]) & (y < last[b]) & (last[a] == last[b])
+        same = inside & (levels[k][np.minimum(x, n - 1)] == levels[k][np.minimum(y, n - 1)])
+        have += same * (1 << k)
+    out[near] = np.where(have >= window, have, 0)
+    return out
+
+
+def prefix_intervals(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place, last place, length) of each interval of the suffix array: the widest run of neighbours that share
+    `length` words, for each length that some neighbours share just so. shared: common_prefixes."""
+    found: list[tuple[int, int, int]] = []
+    open_: list[tuple[int, int]] = []  # (first place, length), lengths ascending
+    before = -2
+    places = np.flatnonzero(shared)
+    for place, value in zip(places.tolist(), shared[places].tolist(), strict=True):
+        if place != before + 1:
+            found += [(a, before, x) for a, x in open_]
+            open_ = []
+        first = place - 1
+        while open_ and open_[-1][1] > value:
+            first, x = open_.pop()
+            found.append((first, before, x))
+        if not open_ or open_[-1][1] < value:
+            open_.append((first, value))
+        before = place
+    found += [(a, before, x) for a, x in open_]
+    return tuple(np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def maximal_repeats(words: np.ndarray, rows: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal repeated substrings of `window` words or more within rows: (row, words) of each, and (start, words) of
+    places whose spans cover all that they cover."""
+    order, levels = suffix_ranks(words, rows, last)
+    shared = common_prefixes(order, levels, last, window)
+    low, high, length = prefix_intervals(shared)
     n = len(order)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-
-    def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        have = np.zeros(len(a), np.int64)
-        for k in range(len(levels) - 1, -1, -1):
-            x, y = a + have, b + have
-            inside = (x < last[a]) & (y < last[b]) & (last[a] == last[b])
-            same = inside & (levels[k][np.minimum(x, n - 1)] == levels[k][np.minimum(y, n - 1)])
-            have += same * (1 << k)
-        return have
-
-    at = place[among]
-    best = np.zeros(len(among), np.int64)
-    for step in (-1, 1):
-        near = at + step
-        ok = (near >= 0) & (near < n)
-        best[ok] = np.maximum(best[ok], shared(among[ok], order[near[ok]]))
-    return best
+    none = np.zeros(0, np.int64)
+    if not len(low):
+        return none, none, none, none
+    # The word before each suffix; the first of a row has none, so it differs from any.
+    head = np.concatenate(([True], rows[1:] != rows[:-1]))
+    before = np.where(head, np.int64(-1), np.concatenate(([0], words[:-1])))[order]
+    turns = np.cumsum(np.concatenate(([0], before[1:] != before[:-1])))
+    left = turns[high] > turns[low]
+    # A suffix's deepest interval covers what the wider ones do; one that isn't maximal is covered from a word before.
+    deepest = np.maximum(shared, np.append(shared[1:], 0))
+    places = np.flatnonzero(deepest)
+    kept = rows[order[low[left]]]
+    return kept, length[left], order[places], deepest[places]
 
 
 def measure(column: pa.Array, window: int = WINDOW) -> dict[str, np.ndarray]:
-    """The counts of each text of a column, with the united word spans of repeats of `window` words or more."""
+    """The counts of each text of a column, with the united word spans of maximal repeats of `window` words or more."""
     flat, offsets = text_bytes(column)
     n_rows = len(column)
     starts, ends, rows = byte_words(flat, offsets, WORD_BYTES)
@@ -93,19 +134,17 @@ def measure(column: pa.Array, window: int = WINDOW) -> dict[str, np.ndarray]:
     line_starts, line_ends, line_rows = byte_words(flat, offsets, LINE_BYTES)
     word_counts = np.concatenate(([0], np.cumsum(WORD_BYTES[flat])))
     lines = np.flatnonzero(word_counts[line_ends] > word_counts[line_starts])
-    line_key = mix64(word_hashes(flat, line_starts[lines], line_ends[lines]) + line_rows[lines].astype(np.uint64))
+    line_key = exact_ids(flat, line_starts[lines], line_ends[lines]) + line_rows[lines] * np.int64(len(lines) + 1)
     earlier = np.ones(len(lines), bool)
     earlier[np.unique(line_key, return_index=True)[1]] = False
 
-    order, levels, repeated = suffix_ranks(word_hashes(flat, starts, ends), rows, last)
-    again = repeated.get(window, np.zeros(0, np.int64))
-    reach = longest_prefixes(order, levels, last, again)
+    found_rows, found_words, at, reach = maximal_repeats(exact_ids(flat, starts, ends), rows, last, window)
     step = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(step, again, 1)
-    np.add.at(step, again + reach, -1)
+    np.add.at(step, at, 1)
+    np.add.at(step, at + reach, -1)
     covered = np.cumsum(step[:-1]) > 0
     longest = np.zeros(n_rows, np.int64)
-    np.maximum.at(longest, rows[again], reach)
+    np.maximum.at(longest, found_rows, found_words)
     # Spans of neighbouring rows can't touch: a span ends with its row, and runs are cut where the row changes.
     edge = np.diff(rows, prepend=-1) != 0
     begin = covered & (np.concatenate(([True], ~covered[:-1])) | edge) if len(covered) else covered
@@ -116,6 +155,7 @@ def measure(column: pa.Array, window: int = WINDOW) -> dict[str, np.ndarray]:
         "n_symbols": total(SYMBOL_BYTES[flat]),
         "n_dup_lines": np.bincount(line_rows[lines][earlier], minlength=n_rows),
         "n_repeat_words": np.bincount(rows[covered], minlength=n_rows),
+        "n_repeats": np.bincount(found_rows, minlength=n_rows),
         "longest_repeat": longest,
         "span_row": rows[begin],
         "span_start": np.flatnonzero(begin) - first[rows[begin]],
@@ -132,32 +172,34 @@ def verdict(found: dict[str, np.ndarray], min_words: int, max_percent: int, max_
     return failed, ~failed & ~too_long
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_repeats", "longest_repeat")
 
 
-def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, max_percent: int = 30, max_longest: int = 100, longest_percent: int = 20) -> DataFrame:
-    """id, the counts, repeat_starts and repeat_ends (word spans, arrays), base_failed, kept; one row per row of df."""
+def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_words: int = 20, max_percent: int = 30, max_longest: int = 100, longest_percent: int = 20) -> DataFrame:
+    """id, the counts (n_repeats: distinct maximal repeats), repeat_starts and repeat_ends (word spans, arrays),
+    base_failed, kept; one row per row of df."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = measure(batch.column(1))
+        found = measure(batch.column(1), window)
         failed, kept = verdict(found, min_words, max_percent, max_longest, longest_percent)
         places = np.concatenate(([0], np.cumsum(np.bincount(found["span_row"], minlength=batch.num_rows)))).astype(np.int32)
         spans = [pa.ListArray.from_arrays(pa.array(places), pa.array(found[k].astype(np.int64))) for k in ("span_start", "span_end")]
         arrays = [batch.column(0), *(pa.array(found[k].astype(np.int64)) for k in COUNTS), *spans, pa.array(failed), pa.array(kept)]
-        return pa.RecordBatch.from_arrays(arrays, [id_col, *COUNTS, "repeat_starts", "repeat_ends", "base_failed", "kept"])
+        return pa.RecordBatch.from_arrays(arrays, ["id", *COUNTS, "repeat_starts", "repeat_ends", "base_failed", "kept"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"{k} long" for k in COUNTS) + ", repeat_starts array<long>, repeat_ends array<long>, base_failed boolean, kept boolean"
-    return over_texts(df.select(id_col, text_col), text_col, run, schema)
+    rows = picked(df, id=id_col, text=text_col)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{k} long" for k in COUNTS) + ", repeat_starts array<long>, repeat_ends array<long>, base_failed boolean, kept boolean"
+    return over_texts(rows, "text", run, schema).withColumnRenamed("id", id_col)
 
 
-def keep_good(df: DataFrame, text_col: str = "text", min_words: int = 20, max_percent: int = 30, max_longest: int = 100, longest_percent: int = 20) -> DataFrame:
+def keep_good(df: DataFrame, text_col: str = "text", window: int = WINDOW, min_words: int = 20, max_percent: int = 30, max_longest: int = 100, longest_percent: int = 20) -> DataFrame:
     """The rows of df, all columns, whose text is kept."""
+    rows, (text,) = placed(df, text_col)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col):
-                kept = verdict(measure(part.column(text_col)), min_words, max_percent, max_longest, longest_percent)[1]
+            for part in slices(batch, text):
+                kept = verdict(measure(part.column(text), window), min_words, max_percent, max_longest, longest_percent)[1]
                 yield part.filter(pa.array(kept))
 
-    return df.mapInArrow(run, df.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*df.columns)
