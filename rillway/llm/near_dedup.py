@@ -1,25 +1,30 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 Texts are shingled into five lower-cased words. Texts lie in chunks that are shuffled once and read twice: each chunk
-tells its shingles to buckets, which answer each one's document frequency; then weights are known. A text can be
-near another only if shingles that other texts have make up `threshold` of its weight, so only such texts are
-sampled. A sample is the (shingle, level) of least weighted hash; `rows` samples make a band key. Members of a band
-are compared by exact weighted Jaccard similarity with three of them (never all with all): the one whose shingles are
-the most common, which is the original where copies were edited apart, and those of least and greatest key. Verified
-links are closed into classes. Where the members of a band are then of several classes, all of them are compared with
-all texts of such bands by an exact join (`crossing`): two texts of similarity t share a shingle that lies before t of
-the larger text's weight and before 2t / (1 + t) of the smaller one's, in order from the rarest shingle. So texts
-around a passage that many share meet by what else they share, and every pair that shares a band ends in one class. A
-pair of similarity 0.8 shares a band with probability 0.9998.
-
-Weights are tf * (1 + damp * idf), idf = ln(N / df) / ln N: damped, so that a passage that many copies share still
-counts nearly as much as the words an edit made rare; otherwise copies in large groups would drift apart.
+tells its shingles to buckets, which answer each one's document frequency; then weights are known: tf * idf with the
+usual smooth idf = 1 + ln((1 + N) / (1 + df)). A text can be near another only if shingles that other texts have make up
+`threshold` of its weight, so only such texts are sampled. A sample is the (shingle, level) of least weighted hash;
+`rows` samples make a band key.
+
+Members of a band are compared (never all with all) with three of them: the one whose shingles are the most common,
+which is the original where copies were edited apart, and those of least and greatest key. Verified links are closed into
+classes; then one text of each class in a band stands for it there, and the same is done among these until no link is
+found. Where the members of a band are of several classes even then, all of them are compared with all texts of such
+bands by an exact join (`crossing`): two texts of similarity t share a shingle that lies before t of the larger text's
+weight and before 2t / (1 + t) of the smaller one's, in order from the rarest shingle. So every pair that shares a
+band ends in one class. A pair of TF-IDF similarity 0.8 shares a band with probability 0.9998; one of similarity 0.8
+by tf and 0.65 by TF-IDF with 0.9994.
+
+Two texts are near if their weighted Jaccard similarity is `threshold` or more, by the weights tf * idf or by tf alone:
+where a text was copied often, words that an edit made rare outweigh by idf what all copies share, and copies that
+differ in a few words would fall apart.
 
 Exact copies are one text (its key is the md5): they share a class without entering the comparison, and count in df.
 
 Defined results: a null text is an empty text of its own key; texts of under five words have one shingle of all their
 words; texts without words are near only their exact copies; null or repeated ids are allowed, a class bears its
-least id; other columns are ignored; an empty table gives an empty result.
+least id; long texts are taken whole; other columns, whatever their names, are ignored (near_dedup) or kept (keep_one);
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillway.llm.common import byte_words, cut, mix64, text_bytes, word_hashes
+from rillway.llm.common import byte_words, cut, mix64, picked, placed, spread_join, text_bytes, word_hashes
 from rillway.llm.suffix_dedup import _numbers, _split
 
 WORD_BYTES = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
@@ -77,7 +82,7 @@ def _own_texts(texts: pa.Table, notes: pa.Table) -> tuple[pa.Table, np.ndarray]:
 
 TOLD = "bucket int, chunk int, high binary, low binary, df binary, texts binary"
 NOTES = "chunk int, bucket int, key string, copies long, df binary, texts binary"
-SAMPLED = "key string, rarity double, bands array<long>, shingles binary, weights binary"
+SAMPLED = "key string, rarity double, bands array<long>, shingles binary, weights binary, times binary"
 
 
 def tell(texts: pa.Table, notes: pa.Table, buckets: int) -> pa.Table:
@@ -133,7 +138,11 @@ def weighted_samples(value: np.ndarray, weight: np.ndarray, starts: np.ndarray,
         yield mix64(value[at] + t[at].astype(np.int64).astype(np.uint64) * _STEPS[5])
 
 
-def sample(texts: pa.Table, notes: pa.Table, buckets: int, n_texts: int, damp: float, threshold: float, bands: int, rows_each: int) -> pa.Table:
+def smooth_idf(df: np.ndarray, n_texts: int) -> np.ndarray:
+    return 1 + np.log((1 + n_texts) / (1 + np.minimum(df, n_texts)))
+
+
+def sample(texts: pa.Table, notes: pa.Table, buckets: int, n_texts: int, threshold: float, bands: int, rows_each: int) -> pa.Table:
     own, _ = _own_texts(texts, notes)
     rows, value, times = shingles(own.column("text").combine_chunks() if own.num_rows else pa.array([], pa.string()))
     code, at = np.unique(_codes(value, buckets), return_inverse=True)
@@ -141,53 +150,62 @@ def sample(texts: pa.Table, notes: pa.Table, buckets: int, n_texts: int, damp: f
     df, near = _numbers(told.column("df"), np.uint32), _numbers(told.column("texts"), np.uint8)
     if len(df) != len(code):
         raise RuntimeError("a chunk's answers don't fit its texts")
-    idf = np.log(n_texts / np.maximum(df[at], 1)) / np.log(max(n_texts, 2))
-    weight = times * (1 + damp * np.maximum(idf, 0))
+    weight = times * smooth_idf(df[at], n_texts)
     n = own.num_rows
-    total = np.bincount(rows, weights=weight, minlength=n)
-    again = np.bincount(rows, weights=weight * (near[at] > 1), minlength=n)
-    chosen = (total > 0) & (again >= threshold * total - 1e-9)
+    sums = lambda w: np.bincount(rows, weights=w, minlength=n)
+    total, length = sums(weight), sums(times)
+    chosen = (total > 0) & ((sums(weight * (near[at] > 1)) >= threshold * total - 1e-9) | (sums(times * (near[at] > 1)) >= threshold * length - 1e-9))
     take = chosen[rows]
-    rows, value, weight = rows[take], value[take], weight[take]
+    rows, value, weight, times = rows[take], value[take], weight[take], times[take]
     order, starts = np.unique(rows, return_index=True)
     keys = [] if not len(order) else [np.array(0)]
     if len(order):
-        codes = list(weighted_samples(value, weight, starts, bands * rows_each))
         keys = []
-        for band in range(bands):
-            k = np.full(len(order), band + 1, np.uint64)
-            for x in codes[band * rows_each : (band + 1) * rows_each]:
-                k = mix64(k * _STEPS[6] + x)
-            keys.append(k.view(np.int64))
+        for by, number in ((weight, bands), (times.astype(float), -(-bands // 2))):
+            codes = weighted_samples(value, by, starts, number * rows_each)
+            for _ in range(number):
+                k = np.full(len(order), len(keys) + 1, np.uint64)
+                for _ in range(rows_each):
+                    k = mix64(k * _STEPS[6] + next(codes))
+                keys.append(k.view(np.int64))
     ends = np.append(starts, len(rows))[1:]
-    small, light = (value & np.uint64(0xFFFFFFFF)).astype(np.uint32), weight.astype(np.float32)
-    blobs: tuple[list, list] = ([], [])
+    columns = ((value & np.uint64(0xFFFFFFFF)).astype(np.uint32), weight.astype(np.float32), times.astype(np.uint32))
+    blobs: tuple[list, list, list] = ([], [], [])
     for a, b in zip(starts, ends, strict=True):
-        turn = np.argsort(small[a:b], kind="stable")
-        blobs[0].append(small[a:b][turn].tobytes())
-        blobs[1].append(light[a:b][turn].tobytes())
+        turn = np.argsort(columns[0][a:b], kind="stable")
+        for blob, column in zip(blobs, columns, strict=True):
+            blob.append(column[a:b][turn].tobytes())
     lists = np.stack(keys, axis=1).tolist() if keys else []
     names = own.column("key").take(pa.array(order, pa.int64())) if n else pa.array([], pa.string())
-    rarity = total[order] / np.maximum(np.bincount(rows, weights=times[take], minlength=n)[order], 1) if n else np.zeros(0)
-    return pa.table({"key": names, "rarity": pa.array(rarity, pa.float64()), "bands": pa.array(lists, pa.list_(pa.int64())), "shingles": pa.array(blobs[0], pa.binary()), "weights": pa.array(blobs[1], pa.binary())})
+    rarity = total[order] / np.maximum(length[order], 1) if n else np.zeros(0)
+    found = {"key": names, "rarity": pa.array(rarity, pa.float64()), "bands": pa.array(lists, pa.list_(pa.int64()))}
+    return pa.table(found | {k: pa.array(x, pa.binary()) for k, x in zip(("shingles", "weights", "times"), blobs, strict=True)})
 
 
-def weighted_jaccard(a: bytes, aw: bytes, b: bytes, bw: bytes) -> float:
-    x, y, u, v = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), np.frombuffer(aw, np.float32), np.frombuffer(bw, np.float32)
+def weighted_jaccard(a: bytes, aw: bytes, b: bytes, bw: bytes, kind=np.float32) -> float:
+    """Of two texts' ascending shingles and their weights."""
+    x, y, u, v = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), np.frombuffer(aw, kind), np.frombuffer(bw, kind)
     at = np.searchsorted(y, x)
     hit = y[np.minimum(at, len(y) - 1)] == x
     least = float(np.minimum(u[hit], v[at[hit]]).sum(dtype=np.float64))
     return least / (float(u.sum(dtype=np.float64) + v.sum(dtype=np.float64)) - least)
 
 
+def _of(texts: DataFrame, key: str, name: str, side: str) -> DataFrame:
+    return texts.select(F.col(key).alias(name), *[F.col(c).alias(side + c) for c in ("shingles", "weights", "times")])
+
+
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
+    """The x and y of the pairs whose texts (a..., b...) are near."""
+
     def run(batches):
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("s1", "w1", "s2", "w2")]
-            keep = [weighted_jaccard(a, w, b, v) >= threshold - 1e-6 for a, w, b, v in zip(*cols, strict=True)]
+            cols = [batch.column(side + c).to_pylist() for c in ("shingles", "weights", "times") for side in "ab"]
+            near = lambda s, t, kinds, u, v: weighted_jaccard(s, u, t, v, kinds) >= threshold - 1e-6
+            keep = [near(s, t, np.float32, w, v) or near(s, t, np.uint32, m, n) for s, t, w, v, m, n in zip(*cols, strict=True)]
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("x", "y", "s1", "w1", "s2", "w2").mapInArrow(run, "x string, y string")
+    return pairs.select("x", "y", *[side + c for c in ("shingles", "weights", "times") for side in "ab"]).mapInArrow(run, "x string, y string")
 
 
 def closed(links: DataFrame) -> DataFrame:
@@ -196,100 +214,128 @@ def closed(links: DataFrame) -> DataFrame:
     both = cut(links.select(F.col("x").alias("key"), F.col("y").alias("other")).union(links.select("y", "x")).distinct())
     labels = cut(both.groupBy("key").agg(F.least("key", F.min("other")).alias("root")))
     while True:
-        seen = both.join(labels.select(F.col("key").alias("other"), "root"), "other").groupBy("key").agg(F.min("root").alias("seen"))
-        nearer = labels.join(seen, "key").select("key", "root", F.least("root", "seen").alias("next"))
-        jumped = nearer.join(labels.select(F.col("key").alias("next"), F.col("root").alias("beyond")), "next", "left")
+        seen = spread_join(both, labels.select(F.col("key").alias("other"), "root"), "other").groupBy("key").agg(F.min("root").alias("seen"))
+        nearer = cut(labels.join(seen, "key").select("key", "root", F.least("root", "seen").alias("next")))
+        jumped = spread_join(nearer, labels.select(F.col("key").alias("next"), F.col("root").alias("beyond")), "next", "left")
         moved = cut(jumped.select("key", F.least("next", F.coalesce("beyond", "next")).alias("root"), (F.least("next", F.coalesce("beyond", "next")) != F.col("root")).alias("moved")))
         labels = moved.select("key", "root")
         if moved.filter("moved").isEmpty():
             return labels
 
 
-def _weighed(texts: DataFrame) -> DataFrame:
-    """id, root, total, shingle, weight: one row per shingle of a text."""
+def _weighed(texts: DataFrame, by: str) -> DataFrame:
+    """id, root, total, shingle, weight: one row per shingle of a text, with its weight or (by times) its count."""
+    kind = {"weights": np.float32, "times": np.uint32}[by]
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                shingle, weight = np.frombuffer(row["shingles"], np.int32), np.frombuffer(row["weights"], np.float32).astype(np.float64)
+                shingle, weight = np.frombuffer(row["shingles"], np.int32), np.frombuffer(row[by], kind).astype(np.float64)
                 n = len(shingle)
                 parts = [pa.array(np.full(n, row["id"], np.int64)), pa.array([row["root"]] * n, pa.string()), pa.array(np.full(n, weight.sum())), pa.array(shingle), pa.array(weight)]
                 yield pa.RecordBatch.from_arrays(parts, ["id", "root", "total", "shingle", "weight"])
 
-    return texts.select("id", "root", "shingles", "weights").mapInArrow(run, "id long, root string, total double, shingle int, weight double")
+    return texts.select("id", "root", "shingles", by).mapInArrow(run, "id long, root string, total double, shingle int, weight double")
 
 
-def crossing(texts: DataFrame, threshold: float) -> DataFrame:
-    """x and y, roots of texts (id, root, shingles, weights) of different roots and similarity `threshold` or more: all
-    such pairs of roots. Only shingles before the bounds meet, and only if what is left of both texts can suffice."""
+def crossing(texts: DataFrame, threshold: float, by: str) -> DataFrame:
+    """i and j, ids of texts (id, root, shingles, weights, times) of different roots: all pairs that can have similarity
+    `threshold` or more. Only shingles before the bounds meet, and only if what is left of both texts can suffice."""
     t = threshold - 1e-5  # sums of weights are rounded
-    rows = _weighed(texts)
+    rows = cut(_weighed(texts, by))
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle", "n")
     from_common = Window.partitionBy("id").orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
-    probe = cut(rows.join(shared, "shingle").withColumn("rest", F.sum("weight").over(from_common)).filter(F.col("rest") >= t * F.col("total")).select("shingle", "id", "root", "total", "rest"))
+    held = spread_join(rows, shared, "shingle")
+    probe = cut(held.withColumn("rest", F.sum("weight").over(from_common)).filter(F.col("rest") >= t * F.col("total")).select("shingle", "id", "root", "total", "rest"))
     a, b = probe.filter(F.col("rest") >= 2 * t / (1 + t) * F.col("total")).alias("a"), probe.alias("b")
     smaller = (F.col("a.total") < F.col("b.total")) | (F.col("a.total") == F.col("b.total")) & (F.col("a.id") < F.col("b.id"))
     enough = F.least("a.rest", "b.rest") >= t / (1 + t) * (F.col("a.total") + F.col("b.total"))
     met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") != F.col("b.root")) & smaller & enough)
-    pairs = met.select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
-    of = lambda k: texts.select(F.col("id").alias("ij"[k]), F.col("root").alias("xy"[k]), F.col("shingles").alias(f"s{k + 1}"), F.col("weights").alias(f"w{k + 1}"))
-    return _verified(pairs.join(of(0), "i").join(of(1), "j"), threshold).distinct()
+    return met.select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
 
 
 def text_key(text_col: str):
     return F.coalesce(F.md5(F.col(text_col)), F.lit("null"))
 
 
-def class_roots(df: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows_each: int, damp: float, chunk_bytes: int, bucket_bytes: int) -> DataFrame:
-    """key and root of the texts that are near others: the root is one key of the class."""
-    size = df.agg(F.sum(F.octet_length(text_col)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+def band_links(members: DataFrame, sampled: DataFrame, threshold: float) -> DataFrame:
+    """x and y, keys of near texts: each member of a band (key, root, rarity, band) against three of the band that are of
+    another root."""
+    best = lambda f, c: f(F.struct(*c, "key", "root"))
+    ends = members.groupBy("band").agg(*[e.alias(n) for e, n in ((best(F.min, ["rarity"]), "lead"), (best(F.min, []), "low"), (best(F.max, []), "high"))], F.min("root").alias("one"), F.max("root").alias("other")).filter("one < other").drop("one", "other")
+    side = lambda c: F.struct(F.col(c).getField("key").alias("key"), F.col(c).getField("root").alias("root"))
+    met = spread_join(members.select("key", "root", "band"), ends, "band").select(F.col("key").alias("x"), "root", F.explode(F.array_distinct(F.array(*map(side, ("lead", "low", "high"))))).alias("y"))
+    pairs = cut(met.filter(F.col("root") != F.col("y.root")).select("x", F.col("y.key").alias("y")).distinct())
+    held = spread_join(pairs, _of(sampled, "key", "y", "b"), "y").join(_of(sampled, "key", "x", "a"), "x")
+    return _verified(held, threshold)
+
+
+def _merge(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """rooted (root, ...) with the roots that links join, as a table."""
+    merged = closed(links).select(F.col("key").alias("root"), F.col("root").alias("_last"))
+    return cut(spread_join(rooted, merged, "root", "left").withColumn("root", F.coalesce("_last", "root")).drop("_last"))
+
+
+def class_roots(df: DataFrame, threshold: float, bands: int, rows_each: int, chunk_bytes: int, bucket_bytes: int) -> DataFrame:
+    """key and root of the texts that are near others: the root is one key of the class. df: id, text."""
+    size = df.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     chunks, buckets = max(1, -(-(size["bytes"] or 0) // chunk_bytes)), max(64, -(-(size["bytes"] or 0) // bucket_bytes))
-    chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("int")
-    texts = df.select(chunk.alias("chunk"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
-    standing = df.select(text_key(text_col).alias("key"), chunk.alias("chunk")).groupBy("key").agg(F.min("chunk").alias("chunk"), F.count(F.lit(1)).alias("copies"))
+    chunk = F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")
+    texts = df.select(chunk.alias("chunk"), text_key("text").alias("key"), "text")
+    standing = df.select(text_key("text").alias("key"), chunk.alias("chunk")).groupBy("key").agg(F.min("chunk").alias("chunk"), F.count(F.lit(1)).alias("copies"))
     nothing = F.lit(None).cast("binary")
     notes = cut(standing.select("chunk", F.lit(-1).alias("bucket"), "key", "copies", nothing.alias("df"), nothing.alias("texts")))
     by_chunk = texts.groupBy("chunk")
     told = by_chunk.cogroup(notes.groupBy("chunk")).applyInArrow(lambda t, n: tell(t, n, buckets), TOLD)
     answers = told.groupBy("bucket").applyInArrow(answer, NOTES)
     n = max(size["rows"], 1)
-    sampled = cut(by_chunk.cogroup(notes.unionByName(answers).groupBy("chunk")).applyInArrow(lambda t, m: sample(t, m, buckets, n, damp, threshold, bands, rows_each), SAMPLED))
-    of = lambda k: sampled.select(F.col("key").alias("xy"[k]), F.col("shingles").alias(f"s{k + 1}"), F.col("weights").alias(f"w{k + 1}"))
-    members = sampled.select("key", "rarity", F.explode("bands").alias("band"))
-    ends = members.groupBy("band").agg(F.min(F.struct("rarity", "key")).getField("key").alias("lead"), F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
-    met = members.join(ends, "band").select("key", F.explode(F.array_distinct(F.array("lead", "low", "high"))).alias("y")).filter("key <> y")
-    pairs = met.select(F.least("key", "y").alias("x"), F.greatest("key", "y").alias("y")).distinct()
-    roots = closed(_verified(pairs.join(of(0), "x").join(of(1), "y"), threshold))
-    rooted = cut(sampled.select("key", "bands").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    sampled = cut(by_chunk.cogroup(notes.unionByName(answers).groupBy("chunk")).applyInArrow(lambda t, m: sample(t, m, buckets, n, threshold, bands, rows_each), SAMPLED))
+    rooted = sampled.select("key", F.col("key").alias("root"), "rarity", "bands")
+    members = rooted.select("key", "root", "rarity", F.explode("bands").alias("band"))
+    while True:
+        links = cut(band_links(members, sampled, threshold))
+        if links.isEmpty():
+            break
+        # Links between texts are links between their roots.
+        root_of = lambda c: rooted.select(F.col("key").alias(c), F.col("root").alias(f"_{c}"))
+        ends = links.join(root_of("x"), "x").join(root_of("y"), "y").select(F.col("_x").alias("x"), F.col("_y").alias("y")).distinct()
+        rooted = _merge(rooted, ends)
+        each = rooted.select("key", "root", "rarity", F.explode("bands").alias("band"))
+        # From here on one text stands for its class in each band.
+        members = cut(each.groupBy("band", "root").agg(F.min(F.struct("rarity", "key")).alias("m")).select("m.key", "root", "m.rarity", "band"))
     banded = rooted.select("key", "root", F.explode("bands").alias("band"))
     mixed = banded.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-    several = banded.join(mixed, "band").select("key", "root").distinct()
-    left = cut(sampled.select("key", "shingles", "weights").join(several, "key").withColumn("id", F.monotonically_increasing_id()))
-    merged = closed(crossing(left, threshold)).withColumnRenamed("root", "last")
-    final = rooted.select(F.col("key").alias("of"), "root").join(merged.withColumnRenamed("key", "root"), "root", "left")
-    return final.select(F.col("of").alias("key"), F.coalesce("last", "root").alias("root"))
-
-
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 16, rows_each: int = 4, damp: float = 0.02, chunk_bytes: int = 1 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """key, class_id (least id of the class), class_rows, leads (one key of each class); one row per distinct text."""
-    roots = class_roots(df, id_col, text_col, threshold, bands, rows_each, damp, chunk_bytes, bucket_bytes)
-    copies = df.select(F.col(id_col).alias("id"), text_key(text_col).alias("key")).groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
-    rooted = copies.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = spread_join(banded, mixed, "band").select("key", "root").distinct()
+    left = cut(sampled.select("key", "shingles", "weights", "times").join(several, "key").withColumn("id", F.monotonically_increasing_id()))
+    pairs = cut(crossing(left, threshold, "weights").union(crossing(left, threshold, "times")).distinct())
+    near = pairs.join(_of(left, "id", "i", "a").join(left.select(F.col("id").alias("i"), F.col("root").alias("x")), "i"), "i").join(_of(left, "id", "j", "b").join(left.select(F.col("id").alias("j"), F.col("root").alias("y")), "j"), "j")
+    return _merge(rooted.select("key", "root"), _verified(near, threshold).distinct())
+
+
+def classes(rows: DataFrame, texts: DataFrame, threshold: float, bands: int, rows_each: int, chunk_bytes: int, bucket_bytes: int) -> DataFrame:
+    """key, class_id (least id of the class), class_rows, leads (one key of each class); one row per distinct text.
+    rows: id, key, a table; texts: id, text."""
+    roots = class_roots(texts, threshold, bands, rows_each, chunk_bytes, bucket_bytes)
+    copies = rows.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
+    rooted = cut(copies.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
     found = rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "key")).alias("first"), F.sum("n").alias("class_rows"))
-    return cut(rooted.join(found, "root").select("key", F.col("first.low").alias("class_id"), "class_rows", (F.col("key") == F.col("first.key")).alias("leads")))
+    return cut(spread_join(rooted, found, "root").select("key", F.col("first.low").alias("class_id"), "class_rows", (F.col("key") == F.col("first.key")).alias("leads")))
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 16, rows_each: int = 4, chunk_bytes: int = 1 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """id, class_id (least id of the class), class_rows, stays (one row of each class; rows of one id and text alike);
     one row per row of df."""
-    rows = df.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"))
-    known = classes(df, id_col, text_col, **options)
-    return rows.join(known, "key").select(F.col("id").alias(id_col), "class_id", "class_rows", (F.col("leads") & F.col("id").eqNullSafe(F.col("class_id"))).alias("stays"))
+    texts = picked(df, id=id_col, text=text_col)
+    rows = cut(texts.select("id", text_key("text").alias("key")))
+    known = classes(rows, texts, threshold, bands, rows_each, chunk_bytes, bucket_bytes)
+    return spread_join(rows, known, "key").select(F.col("id").alias(id_col), "class_id", "class_rows", (F.col("leads") & F.col("id").eqNullSafe(F.col("class_id"))).alias("stays"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 16, rows_each: int = 4, chunk_bytes: int = 1 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """df with one row of each class: the row of least id (of repeated rows one) that bears the class's leading text."""
-    held = classes(df, id_col, text_col, **options).filter("leads").select(F.col("key").alias("_near_of"), F.col("class_id").alias("_near_id"))
-    rows = df.withColumn("_near_key", text_key(text_col))
-    kept = rows.join(held, (F.col("_near_key") == F.col("_near_of")) & F.col(id_col).eqNullSafe(F.col("_near_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "_near_key"]).select(*df.columns)
+    whole, (id_, text) = placed(df, id_col, text_col)
+    texts = whole.select(F.col(id_).alias("id"), F.col(text).alias("text"))
+    rows = cut(texts.select("id", text_key("text").alias("key")))
+    held = classes(rows, texts, threshold, bands, rows_each, chunk_bytes, bucket_bytes).filter("leads").select(F.col("key").alias("_of"), F.col("class_id").alias("_id"))
+    kept = whole.withColumn("_key", text_key(text)).join(held, (F.col("_key") == F.col("_of")) & F.col(id_).eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates([id_, "_key"]).drop("_key").toDF(*df.columns)

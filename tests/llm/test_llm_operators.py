@@ -100,6 +100,25 @@ def test_near_dedup_links(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(of.values()))
 
 
+def brute_classes(texts, threshold=0.8):
+    """Least place of each text's class: all pairs' weighted Jaccard similarity by tf * idf, or by tf, closed."""
+    words = [re.findall(r"[a-z0-9]+", t.lower()) for t in texts]
+    bags = [Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, bool(w)))) for w in words]
+    df = Counter(s for bag in bags for s in bag)
+    idf = {s: 1 + math.log((1 + len(texts)) / (1 + n)) for s, n in df.items()}
+    root = list(range(len(texts)))
+    for weigh in (lambda s, n: n * idf[s], lambda s, n: n):
+        weighed = [{s: weigh(s, n) for s, n in bag.items()} for bag in bags]
+        total = [sum(bag.values()) for bag in weighed]
+        for i, a in enumerate(weighed):
+            for j in range(i):
+                least = sum(min(v, weighed[j][s]) for s, v in a.items() if s in weighed[j])
+                if root[i] != root[j] and least and least / (total[i] + total[j] - least) >= threshold:
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+    return dict(enumerate(root))
+
+
 def test_near_dedup_shared_passage(spark):
     """Families around a passage that all their texts share, against all pairs' weighted Jaccard similarity."""
     rnd = random.Random(11)
@@ -111,19 +130,26 @@ def test_near_dedup_shared_passage(spark):
         for _ in range(100):
             pair = some(both)
             texts += [" ".join(core + pair + some(own)) for _ in range(2)]
-    bags = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
-    df = Counter(s for bag in bags for s in bag)
-    bags = [{s: n * (1 + 0.02 * math.log(len(texts) / df[s]) / math.log(len(texts))) for s, n in bag.items()} for bag in bags]
-    total = [sum(bag.values()) for bag in bags]
-    root = list(range(len(texts)))
-    for i, a in enumerate(bags):
-        for j in range(i):
-            least = sum(min(v, bags[j][s]) for s, v in a.items() if s in bags[j])
-            if root[i] != root[j] and least / (total[i] + total[j] - least) >= 0.8:
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    assert 200 < len(set(root)) < 500
-    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs(spark, texts)).collect()} == dict(enumerate(root))
+    wanted = brute_classes(texts)
+    assert 200 < len(set(wanted.values())) < 500
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs(spark, texts)).collect()} == wanted
+
+
+def test_near_dedup_groups_edited_apart(spark):
+    """Groups of texts with a few words changed in each, none of them the original: every pair of similarity 0.8 or more
+    is in one class, and no class has more than those pairs close."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(120)]
+        for _ in range(60):
+            own = list(base)
+            for i in rnd.sample(range(120), rnd.randint(1, 3)):
+                own[i] = word()
+            texts.append(" ".join(own))
+    texts += [" ".join(word() for _ in range(rnd.randint(5, 200))) for _ in range(80)]
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs(spark, texts)).collect()} == brute_classes(texts)
 
 
 def test_keep_one_of_null_and_repeated_ids(spark):
