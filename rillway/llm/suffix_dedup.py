@@ -2,7 +2,7 @@
 
 Each window of `length` bytes has an anchor: its k-byte string of least hash, leftmost among equals. Equal windows
 have equal anchors at equal offsets, so windows with the same anchor, a run called a segment here, are compared only
-with segments of that anchor. Texts lie in chunks (by hash of id) that are shuffled once and read three times:
+with segments of that anchor. Texts lie in chunks (by hash of id and text) that are shuffled once and read three times:
 
 1. each chunk tells its distinct anchors to buckets, which answer those that another chunk has too;
 2. each chunk sends its distinct segments with such anchors, whose suffixes from the anchor (and, reversed, before
@@ -10,11 +10,14 @@ with segments of that anchor. Texts lie in chunks (by hash of id) that are shuff
    tries for groups that still share a prefix; longest common prefixes of neighbours tell which windows are equal;
 3. each chunk marks what is not the earliest of its class, unites the marks and cuts the bytes.
 
-An anchor with more than `hot` distinct segments has its windows sent one by one to buckets of their own, so no
-bucket gathers an unbounded group. Copies within a chunk are settled there and sent once.
+An anchor with more than `hot` distinct segments has its windows sent one by one, by content and by a share of the
+chunks of about `hot` segments: a bucket first finds the earliest of its share, and only those meet in a second round. So
+no bucket gathers an unbounded group, even for a passage that every document has. Copies within a chunk are settled there
+and sent once.
 
-Defined results: a null or empty text has no bytes; null ids come first; rows with equal ids are ordered by text, so
-of repeated rows the first stays; other columns are ignored; an empty table gives an empty result.
+Defined results: a null or empty text has no bytes; ids are whole numbers (else a TypeError), null ids come first; rows
+with equal ids are ordered by the text's hash, then the text, so of repeated rows the first stays; long texts are taken
+whole; other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rillway.llm.common import mix64, text_bytes, word_hashes
+from rillway.llm.common import cut, exact_ids, mix64, picked, text_bytes, word_hashes
 
 ANCHOR = 24
 BLOCK = 1 << 22
@@ -72,9 +76,8 @@ class Segments:
         parts = [self._block(b) for b in range(0, max(len(flat) - length + 1, 0), BLOCK)]
         self.anchor, self.start, self.windows, self.before = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64)))
         self.row = np.searchsorted(offsets, self.start, side="right") - 1
-        self.content = word_hashes(flat, self.start, self.start + self.windows + length - 1)
         self.earlier = np.ones(len(self.start), bool)  # a copy of an earlier segment of the chunk
-        self.earlier[np.unique(self.content, return_index=True)[1]] = False
+        self.earlier[np.unique(exact_ids(flat, self.start, self.start + self.windows + length - 1), return_index=True)[1]] = False
 
     def _block(self, begin: int) -> tuple[np.ndarray, ...]:
         part = self.flat[begin : begin + BLOCK + self.length - 1]
@@ -99,7 +102,7 @@ class Segments:
 
 def _chunk(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """A chunk's rows in the corpus's order, their bytes and borders."""
-    table = table.sort_by([("id", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
+    table = table.sort_by([(c, "ascending") for c in ("id", "digest", "text")]) if table.num_rows > 1 else table
     nulls = table.column("id").null_count
     if nulls:
         table = pa.concat_tables([table.slice(table.num_rows - nulls), table.slice(0, table.num_rows - nulls)])
@@ -119,11 +122,27 @@ def _split(owner: np.ndarray, n: int, arrays: list[np.ndarray]) -> tuple[np.ndar
     return found, [[a[order[edges[i] : edges[i + 1]]].tobytes() for i in range(len(found))] for a in arrays]
 
 
-# The rows that travel.
+# The rows that travel: items of one chunk for one bucket, their fields laid end to end.
 ANCHORS = "bucket int, chunk int, anchors binary, counts binary"
-ANSWERS = "chunk int, anchors binary, hot binary"
-SENT = "bucket int, chunk int, segment binary, id binary, row binary, start binary, before binary, windows binary, size binary, data binary"
-MARKS = "chunk int, segment binary, first binary, count binary"
+ANSWERS = "chunk int, anchors binary, parts binary"
+FIELDS = {"segment": np.int32, "id": np.int64, "digest": np.int64, "row": np.int32, "start": np.int32, "before": np.int32, "windows": np.int32, "again": np.uint8, "size": np.int32}
+SENT = "bucket int, chunk int, " + ", ".join(f"{f} binary" for f in FIELDS) + ", data binary"
+#: Marks have no bucket; rows with one are windows for the second round.
+MARKS = SENT + ", first binary, count binary"
+_NAMES = [x.split()[0] for x in MARKS.split(", ")]
+
+
+def _sent(bucket: np.ndarray, chunk: np.ndarray, fields: dict[str, np.ndarray], flat: np.ndarray, begin: np.ndarray, buckets: int) -> dict[str, pa.Array]:
+    """Items as rows by bucket and chunk; begin: where each item's `size` bytes are in flat."""
+    owner = bucket.astype(np.int64) * (1 << 32) + chunk
+    found, columns = _split(owner, 0, [fields[f].astype(t) for f, t in FIELDS.items()])
+    order, size = np.argsort(owner, kind="stable"), fields["size"]
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size[order]) - size[order], size[order])
+    data = flat[np.repeat(begin[order], size[order]) + inside].tobytes()
+    ends = np.cumsum([int(np.frombuffer(x, np.int32).sum()) for x in columns[-1]]).astype(np.int64)
+    blobs = [data[(ends[i - 1] if i else 0) : ends[i]] for i in range(len(found))]
+    out = {"bucket": pa.array((found >> 32).astype(np.int32)), "chunk": pa.array((found & 0xFFFFFFFF).astype(np.int32))}
+    return out | {f: pa.array(c, pa.binary()) for f, c in zip(FIELDS, columns, strict=True)} | {"data": pa.array(blobs, pa.binary())}
 
 
 def anchors_of(table: pa.Table, length: int, buckets: int) -> pa.Table:
@@ -136,6 +155,7 @@ def anchors_of(table: pa.Table, length: int, buckets: int) -> pa.Table:
 
 
 def answers_of(table: pa.Table, hot: int) -> pa.Table:
+    """For each chunk, its anchors that another chunk has too, and the parts that a hot one's windows are dealt over."""
     chunk = np.repeat(table.column("chunk").to_numpy(), [len(x) // 8 for x in table.column("anchors").to_pylist()])
     anchors, counts = _numbers(table.column("anchors"), np.uint64), _numbers(table.column("counts"), np.uint32)
     order = np.argsort(anchors, kind="stable")
@@ -143,45 +163,42 @@ def answers_of(table: pa.Table, hot: int) -> pa.Table:
     group = np.cumsum(fresh) - 1
     total = np.bincount(group, weights=counts[order].astype(float))
     shared = order[np.bincount(group)[group] > 1] if len(order) else order
-    is_hot = np.zeros(len(anchors), np.uint8)
-    is_hot[order] = total[group] > hot if len(order) else 0
-    found, (a, h) = _split(chunk[shared], 0, [anchors[shared], is_hot[shared]])
-    return pa.table({"chunk": pa.array(found.astype(np.int32), pa.int32()), "anchors": pa.array(a, pa.binary()), "hot": pa.array(h, pa.binary())})
+    parts = np.zeros(len(anchors), np.uint32)
+    parts[order] = np.where(total > hot, np.ceil(total / hot), 0)[group] if len(order) else 0
+    found, (a, p) = _split(chunk[shared], 0, [anchors[shared], parts[shared]])
+    return pa.table({"chunk": pa.array(found.astype(np.int32), pa.int32()), "anchors": pa.array(a, pa.binary()), "parts": pa.array(p, pa.binary())})
 
 
 def segments_of(table: pa.Table, answers: pa.Table, length: int, buckets: int, hot: int) -> pa.Table:
-    names = [x.split()[0] for x in SENT.split(", ")]
     if not table.num_rows:
-        return pa.table({n: pa.array([], pa.int32() if i < 2 else pa.binary()) for i, n in enumerate(names)})
+        return pa.table({n: pa.array([], pa.int32() if n in ("bucket", "chunk") else pa.binary()) for n in _NAMES[:-2]})
     chunk = table.column("chunk")[0].as_py()
     table, flat, offsets = _chunk(table)
     segs = Segments(flat, offsets, length)
-    shared, is_hot = _numbers(answers.column("anchors"), np.uint64), _numbers(answers.column("hot"), np.uint8).astype(bool)
+    shared, parts = _numbers(answers.column("anchors"), np.uint64), _numbers(answers.column("parts"), np.uint32).astype(np.int64)
     own = np.flatnonzero(~segs.earlier)
     values, counts = np.unique(segs.anchor[own], return_counts=True)
-    send = own[np.isin(segs.anchor[own], np.union1d(shared, values[counts > 1]))]
-    split = np.isin(segs.anchor[send], np.union1d(shared[is_hot], values[counts > hot]))
-    # Windows of hot anchors travel one by one, under the hash of their content.
-    base = send[split]
-    each = np.repeat(base, segs.windows[base])
+    known, at = np.unique(np.concatenate((shared, values[counts > 1])), return_index=True)
+    dealt = np.concatenate((parts, np.where(counts[counts > 1] > hot, 1, 0)))[at]
+    place = np.minimum(np.searchsorted(known, segs.anchor[own]), max(len(known) - 1, 0))
+    sends = known[place] == segs.anchor[own] if len(known) else np.zeros(len(own), bool)
+    send, part = own[sends], dealt[place[sends]] if len(known) else np.zeros(0, np.int64)
+    # Windows of hot anchors travel one by one, under the hash of their content and a share of the chunks.
+    base, whole = send[part > 0], send[part == 0]
+    each, share = np.repeat(base, segs.windows[base]), np.repeat(part[part > 0], segs.windows[base])
     j = np.arange(len(each)) - np.repeat(np.cumsum(segs.windows[base]) - segs.windows[base], segs.windows[base])
     single = word_hashes(flat, segs.start[each] + j, segs.start[each] + j + length)
-    whole = send[~split]
+    single = np.where(share > 1, mix64(single + (chunk % np.maximum(share, 1)).astype(np.uint64)), single)
     segment = np.concatenate((whole, each))
     start = np.concatenate((segs.start[whole], segs.start[each] + j))
     windows = np.concatenate((segs.windows[whole], np.ones(len(each), np.int64)))
-    before = np.concatenate((segs.before[whole], segs.before[each] - j))
     bucket = np.concatenate((segs.anchor[whole], single)) % np.uint64(buckets)
-    size = windows + length - 1
-    ids = table.column("id").fill_null(_NULL_ID).to_numpy()
-    found, columns = _split(bucket.astype(np.int64), buckets, [segment.astype(np.int32), ids[segs.row[segment]], segs.row[segment].astype(np.int32), (start - offsets[segs.row[segment]]).astype(np.int32), before.astype(np.int32), windows.astype(np.int32), size.astype(np.int32)])
-    order = np.argsort(bucket, kind="stable")
-    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size[order]) - size[order], size[order])
-    data = flat[np.repeat(start[order], size[order]) + inside].tobytes()
-    ends = np.cumsum([int(np.frombuffer(x, np.int32).sum()) for x in columns[-1]])
-    blobs = [data[(ends[i - 1] if i else 0) : ends[i]] for i in range(len(found))]
-    out = [pa.array(found.astype(np.int32)), pa.array([chunk] * len(found), pa.int32()), *(pa.array(c, pa.binary()) for c in columns), pa.array(blobs, pa.binary())]
-    return pa.table(dict(zip(names, out, strict=True)))
+    row = segs.row[segment]
+    fields = {
+        "segment": segment, "id": table.column("id").fill_null(_NULL_ID).to_numpy()[row], "digest": table.column("digest").to_numpy()[row], "row": row, "start": start - offsets[row],
+        "before": np.concatenate((segs.before[whole], segs.before[each] - j)), "windows": windows, "again": np.concatenate((np.zeros(len(whole), np.int64), share > 1)), "size": windows + length - 1,
+    }
+    return pa.table(_sent(bucket, np.full(len(bucket), chunk), fields, flat, start, buckets))
 
 
 def blind_order(keys: list[int], bits: int) -> list[int]:
@@ -226,24 +243,51 @@ def blind_order(keys: list[int], bits: int) -> list[int]:
     return out
 
 
+def multikey_quicksort(words: np.ndarray, order: np.ndarray, first: np.ndarray, tied: np.ndarray) -> np.ndarray:
+    """Sort `order` within its segments by rows of words (characters), in place; return the places still tied at the end.
+
+    Each segment is split in three by a pivot (the median of three of its words at the segment's depth); the middle part
+    goes one word deeper. All segments make their round together. first: for each place, its segment's first; tied: the
+    places of segments with two rows or more, which lie one after the other.
+    """
+    depth = np.zeros(len(order), np.int64)
+    deep = [np.zeros(0, np.int64)]
+    while len(tied):
+        value = words[order[tied], depth[tied]]
+        begin = np.flatnonzero(np.concatenate(([True], first[tied][1:] != first[tied][:-1])))
+        size = np.diff(np.append(begin, len(tied)))
+        segment = np.repeat(np.arange(len(begin)), size)
+        a, b, c = value[begin], value[begin + size // 2], value[begin + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[segment]
+        part = (value >= pivot).astype(np.int64) + (value > pivot)
+        counts = np.bincount(3 * segment + part, minlength=3 * len(begin)).reshape(-1, 3)
+        starts = begin[:, None] + np.cumsum(counts, axis=1) - counts
+        place = np.empty(len(tied), np.int64)
+        for k in range(3):
+            mine = np.flatnonzero(part == k)
+            owner = segment[mine]
+            place[mine] = starts[owner, k] + np.arange(len(mine)) - (np.cumsum(counts[:, k]) - counts[:, k])[owner]
+        moved, level, head = np.empty_like(tied), np.empty_like(tied), np.empty_like(tied)
+        moved[place], level[place], head[place] = order[tied], depth[tied] + (part == 1), tied[starts[segment, part]]
+        order[tied], depth[tied], first[tied] = moved, level, head
+        fresh = np.concatenate(([True], head[1:] != head[:-1]))
+        alone = fresh & np.append(fresh[1:], True)
+        ended = level >= words.shape[1]
+        deep.append(tied[~alone & ended])
+        tied = tied[~alone & ~ended]
+    return np.sort(np.concatenate(deep))
+
+
 def deep_shallow_order(rows: np.ndarray, group: np.ndarray, shallow: int = SHALLOW_WORDS) -> np.ndarray:
     """Order of byte rows (width a multiple of 8) by group, then content."""
-    words = rows.view(">u8")
     order = np.argsort(group, kind="stable")
-    fresh = np.concatenate(([True], group[order][1:] != group[order][:-1])) if len(order) else np.zeros(0, bool)
-    first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0)) if len(order) else order
-    tied = np.flatnonzero(np.bincount(first, minlength=len(order))[first] > 1) if len(order) else order
-    for depth in range(min(shallow, words.shape[1])):
-        if not len(tied):
-            return order
-        value, block = words[order[tied], depth].astype(np.uint64), first[tied]
-        turn = np.lexsort((value, block))
-        order[tied], value = order[tied][turn], value[turn]
-        new = np.concatenate(([True], (value[1:] != value[:-1]) | (block[1:] != block[:-1])))
-        first[tied] = np.maximum.accumulate(np.where(new, tied, 0))
-        alone = new & np.append(new[1:], True)
-        tied = tied[~alone]
-    if len(tied):
+    if not len(order):
+        return order
+    fresh = np.concatenate(([True], group[order][1:] != group[order][:-1]))
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+    tied = np.flatnonzero(np.bincount(first, minlength=len(order))[first] > 1)
+    tied = multikey_quicksort(rows.view(">u8")[:, :shallow].astype(np.uint64), order, first, tied)
+    if len(tied) and rows.shape[1] > 8 * shallow:
         tail = np.ascontiguousarray(rows[order[tied], 8 * shallow :])
         width = tail.shape[1]
         raw = tail.tobytes()
@@ -283,16 +327,16 @@ def _matrix(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, step: int, widt
     return out
 
 
-def marks_of(table: pa.Table, length: int) -> pa.Table:
-    """Of a bucket's segments, the windows that are not the earliest of their content, as runs by chunk and segment."""
-    get = lambda c, t: _numbers(table.column(c), t).astype(np.int64)
-    segment, row, start, before, windows, size = (get(c, np.int32) for c in ("segment", "row", "start", "before", "windows", "size"))
-    ids = get("id", np.int64)
-    chunk = np.repeat(table.column("chunk").to_numpy(), [len(x) // 4 for x in table.column("segment").to_pylist()])
+def marks_of(table: pa.Table, length: int, buckets: int, last: bool) -> pa.Table:
+    """Of a bucket's segments, the windows that are not the earliest of their content, as runs by chunk and segment; and,
+    unless it is the last round, the windows of hot anchors that are the earliest here."""
+    item = {f: _numbers(table.column(f), t).astype(np.int64) for f, t in FIELDS.items()}
+    item["chunk"] = np.repeat(table.column("chunk").to_numpy(), [len(x) // 4 for x in table.column("segment").to_pylist()])
     data = _numbers(table.column("data"), np.uint8)
-    begin = np.cumsum(size) - size
-    place = np.lexsort((start, row, ids))
-    segment, row, start, before, windows, size, chunk, begin = (x[place] for x in (segment, row, start, before, windows, size, chunk, begin))
+    item["begin"] = np.cumsum(item["size"]) - item["size"]
+    place = np.lexsort([item[k] for k in ("start", "row", "chunk", "digest", "id")])
+    item = {k: v[place] for k, v in item.items()}
+    segment, start, before, windows, size, chunk, begin = (item[k] for k in ("segment", "start", "before", "windows", "size", "chunk", "begin"))
     n, width = len(segment), -(-(length + 1) // 8) * 8
     anchor = begin + before
     after = np.minimum(begin + size - anchor, length)
@@ -329,7 +373,15 @@ def marks_of(table: pa.Table, length: int) -> pa.Table:
     who, first = found[heads] >> 32, found[heads] & 0xFFFFFFFF
     # A window sent alone has its place in the chunk's segment, not in what was sent.
     chunks, (s, f, c) = _split(chunk[who], 0, [segment[who].astype(np.int32), (start[who] + first).astype(np.int32), count.astype(np.int32)])
-    return pa.table({"chunk": pa.array(chunks.astype(np.int32), pa.int32()), "segment": pa.array(s, pa.binary()), "first": pa.array(f, pa.binary()), "count": pa.array(c, pa.binary())})
+    marks = {"chunk": pa.array(chunks.astype(np.int32), pa.int32()), "segment": pa.array(s, pa.binary()), "first": pa.array(f, pa.binary()), "count": pa.array(c, pa.binary())}
+    still = item["again"] > 0
+    still[who] = False
+    on = np.flatnonzero(still) if not last else np.zeros(0, np.int64)
+    bucket = word_hashes(data, begin[on], begin[on] + length) % np.uint64(buckets)
+    onward = _sent(bucket, chunk[on], {f: item[f][on] for f in FIELDS}, data, begin[on], buckets)
+    kinds = {n: pa.int32() if n in ("bucket", "chunk") else pa.binary() for n in _NAMES}
+    rows = [pa.table({n: x[n].cast(k) if n in x else pa.nulls(len(x["chunk"]), k) for n, k in kinds.items()}) for x in (marks, onward)]
+    return pa.concat_tables(rows)
 
 
 def cut_of(table: pa.Table, marks: pa.Table, length: int, kind: pa.DataType) -> pa.Table:
@@ -359,13 +411,18 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Memory of a task follows chunk_bytes and bucket_bytes (of text), not the corpus.
     """
-    total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    rows = picked(df, id=id_col, text=text_col)
+    if not isinstance(rows.schema["id"].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of an integral type, as ids order the corpus")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = max(1, -(-total // chunk_bytes)), max(64, -(-total // bucket_bytes))
-    texts = df.select(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int").alias("chunk"), F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("digest"), "text")
     by_chunk = texts.groupBy("chunk")
     anchors = by_chunk.applyInArrow(lambda t: anchors_of(t, length, buckets), ANCHORS)
     answers = anchors.groupBy("bucket").applyInArrow(lambda t: answers_of(t, hot), ANSWERS)
     sent = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: segments_of(t, a, length, buckets, hot), SENT)
-    marks = sent.groupBy("bucket").applyInArrow(lambda t: marks_of(t, length), MARKS)
+    once = cut(sent.groupBy("bucket").applyInArrow(lambda t: marks_of(t, length, buckets, False), MARKS))
+    twice = once.filter("bucket is not null").drop("first", "count").groupBy("bucket").applyInArrow(lambda t: marks_of(t, length, buckets, True), MARKS)
+    marks = once.filter("bucket is null").unionByName(twice).select("chunk", "segment", "first", "count")
     done = by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(lambda t, m: cut_of(t, m, length, pa.int64()), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return done.withColumnRenamed("id", id_col)
+    return done.withColumn("id", F.col("id").cast(rows.schema["id"].dataType)).withColumnRenamed("id", id_col)
