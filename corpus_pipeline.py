@@ -6,15 +6,13 @@ Parquet table in the shared folder. All but the last return the columns of docum
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway.llm import bpe
-from rillway.llm.common import shared_dir
-from rillway.llm.line_dedup import line_dedup
+from rillway.llm.common import new_path, picked
+from rillway.llm.line_dedup import without_boilerplate
 from rillway.llm.mixing import mixed
 from rillway.llm.near_dedup import keep_one
 from rillway.llm.quality import keep_good
@@ -33,8 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go; n_chars follows the text."""
-    cut = line_dedup(docs, ratio=LINE_RATIO).drop("n_lines", "n_dropped")
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+    return without_boilerplate(docs, ratio=LINE_RATIO, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +46,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and a check that they decode to its text."""
-    rows = docs.select(F.struct("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).alias("row"), "text")
+    own = picked(docs, doc_id="doc_id", lang="lang", source="source", text="text")
+    rows = own.select(F.struct("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).alias("row"), "text")
     coded = bpe.encode(rows, RANKS, public_tokenizers.PATTERN, id_col="row", decoded=True)
     same = F.sha2("decoded", 256) == F.col("row.digest")
     return coded.select("row.doc_id", "row.lang", "row.source", "n_tokens", "ids", same.alias("round_trip"))
@@ -63,7 +61,7 @@ STAGES = [
     ("byte_bpe", encode_stage),
 ]
 
-#: Suffix ranks, sampling and byte pairs have no SQL; tests/llm/test_pipeline.py holds each stage against brute force.
+#: Suffix ranks, sampling and byte pairs have no SQL; the tests hold each stage against a plain version on its own input.
 ORACLE_SQL = None
 
 
@@ -72,7 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+            path = new_path(spark, f"pipeline-{name}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs

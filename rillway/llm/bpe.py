@@ -4,8 +4,10 @@ A text is split by the tokenizer's pattern, each distinct piece goes through the
 kept as little-endian bytes, so a document's ids are one join. Decoding reverses the byte-to-character table; a
 character split over several tokens comes back whole because bytes, not strings, are joined.
 
-Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows give repeated results;
-columns other than the id and the text are ignored, whatever their names.
+Defined results: a null or empty text has no ids and decodes to no bytes; long texts are encoded whole; null ids are as
+good as any; repeated rows give repeated results; columns other than the id and the text are ignored, whatever their
+names, and the id may bear a result's name only if that result isn't asked for (else a ValueError); an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rillway.llm.common import over_texts
+from rillway.llm.common import over_texts, picked, placed
 
 #: Pieces whose ids a worker keeps at most; beyond it the store starts anew (speed only, never results).
 KEPT_PIECES = 250_000
@@ -123,7 +126,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         own = coder(ranks_path, pattern)
         ids = own.ids(batch.column(1).fill_null("").to_pylist())
         arrays = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-        names = [id_col, "n_tokens", "ids"]
+        names = ["id", "n_tokens", "ids"]
         if offsets:
             spans = [token_table(ranks_path).offsets(x) for x in ids]
             arrays += [pa.array([s[k] for s in spans], pa.list_(pa.int64())) for k in (0, 1)]
@@ -133,20 +136,27 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             names.append("decoded")
         return pa.RecordBatch.from_arrays(arrays, names)
 
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids binary" + ", starts array<long>, ends array<long>" * offsets + ", decoded binary" * decoded
-    return over_texts(df.select(id_col, text_col), text_col, run, schema)
+    rows = picked(df, id=id_col, text=text_col)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary" + ", starts array<long>, ends array<long>" * offsets + ", decoded binary" * decoded
+    coded = over_texts(rows, "text", run, schema)
+    if id_col.lower() in [c.lower() for c in coded.columns[1:]]:
+        raise ValueError(f"the id column can't be named {id_col}")
+    return coded.withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", carry: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns of `carry`, and decoded (binary): the bytes that the ids stand for; null ids decode to none."""
 
+    names = (id_col, *carry)
+    held, found = placed(df, *names, ids_col)
+    rows = held.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(found)])
+    last = f"_{len(names)}"
+
     def run(batches):
         for batch in batches:
             own = token_table(ranks_path)
-            out = [own.decode(x or b"") for x in batch.column(ids_col).to_pylist()]
-            kept = batch.select([id_col, *carry])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.binary())], [*kept.schema.names, "decoded"])
+            out = [own.decode(x or b"") for x in batch.column(last).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], [*batch.schema.names[:-1], "decoded"])
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, *carry))
-    return df.select(*dict.fromkeys((id_col, *carry, ids_col))).mapInArrow(run, f"{kinds}, decoded binary")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns[:-1])
+    return rows.mapInArrow(run, f"{kinds}, decoded binary").toDF(*names, "decoded")

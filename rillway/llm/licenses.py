@@ -5,8 +5,9 @@ compared too), hits are counted by diagonal (place in the text less place in the
 apart are merged, and a merged span counts if it covers enough of its template without being stretched. The base
 phrases are templates of one position.
 
-Defined results: a null or empty text has no words, no places and score 0; texts are keyed by id and hash, so
-repeated rows and null ids give repeated results; other columns are ignored.
+Defined results: a null or empty text has no words, no places and score 0; long texts are scanned whole; texts are keyed
+by id and hash, so repeated rows and null ids give repeated results; templates that overlap or tie each give their label;
+other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillway.llm.common import picked
+
 #: The base phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -84,7 +87,8 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     score: the largest covered share of a template among the accepted spans; a base phrase counts as covered whole.
     """
-    keyed = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), words(F.col(text_col)).alias("w"))
+    texts = picked(df, id=id_col, text=text_col)
+    keyed = texts.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), words(F.col("text")).alias("w"))
     grams = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"), F.slice("w", 3, F.greatest(F.size("w"), F.lit(1))).alias("c"))
     rolled = keyed.select("id", "key", F.posexplode(grams).alias("pos", "g")).select("id", "key", "pos", F.xxhash64("g.a", "g.b").alias("pair"), F.col("g.a").alias("ga"), F.col("g.b").alias("gb"), F.col("g.c").alias("gc"))
     held = template_positions(df.sparkSession, templates, base).withColumn("pair", F.xxhash64("a", "b"))

@@ -50,16 +50,32 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     return exact.filter((F.col("n") >= min_pages) & (F.col("n") > ratio * F.col("total"))).groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
-def line_dedup(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5, url_col: str | None = None) -> DataFrame:
-    """df with its text cut to the lines kept, n_lines and n_dropped. url_col: a column whose host is the site, in place
-    of site_col."""
+def _cut_lines(df: DataFrame, site_col: str, text_col: str, ratio: float, min_pages: int, url_col: str | None) -> tuple[DataFrame, str]:
+    """df's columns by place with _all and _kept, the lines of its text and those that stay; where the text is."""
     rows, (site, text) = placed(df, url_col or site_col, text_col)
     of = url_parts(F.col(site))[0] if url_col else F.col(site)
     found = cut(boilerplate(rows.select(of.alias("site"), F.col(text).alias("text")), ratio, min_pages)).select(F.col("site").alias("_of"), F.col("lines").alias("_drop"))
     rows = rows.withColumn("_site", of).withColumn("_all", _lines(F.col(text)))
     rows = rows.join(found, F.col("_site").eqNullSafe(F.col("_of")), "left")
-    rows = rows.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(F.filter("_all", lambda line: ~F.array_contains("_drop", line))))
+    return rows.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(F.filter("_all", lambda line: ~F.array_contains("_drop", line)))), text
+
+
+def line_dedup(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5, url_col: str | None = None) -> DataFrame:
+    """df with its text cut to the lines kept, n_lines and n_dropped. url_col: a column whose host is the site, in place
+    of site_col."""
+    rows, text = _cut_lines(df, site_col, text_col, ratio, min_pages, url_col)
     n_lines, n_kept = (F.coalesce(F.size(c), F.lit(0)).cast("long") for c in ("_all", "_kept"))
     own = [(f"_c{i}", c) for i, c in enumerate(df.columns) if c.lower() not in RESULTS]
     columns = [F.array_join("_kept", "\n").alias(c) if c == text else F.col(c) for c, _ in own]
     return rows.select(*columns, n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped")).toDF(*[name for _, name in own], *RESULTS)
+
+
+def without_boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5, url_col: str | None = None, length_col: str | None = None) -> DataFrame:
+    """df's own columns, all rows, with the text cut to the lines kept; length_col: a column that then holds the text's
+    number of characters."""
+    rows, text = _cut_lines(df, site_col, text_col, ratio, min_pages, url_col)
+    length = placed(df, length_col)[1][0] if length_col else None
+    new = {text: F.array_join("_kept", "\n")}
+    if length:
+        new[length] = F.length(new[text]).cast(rows.schema[length].dataType)
+    return rows.select(*[new.get(f"_c{i}", F.col(f"_c{i}")).alias(f"_c{i}") for i in range(len(df.columns))]).toDF(*df.columns)
