@@ -3,6 +3,9 @@
 The text is rewritten to Python's own expression syntax, which Python parses; a walk over that tree, with Spark types
 at hand, builds the Column. `$` is the whole scope. Integers divide towards zero; `%` is floored; `==` is null-safe;
 &&, || and ! work on truth as Python has it. Nothing but the functions listed here can be called.
+
+What fails for a row (a missing key, an index out of range, division by zero, integer overflow, text that is no number)
+is a column too: `checked` gives the value and the row's fault, and only what is evaluated can fail.
 """
 
 from __future__ import annotations
@@ -151,12 +154,32 @@ def identifiers(source: str) -> set[str]:
     return {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and id(n) not in called and n.id != "root_"}
 
 
+def checked(source: str, scope: Scope) -> tuple[Value, Column]:
+    """An expression's value, null for rows where it fails, and the fault of those rows, null for others."""
+    builder = _Builder(scope)
+    value = builder.build(parse(source))
+    fault = builder.fault()
+    if fault is None:
+        return value, F.lit(None).cast("string")
+    return Value(F.when(fault.isNull(), value.column), value.kind), fault
+
+
+def checked_condition(source: str, scope: Scope) -> tuple[Column, Column]:
+    """The truth of an expression, never null and false for rows where it fails, and the fault of those rows."""
+    value, fault = checked(source, scope)
+    return fault.isNull() & truthy(value.column, value.kind), fault
+
+
 def column(source: str, scope: Scope) -> Value:
-    return _Builder(scope).build(parse(source))
+    """An expression's value; a row where it fails fails the job."""
+    value, fault = checked(source, scope)
+    if isinstance(value.kind, T.NullType):
+        return value
+    return Value(F.when(fault.isNull(), value.column).otherwise(F.raise_error(fault).cast(value.kind)), value.kind)
 
 
 def condition(source: str, scope: Scope) -> Column:
-    """The truth of an expression, never null."""
+    """The truth of an expression, never null; a row where it fails fails the job."""
     value = column(source, scope)
     return truthy(value.column, value.kind)
 
@@ -171,6 +194,20 @@ def _is(value: Value, *kinds) -> bool:
 class _Builder:
     def __init__(self, scope: Scope):
         self.scope = scope
+        self.faults: list[Column] = []
+
+    def fail(self, where: Column, message: str | Column) -> None:
+        self.faults.append(F.when(where, F.lit(message) if isinstance(message, str) else message))
+
+    def fault(self) -> Column | None:
+        return (F.coalesce(*self.faults) if len(self.faults) > 1 else self.faults[0]) if self.faults else None
+
+    def apart(self, node: ast.expr) -> tuple[Value, Column | None]:
+        """A part that not every row evaluates, and its own fault."""
+        held, self.faults = self.faults, []
+        value, fault = self.build(node), self.fault()
+        self.faults = held
+        return value, fault
 
     def build(self, node: ast.expr) -> Value:
         make = getattr(self, f"on_{type(node).__name__}", None)
@@ -216,11 +253,12 @@ class _Builder:
             return Value(of.column.getField(known), of.kind[known].dataType)
         if _is(of, T.MapType):
             here = F.map_contains_key(of.column, key.column)
-            missing = F.raise_error(F.concat(F.lit("missing key "), key.column.cast("string")))
-            return Value(F.when(here, F.element_at(of.column, key.column)).otherwise(missing.cast(of.kind.valueType)), of.kind.valueType)
+            self.fail(~here, F.concat(F.lit("missing key "), key.column.cast("string")))
+            return Value(F.when(here, F.element_at(of.column, key.column)), of.kind.valueType)
         if _is(of, T.ArrayType):
-            at = key.column.cast("int")
-            return Value(F.element_at(of.column, F.when(at < 0, at).otherwise(at + 1)), of.kind.elementType)
+            at, n = key.column.cast("int"), F.size(of.column)
+            self.fail((at >= n) | (at < -n), "index out of range")
+            return Value(F.get(of.column, F.when(at < 0, at + n).otherwise(at)), of.kind.elementType)
         if _is(of, T.VariantType) and known is not None:
             path = f"$[{known}]" if isinstance(known, int) else f"$['{known}']"
             return Value(F.try_variant_get(of.column, path, "variant"), T.VariantType())
@@ -230,23 +268,41 @@ class _Builder:
         v = self.build(node.operand)
         if isinstance(node.op, ast.Invert):
             return Value(~truthy(v.column, v.kind), T.BooleanType())
+        if isinstance(node.op, ast.USub) and _is(v, T.IntegralType):
+            return self.whole(F.try_subtract, Value(F.lit(0), v.kind), v)
         if isinstance(node.op, ast.USub) and _is(v, _NUM):
             return Value(-v.column, v.kind)
         raise ExpressionTypeError("- needs a number")
 
     def on_BoolOp(self, node: ast.BoolOp) -> Value:
-        parts = [self.build(x) for x in node.values]
-        out = truthy(parts[0].column, parts[0].kind)
-        for p in parts[1:]:
-            right = truthy(p.column, p.kind)
+        first = self.build(node.values[0])
+        out = truthy(first.column, first.kind)
+        for x in node.values[1:]:
+            part, fault = self.apart(x)
+            right = truthy(part.column, part.kind)
+            is_and = isinstance(node.op, ast.And)
+            if fault is not None:
+                self.faults.append(F.when(out if is_and else ~out, fault))
             # when() keeps the right side unevaluated where the left decides.
-            out = F.when(out, right).otherwise(F.lit(False)) if isinstance(node.op, ast.And) else F.when(out, F.lit(True)).otherwise(right)
+            out = F.when(out, right).otherwise(F.lit(False)) if is_and else F.when(out, F.lit(True)).otherwise(right)
         return Value(out, T.BooleanType())
 
     def on_IfExp(self, node: ast.IfExp) -> Value:
-        test, a, b = (self.build(x) for x in (node.test, node.body, node.orelse))
+        test = self.build(node.test)
+        (a, fault_a), (b, fault_b) = self.apart(node.body), self.apart(node.orelse)
         a, b = self.alike(a, b)
-        return Value(F.when(truthy(test.column, test.kind), a.column).otherwise(b.column), a.kind if not _is(a, T.NullType) else b.kind)
+        chosen = truthy(test.column, test.kind)
+        if fault_a is not None or fault_b is not None:
+            none = F.lit(None).cast("string")
+            self.faults.append(F.when(chosen, none if fault_a is None else fault_a).otherwise(none if fault_b is None else fault_b))
+        return Value(F.when(chosen, a.column).otherwise(b.column), a.kind if not _is(a, T.NullType) else b.kind)
+
+    def whole(self, made: Callable, a: Value, b: Value) -> Value:
+        """Integer arithmetic in 64 bits; what doesn't fit is a fault."""
+        x, y = a.column.cast("long"), b.column.cast("long")
+        out = made(x, y)
+        self.fail(x.isNotNull() & y.isNotNull() & out.isNull(), "integer overflow")
+        return Value(out, T.LongType())
 
     def alike(self, a: Value, b: Value) -> tuple[Value, Value]:
         if _is(a, _NUM) and _is(b, _NUM) and a.kind != b.kind:
@@ -311,15 +367,28 @@ class _Builder:
         if not (_is(a, _NUM) and _is(b, _NUM)):
             raise ExpressionTypeError(f"no arithmetic on {a.kind.simpleString()} and {b.kind.simpleString()}")
         whole = _is(a, T.IntegralType) and _is(b, T.IntegralType)
-        kind = a.kind if a.kind == b.kind else T.DoubleType()
-        made: dict[type, Callable] = {
+        kind = T.LongType() if whole else a.kind if a.kind == b.kind else T.DoubleType()
+        if isinstance(node.op, (ast.Div, ast.Mod)):
+            self.fail(b.column == 0, "division by zero" if isinstance(node.op, ast.Div) else "modulo by zero")
+        if whole:
+            made: dict[type, Callable] = {ast.Add: F.try_add, ast.Sub: F.try_subtract, ast.Mult: F.try_multiply}
+            if type(node.op) in made:
+                return self.whole(made[type(node.op)], a, b)
+            a, b = (Value(v.column.cast("long"), kind) for v in (a, b))
+        plain: dict[type, Callable] = {
             ast.Add: lambda: a.column + b.column, ast.Sub: lambda: a.column - b.column, ast.Mult: lambda: a.column * b.column,
-            ast.Div: lambda: _truncated(a.column, b.column) if whole else a.column / b.column,
-            ast.Mod: lambda: F.when(b.column == 0, F.raise_error(F.lit("modulo by zero")).cast(kind)).otherwise(floored_mod(a.column, b.column)),
+            ast.Div: lambda: F.when(b.column != 0, self.truncated(a.column, b.column) if whole else a.column / b.column),
+            ast.Mod: lambda: F.when(b.column != 0, floored_mod(a.column, b.column)),
         }
-        if type(node.op) not in made:
+        if type(node.op) not in plain:
             raise ExpressionParseError(f"{type(node.op).__name__} isn't part of the language")
-        return Value(made[type(node.op)](), T.LongType() if whole else kind)
+        return Value(plain[type(node.op)](), kind)
+
+    def truncated(self, a: Column, b: Column) -> Column:
+        """Whole quotient of 64-bit integers, towards zero."""
+        over = (a == F.lit(-(2**63))) & (b == -1)
+        self.fail(over, "integer overflow")
+        return F.when(~over, F.call_function("div", a, b).cast("long"))
 
     def on_Call(self, node: ast.Call) -> Value:
         if node.keywords:
@@ -347,11 +416,6 @@ class _Builder:
         raise ExpressionError(f"unknown method {name}")
 
 
-def _truncated(a: Column, b: Column) -> Column:
-    """Whole quotient, towards zero; division by zero raises."""
-    return F.call_function("div", a, b).cast("long")
-
-
 def _size(_, x: Value) -> Value:
     if _is(x, T.StringType):
         return Value(F.length(x.column).cast("long"), T.LongType())
@@ -360,17 +424,23 @@ def _size(_, x: Value) -> Value:
     raise ExpressionTypeError("size needs text, a list or a map")
 
 
-def _matches(_, s: Value, pattern: Value) -> Value:
+def _matches(build: _Builder, s: Value, pattern: Value) -> Value:
     fits = (F.length(pattern.column) <= PATTERN_CHARS) & (F.length(s.column) <= TEXT_CHARS)
+    build.fail(~fits, "matches: pattern or text too long")
     whole = F.regexp_like(s.column, F.concat(F.lit(r"\A(?:"), pattern.column, F.lit(r")\z")))
-    return Value(F.when(fits, whole).otherwise(F.raise_error(F.lit("matches: pattern or text too long")).cast("boolean")), T.BooleanType())
+    return Value(F.when(fits, whole), T.BooleanType())
 
 
-def _to_int(_, x: Value) -> Value:
-    if _is(x, T.StringType):
-        checked = F.when(x.column.rlike(r"\A\s*[+-]?\d+\s*\z"), x.column).otherwise(F.raise_error(F.lit("int: not a whole number")).cast("string"))
-        return Value(F.trim(checked).cast("long"), T.LongType())
-    return Value(x.column.cast("long"), T.LongType())
+def _to_int(build: _Builder, x: Value) -> Value:
+    made = F.when(x.column.rlike(r"\A\s*[+-]?\d+\s*\z"), F.trim(x.column).try_cast("long")) if _is(x, T.StringType) else x.column.try_cast("long")
+    build.fail(x.column.isNotNull() & made.isNull(), "int: not a whole number")
+    return Value(made, T.LongType())
+
+
+def _to_double(build: _Builder, x: Value) -> Value:
+    made = x.column.try_cast("double")
+    build.fail(x.column.isNotNull() & made.isNull(), "double: not a number")
+    return Value(made, T.DoubleType())
 
 
 def _extreme(of_list, of_many):
@@ -398,7 +468,7 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[..., Value]]] = {
     "upper": (1, 1, lambda _, s: _str(F.upper(text(s.column, s.kind)))),
     "string": (1, 1, lambda _, x: _str(text(x.column, x.kind))),
     "int": (1, 1, _to_int),
-    "double": (1, 1, lambda _, x: Value(x.column.cast("double"), T.DoubleType())),
+    "double": (1, 1, _to_double),
     "bool": (1, 1, lambda _, x: _bool(truthy(x.column, x.kind))),
     "exists": (1, 1, lambda _, x: _bool(x.column.isNotNull())),
     "min": (1, 99, _extreme(F.array_min, F.least)),

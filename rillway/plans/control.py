@@ -22,6 +22,7 @@ class Outcome:
     status: str
     value: Any
     elapsed_seconds: float
+    timeout_seconds: float | None = None
 
 
 class Control:
@@ -44,11 +45,11 @@ class Control:
                 timer.daemon = True
                 timer.start()
             value = action()
-            return Outcome(self._why or "complete", None if self._why else value, time.monotonic() - began)
+            return Outcome(self._why or "complete", None if self._why else value, time.monotonic() - began, timeout)
         except Exception:
             if self._why is None:
                 raise
-            return Outcome(self._why, None, time.monotonic() - began)
+            return Outcome(self._why, None, time.monotonic() - began, timeout)
         finally:
             self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
             if timer:

@@ -35,6 +35,8 @@ from rillway.types import spark_type
 #: Items that a loop takes of its list, and rounds that a while loop may make.
 MAX_ITEMS, MAX_ROUNDS = 1000, 1000
 FAN_IN = "\n\n"
+#: How the fault of an input begins that can't be made its type.
+INVALID = "invalid "
 STORE = T.MapType(T.StringType(), T.StringType())
 
 
@@ -75,7 +77,7 @@ def literal(value: Any) -> Value:
         return value
     kinds = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}
     if value is None:
-        return Stated(F.lit(None), T.NullType(), None)
+        return Stated(F.lit(None), T.NullType())
     if type(value) in kinds:
         return Stated(F.lit(value).cast(kinds[type(value)]), kinds[type(value)], value)
     items = list(value.values()) if isinstance(value, dict) else list(value)
@@ -166,6 +168,8 @@ class Lowering:
     done: set[str] = field(default_factory=set)
     columns: dict[str, T.DataType] = field(default_factory=dict)
     cache: dict[str, Any] = field(default_factory=dict)
+    effects: bool = False
+    retry: dict[str, tuple[int, float]] = field(default_factory=dict)
 
     # -- reading inputs ------------------------------------------------------------------------------------------
 
@@ -230,9 +234,10 @@ class Lowering:
                 raise CompilationError([f"{node.id} gets no value for {spec.name}"])
             value, fault = (value, None) if spec.gathers else coerce(value, spec.type)
             if fault is not None:
-                faults.append(fault)
+                faults.append(F.concat(F.lit(f"{INVALID}{spec.label or spec.name}: "), fault))
             out[spec.name] = value
-        return out, faults
+        # All inputs that don't fit are named at once.
+        return out, [F.nullif(F.concat_ws("; ", *faults), F.lit(""))] if faults else []
 
     def live(self, node: Node, env: Env) -> Column:
         edges = [self._edge(e, env).live for e in self.compiled.flow.incoming(node.id)]
@@ -271,9 +276,19 @@ class Lowering:
         taken = None
         if op.is_decision:
             guards = guards_of(self.compiled.flow, node.id)
-            taken = F.lit(guards[-1].id)
+            taken, why = F.lit(guards[-1].id), F.lit(None).cast("string")
+            # Guards are tried in order: a guard's fault counts if none before it is true.
             for e in reversed(guards[:-1]):
-                taken = F.when(expression.condition(e.when, self.scope({**handles, "value": handles["result"]}, env, e.when)), F.lit(e.id)).otherwise(taken)
+                test, wrong = expression.checked_condition(e.when, self.scope({**handles, "value": handles["result"]}, env, e.when))
+                taken = F.when(test, F.lit(e.id)).otherwise(taken)
+                why = F.when(wrong.isNotNull(), F.concat(F.lit(f"guard {e.id}: "), wrong)).when(~test, why)
+            if self.on_fault == "raise":
+                why = F.when(why.isNotNull(), F.raise_error(F.concat(F.lit(f"{node.id}: "), why)).cast("string"))
+            taken = F.when(why.isNull(), taken)
+            fault = F.coalesce(fault, F.when(alive, why))
+            if not goes_on:
+                alive = alive & why.isNull()
+                handles = {k: Handle(h.value, h.live & why.isNull()) for k, h in handles.items()}
         return Placed(handles, alive, fault, taken)
 
     def native(self, node: Node, env: Env) -> Placed:
@@ -316,8 +331,9 @@ class Lowering:
         inputs, faults = self.inputs(node, env)
         key = None
         if op.idempotency_key:
-            held = expression.column(op.idempotency_key, {**inputs, "inputs": Value(F.struct(*[v.column.alias(k) for k, v in inputs.items()]), T.StructType([T.StructField(k, v.kind) for k, v in inputs.items()]))})
+            held, wrong = expression.checked(op.idempotency_key, {**inputs, "inputs": Value(F.struct(*[v.column.alias(k) for k, v in inputs.items()]), T.StructType([T.StructField(k, v.kind) for k, v in inputs.items()]))})
             key = Value(text(held.column, held.kind), T.StringType())
+            faults = [*faults, F.concat(F.lit("idempotency key: "), wrong)]
             if any(i.name == "idempotency_key" for i in op.inputs):
                 inputs["idempotency_key"] = key
         names = list(inputs)
@@ -325,9 +341,10 @@ class Lowering:
         coded = {n for n, v in inputs.items() if isinstance(v.kind, (T.VariantType, T.MapType, T.StructType, T.NullType))}
         outs = self.compiled.outputs[node.id]
         plain = {o.name: T.StringType() if isinstance(spark_type(o.type), (T.VariantType, T.NullType, T.MapType)) else spark_type(o.type) for o in outs}
-        schema = T.StructType([T.StructField(n, k) for n, k in plain.items()]).add("live_", T.ArrayType(T.StringType())).add("fault_", T.StringType()).add("attempts_", T.IntegerType())
+        schema = T.StructType([T.StructField(n, k) for n, k in plain.items()]).add("live_", T.ArrayType(T.StringType())).add("fault_", T.StringType()).add("attempts_", T.IntegerType()).add("errors_", T.ArrayType(T.StringType()))
         retries = int(node.data.get("max_retries", op.max_retries))
         delay, limit = float(node.data.get("retry_delay", op.retry_delay)), op.timeout
+        self.retry[node.id] = (retries, delay)
         stores = "store" in inspect.signature(op.fn).parameters
         if stores:
             schema = schema.add("store_", STORE)
@@ -335,6 +352,7 @@ class Lowering:
                 df = df.withColumn("store", F.create_map().cast(STORE))
                 self.columns["store"] = STORE
             names, shipped, coded = [*names, "store"], [*shipped, F.to_json(F.struct(F.col("store").alias("x")))], coded | {"store"}
+        self.effects = True
         call = F.udf(_runner(op.fn, names, coded, plain, retries, delay, limit), schema, useArrow=True).asNondeterministic()
         name = f"{self.prefix}{node.id}__call"
         bad = F.coalesce(*faults) if faults else F.lit(None).cast("string")
@@ -386,10 +404,15 @@ class Lowering:
         start = self.compiled.flow.by_id[region.start]
         live = self.live(start, env)
         items = self._items(region, env)
-        short = F.least(*[F.size(v.column) for v in items], F.lit(MAX_ITEMS)) if len(items) > 1 else F.least(F.size(items[0].column), F.lit(MAX_ITEMS))
+        most = int(start.data.get("max_items", MAX_ITEMS))
+        shortest = F.least(*[F.size(v.column) for v in items]) if len(items) > 1 else F.size(items[0].column)
+        short = F.least(shortest, F.lit(most))
         zipped = F.arrays_zip(*[F.slice(v.column, F.lit(1), F.greatest(short, F.lit(0))).alias(f"x{i}") for i, v in enumerate(items)])
         longest = F.greatest(*[F.size(v.column) for v in items]) if len(items) > 1 else F.size(items[0].column)
-        truncated = F.when(live & (longest != F.least(*[F.size(v.column) for v in items])), F.lit("lists of unequal length: the shortest counts")) if len(items) > 1 else F.lit(None).cast("string")
+        told = [F.when(shortest > most, F.concat(F.lit(f"the first {most} of "), shortest.cast("string"), F.lit(" items are taken")))]
+        if len(items) > 1:
+            told.insert(0, F.when(longest != shortest, F.lit("lists of unequal length: the shortest counts")))
+        truncated = F.when(live, F.coalesce(*told))
 
         def placed_start(item: Column, index: Column) -> Placed:
             handles = {"output_1": Handle(Value(item["x0"], items[0].kind.elementType), F.lit(True)), "output_2": Handle(Value((index + 1).cast("long"), T.LongType()), F.lit(True))}
@@ -402,8 +425,8 @@ class Lowering:
 
         kinds: list[T.DataType] = []
         if self._needs_rows(region):
-            if df is None or self.key is None:
-                raise CompilationError([f"{region.start}: a loop with Python operators needs a run key and can't lie inside another loop"])
+            if df is None or df.isStreaming:
+                raise CompilationError([f"{region.start}: a loop with Python operators can't lie inside another loop or on a stream"])
             df, mapped, kinds = self._exploded(region, df, zipped, env, placed_start, slots_of)
         else:
             def step(item: Column, index: Column) -> Column:
@@ -420,18 +443,24 @@ class Lowering:
             kept = _slot(mapped, i)
             lists[f"output_{i + 1}"] = Handle(Value(F.when(live, F.coalesce(kept, F.array().cast(T.ArrayType(kind)))), T.ArrayType(kind)), live)
         end = Placed({"result": lists["output_1"], **lists}, live, F.lit(None).cast("string"))
-        first = Placed({"result": Handle(items[0], live), "truncated": Handle(Value(truncated, T.StringType()), live)}, live, F.lit(None).cast("string"))
+        taken = Value(F.when(live, F.greatest(short, F.lit(0))).cast("long"), T.LongType())
+        first = Placed({"result": Handle(items[0], live), "truncated": Handle(Value(truncated, T.StringType()), live), "total": Handle(taken, live)}, live, F.lit(None).cast("string"))
         return df, first, end
 
     def _exploded(self, region, df, zipped, env, placed_start, slots_of):
-        """The loop over exploded rows, for bodies with Python operators: one row per item, collected by run key."""
-        rows = df.select("*", F.posexplode(zipped).alias("_pos", "_item"))
+        """The loop over exploded rows, for bodies with Python operators: one row per item, collected by a number that
+        each row gets in a table of its own, so that rows of equal or null keys stay apart and what lies before the loop
+        takes effect once."""
+        row = f"{self.prefix}{region.start}__row"
+        held = cut(df.withColumn(row, F.monotonically_increasing_id()))
+        rows = held.select("*", F.posexplode(zipped).alias("_pos", "_item"))
         inner = replace(self, env=dict(env), prefix=f"{self.prefix}{region.start}__", waits=[], done=set())
         inner.env[region.start] = placed_start(F.col("_item"), F.col("_pos"))
         rows = inner.rows(rows, self.region(region))
+        self.effects = True
         values, out = slots_of(inner.env)
-        taken = rows.groupBy(self.key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", out.alias("s")))), lambda x: x["s"]).alias(f"{self.prefix}{region.end}__rounds"))
-        return df.join(taken, self.key, "left"), F.col(f"`{self.prefix}{region.end}__rounds`"), [v.kind for v in values]
+        taken = rows.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", out.alias("s")))), lambda x: x["s"]).alias(f"{self.prefix}{region.end}__rounds"))
+        return held.join(taken, row, "left").drop(row), F.col(f"`{self.prefix}{region.end}__rounds`"), [v.kind for v in values]
 
     def loop(self, region: Region, env: Env, df: DataFrame | None) -> tuple[DataFrame | None, Placed, Placed]:
         """A while loop as a fold over its rounds (native body), else as rounds over the runs that still go on."""
@@ -447,12 +476,12 @@ class Lowering:
             inner = self._body(region, {**env, region.start: Placed(handles, F.lit(True), F.lit(None).cast("string"))})
             return self._slots(region, inner)[0].value, inner
 
-        def goes_on(iteration: Column, last: Value) -> Column:
+        def goes_on(iteration: Column, last: Value) -> tuple[Column, Column]:
             scope = {"iteration": Value(iteration, T.LongType()), "last": last, "result": last}
             if "store" in self.columns:
                 scope["store"] = Value(F.col("store"), self.columns["store"])
-            test = expression.condition(condition, scope)
-            return ~test if negate else test
+            test, wrong = expression.checked_condition(condition, scope)
+            return wrong.isNull() & (~test if negate else test), wrong
 
         if self._needs_rows(region):
             if df is None:
@@ -461,20 +490,21 @@ class Lowering:
         else:
             kind = body(F.lit(1).cast("long"), Value(F.lit(None), T.NullType()))[0].kind
             kind = T.StringType() if isinstance(kind, T.NullType) else kind
-            begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast(kind).alias("last"), F.lit(False).alias("done"))
+            begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast(kind).alias("last"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("why"))
 
             def step(s: Column, _: Column) -> Column:
                 last = Value(s["last"], kind)
-                fresh = F.struct((s["n"] + 1).alias("n"), body(s["n"] + 1, last)[0].column.cast(kind).alias("last"), F.lit(False).alias("done"))
-                over = F.struct(s["n"].alias("n"), s["last"].alias("last"), F.lit(True).alias("done"))
-                return F.when(s["done"], s).when(goes_on(s["n"], last), fresh).otherwise(over)
+                test, wrong = goes_on(s["n"], last)
+                fresh = F.struct((s["n"] + 1).alias("n"), body(s["n"] + 1, last)[0].column.cast(kind).alias("last"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("why"))
+                over = F.struct(s["n"].alias("n"), s["last"].alias("last"), F.lit(True).alias("done"), wrong.alias("why"))
+                return F.when(s["done"], s).when(test, fresh).otherwise(over)
 
             state = F.aggregate(F.sequence(F.lit(1), F.lit(most)), begin, step)
             if df is not None:
                 df = df.select("*", F.when(live, state).alias(f"{self.prefix}{region.end}__rounds"))
                 state = F.col(f"`{self.prefix}{region.end}__rounds`")
         # All rounds used up without the condition's refusal: a runaway, as the condition isn't tested again.
-        fault = F.when(live & ~state["done"] & (state["n"] >= most), F.lit(f"loop ran away: {most} rounds"))
+        fault = F.when(live & ~state["done"] & (state["n"] >= most), F.lit(f"loop ran away: {most} rounds")).when(live & state["why"].isNotNull(), F.concat(F.lit("condition: "), state["why"]))
         value = Value(state["last"], kind)
         end = self.finish(self.compiled.flow.by_id[region.end], self.compiled.operators[region.end], value, live, [fault], env)
         n = Value(state["n"], T.LongType())
@@ -483,14 +513,16 @@ class Lowering:
 
     def _rounds(self, region, df, env, goes_on, most, live):
         """Rounds of a body with Python operators: the runs still going are one table per round."""
+        if df.isStreaming:
+            raise CompilationError([f"{region.start}: a loop with Python operators can't run on a stream"])
         names, kind, rest = df.columns, None, []
         now = df.select("*", F.lit(0).cast("long").alias("_n"), F.lit(None).cast("string").alias("_last"))
         for n in range(most + 1):
             last = Value(F.col("_last"), kind or T.NullType())
-            test = (goes_on(F.col("_n"), last) & live) if n < most else F.lit(False)
-            judged = cut(now.select("*", test.alias("_go")))
-            rest.append(judged.filter("not _go").select(*names, "_n", "_last", F.lit(n < most).alias("_done")))
-            now = judged.filter("_go").drop("_go")
+            test, wrong = goes_on(F.col("_n"), last) if n < most else (F.lit(False), F.lit(None).cast("string"))
+            judged = cut(now.select("*", (test & live).alias("_go"), F.when(live, wrong).alias("_why")))
+            rest.append(judged.filter("not _go").select(*names, "_n", "_last", F.lit(n < most).alias("_done"), "_why"))
+            now = judged.filter("_go").drop("_go", "_why")
             if now.isEmpty():
                 break
             inner = replace(self, env=dict(env), prefix=f"{self.prefix}{region.start}__", waits=[], done=set())
@@ -502,7 +534,7 @@ class Lowering:
             now = rows.select(*names, (F.col("_n") + 1).alias("_n"), value.column.alias("_last"))
         kind = kind or T.StringType()
         whole = reduce(DataFrame.unionByName, [r.withColumn("_last", F.col("_last").cast(kind)) for r in rest])
-        state = F.struct(F.col("_n").alias("n"), F.col("_last").alias("last"), F.col("_done").alias("done")).alias(f"{self.prefix}{region.end}__rounds")
+        state = F.struct(F.col("_n").alias("n"), F.col("_last").alias("last"), F.col("_done").alias("done"), F.col("_why").alias("why")).alias(f"{self.prefix}{region.end}__rounds")
         return whole.select(*names, state), F.col(f"`{self.prefix}{region.end}__rounds`"), kind
 
     def subprocess(self, node: Node, env: Env, df: DataFrame | None) -> tuple[DataFrame | None, Placed]:
@@ -612,6 +644,13 @@ class Lowering:
                 df = self._pause(df, n)
         return df
 
+    def settled(self, df: DataFrame) -> DataFrame:
+        """df before it is read more than once: a table, if Python operators had effects on the way to it."""
+        if not self.effects or df.isStreaming:
+            return df
+        self.effects = False
+        return cut(df)
+
     def cached(self, node: Node, placed: Placed) -> Placed:
         """A node whose result the caller states in columns (handle to column name) isn't computed."""
         if node.id not in self.cache:
@@ -621,6 +660,7 @@ class Lowering:
         return replace(placed, handles={**placed.handles, **handles})
 
     def _pause(self, df: DataFrame, node: Node) -> DataFrame:
+        df = self.settled(df)
         live = self.live(node, self.env)
         inputs, _ = self.inputs(node, self.env)
         op = self.compiled.operators[node.id]
@@ -640,6 +680,7 @@ class Lowering:
             return df
         value = self.inputs(node, self.env)[0].get(flag.name)
         asks = F.coalesce(truthy(value.column, value.kind) & self.env[node.id].live, F.lit(False))
+        df = self.settled(df)
         prompt = dict(flag.shown.options).get("prompt") or ""
         waiting = df.filter(asks).select("*", F.struct(F.lit(prompt).alias("prompt")).alias(f"{self.prefix}{node.id}__wait"))
         self.waits.append(Wait(node.id, "review", waiting, frozenset(self.done)))
@@ -667,7 +708,8 @@ def _as_items(value: Value) -> Value:
 
 
 def _runner(fn, names, coded, outputs, retries, delay, limit):
-    """A Python operator for one row: dead rows give null; errors are retried with growing delay, then reported."""
+    """A Python operator for one row: dead rows give null; errors are retried with growing delay, unless they say
+    `retryable = False`, then reported."""
 
     def once(args):
         if limit is None:
@@ -689,13 +731,15 @@ def _runner(fn, names, coded, outputs, retries, delay, limit):
         args = {n: json.loads(v).get("x") if n in coded and v is not None else v for n, v in zip(names, values, strict=True)}
         if "store" in args:
             args["store"] = FlowStore(args["store"] or {})
+        errors: list[str] = []
         for attempt in range(retries + 1):
             try:
                 made = once(args)
                 break
             except Exception as e:
-                if isinstance(e, (TypeError, ValueError)) or attempt == retries:
-                    return {**dict.fromkeys(outputs), "live_": [], "fault_": f"{type(e).__name__}: {e}", "attempts_": attempt + 1}
+                errors.append(f"{type(e).__name__}: {e}")
+                if not getattr(e, "retryable", True) or attempt == retries:
+                    return {**dict.fromkeys(outputs), "live_": [], "fault_": errors[-1], "attempts_": attempt + 1, "errors_": errors}
                 time.sleep(delay * 2.0**attempt)
         if isinstance(made, tuple):
             made = {f"output_{i}": v for i, v in enumerate(made, 1)}
@@ -703,7 +747,7 @@ def _runner(fn, names, coded, outputs, retries, delay, limit):
             made = {"result": made}
         dead = [k for k, v in made.items() if v is SKIPPED]
         told = {"store_": args["store"].to_dict()} if "store" in args else {}
-        return {**{k: None if k in dead else plain(made.get(k), kind) for k, kind in outputs.items()}, "live_": [k for k in outputs if k not in dead], "fault_": None, "attempts_": attempt + 1, **told}
+        return {**{k: None if k in dead else plain(made.get(k), kind) for k, kind in outputs.items()}, "live_": [k for k in outputs if k not in dead], "fault_": None, "attempts_": attempt + 1, "errors_": errors, **told}
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -14,10 +15,23 @@ from rillway.functions.expression import Value
 from rillway.model import Flow, FlowError
 from rillway.operators.standard import standard
 from rillway.plans.compile import Compiled, compile_flow
-from rillway.plans.lower import Handle, Lowering, Placed, literal
+from rillway.plans.control import Outcome
+from rillway.plans.lower import INVALID, Handle, Lowering, Placed, literal
 from rillway.registry import Registry
 
 
+#: Fields of events beside the run's key and the place in its sequence.
+EVENT = T.StructType(
+    [
+        *[T.StructField(n, T.StringType()) for n in ("type", "node_id", "error", "result", "idempotency_key", "results")],
+        *[T.StructField(n, T.LongType()) for n in ("attempt", "max_retries", "current", "total")],
+        *[T.StructField(n, T.DoubleType()) for n in ("delay", "elapsed_seconds", "timeout_seconds")],
+        *[T.StructField(n, T.BooleanType()) for n in ("cached", "is_validation", "is_timeout")],
+        T.StructField("completed", T.ArrayType(T.StringType())),
+    ]
+)
+
+
 @dataclass(frozen=True)
 class OutputRef:
     """A projected column: its name, and the node and handle it shows."""
@@ -30,10 +44,17 @@ class OutputRef:
 class Result:
     """The runs that reached the end (`runs`), and those that wait (`waiting`), with what later steps need."""
 
-    def __init__(self, lowering: Lowering, runs: DataFrame):
-        self.lowering = lowering
+    def __init__(self, lowering: Lowering, runs: DataFrame, rows: DataFrame | None = None):
+        self.lowering, self.rows = lowering, runs if rows is None else rows
         self.compiled: Compiled = lowering.compiled
-        self.runs = runs
+        self._runs = runs
+
+    @property
+    def runs(self) -> DataFrame:
+        """The runs' rows. With Python operators they become a table when first asked for, so that however many results
+        are read, effects happen once."""
+        self._runs = self.lowering.settled(self._runs)
+        return self._runs
 
     def column(self, node_id: str, handle: str = "result") -> Column:
         """A handle's value; null where it is not live."""
@@ -61,40 +82,71 @@ class Result:
         return F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>")
 
     def events(self, key: str) -> DataFrame:
-        """key, seq, type, node_id, error, result: what happened in each run, node by node, in one pass.
+        """key, seq and the fields of EVENT: what happened in each run, node by node, in one pass.
 
-        Nodes give node_start, node_retry for each further attempt, runtime_warning, and node_complete or node_error;
-        or node_skipped. The run gives flow_complete or flow_error.
+        Nodes give node_start (with their idempotency key), node_retry for each further attempt (attempt, max_retries,
+        delay and the error it follows), runtime_warning, node_progress for each item of a loop (current, total), and
+        node_complete (result, cached) or node_error (error, is_validation, is_timeout); or node_skipped. The run gives
+        flow_complete (results) or flow_error (error, completed).
         """
-        kinds = T.StructType([T.StructField(n, T.StringType()) for n in ("type", "node_id", "error", "result")])
-        none = F.lit(None).cast("string")
-
-        def event(kind: Any, node: str | None, error: Column = none, result: Column = none) -> Column:
-            return F.struct(F.lit(kind).alias("type"), F.lit(node).cast("string").alias("node_id"), error.alias("error"), result.alias("result")).cast(kinds)
-
-        parts, failed = [], F.lit(False)
-        for i, p in self._own().items():
-            shown = {h: x for h, x in p.handles.items()}
-            result = F.to_json(F.struct(*[F.when(x.live, x.value.column).alias(h) for h, x in shown.items()])) if shown else none
-            started = p.live | p.fault.isNotNull()
-            ended = F.when(p.fault.isNotNull(), event("node_error", i, p.fault)).otherwise(event("node_complete", i, none, result))
+        none = T.ArrayType(EVENT)
+        env = self._own()
+
+        def event(kind: str, node: str | None = None, **fields: Column) -> Column:
+            given = {"type": F.lit(kind), "node_id": F.lit(node), **fields}
+            return F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT.fields])
+
+        def some(where: Column, many: Column) -> Column:
+            return F.when(where, many).otherwise(F.array().cast(none))
+
+        def again(node: str, retries: int, delay: float, errors: Column):
+            return lambda k: event("node_retry", node, attempt=k, max_retries=F.lit(retries), delay=F.lit(delay) * F.pow(F.lit(2.0), k - 1), error=F.get(errors, k - 1))
+
+        def step(node: str, total: Column):
+            return lambda k: event("node_progress", node, current=k, total=total)
+
+        def shown(p: Placed) -> Column | None:
+            held = {h: x for h, x in p.handles.items() if h not in ("truncated", "total")}
+            return F.to_json(F.struct(*[F.when(x.live, x.value.column).alias(h) for h, x in held.items()])) if held else None
+
+        parts, faults = [], []
+        for i, p in env.items():
+            call, extra = f"{self.lowering.prefix}{i}__call", {}
+            if i in self.lowering.cache:
+                extra["cached"] = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNotNull() for c in self.lowering.cache[i].values()])
+            key_of = {"idempotency_key": p.handle("idempotency_key").value.column} if "idempotency_key" in p.handles else {}
             between = []
-            call = f"{self.lowering.prefix}{i}__call"
             if call in self.runs.columns:
-                tries = F.coalesce(F.col(f"`{call}`.attempts_"), F.lit(1))
-                between.append(F.array_repeat(event("node_retry", i), tries - 1))
+                retries, delay = self.lowering.retry[i]
+                tries, errors = F.coalesce(F.col(f"`{call}`.attempts_"), F.lit(1)), F.col(f"`{call}`.errors_")
+                between.append(some(tries > 1, F.transform(F.sequence(F.lit(1), F.greatest(tries - 1, F.lit(1))), again(i, retries, delay, errors))))
             if "truncated" in p.handles:
-                told = p.handles["truncated"].value.column
-                between.append(F.when(told.isNotNull(), F.array(event("runtime_warning", i, told))).otherwise(F.array().cast(T.ArrayType(kinds))))
-            happened = F.concat(F.array(event("node_start", i)), *between, F.array(ended))
-            parts.append(F.when(started, happened).otherwise(F.array(event("node_skipped", i))))
+                told, total = p.handles["truncated"].value.column, F.coalesce(p.handles["total"].value.column, F.lit(0))
+                between.append(some(told.isNotNull(), F.array(event("runtime_warning", i, error=told))))
+                between.append(some(total > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(total, F.lit(1))), step(i, total))))
+            wrong = event("node_error", i, error=p.fault, is_validation=F.startswith(p.fault, F.lit(INVALID)), is_timeout=F.startswith(p.fault, F.lit("TimeoutError")))
+            result = shown(p)
+            done = event("node_complete", i, **({} if result is None else {"result": result}), **extra)
+            happened = F.concat(F.array(event("node_start", i, **key_of)), *between, F.array(F.when(p.fault.isNotNull(), wrong).otherwise(done)))
+            parts.append(F.when(p.live | p.fault.isNotNull(), happened).otherwise(F.array(event("node_skipped", i))))
             node = self.compiled.flow.by_id.get(i)
             if node is not None and self.compiled.flow.policy(node) != "continue":
-                failed = failed | p.fault.isNotNull()
-        last = F.array(F.when(failed, event("flow_error", None)).otherwise(event("flow_complete", None)))
-        rows = self.runs.select(key, F.posexplode(F.concat(*parts, last)).alias("seq", "e"))
+                faults.append(F.when(p.fault.isNotNull(), F.concat(F.lit(f"{i}: "), p.fault)))
+        error = F.coalesce(*faults) if faults else F.lit(None).cast("string")
+        held = {i: h for i, p in env.items() if (h := p.handles.get("result") or p.handles.get("output_1"))}
+        results = {"results": F.to_json(F.struct(*[F.when(h.live, h.value.column).alias(i) for i, h in held.items()]))} if held else {}
+        last = F.when(error.isNotNull(), event("flow_error", error=error, completed=self.completed())).otherwise(event("flow_complete", **results))
+        rows = self.runs.select(key, F.posexplode(F.concat(*parts, F.array(last))).alias("seq", "e"))
         return rows.select(key, "seq", "e.*")
 
+    def stopped_events(self, key: str, outcome: Outcome) -> DataFrame:
+        """key and the fields of EVENT: flow_timeout (elapsed_seconds, timeout_seconds) or flow_cancelled for each run of a
+        batch that a deadline or a cancellation stopped; nothing if it was complete. Reads only the runs' own columns."""
+        kind = {"timeout": "flow_timeout", "cancelled": "flow_cancelled"}.get(outcome.status)
+        given = {"type": F.lit(kind), "elapsed_seconds": F.lit(outcome.elapsed_seconds), "timeout_seconds": F.lit(outcome.timeout_seconds if kind == "flow_timeout" else None)}
+        fields = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT.fields]
+        return self.rows.filter(F.lit(kind is not None)).select(key, *fields)
+
     def pauses(self, key: str) -> DataFrame | None:
         """key, type (signal_waiting or flow_paused), node_id, wait (JSON): the runs that stopped; None if no node can."""
         out = None
@@ -187,7 +239,7 @@ def match_signals(waiting: DataFrame, signals: DataFrame, key: str, correlation:
     """key and response: each waiting run with the payloads of signals of its name whose correlation holds.
 
     signals: signal_name and a payload struct (or more columns). The correlation is an expression over the payload's
-    fields; `run` is the waiting row. A correlation that can't be evaluated for the payload's shape matches nothing.
+    fields; `run` is the waiting row. A correlation that fails, for a row or for the payload's shape, matches nothing.
     """
     names = waiting.select(key, F.col("wait.signal_name").alias("_name"), F.struct(*[F.col(f"`{c}`") for c in waiting.columns if c != "wait"]).alias("run"))
     met = names.join(signals, F.col("_name") == F.col("signal_name"))
@@ -196,7 +248,7 @@ def match_signals(waiting: DataFrame, signals: DataFrame, key: str, correlation:
         scope = {f.name: Value(F.col(f"`{payload}`.`{f.name}`"), f.dataType) for f in held.fields}
         scope["run"] = Value(F.col("run"), names.schema["run"].dataType)
         try:
-            met = met.filter(expression.condition(correlation, scope))
+            met = met.filter(expression.checked_condition(correlation, scope)[0])
         except expression.ExpressionError:
             met = met.filter(F.lit(False))
     return met.select(key, F.col(payload).alias("response"))
@@ -215,12 +267,15 @@ def run(flow: Flow, df: DataFrame, registry: Registry | None = None, *, key: str
     if store:
         df = df.withColumn("store", literal(store).column)
     lowering = Lowering(compiled, key=key, on_fault=on_fault, cache=cache or {})
-    return Result(lowering, lowering.rows(df))
+    return Result(lowering, lowering.rows(df), df)
 
 
 def idempotent(df: DataFrame, flow_expression: str, scope_columns: dict[str, str] | None = None, name: str = "idempotency_key") -> DataFrame:
-    """df with its idempotency key, one row for each key (a batch's repeated requests count once)."""
+    """df with its idempotency key, one row for each key (a batch's repeated requests count once; a request whose key
+    can't be evaluated has a null key and counts for itself)."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     scope = {n: Value(F.col(f"`{c}`"), kinds[c]) for n, c in (scope_columns or {c: c for c in df.columns}).items()}
-    held = expression.column(flow_expression, scope)
-    return df.withColumn(name, held.column.cast("string")).dropDuplicates([name])
+    held, fault = expression.checked(flow_expression, scope)
+    keyed = df.withColumn(name, held.column.cast("string"))
+    own = F.when(fault.isNotNull(), F.expr("uuid()"))
+    return keyed.withColumn("_own", own).dropDuplicates([name, "_own"]).drop("_own")

@@ -312,27 +312,27 @@ def shared_reference(spark, sf_dir):
 
 
 def count_flow(condition: str, negate: bool = False, most: int = 1000) -> Flow:
-    """A loop whose body doubles the round's number."""
-    nodes = (Node("go", "while-start", {"condition": condition, "negate": negate, "max_iterations": most}), Node("twice", "math-multiply", {"b": 2}), Node("stop", "while-end"))
-    return Flow(nodes, (wire("go", "twice", "a", "output_1"), wire("twice", "stop", "item")))
+    """A loop over orders whose body multiplies the round's number by o_custkey % 7 + 1."""
+    nodes = (col("o_custkey"), Node("left", "math-modulo", {"b": 7}), Node("by", "math-add", {"b": 1}), Node("go", "while-start", {"condition": condition, "negate": negate, "max_iterations": most}), Node("times", "math-multiply"), Node("stop", "while-end"))
+    return Flow(nodes, (wire("o_custkey", "left", "a"), wire("left", "by", "a"), wire("go", "times", "a", "output_1"), wire("by", "times", "b"), wire("times", "stop", "item")))
 
 
-@register("while_count", "SELECT r_regionkey, CAST(5 AS BIGINT) AS rounds, CAST(10 AS DOUBLE) AS last FROM region")
+@register("while_count", "SELECT o_orderkey, CAST(ceil(20 / (o_custkey % 7 + 1)) AS BIGINT) AS rounds, CAST(ceil(20 / (o_custkey % 7 + 1)) * (o_custkey % 7 + 1) AS DOUBLE) AS last FROM orders")
 def while_count(spark, sf_dir):
-    r = run(count_flow("iteration < 5"), table(spark, sf_dir, "region"))
-    return r.project([OutputRef("rounds", "go", "output_1"), OutputRef("last", "stop")], ("r_regionkey",))
+    r = run(count_flow("!exists(last) || last < 20", most=50), table(spark, sf_dir, "orders"))
+    return r.project([OutputRef("rounds", "go", "output_1"), OutputRef("last", "stop")], ("o_orderkey",))
 
 
-@register("until_value", "SELECT r_regionkey, CAST(4 AS BIGINT) AS rounds, CAST(8 AS DOUBLE) AS last FROM region")
+@register("until_value", "SELECT o_orderkey, CAST(ceil(33 / (o_custkey % 7 + 1)) AS BIGINT) AS rounds, CAST(ceil(33 / (o_custkey % 7 + 1)) * (o_custkey % 7 + 1) AS DOUBLE) AS last FROM orders")
 def until_value(spark, sf_dir):
-    r = run(count_flow("exists(last) && last >= 7", negate=True), table(spark, sf_dir, "region"))
-    return r.project([OutputRef("rounds", "go", "output_1"), OutputRef("last", "stop")], ("r_regionkey",))
+    r = run(count_flow("exists(last) && last >= 33", negate=True, most=50), table(spark, sf_dir, "orders"))
+    return r.project([OutputRef("rounds", "go", "output_1"), OutputRef("last", "stop")], ("o_orderkey",))
 
 
-@register("while_runaway", "SELECT r_regionkey, 'failed' AS status FROM region")
+@register("while_runaway", "SELECT o_orderkey, CASE WHEN ceil(20 / (o_custkey % 7 + 1)) >= 5 THEN 'failed' ELSE 'complete' END AS status FROM orders")
 def while_runaway(spark, sf_dir):
-    r = run(count_flow("true", most=3), table(spark, sf_dir, "region"))
-    return r.summary(("r_regionkey",)).select("r_regionkey", "status")
+    r = run(count_flow("!exists(last) || last < 20", most=5), table(spark, sf_dir, "orders"))
+    return r.summary(("o_orderkey",)).select("o_orderkey", "status")
 
 
 def greeting() -> Flow:
@@ -353,10 +353,74 @@ def cache_substitution(spark, sf_dir):
     return r.project([OutputRef("out", "out")], ("p_partkey",))
 
 
-@register("event_log", "WITH r AS (SELECT r_regionkey FROM region), e(seq, type, node_id) AS (VALUES (0, 'node_start', 'r_name'), (1, 'node_complete', 'r_name'), (2, 'node_start', 'out'), (3, 'node_complete', 'out'), (4, 'flow_complete', NULL)) SELECT r_regionkey, CAST(seq AS INTEGER) AS seq, type, node_id FROM r, e")
+def parity_flow() -> Flow:
+    """1 / (o_orderkey % 2): runs of even keys fail."""
+    return Flow((col("o_orderkey"), Node("left", "math-modulo", {"b": 2}), Node("out", "math-divide", {"a": 1.0})), (wire("o_orderkey", "left", "a"), wire("left", "out", "b")))
+
+
+@register(
+    "event_log",
+    """WITH e(seq, type, node_id) AS (VALUES (0, 'node_start', 'o_orderkey'), (1, 'node_complete', 'o_orderkey'), (2, 'node_start', 'left'), (3, 'node_complete', 'left'), (4, 'node_start', 'out'), (5, '', 'out'), (6, '', NULL))
+    SELECT o_orderkey, CAST(seq AS INTEGER) AS seq, CASE seq WHEN 5 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'node_error' ELSE 'node_complete' END WHEN 6 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'flow_error' ELSE 'flow_complete' END ELSE type END AS type, node_id,
+           CASE WHEN o_orderkey % 2 = 0 AND seq = 5 THEN 'division by zero' WHEN o_orderkey % 2 = 0 AND seq = 6 THEN 'out: division by zero' END AS error,
+           CASE WHEN o_orderkey % 2 = 0 AND seq = 5 THEN false END AS is_validation FROM orders, e""",
+)
 def event_log(spark, sf_dir):
-    r = run(one("text-uppercase", text="@r_name"), table(spark, sf_dir, "region"))
-    return r.events("r_regionkey").select("r_regionkey", "seq", "type", "node_id")
+    r = run(parity_flow(), table(spark, sf_dir, "orders"))
+    return r.events("o_orderkey").select("o_orderkey", "seq", "type", "node_id", "error", "is_validation")
+
+
+@register("progress_events", "SELECT p_partkey, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS current, CAST(len(string_split(p_name, ' ')) AS BIGINT) AS total FROM part")
+def progress_events(spark, sf_dir):
+    r = run(word_loop((Node("up", "text-uppercase"),), (wire("each", "up", "text", "output_1"),), ("up", None)), table(spark, sf_dir, "part"))
+    return r.events("p_partkey").filter("type = 'node_progress'").select("p_partkey", "current", "total")
+
+
+def guard_flow() -> Flow:
+    """A guard that divides by zero for some rows, behind one that decides others before."""
+    goes = lambda n, when=None, priority=0: Edge(f"to {n}", "which", n, None, None, when, priority)
+    edges = (wire("o_orderkey", "which", "value"), goes("big", "value > 30000", 2), goes("some", "100 / (value % 3) > 60", 1), goes("rest"))
+    return Flow((col("o_orderkey"), Node("which", "decision"), *(Node(n, "text", {"value": n}) for n in ("big", "some", "rest"))), edges)
+
+
+@register("guard_fault", "SELECT o_orderkey, CASE WHEN o_orderkey <= 30000 AND o_orderkey % 3 = 0 THEN 'failed' ELSE 'complete' END AS status, CASE WHEN o_orderkey > 30000 THEN 'big' WHEN o_orderkey % 3 = 0 THEN NULL WHEN 100 // (o_orderkey % 3) > 60 THEN 'some' ELSE 'rest' END AS branch FROM orders")
+def guard_fault(spark, sf_dir):
+    r = run(guard_flow(), table(spark, sf_dir, "orders"))
+    branch = F.coalesce(*[r.column(n) for n in ("big", "some", "rest")])
+    return r.runs.select("o_orderkey", branch.alias("branch"), r.lowering.env["which"].fault.alias("fault")).select("o_orderkey", F.when(F.col("fault").isNull(), "complete").otherwise("failed").alias("status"), "branch")
+
+
+@register("foreach_python_repeated_keys", "SELECT p_size, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x) || '!'), ' ') AS out FROM part")
+def foreach_python_repeated_keys(spark, sf_dir):
+    flow = word_loop((Node("up", "shout"),), (wire("each", "up", "text", "output_1"),), ("up", None))
+    r = run(flow, table(spark, sf_dir, "part"), python_registry(), key="p_size")
+    return r.project([OutputRef("out", "out")], ("p_size",))
+
+
+def flaky_registry():
+    """An operator that fails on its first calls for a text: once for every text, for ever for texts that end in 7."""
+    from rillway.operators.standard import standard
+
+    registry = standard()
+    seen: dict[str, int] = {}
+
+    @registry.node("flaky", max_retries=2, retry_delay=0.0)
+    def flaky(text: str) -> str:
+        seen[text] = seen.get(text, 0) + 1
+        if text.endswith("7"):
+            raise ValueError("never")
+        if seen[text] % 2:
+            raise ConnectionError("once")
+        return text.lower()
+
+    return registry
+
+
+@register("retry_then_success", "SELECT c_custkey, CASE WHEN ends_with(c_name, '7') THEN NULL ELSE lower(c_name) END AS out, CASE WHEN ends_with(c_name, '7') THEN 'out: ValueError: never' END AS error, CAST(CASE WHEN ends_with(c_name, '7') THEN 2 ELSE 1 END AS BIGINT) AS retries FROM customer")
+def retry_then_success(spark, sf_dir):
+    r = run(one("flaky", text="@c_name"), table(spark, sf_dir, "customer"), flaky_registry())
+    told = r.events("c_custkey").groupBy("c_custkey").agg(F.count_if(F.col("type") == "node_retry").alias("retries"), F.max(F.when(F.col("type") == "flow_error", F.col("error"))).alias("error"))
+    return r.project([OutputRef("out", "out")], ("c_custkey",)).join(told, "c_custkey").select("c_custkey", "out", "error", "retries")
 
 
 def order_saga() -> Flow:
@@ -460,12 +524,12 @@ def condition_filter(spark, sf_dir):
     return filter_rows(table(spark, sf_dir, "part"), [{"column": "p_size", "operator": "er større end", "value": 25}, {"column": "p_name", "operator": "contains", "value": "an"}]).select("p_partkey")
 
 
-@register("sse_frames", "SELECT 'data: {\"r_regionkey\":' || r_regionkey || ',\"type\":\"flow_complete\"}' || chr(10) || chr(10) AS frame FROM region")
+@register("sse_frames", "SELECT 'data: {\"o_orderkey\":' || o_orderkey || ',\"type\":\"' || CASE WHEN o_orderkey % 2 = 0 THEN 'flow_error' ELSE 'flow_complete' END || '\"}' || chr(10) || chr(10) AS frame FROM orders")
 def sse(spark, sf_dir):
     from rillway.sources.tables import sse_frames
 
-    r = run(one("text-uppercase", text="@r_name"), table(spark, sf_dir, "region"))
-    return sse_frames(r.events("r_regionkey").filter("type = 'flow_complete'").select("r_regionkey", "type"))
+    r = run(parity_flow(), table(spark, sf_dir, "orders"))
+    return sse_frames(r.events("o_orderkey").filter("type in ('flow_complete', 'flow_error')").select("o_orderkey", "type"))
 
 
 @register("regex_first", "SELECT c_custkey, regexp_extract(c_name, '([A-Za-z]+)#0*([1-9][0-9]*)', 0) AS hit, CASE WHEN regexp_matches(c_name, '#0*[1-9]') THEN regexp_extract(c_name, '([A-Za-z]+)#0*([1-9][0-9]*)', 2) END AS number FROM customer")

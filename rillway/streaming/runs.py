@@ -37,22 +37,26 @@ def emit(result: Result, key: str, sink: Callable[[DataFrame, int], None], check
     return result.events(key).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).start()
 
 
-def wait_for_signals(waiting: DataFrame, signals: DataFrame, key: str = "run_id") -> DataFrame:
+def wait_for_signals(waiting: DataFrame, signals: DataFrame, key: str = "run_id", keep_seconds: float = 86_400.0) -> DataFrame:
     """key, response, timed_out, from two streams: waiting runs (key, seconds) and signals (key, response).
 
     A run is answered by the first signal after or before it, or times out `seconds` after it was seen (0: never).
-    State is one small record per run, dropped once it is answered.
+    State is one small record per run, dropped once it is answered; a signal that no run asks for within keep_seconds is
+    dropped.
     """
     asks = waiting.select(key, F.lit("wait").alias("kind"), F.col("seconds").cast("double").alias("seconds"), F.lit(None).cast("string").alias("response"))
     told = signals.select(key, F.lit("signal").alias("kind"), F.lit(0.0).alias("seconds"), F.col("response").cast("string").alias("response"))
     kind = waiting.schema[key].dataType.simpleString()
-    return asks.unionByName(told).groupBy(key).applyInPandasWithState(_settle(key), f"{key} {kind}, response string, timed_out boolean", "waits boolean, response string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return asks.unionByName(told).groupBy(key).applyInPandasWithState(_settle(key, keep_seconds), f"{key} {kind}, response string, timed_out boolean", "waits boolean, response string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def _settle(key: str):
+def _settle(key: str, keep_seconds: float):
     def settle(name: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            waits, _ = state.get
             state.remove()
+            if not waits:
+                return
             yield pd.DataFrame({key: [name[0]], "response": [None], "timed_out": [True]})
             return
         waits, response = state.get if state.exists else (False, None)
@@ -69,7 +73,9 @@ def _settle(key: str):
             yield pd.DataFrame({key: [name[0]], "response": [response], "timed_out": [False]})
             return
         state.update((waits, response))
-        if waits and seconds > 0:
+        if not waits:
+            state.setTimeoutDuration(int(keep_seconds * 1000))
+        elif seconds > 0:
             state.setTimeoutDuration(int(seconds * 1000))
 
     return settle
