@@ -70,6 +70,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# The columns of op4, op6, op7 and op8 that SQL can state, from the same queries.
+
+
+def imatch_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_imatch(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def license_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secret_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_near_dedup": op2_near_dedup,
@@ -81,6 +100,10 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "imatch_base": imatch_base,
+    "license_scan_base": license_scan_base,
+    "quality_rules_base": quality_rules_base,
+    "secret_scan_base": secret_scan_base,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -116,4 +139,31 @@ ORACLE_SQL: dict[str, str] = {
                 FROM documents LEFT JOIN drops ON documents.source IS NOT DISTINCT FROM drops.source)
         SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
                sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256 FROM cut""",
+    "imatch_base": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        n AS (SELECT doc_id, t, length(t) // 2 AS half, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS next FROM d)
+        SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(substr(t, 1, length(t) - half) || substr(next, 1, half)) AS edited_sha256 FROM n""",
+    "license_scan_base": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+        hits AS (SELECT doc_id, i - 1 AS place, 'cc-by' AS label FROM p WHERE w[i:i+1] = ['cc', 'by']
+                 UNION ALL SELECT doc_id, i - 1, 'gpl' FROM p WHERE w[i:i+2] = ['general', 'public', 'license']
+                 UNION ALL SELECT doc_id, i - 1, 'reserved' FROM p WHERE w[i:i+2] = ['all', 'rights', 'reserved']),
+        found AS (SELECT doc_id, count(*) AS n, min(place) AS low, max(place) AS high, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM hits GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(low AS BIGINT) AS first_word, CAST(high AS BIGINT) AS last_word, coalesce(labels, '') AS base_labels
+        FROM d LEFT JOIN found USING (doc_id)""",
+    "quality_rules_base": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+        g AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d),
+        again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i+7], ' ')) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(8) x(k) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+               CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) AS base_failed
+        FROM d LEFT JOIN covered USING (doc_id)""",
+    "secret_scan_base": r"""
+        SELECT doc_id,
+               CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS BIGINT) AS n_assign,
+               CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_access,
+               CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) AS BIGINT) AS n_hex
+        FROM documents""",
 }
