@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillway.llm.common import cut, exact_ids, mix64, picked, text_bytes, word_hashes
+from rillway.llm.common import exact_ids, mix64, picked, text_bytes, word_hashes
 
 ANCHOR = 24
 BLOCK = 1 << 22
@@ -127,7 +127,7 @@ ANCHORS = "bucket int, chunk int, anchors binary, counts binary"
 ANSWERS = "chunk int, anchors binary, parts binary"
 FIELDS = {"segment": np.int32, "id": np.int64, "digest": np.int64, "row": np.int32, "start": np.int32, "before": np.int32, "windows": np.int32, "again": np.uint8, "size": np.int32}
 SENT = "bucket int, chunk int, " + ", ".join(f"{f} binary" for f in FIELDS) + ", data binary"
-#: Marks have no bucket; rows with one are windows for the second round.
+#: What a bucket tells: marks, and (where `first` is null) windows for the second round, which passes marks on.
 MARKS = SENT + ", first binary, count binary"
 _NAMES = [x.split()[0] for x in MARKS.split(", ")]
 
@@ -328,8 +328,10 @@ def _matrix(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, step: int, widt
 
 
 def marks_of(table: pa.Table, length: int, buckets: int, last: bool) -> pa.Table:
-    """Of a bucket's segments, the windows that are not the earliest of their content, as runs by chunk and segment; and,
-    unless it is the last round, the windows of hot anchors that are the earliest here."""
+    """Of a bucket's segments, the windows that are not the earliest of their content, as runs by chunk and segment; in
+    the first round also the windows of hot anchors that are the earliest here, in the last one the first round's marks."""
+    known = table.filter(pa.compute.is_valid(table.column("first"))) if last else table.slice(0, 0)
+    table = table.filter(pa.compute.is_null(table.column("first"))) if last else table
     item = {f: _numbers(table.column(f), t).astype(np.int64) for f, t in FIELDS.items()}
     item["chunk"] = np.repeat(table.column("chunk").to_numpy(), [len(x) // 4 for x in table.column("segment").to_pylist()])
     data = _numbers(table.column("data"), np.uint8)
@@ -373,7 +375,7 @@ def marks_of(table: pa.Table, length: int, buckets: int, last: bool) -> pa.Table
     who, first = found[heads] >> 32, found[heads] & 0xFFFFFFFF
     # A window sent alone has its place in the chunk's segment, not in what was sent.
     chunks, (s, f, c) = _split(chunk[who], 0, [segment[who].astype(np.int32), (start[who] + first).astype(np.int32), count.astype(np.int32)])
-    marks = {"chunk": pa.array(chunks.astype(np.int32), pa.int32()), "segment": pa.array(s, pa.binary()), "first": pa.array(f, pa.binary()), "count": pa.array(c, pa.binary())}
+    marks = {"bucket": pa.array((chunks % buckets).astype(np.int32), pa.int32()), "chunk": pa.array(chunks.astype(np.int32), pa.int32()), "segment": pa.array(s, pa.binary()), "first": pa.array(f, pa.binary()), "count": pa.array(c, pa.binary())}
     still = item["again"] > 0
     still[who] = False
     on = np.flatnonzero(still) if not last else np.zeros(0, np.int64)
@@ -381,7 +383,7 @@ def marks_of(table: pa.Table, length: int, buckets: int, last: bool) -> pa.Table
     onward = _sent(bucket, chunk[on], {f: item[f][on] for f in FIELDS}, data, begin[on], buckets)
     kinds = {n: pa.int32() if n in ("bucket", "chunk") else pa.binary() for n in _NAMES}
     rows = [pa.table({n: x[n].cast(k) if n in x else pa.nulls(len(x["chunk"]), k) for n, k in kinds.items()}) for x in (marks, onward)]
-    return pa.concat_tables(rows)
+    return pa.concat_tables([*rows, known] if last else rows)
 
 
 def cut_of(table: pa.Table, marks: pa.Table, length: int, kind: pa.DataType) -> pa.Table:
@@ -421,8 +423,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     anchors = by_chunk.applyInArrow(lambda t: anchors_of(t, length, buckets), ANCHORS)
     answers = anchors.groupBy("bucket").applyInArrow(lambda t: answers_of(t, hot), ANSWERS)
     sent = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: segments_of(t, a, length, buckets, hot), SENT)
-    once = cut(sent.groupBy("bucket").applyInArrow(lambda t: marks_of(t, length, buckets, False), MARKS))
-    twice = once.filter("bucket is not null").drop("first", "count").groupBy("bucket").applyInArrow(lambda t: marks_of(t, length, buckets, True), MARKS)
-    marks = once.filter("bucket is null").unionByName(twice).select("chunk", "segment", "first", "count")
+    once = sent.groupBy("bucket").applyInArrow(lambda t: marks_of(t, length, buckets, False), MARKS)
+    marks = once.groupBy("bucket").applyInArrow(lambda t: marks_of(t, length, buckets, True), MARKS).select("chunk", "segment", "first", "count")
     done = by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(lambda t, m: cut_of(t, m, length, pa.int64()), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.withColumn("id", F.col("id").cast(rows.schema["id"].dataType)).withColumnRenamed("id", id_col)
