@@ -159,15 +159,25 @@ def java_replacement(replacement: str) -> str:
 
 def _pattern(i) -> Column:
     stated = constant(i["pattern"])
-    base = F.lit(java_pattern(stated)) if stated is not None else i["pattern"].column
+    base = F.lit(java_pattern(stated)) if stated is not None else F.regexp_replace(i["pattern"].column, r"\(\?P<", "(?<")
     return F.when(i["ignore_case"].column, F.concat(F.lit("(?i)"), base)).otherwise(base)
 
 
+def _groups(i) -> Column:
+    """How many groups the pattern has; of a pattern in a column by its brackets outside of escapes and classes."""
+    stated = constant(i["pattern"])
+    if stated is not None:
+        return F.lit(re.compile(stated).groups)
+    plain = F.regexp_replace(i["pattern"].column, r"\\.|\[\^?\]?[^\]]*\]", "")
+    return F.regexp_count(plain, F.lit(r"\((?!\?)|\(\?P?<(?![=!])"))
+
+
 def _extract(i):
+    every = lambda k: F.regexp_extract_all(i["text"].column, _pattern(i), F.lit(k))
     stated = constant(i["pattern"])
-    if stated is None:
-        raise TypeError("regex-extract needs a pattern that the flow states")
-    return Value(F.regexp_extract_all(i["text"].column, _pattern(i), F.lit(1 if re.compile(stated).groups else 0)), T.ArrayType(STR))
+    if stated is not None:
+        return Value(every(1 if re.compile(stated).groups else 0), T.ArrayType(STR))
+    return Value(F.when(_groups(i) > 0, every(1)).otherwise(every(0)), T.ArrayType(STR))
 
 
 REGEX = (
@@ -238,13 +248,13 @@ def _branch(i):
 
 
 def _first_match(i):
-    stated = constant(i["pattern"])
-    if stated is None:
-        raise TypeError("regex needs a pattern that the flow states")
-    hit = F.regexp_like(i["text"].column, _pattern(i))
-    groups = [F.call_function("regexp_extract", i["text"].column, _pattern(i), F.lit(k + 1)) for k in range(re.compile(stated).groups)]
-    listed = F.array(*groups).cast("array<string>")
-    return {"output_1": Value(F.when(hit, F.call_function("regexp_extract", i["text"].column, _pattern(i), F.lit(0))).otherwise(F.lit("")), STR), "output_2": Value(F.when(hit, listed).otherwise(F.array().cast("array<string>")), T.ArrayType(STR)), "output_3": Value(hit, BOOL)}
+    hit, n = F.regexp_like(i["text"].column, _pattern(i)), _groups(i)
+    group = lambda k: F.call_function("regexp_extract", i["text"].column, _pattern(i), k)
+    none = F.array().cast("array<string>")
+    listed = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), group)).otherwise(none)
+    if (stated := constant(i["pattern"])) is not None:
+        listed = F.array(*[group(F.lit(k + 1)) for k in range(re.compile(stated).groups)]).cast("array<string>")
+    return {"output_1": Value(F.when(hit, group(F.lit(0))).otherwise(F.lit("")), STR), "output_2": Value(F.when(hit, listed).otherwise(none), T.ArrayType(STR)), "output_3": Value(hit, BOOL)}
 
 
 #: Sources and small helpers that example flows use; column reads a column of the run's table.

@@ -56,7 +56,8 @@ def regions_of(flow: Flow, operators: dict[str, Operator]) -> dict[str, Region]:
     found, problems = {}, []
     for node in flow.nodes:
         kind = operators[node.id].region
-        if kind not in _ENDS:
+        closes = operators[node.id].ends or _ENDS.get(kind)
+        if closes is None:
             continue
         ends, depth, queue = set(), {node.id: 0}, [node.id]
         while queue:
@@ -64,7 +65,7 @@ def regions_of(flow: Flow, operators: dict[str, Operator]) -> dict[str, Region]:
             for nxt in after.get(at, ()):
                 region = operators[nxt].region
                 d = depth[at] + (region == kind)
-                if region == _ENDS[kind]:
+                if region == closes:
                     if d == 0:
                         ends.add(nxt)
                         continue
@@ -73,7 +74,7 @@ def regions_of(flow: Flow, operators: dict[str, Operator]) -> dict[str, Region]:
                     depth[nxt] = d
                     queue.append(nxt)
         if len(ends) != 1:
-            problems.append(f"{node.id} has {len(ends) or 'no'} matching {_ENDS[kind]}")
+            problems.append(f"{node.id} has {len(ends) or 'no'} matching {closes}")
             continue
         end = ends.pop()
         before: dict[str, set[str]] = {}

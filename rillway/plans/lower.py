@@ -370,6 +370,15 @@ class Lowering:
         columns, env[node.id] = self.store_in(node.id, placed)
         return df.select("*", *columns)
 
+    def extension(self, df: DataFrame, node: Node, env: Env) -> DataFrame:
+        """A node whose operator places itself: it may join, group or map the rows, but keeps each of them and its columns."""
+        op = self.compiled.operators[node.id]
+        live = self.live(node, env)
+        inputs, faults = self.inputs(node, env)
+        df, made = op.place(df, inputs, f"{self.prefix}{node.id}")
+        columns, env[node.id] = self.store_in(node.id, self.finish(node, op, made, live, faults, env))
+        return df.select("*", *columns)
+
     # -- loops and sub-flows -------------------------------------------------------------------------------------
 
     def region(self, region: Region) -> list[Node]:
@@ -597,7 +606,11 @@ class Lowering:
             df, placed = self.subprocess(node, env, df)
             return df, {node.id: placed}
         region = self.compiled.regions[node.id]
-        df, first, end = (self.for_each if kind == "for-each" else self.loop)(region, env, df)
+        own = self.compiled.operators[node.id].compound
+        if own is not None:
+            df, first, end = own(self, region, env, df)
+        else:
+            df, first, end = (self.for_each if kind == "for-each" else self.loop)(region, env, df)
         return df, {region.start: first, region.end: end}
 
     def expressions(self, nodes: list[Node], env: Env) -> None:
@@ -605,9 +618,9 @@ class Lowering:
         for layer in self._units(nodes):
             for node in layer:
                 op = self.compiled.operators[node.id]
-                if op.pauses or op.fn is not None:
+                if op.pauses or op.fn is not None or op.place is not None:
                     raise CompilationError([f"{node.id} ({op.id}) can't run inside a native loop"])
-                if op.region in ("for-each", "while", "subprocess"):
+                if _holds_others(op):
                     env.update(self._place_region(node, env, None)[1])
                 elif op.expr is not None or op.base_id == "column":
                     env[node.id] = self.native(node, env)
@@ -621,7 +634,7 @@ class Lowering:
             native, regions, python, pausing = [], [], [], []
             for n in todo:
                 op = self.compiled.operators[n.id]
-                (pausing if op.pauses else regions if op.region in ("for-each", "while", "subprocess") else python if op.fn is not None and op.expr is None else native).append(n)
+                (pausing if op.pauses else regions if _holds_others(op) else python if op.place is not None or op.fn is not None and op.expr is None else native).append(n)
             placed: dict[str, Placed] = {}
             for n in native:
                 placed[n.id] = self.cached(n, self.native(n, self.env))
@@ -636,7 +649,7 @@ class Lowering:
                 df = df.select("*", *columns)
             self.done |= set(placed)
             for n in python:
-                df = self.python(df, n, self.env)
+                df = (self.python if self.compiled.operators[n.id].place is None else self.extension)(df, n, self.env)
                 self.done.add(n.id)
             for n in todo:
                 df = self._review(df, n)
@@ -687,6 +700,11 @@ class Lowering:
         return df.filter(~asks)
 
 
+def _holds_others(op: Operator) -> bool:
+    """Whether an operator is the start of a loop or the call of a sub-flow."""
+    return op.region in ("for-each", "while", "subprocess") or op.compound is not None
+
+
 def _slot(mapped: Column, i: int) -> Column:
     """The live values of one slot of a loop's rounds."""
     return F.transform(F.filter(mapped, lambda x: x[f"l{i}"]), lambda x: x[f"v{i}"])

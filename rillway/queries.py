@@ -606,3 +606,38 @@ def warning_events(spark, sf_dir):
     edges = (wire("p_name", "a", "text"), wire("p_type", "b", "text"), wire("a", "each", "items"), wire("b", "each", "items"), wire("each", "pair", "a", "output_1"), wire("each", "pair", "b", "output_3"), wire("pair", "all", "items"))
     r = run(Flow(nodes, edges), table(spark, sf_dir, "part"))
     return r.events("p_partkey").filter("type = 'runtime_warning'").select("p_partkey", "node_id")
+
+
+@register("chain_500", "SELECT o_orderkey, CAST(o_orderkey + 500 AS DOUBLE) AS out FROM orders")
+def chain_500(spark, sf_dir):
+    """500 nodes in a row are still one stage."""
+    nodes = [col("o_orderkey"), *(Node(f"n{k}", "math-add", {"b": 1}) for k in range(500))]
+    r = run(Flow(tuple(nodes), tuple(wire(a.id, b.id, "a") for a, b in zip(nodes, nodes[1:], strict=False))), table(spark, sf_dir, "orders"))
+    return r.project([OutputRef("out", "n499")], ("o_orderkey",))
+
+
+@register("regex_of_column", "SELECT p_partkey, CASE WHEN contains(p_name, split_part(p_name, ' ', 2)) THEN [split_part(p_name, ' ', 2)] END AS hits FROM part WHERE regexp_matches(p_name, '^[a-z]+ [a-z]+')")
+def regex_of_column(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").filter("p_name rlike '^[a-z]+ [a-z]+'").withColumn("pattern", F.concat(F.lit("^[a-z]+ ("), F.split("p_name", " ")[1], F.lit(")")))
+    r = run(one("regex-extract", text="@p_name", pattern="@pattern"), rows)
+    return r.project([OutputRef("hits", "out")], ("p_partkey",))
+
+
+@register("lookup_extension", "SELECT o_orderkey, c_mktsegment AS segment, upper(c_mktsegment) AS out FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def lookup_extension(spark, sf_dir):
+    """An executor of one's own: a node that looks its input up in another table by a join."""
+    from rillway.functions.expression import Value
+    from rillway.operators.standard import standard
+    from rillway.registry import Input, Operator, Output
+
+    segments = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_of"), F.col("c_mktsegment").alias("_segment"))
+
+    def place(df, inputs, name):
+        held = segments.select("_of", F.col("_segment").alias(f"{name}__found"))
+        return df.join(held, inputs["key"].column == F.col("_of"), "left").drop("_of"), Value(F.col(f"{name}__found"), segments.schema["_segment"].dataType)
+
+    registry = standard()
+    registry.add(Operator("segment-of", name="Segment", inputs=(Input("key", "int"),), outputs=(Output("result", "str"),), place=place))
+    flow = Flow((col("o_custkey"), Node("segment", "segment-of"), Node("out", "text-uppercase")), (wire("o_custkey", "segment", "key"), wire("segment", "out", "text")))
+    r = run(flow, table(spark, sf_dir, "orders"), registry)
+    return r.project([OutputRef("segment", "segment"), OutputRef("out", "out")], ("o_orderkey",))

@@ -157,6 +157,12 @@ class Operator:
     dynamic_handles: bool = False
     compute_inputs: Callable[..., Any] | None = None
     compute_outputs: Callable[..., Any] | None = None
+    #: An executor of one's own: place(df, inputs, name) gives df with more columns, and the outputs' values.
+    place: Callable[..., Any] | None = None
+    #: A compound of one's own: region names its start, `ends` the region of its end; compound(lowering, region, env, df)
+    #: gives df and what later nodes read of start and end, as Lowering.for_each does.
+    ends: str | None = None
+    compound: Callable[..., Any] | None = None
 
     @property
     def id(self) -> str:

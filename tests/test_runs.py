@@ -158,3 +158,34 @@ def test_events_of_stopped_batches(spark):
     assert {(e["type"], e["timeout_seconds"]) for e in told} == {("flow_timeout", 1.0)} and len(told) == 2 and told[0]["elapsed_seconds"] >= 1
     done = Control(spark).run(lambda: 1)
     assert r.stopped_events("t", done).count() == 0
+
+
+def test_compounds_of_ones_own(spark):
+    """A compound that runs its body once for the largest item of a list."""
+    from rillway.functions.expression import Value
+    from rillway.plans.lower import Handle, Placed
+    from rillway.registry import Input, Operator, Output
+
+    def largest(lowering, region, env, df):
+        start = lowering.compiled.flow.by_id[region.start]
+        live, none = lowering.live(start, env), F.lit(None).cast("string")
+        items = lowering.inputs(start, env)[0]["items"]
+        item = Placed({"result": Handle(Value(F.array_max(items.column), items.kind.elementType), live)}, live, none)
+        value = lowering._slots(region, lowering._body(region, {**env, region.start: item}))[0].value
+        return df, item, Placed({"result": Handle(value, live)}, live, none)
+
+    registry = standard()
+    registry.add(Operator("largest-start", inputs=(Input("items", "list[float]"),), outputs=(Output("result", "float"),), region="largest", ends="largest-end", compound=largest))
+    registry.add(Operator("largest-end", inputs=(Input("item", "any"),), region="largest-end"))
+    nodes = (col("l"), Node("go", "largest-start"), Node("twice", "math-multiply", {"b": 2}), Node("stop", "largest-end"), Node("out", "math-add", {"b": 1}))
+    edges = (wire("l", "go", "items"), wire("go", "twice", "a"), wire("twice", "stop", "item"), wire("stop", "out", "a"))
+    r = run(Flow(nodes, edges), spark.createDataFrame([([1.0, 5.0, 2.0],), ([3.0],)], "l array<double>"), registry)
+    assert sorted(x["out"] for x in r.project([OutputRef("out", "out")]).collect()) == [7.0, 11.0]
+
+
+def test_patterns_in_columns(spark):
+    df = spark.createDataFrame([("a1 b2", r"([a-z])(\d)"), ("a1 b2", r"[(a-z]\d"), ("x", r"(?P<w>y)")], "t string, p string").coalesce(1)
+    r = run(one("regex", text="@t", pattern="@p"), df)
+    assert [tuple(x) for x in r.runs.select(r.column("out", "output_1"), r.column("out", "output_2"), r.column("out", "output_3")).collect()] == [("a1", ["a", "1"], True), ("a1", [], True), ("", [], False)]
+    every = run(one("regex-extract", text="@t", pattern="@p"), df)
+    assert [x["out"] for x in every.project([OutputRef("out", "out")]).collect()] == [["a", "b"], ["a1", "b2"], []]
