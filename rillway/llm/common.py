@@ -32,12 +32,10 @@ def picked(df: DataFrame, **names: str) -> DataFrame:
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", crowd: int = 500, parts: int = 64) -> DataFrame:
     """left joined with right on key, where keys with a crowd of rows on the left are dealt over `parts` partitions and
-    their rows on the right repeated there. left should be a table, as it is read thrice. At most 10,000 keys count as
-    crowded, however many rows there are, so that their list can be broadcast."""
-    least = F.greatest(F.lit(crowd), F.ceil(F.col("_all") / 10_000))
-    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.agg(F.count(F.lit(1)).alias("_all"))
-    hot = F.broadcast(counts.join(F.broadcast(total)).filter(F.col("_n") > least).select(F.col(key).alias("_hot")))
+    their rows on the right repeated there. left should be a table, as it is read twice. The 10,000 most crowded keys at
+    most are dealt, so that their list can be broadcast; the others are joined as they are."""
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowd)
+    hot = F.broadcast(counts.orderBy(F.desc("_n"), key).limit(10_000).select(F.col(key).alias("_hot")))
     others = [F.col(f"`{c}`") for c in left.columns]
     a = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*others), F.lit(parts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
     b = right.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")

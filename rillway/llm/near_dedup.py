@@ -8,10 +8,9 @@ usual smooth idf = 1 + ln((1 + N) / (1 + df)). A text can be near another only i
 
 Members of a band are compared (never all with all) with three of them: the one whose shingles are the most common,
 which is the original where copies were edited apart, and those of least and greatest key. Verified links are closed into
-classes; then one text of each class in a band stands for it there, and the same is done among these until no link is
-found. Where the members of a band are of several classes even then, all of them are compared with all texts of such
-bands by an exact join (`crossing`): two texts of similarity t share a shingle that lies before t of the larger text's
-weight and before 2t / (1 + t) of the smaller one's, in order from the rarest shingle. So every pair that shares a
+classes. Where the members of a band are then of several classes, all of them are compared with all texts of such
+bands by an exact join (`crossing`): with each text's shingles in order from the rarest, two texts of similarity t share
+one from which on the larger text has t of its weight left, and the smaller one 2t / (1 + t). So every pair that shares a
 band ends in one class. A pair of TF-IDF similarity 0.8 shares a band with probability 0.9998; one of similarity 0.8
 by tf and 0.65 by TF-IDF with 0.9994.
 
@@ -31,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillway.llm.common import byte_words, cut, mix64, picked, placed, spread_join, text_bytes, word_hashes
@@ -82,7 +81,7 @@ def _own_texts(texts: pa.Table, notes: pa.Table) -> tuple[pa.Table, np.ndarray]:
 
 TOLD = "bucket int, chunk int, high binary, low binary, df binary, texts binary"
 NOTES = "chunk int, bucket int, key string, copies long, df binary, texts binary"
-SAMPLED = "key string, rarity double, bands array<long>, shingles binary, weights binary, times binary"
+SAMPLED = "key string, rarity double, bands array<long>, shingles binary, idf binary, times binary"
 
 
 def tell(texts: pa.Table, notes: pa.Table, buckets: int) -> pa.Table:
@@ -169,30 +168,47 @@ def sample(texts: pa.Table, notes: pa.Table, buckets: int, n_texts: int, thresho
                     k = mix64(k * _STEPS[6] + next(codes))
                 keys.append(k.view(np.int64))
     ends = np.append(starts, len(rows))[1:]
-    columns = ((value & np.uint64(0xFFFFFFFF)).astype(np.uint32), weight.astype(np.float32), times.astype(np.uint32))
+    columns = ((value & np.uint64(0xFFFFFFFF)).astype(np.uint32), (weight / times).astype(np.float32), times.astype(np.uint32))
     blobs: tuple[list, list, list] = ([], [], [])
     for a, b in zip(starts, ends, strict=True):
         turn = np.argsort(columns[0][a:b], kind="stable")
         for blob, column in zip(blobs, columns, strict=True):
             blob.append(column[a:b][turn].tobytes())
+        if columns[2][a:b].max() == 1:
+            blobs[2][-1] = b""  # all once
     lists = np.stack(keys, axis=1).tolist() if keys else []
     names = own.column("key").take(pa.array(order, pa.int64())) if n else pa.array([], pa.string())
     rarity = total[order] / np.maximum(length[order], 1) if n else np.zeros(0)
     found = {"key": names, "rarity": pa.array(rarity, pa.float64()), "bands": pa.array(lists, pa.list_(pa.int64()))}
-    return pa.table(found | {k: pa.array(x, pa.binary()) for k, x in zip(("shingles", "weights", "times"), blobs, strict=True)})
+    return pa.table(found | {k: pa.array(x, pa.binary()) for k, x in zip(("shingles", "idf", "times"), blobs, strict=True)})
 
 
-def weighted_jaccard(a: bytes, aw: bytes, b: bytes, bw: bytes, kind=np.float32) -> float:
-    """Of two texts' ascending shingles and their weights."""
-    x, y, u, v = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), np.frombuffer(aw, kind), np.frombuffer(bw, kind)
-    at = np.searchsorted(y, x)
-    hit = y[np.minimum(at, len(y) - 1)] == x
-    least = float(np.minimum(u[hit], v[at[hit]]).sum(dtype=np.float64))
-    return least / (float(u.sum(dtype=np.float64) + v.sum(dtype=np.float64)) - least)
+class Bag:
+    """A text's shingles, ascending, with their idf and times, from its blobs."""
 
+    def __init__(self, shingles: bytes, idf: bytes, times: bytes):
+        self.shingles, self.idf = np.frombuffer(shingles, np.uint32), np.frombuffer(idf, np.float32)
+        self.times = np.frombuffer(times, np.uint32) if times else np.ones(len(self.shingles), np.uint32)
+        self.weights = (self.times * self.idf).astype(np.float64)
 
-def _of(texts: DataFrame, key: str, name: str, side: str) -> DataFrame:
-    return texts.select(F.col(key).alias(name), *[F.col(c).alias(side + c) for c in ("shingles", "weights", "times")])
+
+def similarity(a: Bag, b: Bag) -> float:
+    """The larger of the weighted Jaccard similarities by tf * idf and by tf."""
+    at = np.searchsorted(b.shingles, a.shingles)
+    hit = b.shingles[np.minimum(at, len(b.shingles) - 1)] == a.shingles
+    out = 0.0
+    for u, v in ((a.weights, b.weights), (a.times, b.times)):
+        least = float(np.minimum(u[hit], v[at[hit]]).sum(dtype=np.float64))
+        out = max(out, least / (float(u.sum(dtype=np.float64) + v.sum(dtype=np.float64)) - least))
+    return out
+
+
+BLOBS = ("shingles", "idf", "times")
+
+
+def _of(texts: DataFrame, side: str, **names: str) -> DataFrame:
+    """Columns of texts under new names, with the blobs named for their side."""
+    return texts.select(*[F.col(c).alias(new) for new, c in names.items()], *[F.col(c).alias(side + c) for c in BLOBS])
 
 
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -200,12 +216,13 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            cols = [batch.column(side + c).to_pylist() for c in ("shingles", "weights", "times") for side in "ab"]
-            near = lambda s, t, kinds, u, v: weighted_jaccard(s, u, t, v, kinds) >= threshold - 1e-6
-            keep = [near(s, t, np.float32, w, v) or near(s, t, np.uint32, m, n) for s, t, w, v, m, n in zip(*cols, strict=True)]
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                a, b = (map(Bag, *[part.column(side + c).to_pylist() for c in BLOBS]) for side in "ab")
+                keep = [similarity(x, y) >= threshold - 1e-6 for x, y in zip(a, b, strict=True)]
+                yield part.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("x", "y", *[side + c for c in ("shingles", "weights", "times") for side in "ab"]).mapInArrow(run, "x string, y string")
+    return pairs.select("x", "y", *[side + c for side in "ab" for c in BLOBS]).mapInArrow(run, "x string, y string")
 
 
 def closed(links: DataFrame) -> DataFrame:
@@ -214,44 +231,58 @@ def closed(links: DataFrame) -> DataFrame:
     both = cut(links.select(F.col("x").alias("key"), F.col("y").alias("other")).union(links.select("y", "x")).distinct())
     labels = cut(both.groupBy("key").agg(F.least("key", F.min("other")).alias("root")))
     while True:
-        seen = spread_join(both, labels.select(F.col("key").alias("other"), "root"), "other").groupBy("key").agg(F.min("root").alias("seen"))
-        nearer = cut(labels.join(seen, "key").select("key", "root", F.least("root", "seen").alias("next")))
-        jumped = spread_join(nearer, labels.select(F.col("key").alias("next"), F.col("root").alias("beyond")), "next", "left")
+        seen = both.join(labels.select(F.col("key").alias("other"), "root"), "other").groupBy("key").agg(F.min("root").alias("seen"))
+        nearer = labels.join(seen, "key").select("key", "root", F.least("root", "seen").alias("next"))
+        jumped = nearer.join(labels.select(F.col("key").alias("next"), F.col("root").alias("beyond")), "next", "left")
         moved = cut(jumped.select("key", F.least("next", F.coalesce("beyond", "next")).alias("root"), (F.least("next", F.coalesce("beyond", "next")) != F.col("root")).alias("moved")))
         labels = moved.select("key", "root")
         if moved.filter("moved").isEmpty():
             return labels
 
 
-def _weighed(texts: DataFrame, by: str) -> DataFrame:
-    """id, root, total, shingle, weight: one row per shingle of a text, with its weight or (by times) its count."""
-    kind = {"weights": np.float32, "times": np.uint32}[by]
+PROBE = "shingle int, id long, root string, rest_w double, total_w double, rest_t double, total_t double"
+
+
+def rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
+    """PROBE: of each text (id, root, shingles, idf, times) the shingles, from the rarest on, up to the point where less
+    than `threshold` of its weight by tf * idf (w) and by tf (t) is left, with what is left and in all."""
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                shingle, weight = np.frombuffer(row["shingles"], np.int32), np.frombuffer(row[by], kind).astype(np.float64)
-                n = len(shingle)
-                parts = [pa.array(np.full(n, row["id"], np.int64)), pa.array([row["root"]] * n, pa.string()), pa.array(np.full(n, weight.sum())), pa.array(shingle), pa.array(weight)]
-                yield pa.RecordBatch.from_arrays(parts, ["id", "root", "total", "shingle", "weight"])
-
-    return texts.select("id", "root", "shingles", by).mapInArrow(run, "id long, root string, total double, shingle int, weight double")
+            for i in range(0, batch.num_rows, 256):
+                out: list[list] = [[], [], [], [], [], [], []]
+                for row in batch.slice(i, 256).to_pylist():
+                    bag = Bag(*(row[c] for c in BLOBS))
+                    order = np.lexsort((bag.shingles, -bag.idf))
+                    rest = [np.cumsum(x[order][::-1], dtype=np.float64)[::-1] for x in (bag.weights, bag.times)]
+                    keep = (rest[0] >= threshold * rest[0][0]) | (rest[1] >= threshold * rest[1][0])
+                    n = int(keep.sum())
+                    for column, x in zip(out, (bag.shingles[order][keep].view(np.int32), np.full(n, row["id"]), [row["root"]] * n, rest[0][keep], np.full(n, rest[0][0]), rest[1][keep], np.full(n, rest[1][0])), strict=True):
+                        column.append(x)
+                kinds = (np.int32, np.int64, None, *[np.float64] * 4)
+                arrays = [pa.array([r for x in c for r in x], pa.string()) if k is None else pa.array(np.concatenate([np.zeros(0, k), *c])) for c, k in zip(out, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PROBE.split(", ")])
+
+    return texts.select("id", "root", *BLOBS).mapInArrow(run, PROBE)
+
+
+def crossing(texts: DataFrame, threshold: float) -> DataFrame:
+    """i and j, ids of texts of different roots: all pairs that can have similarity `threshold` or more. Only the
+    shingles of rare_shingles meet, and only if what is left of both texts from there on can suffice."""
+    t = threshold - 1e-5  # sums of weights are rounded
+    probe = cut(rare_shingles(texts, t))
+    several = probe.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    probe = cut(probe.join(several, "shingle", "left_semi"))
+    few = 2 * t / (1 + t)
+    a, b = probe.filter(f"rest_w >= {few} * total_w or rest_t >= {few} * total_t").alias("a"), probe.alias("b")
 
+    def can(m: str):
+        ta, tb, ra, rb = (F.col(f"{side}.{x}_{m}") for x in ("total", "rest") for side in "ab")
+        smaller = (ta < tb) | (ta == tb) & (F.col("a.id") < F.col("b.id"))
+        return smaller & (F.least(ra, rb) >= t / (1 + t) * (ta + tb))
 
-def crossing(texts: DataFrame, threshold: float, by: str) -> DataFrame:
-    """i and j, ids of texts (id, root, shingles, weights, times) of different roots: all pairs that can have similarity
-    `threshold` or more. Only shingles before the bounds meet, and only if what is left of both texts can suffice."""
-    t = threshold - 1e-5  # sums of weights are rounded
-    rows = cut(_weighed(texts, by))
-    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle", "n")
-    from_common = Window.partitionBy("id").orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
-    held = spread_join(rows, shared, "shingle")
-    probe = cut(held.withColumn("rest", F.sum("weight").over(from_common)).filter(F.col("rest") >= t * F.col("total")).select("shingle", "id", "root", "total", "rest"))
-    a, b = probe.filter(F.col("rest") >= 2 * t / (1 + t) * F.col("total")).alias("a"), probe.alias("b")
-    smaller = (F.col("a.total") < F.col("b.total")) | (F.col("a.total") == F.col("b.total")) & (F.col("a.id") < F.col("b.id"))
-    enough = F.least("a.rest", "b.rest") >= t / (1 + t) * (F.col("a.total") + F.col("b.total"))
-    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") != F.col("b.root")) & smaller & enough)
-    return met.select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
+    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") != F.col("b.root")) & (can("w") | can("t")))
+    return met.select(F.least("a.id", "b.id").alias("i"), F.greatest("a.id", "b.id").alias("j")).distinct()
 
 
 def text_key(text_col: str):
@@ -259,23 +290,14 @@ def text_key(text_col: str):
 
 
 def band_links(members: DataFrame, sampled: DataFrame, threshold: float) -> DataFrame:
-    """x and y, keys of near texts: each member of a band (key, root, rarity, band) against three of the band that are of
-    another root."""
-    best = lambda f, c: f(F.struct(*c, "key", "root"))
-    ends = members.groupBy("band").agg(*[e.alias(n) for e, n in ((best(F.min, ["rarity"]), "lead"), (best(F.min, []), "low"), (best(F.max, []), "high"))], F.min("root").alias("one"), F.max("root").alias("other")).filter("one < other").drop("one", "other")
-    side = lambda c: F.struct(F.col(c).getField("key").alias("key"), F.col(c).getField("root").alias("root"))
-    met = spread_join(members.select("key", "root", "band"), ends, "band").select(F.col("key").alias("x"), "root", F.explode(F.array_distinct(F.array(*map(side, ("lead", "low", "high"))))).alias("y"))
-    pairs = cut(met.filter(F.col("root") != F.col("y.root")).select("x", F.col("y.key").alias("y")).distinct())
-    held = spread_join(pairs, _of(sampled, "key", "y", "b"), "y").join(_of(sampled, "key", "x", "a"), "x")
+    """x and y, keys of near texts: each member of a band (key, rarity, band) against three of the band."""
+    ends = members.groupBy("band").agg(F.min(F.struct("rarity", "key")).getField("key").alias("lead"), F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
+    met = spread_join(members.select("key", "band"), ends, "band").select(F.col("key").alias("x"), F.explode(F.array_distinct(F.array("lead", "low", "high"))).alias("y"))
+    pairs = cut(met.filter("x <> y").distinct())
+    held = spread_join(pairs, _of(sampled, "b", y="key"), "y").join(_of(sampled, "a", x="key"), "x")
     return _verified(held, threshold)
 
 
-def _merge(rooted: DataFrame, links: DataFrame) -> DataFrame:
-    """rooted (root, ...) with the roots that links join, as a table."""
-    merged = closed(links).select(F.col("key").alias("root"), F.col("root").alias("_last"))
-    return cut(spread_join(rooted, merged, "root", "left").withColumn("root", F.coalesce("_last", "root")).drop("_last"))
-
-
 def class_roots(df: DataFrame, threshold: float, bands: int, rows_each: int, chunk_bytes: int, bucket_bytes: int) -> DataFrame:
     """key and root of the texts that are near others: the root is one key of the class. df: id, text."""
     size = df.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
@@ -290,26 +312,17 @@ def class_roots(df: DataFrame, threshold: float, bands: int, rows_each: int, chu
     answers = told.groupBy("bucket").applyInArrow(answer, NOTES)
     n = max(size["rows"], 1)
     sampled = cut(by_chunk.cogroup(notes.unionByName(answers).groupBy("chunk")).applyInArrow(lambda t, m: sample(t, m, buckets, n, threshold, bands, rows_each), SAMPLED))
-    rooted = sampled.select("key", F.col("key").alias("root"), "rarity", "bands")
-    members = rooted.select("key", "root", "rarity", F.explode("bands").alias("band"))
-    while True:
-        links = cut(band_links(members, sampled, threshold))
-        if links.isEmpty():
-            break
-        # Links between texts are links between their roots.
-        root_of = lambda c: rooted.select(F.col("key").alias(c), F.col("root").alias(f"_{c}"))
-        ends = links.join(root_of("x"), "x").join(root_of("y"), "y").select(F.col("_x").alias("x"), F.col("_y").alias("y")).distinct()
-        rooted = _merge(rooted, ends)
-        each = rooted.select("key", "root", "rarity", F.explode("bands").alias("band"))
-        # From here on one text stands for its class in each band.
-        members = cut(each.groupBy("band", "root").agg(F.min(F.struct("rarity", "key")).alias("m")).select("m.key", "root", "m.rarity", "band"))
+    members = sampled.select("key", "rarity", F.explode("bands").alias("band"))
+    roots = closed(band_links(members, sampled, threshold))
+    rooted = cut(sampled.select("key", "bands").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
     banded = rooted.select("key", "root", F.explode("bands").alias("band"))
     mixed = banded.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
     several = spread_join(banded, mixed, "band").select("key", "root").distinct()
-    left = cut(sampled.select("key", "shingles", "weights", "times").join(several, "key").withColumn("id", F.monotonically_increasing_id()))
-    pairs = cut(crossing(left, threshold, "weights").union(crossing(left, threshold, "times")).distinct())
-    near = pairs.join(_of(left, "id", "i", "a").join(left.select(F.col("id").alias("i"), F.col("root").alias("x")), "i"), "i").join(_of(left, "id", "j", "b").join(left.select(F.col("id").alias("j"), F.col("root").alias("y")), "j"), "j")
-    return _merge(rooted.select("key", "root"), _verified(near, threshold).distinct())
+    left = cut(sampled.select("key", *BLOBS).join(several, "key").withColumn("id", F.monotonically_increasing_id()))
+    pairs = cut(crossing(left, threshold))
+    near = pairs.join(_of(left, "a", i="id", x="root"), "i").join(_of(left, "b", j="id", y="root"), "j")
+    merged = closed(_verified(near, threshold).distinct()).select(F.col("key").alias("root"), F.col("root").alias("last"))
+    return spread_join(rooted.select("key", "root"), merged, "root", "left").select("key", F.coalesce("last", "root").alias("root"))
 
 
 def classes(rows: DataFrame, texts: DataFrame, threshold: float, bands: int, rows_each: int, chunk_bytes: int, bucket_bytes: int) -> DataFrame:
