@@ -76,8 +76,13 @@ class Segments:
         parts = [self._block(b) for b in range(0, max(len(flat) - length + 1, 0), BLOCK)]
         self.anchor, self.start, self.windows, self.before = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64)))
         self.row = np.searchsorted(offsets, self.start, side="right") - 1
-        self.earlier = np.ones(len(self.start), bool)  # a copy of an earlier segment of the chunk
-        self.earlier[np.unique(exact_ids(flat, self.start, self.start + self.windows + length - 1), return_index=True)[1]] = False
+        # Copies of earlier segments of the chunk; they share their anchor.
+        self.earlier = np.zeros(len(self.start), bool)
+        _, place, counts = np.unique(self.anchor, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(counts[place] > 1)
+        own = exact_ids(flat, self.start[again], self.start[again] + self.windows[again] + length - 1)
+        self.earlier[again] = True
+        self.earlier[again[np.unique(own, return_index=True)[1]]] = False
 
     def _block(self, begin: int) -> tuple[np.ndarray, ...]:
         part = self.flat[begin : begin + BLOCK + self.length - 1]
