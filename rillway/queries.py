@@ -312,6 +312,12 @@ def shared_reference(spark, sf_dir):
 
 
 def count_flow(condition: str, negate: bool = False, most: int = 1000) -> Flow:
+    """A loop whose body doubles the round's number."""
+    nodes = (Node("go", "while-start", {"condition": condition, "negate": negate, "max_iterations": most}), Node("twice", "math-multiply", {"b": 2}), Node("stop", "while-end"))
+    return Flow(nodes, (wire("go", "twice", "a", "output_1"), wire("twice", "stop", "item")))
+
+
+def order_loop(condition: str, negate: bool = False, most: int = 50) -> Flow:
     """A loop over orders whose body multiplies the round's number by o_custkey % 7 + 1."""
     nodes = (col("o_custkey"), Node("left", "math-modulo", {"b": 7}), Node("by", "math-add", {"b": 1}), Node("go", "while-start", {"condition": condition, "negate": negate, "max_iterations": most}), Node("times", "math-multiply"), Node("stop", "while-end"))
     return Flow(nodes, (wire("o_custkey", "left", "a"), wire("left", "by", "a"), wire("go", "times", "a", "output_1"), wire("by", "times", "b"), wire("times", "stop", "item")))
@@ -319,19 +325,19 @@ def count_flow(condition: str, negate: bool = False, most: int = 1000) -> Flow:
 
 @register("while_count", "SELECT o_orderkey, CAST(ceil(20 / (o_custkey % 7 + 1)) AS BIGINT) AS rounds, CAST(ceil(20 / (o_custkey % 7 + 1)) * (o_custkey % 7 + 1) AS DOUBLE) AS last FROM orders")
 def while_count(spark, sf_dir):
-    r = run(count_flow("!exists(last) || last < 20", most=50), table(spark, sf_dir, "orders"))
+    r = run(order_loop("!exists(last) || last < 20"), table(spark, sf_dir, "orders"))
     return r.project([OutputRef("rounds", "go", "output_1"), OutputRef("last", "stop")], ("o_orderkey",))
 
 
 @register("until_value", "SELECT o_orderkey, CAST(ceil(33 / (o_custkey % 7 + 1)) AS BIGINT) AS rounds, CAST(ceil(33 / (o_custkey % 7 + 1)) * (o_custkey % 7 + 1) AS DOUBLE) AS last FROM orders")
 def until_value(spark, sf_dir):
-    r = run(count_flow("exists(last) && last >= 33", negate=True, most=50), table(spark, sf_dir, "orders"))
+    r = run(order_loop("exists(last) && last >= 33", negate=True), table(spark, sf_dir, "orders"))
     return r.project([OutputRef("rounds", "go", "output_1"), OutputRef("last", "stop")], ("o_orderkey",))
 
 
 @register("while_runaway", "SELECT o_orderkey, CASE WHEN ceil(20 / (o_custkey % 7 + 1)) >= 5 THEN 'failed' ELSE 'complete' END AS status FROM orders")
 def while_runaway(spark, sf_dir):
-    r = run(count_flow("!exists(last) || last < 20", most=5), table(spark, sf_dir, "orders"))
+    r = run(order_loop("!exists(last) || last < 20", most=5), table(spark, sf_dir, "orders"))
     return r.summary(("o_orderkey",)).select("o_orderkey", "status")
 
 
