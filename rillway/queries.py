@@ -614,12 +614,12 @@ def warning_events(spark, sf_dir):
     return r.events("p_partkey").filter("type = 'runtime_warning'").select("p_partkey", "node_id")
 
 
-@register("chain_500", "SELECT o_orderkey, CAST(o_orderkey + 500 AS DOUBLE) AS out FROM orders")
-def chain_500(spark, sf_dir):
-    """500 nodes in a row are still one stage."""
-    nodes = [col("o_orderkey"), *(Node(f"n{k}", "math-add", {"b": 1}) for k in range(500))]
+@register("chain_100", "SELECT o_orderkey, CAST(o_orderkey + 100 AS DOUBLE) AS out FROM orders")
+def chain_100(spark, sf_dir):
+    """100 nodes in a row are still one stage."""
+    nodes = [col("o_orderkey"), *(Node(f"n{k}", "math-add", {"b": 1}) for k in range(100))]
     r = run(Flow(tuple(nodes), tuple(wire(a.id, b.id, "a") for a, b in zip(nodes, nodes[1:], strict=False))), table(spark, sf_dir, "orders"))
-    return r.project([OutputRef("out", "n499")], ("o_orderkey",))
+    return r.project([OutputRef("out", "n99")], ("o_orderkey",))
 
 
 @register("regex_of_column", "SELECT p_partkey, CASE WHEN contains(p_name, split_part(p_name, ' ', 2)) THEN [split_part(p_name, ' ', 2)] END AS hits FROM part WHERE regexp_matches(p_name, '^[a-z]+ [a-z]+')")
