@@ -14,6 +14,7 @@ from rillway.llm.mixing import mix
 from rillway.llm.near_dedup import near_dedup
 from rillway.llm.quality import quality
 from rillway.llm.suffix_dedup import suffix_dedup
+from rillway.llm.turns import repair
 from rillway.llm.url_filter import url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,6 +71,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """conversations with the faults that the query plants by crc32 of `conv_id:turn`."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat_ws(":", *shown).cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    held = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), text.alias("text"), kind.alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    held = held.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), "kind")
+    copies = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1)
+    return held.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).drop("kind", "copy")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    done = repair(damaged(rows))
+    text = F.array_join(F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    done = done.select(F.col("conv_id").alias("own"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", text.alias("repaired"))
+    every = rows.select("conv_id").distinct().join(done, F.col("conv_id").eqNullSafe(F.col("own")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("repaired", F.lit("")), 256).alias("repaired_sha256"))
+
+
 # The columns of op4, op6, op7 and op8 that SQL can state, from the same queries.
 
 
@@ -100,12 +123,20 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_turn_repair": op13_turn_repair,
     "imatch_base": imatch_base,
     "license_scan_base": license_scan_base,
     "quality_rules_base": quality_rules_base,
     "secret_scan_base": secret_scan_base,
 }
 
+
+
+def _edit(held: str, cost: int | str, edit: str) -> str:
+    """SQL of a repair (nine digits of cost, then its audit) with one edit more."""
+    return f"(printf('%09d', CAST(substr({held}, 1, 9) AS INTEGER) + {cost}) || substr({held}, 10) || '{edit}')"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -139,6 +170,42 @@ ORACLE_SQL: dict[str, str] = {
                 FROM documents LEFT JOIN drops ON documents.source IS NOT DISTINCT FROM drops.source)
         SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
                sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256 FROM cut""",
+    "op13_turn_repair": r"""
+        WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) + 1),
+                       lambda i: CAST(ascii(substr(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), i, 1)) AS BIGINT))),
+                       lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda r, x: xor(r >> 1, 3988292384 * (r & 1))))) % 20 AS kind FROM conversations),
+        d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+        f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+                     CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+                          WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault FROM d),
+        r AS (SELECT *, substr(role, 1, 1) AS i, coalesce(fault IN ('blank', 'duplicate'), false) AS bad, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS t FROM f),
+        -- nine digits of cost, then the audit, of the least repair so far at each place of the grammar: nothing yet, after s, after u, after a
+        walk(conv_id, n, z, s, u, a) AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '000000000', '900000000', '000000002I', '000000004II' FROM d
+            UNION ALL
+            SELECT conv_id, n, dz, ds, iu, least(da, """ + _edit("iu", 2, "I") + r""")
+            FROM (SELECT *, least(du, """ + _edit("least(dz, ds, da)", 2, "I") + r""") AS iu
+                  FROM (SELECT w.conv_id, r.n, """ + _edit("z", 3, "D") + r""" AS dz,
+                               least(""" + _edit("s", 3, "D") + r""", CASE WHEN NOT bad AND i = 's' THEN """ + _edit("z", "t", "K") + r""" ELSE '900000000' END) AS ds,
+                               least(""" + _edit("u", 3, "D") + r""", CASE WHEN bad THEN '900000000' WHEN i = 'u' THEN """ + _edit("least(z, s, a)", "t", "K") + r""" ELSE """ + _edit("least(z, s, a)", "2 + t", "R") + r""" END) AS du,
+                               least(""" + _edit("a", 3, "D") + r""", CASE WHEN bad THEN '900000000' WHEN i = 'a' THEN """ + _edit("u", "t", "K") + r""" ELSE """ + _edit("u", "2 + t", "R") + r""" END) AS da
+                        FROM walk w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.n = w.n + 1))),
+        plan AS (SELECT conv_id, CAST(substr(arg_max(least(z, a), n), 1, 9) AS BIGINT) AS cost, substr(arg_max(least(z, a), n), 10) AS audit FROM walk GROUP BY conv_id),
+        edits AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM plan),
+        e AS (SELECT conv_id, j, substr(audit, j, 1) AS edit, length(replace(substr(audit, 1, j), 'I', '')) AS n, length(replace(substr(audit, 1, j), 'D', '')) AS place FROM edits),
+        m AS (SELECT e.*, r.role, r.text, r.i, bool_or(edit = 'K' AND r.i = 's') OVER (PARTITION BY e.conv_id) AS system FROM e LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.n = e.n),
+        made AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place + CASE WHEN system THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS repaired
+                 FROM m WHERE edit <> 'D' GROUP BY conv_id),
+        pairs AS (SELECT conv_id, i || lead(i) OVER (PARTITION BY conv_id ORDER BY n) AS pair FROM r),
+        bad AS (SELECT conv_id, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id),
+        counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+                          count(*) FILTER (WHERE fault = 'truncated') AS truncated FROM r GROUP BY conv_id)
+        SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+               CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN bad ON bad.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN plan ON plan.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN made ON made.conv_id IS NOT DISTINCT FROM o.conv_id""",
     "imatch_base": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         n AS (SELECT doc_id, t, length(t) // 2 AS half, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS next FROM d)
