@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway.llm import bpe, secrets
@@ -12,6 +12,7 @@ from rillway.llm.licenses import license_scan
 from rillway.llm.line_dedup import line_dedup
 from rillway.llm.mixing import mix
 from rillway.llm.near_dedup import near_dedup
+from rillway.llm.periodic import find_runs
 from rillway.llm.quality import quality
 from rillway.llm.suffix_dedup import suffix_dedup
 from rillway.llm.turns import repair
@@ -71,6 +72,31 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """documents where, by crc32 of the id, one in ten repeats the words from some place on with some period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def again(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    made = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, again(w))), 0)
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(made, "text")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(looped(table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    longer = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.aggregate("runs", none, longer).alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period AS exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """conversations with the faults that the query plants by crc32 of `conv_id:turn`."""
     shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
@@ -123,6 +149,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_turn_repair": op13_turn_repair,
     "imatch_base": imatch_base,
     "license_scan_base": license_scan_base,
