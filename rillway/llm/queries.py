@@ -12,6 +12,7 @@ from rillway.llm.licenses import license_scan
 from rillway.llm.line_dedup import line_dedup
 from rillway.llm.mixing import mix
 from rillway.llm.near_dedup import near_dedup
+from rillway.llm.packing import pack
 from rillway.llm.periodic import find_runs
 from rillway.llm.quality import quality
 from rillway.llm.suffix_dedup import suffix_dedup
@@ -19,6 +20,7 @@ from rillway.llm.turns import repair
 from rillway.llm.url_filter import url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
@@ -72,6 +74,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), TOKENIZER)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_id")
+
+
 def looped(docs: DataFrame) -> DataFrame:
     """documents where, by crc32 of the id, one in ten repeats the words from some place on with some period."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -149,6 +156,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_pack_sequences": op11_pack_sequences,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_turn_repair": op13_turn_repair,
     "imatch_base": imatch_base,
