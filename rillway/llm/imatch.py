@@ -9,13 +9,16 @@ up to max_listed terms it is one list in the plan, which Spark turns into a hash
 it as a table, with the same results.
 
 Defined results: a null text counts as empty; a text with under FEW lexicon terms is hashed by all its distinct terms,
-one without terms by itself, so that different texts differ; equal texts have equal fingerprints, whatever their ids;
+one without terms by itself, so that different texts differ (likeness counts only the terms that lie in a subset, so
+short texts may be alike by the one or two they have there though others changed); equal texts have equal fingerprints, whatever their ids;
 long texts are taken whole; null ids come first, and ties of ids are ordered by the text's hash; ids that are ordered
 (imatch_edited) are numbers; other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,20 +69,28 @@ class Lexicon:
         return rows.withColumn(out, F.sort_array(F.when(F.size("_held") >= FEW, F.col("_held")).otherwise(F.col("_all")))).drop("_all", "_held")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def fingerprint(terms: str, text: Column) -> Column:
     """whole: the hash of a text's sorted term hashes; subsets: one for each subset with a term of the text, ascending,
-    its first bits being the subset's slot. Sorted hashes come slot by slot, so one fold finds all subsets."""
-    ended = lambda s: F.when(s["slot"] < 0, s["done"]).otherwise(F.concat(s["done"], F.array(F.shiftleft(s["slot"].cast("long"), SLOT_SHIFT).bitwiseOR(F.shiftrightunsigned(s["hash"], 64 - SLOT_SHIFT)))))
-    state = lambda slot, hash_, done: F.struct(slot.alias("slot"), hash_.alias("hash"), done.alias("done"))
+    its first bits being the subset's slot. Sorted hashes come slot by slot, so each subset is a slice."""
+    slot = lambda x: F.shiftright(x, SLOT_SHIFT)
+
+    def subsets(own: Column) -> Column:
+        n = F.size(own)
+        heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (slot(F.get(own, i)) != slot(F.get(own, i - 1))))
+
+        def hashed(heads: Column) -> Column:
+            part = lambda h, k: F.xxhash64(F.slice(own, h + 1, F.coalesce(F.get(heads, k + 1), n) - h))
+            return F.transform(heads, lambda h, k: F.shiftleft(slot(F.get(own, h)), SLOT_SHIFT).bitwiseOR(F.shiftrightunsigned(part(h, k), 64 - SLOT_SHIFT)))
 
-    def step(s: Column, x: Column) -> Column:
-        slot = F.shiftright(x, SLOT_SHIFT).cast("int")
-        return F.when(slot == s["slot"], state(slot, F.xxhash64(s["hash"], x), s["done"])).otherwise(state(slot, F.xxhash64(x), ended(s)))
+        return F.when(n > 0, _bound(heads, hashed)).otherwise(F.array().cast("array<bigint>"))
 
-    start = state(F.lit(-1), F.lit(0).cast("long"), F.array().cast("array<bigint>"))
-    subsets = F.aggregate(F.filter(terms, lambda x: x >= 0), start, step, ended)
     whole = F.when(F.size(terms) > 0, F.xxhash64(terms)).otherwise(F.xxhash64(text))
-    return F.struct(whole.alias("whole"), subsets.alias("subsets"))
+    return F.struct(whole.alias("whole"), _bound(F.filter(terms, lambda x: x >= 0), subsets).alias("subsets"))
 
 
 def shown(prints: str) -> Column:

@@ -312,3 +312,20 @@ def test_host_of_many_labels(spark):
     url = "http://" + "a." * 20_000 + "example.com/en/"
     found = url_filter.url_filter(spark.createDataFrame([(1, url)], "page_id long, url string"), RULES).first()
     assert (found["rule"], found["verdict"]) == ("example.com/en/", "block")
+
+
+@pytest.mark.parametrize("ids", ["null", "rows"])
+def test_mix_meets_its_targets_whatever_the_ids(spark, ids):
+    """Sources with a third null ids, one id on half the rows, or many equal rows come within a document of their target."""
+    rows = []
+    for s in range(3):
+        for i in range(900):
+            key = None if ids == "null" and i % 3 == 0 else 7 if ids != "null" and i % 2 else 10_000 * s + i
+            rows.append((key, f"s{s}", "same words in each row" if ids == "rows" and i % 2 else " ".join(["w"] * (i % 40)) + f" {i % 700}", i))
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, cell int").repartition(5)
+    got = mixing.mix(df)
+    assert got.columns == ["doc_id", "source", "text", "cell", *mixing.RESULTS] and got.count() == len(rows)
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).collect():
+        assert abs(r["taken"] - r["target"]) <= 40 and r["most"] <= 2
+    again = sorted(map(str, mixing.mix(df.repartition(3)).select("doc_id", "source", "text", "taken").collect()))
+    assert again == sorted(map(str, got.select("doc_id", "source", "text", "taken").collect()))
