@@ -339,6 +339,9 @@ class _Builder:
         if isinstance(op, ast.In):
             return Value(self.within(b, a), T.BooleanType())
         a, b = self.alike(a, b)
+        if _is(a, T.NullType) or _is(b, T.NullType):  # known to be null: a fault of the rows that come to it
+            self.fail(F.lit(True), f"can't order {a.kind.simpleString()} and {b.kind.simpleString()}")
+            return Value(F.lit(None).cast("boolean"), T.BooleanType())
         if not (_is(a, _NUM) and _is(b, _NUM)) and type(a.kind) is not type(b.kind):
             raise ExpressionTypeError(f"can't order {a.kind.simpleString()} and {b.kind.simpleString()}")
         made = {ast.Lt: Column.__lt__, ast.LtE: Column.__le__, ast.Gt: Column.__gt__, ast.GtE: Column.__ge__}.get(type(op))
@@ -416,7 +419,10 @@ class _Builder:
         raise ExpressionError(f"unknown method {name}")
 
 
-def _size(_, x: Value) -> Value:
+def _size(build: _Builder, x: Value) -> Value:
+    if _is(x, T.NullType):  # known to be null: a fault of the rows that come to it
+        build.fail(F.lit(True), "size needs text, a list or a map")
+        return Value(F.lit(None).cast("long"), T.LongType())
     if _is(x, T.StringType):
         return Value(F.length(x.column).cast("long"), T.LongType())
     if _is(x, T.ArrayType, T.MapType):

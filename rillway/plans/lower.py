@@ -12,7 +12,7 @@ from __future__ import annotations
 import inspect
 import json
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -27,6 +27,7 @@ from rillway.functions.expression import Value
 from rillway.functions.values import number, strip, text, truthy
 from rillway.model import CompilationError, Edge, FlowError, Node, layers
 from rillway.operators.standard import Maybe
+from rillway.plans import events as E
 from rillway.plans.compile import MAX_DEPTH, Compiled, Region, compile_flow, guards_of
 from rillway.registry import NOTHING, Input, Operator
 from rillway.tables import cut
@@ -34,9 +35,11 @@ from rillway.types import spark_type
 
 #: Items that a loop takes of its list, and rounds that a while loop may make.
 MAX_ITEMS, MAX_ROUNDS = 1000, 1000
+#: While loops are folded in blocks of so many rounds, or blocks.
+ROUNDS_AT_ONCE = 10
+#: Handles of loop starts that tell about the loop.
+OWN_HANDLES = ("truncated", "warning", "lengths", "total")
 FAN_IN = "\n\n"
-#: How the fault of an input begins that can't be made its type.
-INVALID = "invalid "
 STORE = T.MapType(T.StringType(), T.StringType())
 
 
@@ -55,12 +58,21 @@ class Handle:
 
 @dataclass(frozen=True)
 class Placed:
-    """A node where later nodes can read it."""
+    """A node where later nodes can read it. named: its fault begins with the id of the node that failed, as a loop's does.
+    safe: it can't fail. progress: how many of a loop's rounds ended well, and of how many; events: those of its rounds."""
 
     handles: dict[str, Handle]
     live: Column
     fault: Column
     taken: Column | None = None
+    named: bool = False
+    safe: bool = False
+    progress: tuple[Column, Column] | None = None
+    events: Column | None = None
+
+    def told(self, node_id: str) -> Column:
+        """The fault with the id of the node that failed; null if none did."""
+        return self.fault if self.named else F.when(self.fault.isNotNull(), F.concat(F.lit(f"{node_id}: "), self.fault))
 
     def handle(self, name: str) -> Handle:
         if name not in self.handles and name == "result" and "output_1" in self.handles:
@@ -170,6 +182,7 @@ class Lowering:
     cache: dict[str, Any] = field(default_factory=dict)
     effects: bool = False
     retry: dict[str, tuple[int, float]] = field(default_factory=dict)
+    trace: bool = False
 
     # -- reading inputs ------------------------------------------------------------------------------------------
 
@@ -234,7 +247,7 @@ class Lowering:
                 raise CompilationError([f"{node.id} gets no value for {spec.name}"])
             value, fault = (value, None) if spec.gathers else coerce(value, spec.type)
             if fault is not None:
-                faults.append(F.concat(F.lit(f"{INVALID}{spec.label or spec.name}: "), fault))
+                faults.append(F.concat(F.lit(f"{E.INVALID}{spec.label or spec.name}: "), fault))
             out[spec.name] = value
         # All inputs that don't fit are named at once.
         return out, [F.nullif(F.concat_ws("; ", *faults), F.lit(""))] if faults else []
@@ -289,7 +302,7 @@ class Lowering:
             if not goes_on:
                 alive = alive & why.isNull()
                 handles = {k: Handle(h.value, h.live & why.isNull()) for k, h in handles.items()}
-        return Placed(handles, alive, fault, taken)
+        return Placed(handles, alive, fault, taken, safe=not faults and taken is None)
 
     def native(self, node: Node, env: Env) -> Placed:
         op = self.compiled.operators[node.id]
@@ -305,23 +318,38 @@ class Lowering:
             faults = [*faults, fault]
         return self.finish(node, op, op.expr(inputs), live, faults, env)
 
-    def store_in(self, node_id: str, placed: Placed) -> tuple[list[Column], Placed]:
-        """The node's columns, and the node read back from them."""
+    def store_in(self, node_id: str, placed: Placed, row: Column | None = None) -> tuple[list[Column], Placed]:
+        """The node's columns, and the node read back from them: from the table, or from a struct that has them."""
         name = self.prefix + node_id
-        at = lambda f: F.col(f"`{name}__{f}`")
-        columns, handles = [], {}
+        return self.columns_of(name, placed), self.read_back(name, placed, lambda f: F.col(f"`{f}`") if row is None else row[f])
+
+    def columns_of(self, name: str, placed: Placed) -> list[Column]:
+        columns = []
         for h, x in placed.handles.items():
             void = isinstance(x.value.kind, T.NullType)
-            kind = T.StringType() if void else x.value.kind
-            columns.append((x.value.column.cast(kind) if void else x.value.column).alias(f"{name}__v_{h}"))
-            own = x.live is not placed.live
-            if own:
+            columns.append((x.value.column.cast("string") if void else x.value.column).alias(f"{name}__v_{h}"))
+            if x.live is not placed.live:
                 columns.append(x.live.alias(f"{name}__l_{h}"))
-            handles[h] = Handle(Value(at(f"v_{h}"), kind), at(f"l_{h}" if own else "live"))
         columns += [F.coalesce(placed.live, F.lit(False)).alias(f"{name}__live"), placed.fault.alias(f"{name}__fault")]
         if placed.taken is not None:
             columns.append(placed.taken.alias(f"{name}__taken"))
-        return columns, Placed(handles, at("live"), at("fault"), at("taken") if placed.taken is not None else None)
+        if placed.progress is not None:
+            columns += [placed.progress[0].cast("long").alias(f"{name}__at"), placed.progress[1].cast("long").alias(f"{name}__of")]
+        if placed.events is not None:
+            columns.append(placed.events.alias(f"{name}__events"))
+        return columns
+
+    def read_back(self, name: str, placed: Placed, get: Callable[[str], Column]) -> Placed:
+        at = lambda f: get(f"{name}__{f}")
+        live = at("live")
+        handles = {}
+        for h, x in placed.handles.items():
+            kind = T.StringType() if isinstance(x.value.kind, T.NullType) else x.value.kind
+            handles[h] = Handle(Value(at(f"v_{h}"), kind), live if x.live is placed.live else at(f"l_{h}"))
+        return replace(
+            placed, handles=handles, live=live, fault=at("fault"), taken=at("taken") if placed.taken is not None else None,
+            progress=(at("at"), at("of")) if placed.progress is not None else None, events=at("events") if placed.events is not None else None,
+        )
 
     # -- Python operators ----------------------------------------------------------------------------------------
 
@@ -389,11 +417,105 @@ class Lowering:
         return any(self.compiled.operators[i].fn is not None for i in region.body)
 
     def _body(self, region: Region, env: Env) -> Env:
-        """The body's nodes in a copy of env, as expressions."""
+        """The body's nodes in a copy of env, as plain expressions: for compounds of one's own that make one round."""
         inner = dict(env)
         self.expressions(self.region(region), inner)
         return inner
 
+    def bound(self, nodes: list[Node], env: Env, close: Callable[[Env, Column, Column], Column]) -> Column:
+        """close(env with the nodes placed, the first fault, events) as one nested expression in which each layer is bound to
+        a struct, so that what several nodes read is computed once. A fault stops what follows unless its node's policy
+        is `continue`."""
+        units = self._units(nodes)
+
+        def layer(k: int, env: Env, fault: Column, told: Column) -> Column:
+            if k == len(units):
+                return close(env, fault, told)
+            placed: dict[str, Placed] = {}
+            loops = []
+            for node in units[k]:
+                op = self.compiled.operators[node.id]
+                if op.pauses or op.fn is not None or op.place is not None:
+                    raise CompilationError([f"{node.id} ({op.id}) can't run inside a native loop"])
+                if op.region in ("for-each", "while") and op.compound is None:
+                    loops.append((node, *self._rounds_of(self.compiled.regions[node.id], env)))
+                elif _holds_others(op):
+                    placed |= self._place_region(node, env, None)[1]
+                elif op.expr is not None or op.base_id == "column":
+                    placed[node.id] = self.native(node, env)
+            if not loops:
+                return settle(k, env, fault, told, placed)
+            held = F.struct(*[c.alias(f"r{i}") for i, (_, c, _) in enumerate(loops)])
+
+            def ended(b: Column) -> Column:
+                more = dict(placed)
+                for i, (node, _, end_of) in enumerate(loops):
+                    first, end = end_of(b[f"r{i}"])
+                    more |= {node.id: first, self.compiled.regions[node.id].end: end}
+                return settle(k, env, fault, told, more)
+
+            return _once(held, ended)
+
+        def settle(k: int, env: Env, fault: Column, told: Column, placed: dict[str, Placed]) -> Column:
+            failing = [p.told(i) for i, p in placed.items() if not p.safe and self._stops(i)]
+            single = all(p.safe and self._readers(i) < 2 for i, p in placed.items())
+            if single and not self.trace:
+                return layer(k + 1, {**env, **placed}, fault, told)
+            columns, read = [], {}
+            for i, p in placed.items():
+                columns += self.columns_of(self.prefix + i, p)
+                read[i] = p
+            if failing:
+                columns.append(F.coalesce(fault, *failing).alias("fault_"))
+            if self.trace:
+                mine = [E.some(fault.isNull(), self.story(i, p)) for i, p in placed.items()]
+                columns.append(F.concat(told, *mine).alias("told_"))
+
+            def rest(b: Column) -> Column:
+                inner = {**env, **{i: self.read_back(self.prefix + i, p, lambda f: b[f]) for i, p in read.items()}}
+                return layer(k + 1, inner, b["fault_"] if failing else fault, b["told_"] if self.trace else told)
+
+            return _once(F.struct(*columns), rest)
+
+        return layer(0, env, F.lit(None).cast("string"), E.none() if self.trace else F.lit(None))
+
+    def _stops(self, node_id: str) -> bool:
+        """Whether a fault of the node ends the run."""
+        flow = self.compiled.flow
+        own = [node_id, *(r.start for r in self.compiled.regions.values() if r.end == node_id)]
+        return not any(flow.policy(n) == "continue" for n in flow.nodes if n.id in own)
+
+    def _readers(self, node_id: str) -> int:
+        flow = self.compiled.flow
+        return sum(e.source == node_id for e in flow.edges) + sum(p == node_id for n in flow.nodes for p, _ in (n.consumes or {}).values())
+
+    def story(self, node_id: str, p: Placed, between: tuple[Column, ...] = (), **start: Column) -> Column:
+        """The events of a node: node_start, what lies between, node_complete or node_error; or node_skipped."""
+        parts = list(between)
+        if "truncated" in p.handles:
+            told = p.handles["truncated"].value.column
+            parts.append(E.some(told.isNotNull(), F.array(E.event("runtime_warning", node_id, error=told, warning=p.handles["warning"].value.column, payload=p.handles["lengths"].value.column))))
+        if p.events is not None:
+            parts.append(F.coalesce(p.events, E.none()))
+        elif p.progress is not None:
+            parts.append(E.progress(node_id, *p.progress))
+        extra = {}
+        if node_id in self.cache:
+            extra["cached"] = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNotNull() for c in self.cache[node_id].values()])
+        shown = {h: x for h, x in p.handles.items() if h not in OWN_HANDLES}
+        if shown:
+            extra["result"] = F.to_json(F.struct(*[F.when(x.live, x.value.column).alias(h) for h, x in shown.items()]))
+        ended = F.when(p.fault.isNotNull(), E.event("node_error", node_id, **E.wrong(p.fault))).otherwise(E.event("node_complete", node_id, **extra))
+        happened = F.concat(F.array(E.event("node_start", node_id, **start)), *parts, F.array(ended))
+        return F.when(p.live | p.fault.isNotNull(), happened).otherwise(F.array(E.event("node_skipped", node_id)))
+
+    def calls(self, node_id: str) -> tuple[Column, ...]:
+        """The events of a Python node's further attempts, read from the column of its calls."""
+        if node_id not in self.retry:
+            return ()
+        call, (most, delay) = f"{self.prefix}{node_id}__call", self.retry[node_id]
+        return (E.retries(node_id, most, delay, F.coalesce(F.col(f"`{call}`.attempts_"), F.lit(1)), F.col(f"`{call}`.errors_")),)
+
     def _slots(self, region: Region, env: Env) -> list[Handle]:
         """One collected slot for each distinct source handle wired to the end, in edge order."""
         edges = {(e.source, e.out): e for e in self.compiled.flow.incoming(region.end)}
@@ -409,142 +531,260 @@ class Lowering:
             values = [literal(node.data.get("items"))]
         return [_as_items(v) for v in values]
 
+    def _rounds_of(self, region: Region, env: Env) -> tuple[Column, Callable[[Column], tuple[Placed, Placed]]]:
+        """A native loop's rounds as one expression, and what makes its start and end from them."""
+        return (self._each if region.kind == "for-each" else self._while)(region, env)
+
+    def native_loop(self, region: Region, env: Env, df: DataFrame) -> tuple[DataFrame, Placed, Placed]:
+        made, end_of = self._rounds_of(region, env)
+        name = f"{self.prefix}{region.end}__rounds"
+        live = self.live(self.compiled.flow.by_id[region.start], env)
+        df = df.select("*", F.when(live, made).alias(name))
+        return df, *end_of(F.col(f"`{name}`"))
+
     def for_each(self, region: Region, env: Env, df: DataFrame | None) -> tuple[DataFrame | None, Placed, Placed]:
+        if not self._needs_rows(region):
+            return self.native_loop(region, env, df)
+        if df is None or df.isStreaming:
+            raise CompilationError([f"{region.start}: a loop with Python operators can't lie inside a native loop or on a stream"])
+        zipped, placed_start, end_of = self._list(region, env)
+        df, rounds = self._exploded(region, df, zipped, env, placed_start, end_of.kinds)
+        return df, *end_of(rounds)
+
+    def _out(self, region: Region, kinds: list[T.DataType]) -> Callable[[Env, Column, Column], Column]:
+        """A for-each round's result: values and liveness of its slots, its fault, and its events if they are traced."""
+
+        def out(env: Env, fault: Column, told: Column) -> Column:
+            got = self._slots(region, env)
+            kinds[:] = [h.value.kind for h in got]
+            fields = [c for i, h in enumerate(got) for c in (h.value.column.alias(f"v{i}"), F.coalesce(h.live, F.lit(False)).alias(f"l{i}"))]
+            return F.struct(*fields, fault.alias("fault"), *([told.alias("events")] if self.trace else []))
+
+        return out
+
+    def _each(self, region: Region, env: Env) -> tuple[Column, Callable]:
+        zipped, placed_start, end_of = self._list(region, env)
+        step = lambda item, index: self.bound(self.region(region), {**env, region.start: placed_start(item, index)}, self._out(region, end_of.kinds))
+        return F.transform(zipped, step), end_of
+
+    def _list(self, region: Region, env: Env) -> tuple[Column, Callable, Callable]:
+        """What a for-each loop goes over, zipped; the start as a round's nodes see it; and its end from its rounds.
+
+        The rounds up to the first that failed count; then the loop has failed, with the fault of the node in its body,
+        unless the start's policy is `continue`."""
         start = self.compiled.flow.by_id[region.start]
         live = self.live(start, env)
         items = self._items(region, env)
         most = int(start.data.get("max_items", MAX_ITEMS))
-        shortest = F.least(*[F.size(v.column) for v in items]) if len(items) > 1 else F.size(items[0].column)
+        sizes = [F.size(v.column) for v in items]
+        shortest = F.least(*sizes) if len(items) > 1 else sizes[0]
         short = F.least(shortest, F.lit(most))
         zipped = F.arrays_zip(*[F.slice(v.column, F.lit(1), F.greatest(short, F.lit(0))).alias(f"x{i}") for i, v in enumerate(items)])
-        longest = F.greatest(*[F.size(v.column) for v in items]) if len(items) > 1 else F.size(items[0].column)
-        told = [F.when(shortest > most, F.concat(F.lit(f"the first {most} of "), shortest.cast("string"), F.lit(" items are taken")))]
-        if len(items) > 1:
-            told.insert(0, F.when(longest != shortest, F.lit("lists of unequal length: the shortest counts")))
-        truncated = F.when(live, F.coalesce(*told))
+        longest = F.greatest(*sizes) if len(items) > 1 else sizes[0]
+        uneven, over = (longest != shortest) if len(items) > 1 else F.lit(False), shortest > most
+        truncated = F.when(live, F.when(uneven, F.lit("lists of unequal length: the shortest counts")).when(over, F.concat(F.lit(f"the first {most} of "), shortest.cast("string"), F.lit(" items are taken"))))
+        warning = F.when(live, F.when(uneven, "zip_length_mismatch").when(over, "items_truncated"))
+        lengths = F.when(uneven | over, F.to_json(F.struct(F.array(*sizes).alias("lengths"), F.greatest(short, F.lit(0)).alias("taken"))))
 
         def placed_start(item: Column, index: Column) -> Placed:
             handles = {"output_1": Handle(Value(item["x0"], items[0].kind.elementType), F.lit(True)), "output_2": Handle(Value((index + 1).cast("long"), T.LongType()), F.lit(True))}
             handles |= {f"output_{i + 2}": Handle(Value(item[f"x{i}"], v.kind.elementType), F.lit(True)) for i, v in enumerate(items) if i}
-            return Placed(handles, F.lit(True), F.lit(None).cast("string"))
-
-        def slots_of(inner: Env) -> tuple[list[Value], Column]:
-            got = self._slots(region, inner)
-            return [h.value for h in got], F.struct(*[c for i, h in enumerate(got) for c in (h.value.column.alias(f"v{i}"), F.coalesce(h.live, F.lit(False)).alias(f"l{i}"))])
+            return Placed(handles, F.lit(True), F.lit(None).cast("string"), safe=True)
 
         kinds: list[T.DataType] = []
-        if self._needs_rows(region):
-            if df is None or df.isStreaming:
-                raise CompilationError([f"{region.start}: a loop with Python operators can't lie inside another loop or on a stream"])
-            df, mapped, kinds = self._exploded(region, df, zipped, env, placed_start, slots_of)
-        else:
-            def step(item: Column, index: Column) -> Column:
-                values, out = slots_of(self._body(region, {**env, region.start: placed_start(item, index)}))
-                kinds[:] = [v.kind for v in values]
-                return out
-
-            mapped = F.transform(zipped, step)
-            if df is not None:
-                df = df.select("*", F.when(live, mapped).alias(f"{self.prefix}{region.end}__rounds"))
-                mapped = F.col(f"`{self.prefix}{region.end}__rounds`")
-        lists = {}
-        for i, kind in enumerate(kinds):
-            kept = _slot(mapped, i)
-            lists[f"output_{i + 1}"] = Handle(Value(F.when(live, F.coalesce(kept, F.array().cast(T.ArrayType(kind)))), T.ArrayType(kind)), live)
-        end = Placed({"result": lists["output_1"], **lists}, live, F.lit(None).cast("string"))
-        taken = Value(F.when(live, F.greatest(short, F.lit(0))).cast("long"), T.LongType())
-        first = Placed({"result": Handle(items[0], live), "truncated": Handle(Value(truncated, T.StringType()), live), "total": Handle(taken, live)}, live, F.lit(None).cast("string"))
-        return df, first, end
-
-    def _exploded(self, region, df, zipped, env, placed_start, slots_of):
+        goes_on = not self._stops(region.start)
+
+        def end_of(rounds: Column) -> tuple[Placed, Placed]:
+            failed = F.get(F.filter(rounds, lambda r: r["fault"].isNotNull()), F.lit(0))["fault"]
+            fault = F.when(live, failed)
+            if self.on_fault == "raise":
+                fault = F.when(fault.isNotNull(), F.raise_error(fault).cast("string"))
+            good = fault.isNull()
+            alive = live if goes_on else live & good
+            lists = {}
+            for i, kind in enumerate(kinds):
+                kept = F.coalesce(_slot(rounds, i), F.array().cast(T.ArrayType(kind)))
+                lists[f"output_{i + 1}"] = Handle(Value(F.when(live & good, kept), T.ArrayType(kind)), alive)
+            total = F.greatest(short, F.lit(0))
+            at = F.when(good, total).otherwise(F.array_position(F.transform(rounds, lambda r: r["fault"].isNotNull()), True) - 1)
+            story = None
+            if self.trace:
+                step = lambda r, k: F.concat(r["events"], E.some(r["fault"].isNull(), F.array(E.event("node_progress", region.end, current=k + 1, total=total))))
+                story = F.flatten(F.transform(F.slice(rounds, F.lit(1), F.greatest(F.least(at + 1, F.size(rounds)), F.lit(0)).cast("int")), step))
+            end = Placed({"result": lists["output_1"], **lists}, alive, fault, named=True, progress=(F.when(live, at), F.when(live, total)), events=story)
+            shown = {"truncated": (truncated, T.StringType()), "warning": (warning, T.StringType()), "lengths": (lengths, T.StringType()), "total": (F.when(live, total).cast("long"), T.LongType())}
+            first = Placed({"result": Handle(items[0], alive), **{h: Handle(Value(c, k), live) for h, (c, k) in shown.items()}}, alive, fault, named=True)
+            return first, end
+
+        end_of.kinds = kinds
+        return zipped, placed_start, end_of
+
+    def _exploded(self, region, df, zipped, env, placed_start, kinds):
         """The loop over exploded rows, for bodies with Python operators: one row per item, collected by a number that
         each row gets in a table of its own, so that rows of equal or null keys stay apart and what lies before the loop
-        takes effect once."""
-        row = f"{self.prefix}{region.start}__row"
+        takes effect once. Loops nest: each has columns of its own."""
+        own = f"{self.prefix}{region.start}__"
+        row, place, item = f"{own}row", f"{own}pos", f"{own}item"
         held = cut(df.withColumn(row, F.monotonically_increasing_id()))
-        rows = held.select("*", F.posexplode(zipped).alias("_pos", "_item"))
-        inner = replace(self, env=dict(env), prefix=f"{self.prefix}{region.start}__", waits=[], done=set())
-        inner.env[region.start] = placed_start(F.col("_item"), F.col("_pos"))
+        rows = held.select("*", F.posexplode(zipped).alias(place, item))
+        inner, rows = self._inside(region, rows, {**env, region.start: placed_start(F.col(f"`{item}`"), F.col(f"`{place}`"))})
+        out = self._ended(inner, region, self._out(region, kinds))
+        taken = rows.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(f"`{place}`").alias("at"), out.alias("s")))), lambda x: x["s"]).alias(f"{self.prefix}{region.end}__rounds"))
+        return held.join(taken, row, "left").drop(row), F.col(f"`{self.prefix}{region.end}__rounds`")
+
+    def _inside(self, region: Region, rows: DataFrame, env: Env) -> tuple[Lowering, DataFrame]:
+        """The body's nodes placed as columns of rows."""
+        inner = replace(self, env=dict(env), prefix=f"{self.prefix}{region.start}__", waits=[], done=set(), retry={})
         rows = inner.rows(rows, self.region(region))
         self.effects = True
-        values, out = slots_of(inner.env)
-        taken = rows.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", out.alias("s")))), lambda x: x["s"]).alias(f"{self.prefix}{region.end}__rounds"))
-        return held.join(taken, row, "left").drop(row), F.col(f"`{self.prefix}{region.end}__rounds`"), [v.kind for v in values]
+        return inner, rows
+
+    def _ended(self, inner: Lowering, region: Region, close: Callable) -> Column:
+        """close() over a body that lies in columns: its first fault and its events."""
+        mine = {i: p for i, p in inner.env.items() if i in inner.done}
+        faults = [p.told(i) for i, p in mine.items() if self._stops(i)]
+        told = F.lit(None)
+        if self.trace:
+            # What lies behind a node that failed didn't happen; a loop's end is told with its start.
+            parts, before = [E.none()], {}
+            starts = {r.end: r.start for r in self.compiled.regions.values()}
+            for i, p in mine.items():
+                ahead = [f for n, f in before.items() if n != starts.get(i)]
+                story = inner.story(i, p, inner.calls(i))
+                parts.append(E.some(F.coalesce(*ahead).isNull(), story) if ahead else story)
+                if self._stops(i):
+                    before[i] = p.fault
+            told = F.concat(*parts)
+        return close(inner.env, F.coalesce(*faults) if faults else F.lit(None).cast("string"), told)
 
     def loop(self, region: Region, env: Env, df: DataFrame | None) -> tuple[DataFrame | None, Placed, Placed]:
-        """A while loop as a fold over its rounds (native body), else as rounds over the runs that still go on."""
+        """A while loop: a fold over its rounds (native body), else rounds over the runs that still go on."""
+        if not self._needs_rows(region):
+            return self.native_loop(region, env, df)
+        if df is None or df.isStreaming:
+            raise CompilationError([f"{region.start}: a loop with Python operators can't lie inside a native loop or on a stream"])
+        df, state, kind = self._rounds(region, df, env)
+        return df, *self._while_end(region, env, kind)(state)
+
+    def _while_terms(self, region: Region, env: Env) -> tuple[Node, int, Callable]:
         start = self.compiled.flow.by_id[region.start]
         condition = start.data.get("condition")
         if not condition:
             raise CompilationError([f"{region.start} has no condition"])
-        most = int(start.data.get("max_iterations", MAX_ROUNDS))
-        negate, live = bool(start.data.get("negate", False)), self.live(start, env)
-
-        def body(iteration: Column, last: Value) -> tuple[Value, Env]:
-            handles = {"output_1": Handle(Value(iteration, T.LongType()), F.lit(True)), "output_2": Handle(last, F.lit(True))}
-            inner = self._body(region, {**env, region.start: Placed(handles, F.lit(True), F.lit(None).cast("string"))})
-            return self._slots(region, inner)[0].value, inner
 
         def goes_on(iteration: Column, last: Value) -> tuple[Column, Column]:
             scope = {"iteration": Value(iteration, T.LongType()), "last": last, "result": last}
             if "store" in self.columns:
                 scope["store"] = Value(F.col("store"), self.columns["store"])
             test, wrong = expression.checked_condition(condition, scope)
-            return wrong.isNull() & (~test if negate else test), wrong
+            return wrong.isNull() & (~test if start.data.get("negate", False) else test), wrong
 
-        if self._needs_rows(region):
-            if df is None:
-                raise CompilationError([f"{region.start}: a loop with Python operators can't lie inside another loop"])
-            df, state, kind = self._rounds(region, df, env, goes_on, most, live)
-        else:
-            kind = body(F.lit(1).cast("long"), Value(F.lit(None), T.NullType()))[0].kind
-            kind = T.StringType() if isinstance(kind, T.NullType) else kind
-            begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast(kind).alias("last"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("why"))
-
-            def step(s: Column, _: Column) -> Column:
-                last = Value(s["last"], kind)
-                test, wrong = goes_on(s["n"], last)
-                fresh = F.struct((s["n"] + 1).alias("n"), body(s["n"] + 1, last)[0].column.cast(kind).alias("last"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("why"))
-                over = F.struct(s["n"].alias("n"), s["last"].alias("last"), F.lit(True).alias("done"), wrong.alias("why"))
-                return F.when(s["done"], s).when(test, fresh).otherwise(over)
-
-            state = F.aggregate(F.sequence(F.lit(1), F.lit(most)), begin, step)
-            if df is not None:
-                df = df.select("*", F.when(live, state).alias(f"{self.prefix}{region.end}__rounds"))
-                state = F.col(f"`{self.prefix}{region.end}__rounds`")
-        # All rounds used up without the condition's refusal: a runaway, as the condition isn't tested again.
-        fault = F.when(live & ~state["done"] & (state["n"] >= most), F.lit(f"loop ran away: {most} rounds")).when(live & state["why"].isNotNull(), F.concat(F.lit("condition: "), state["why"]))
-        value = Value(state["last"], kind)
-        end = self.finish(self.compiled.flow.by_id[region.end], self.compiled.operators[region.end], value, live, [fault], env)
-        n = Value(state["n"], T.LongType())
-        first = self.finish(start, self.compiled.operators[region.start], {"output_1": n, "output_2": value, "result": n}, live, [fault], env)
-        return df, first, end
-
-    def _rounds(self, region, df, env, goes_on, most, live):
+        return start, int(start.data.get("max_iterations", MAX_ROUNDS)), goes_on
+
+    @staticmethod
+    def _round_start(iteration: Column, last: Value) -> Placed:
+        return Placed({"output_1": Handle(Value(iteration, T.LongType()), F.lit(True)), "output_2": Handle(last, F.lit(True))}, F.lit(True), F.lit(None).cast("string"), safe=True)
+
+    def _while(self, region: Region, env: Env) -> tuple[Column, Callable]:
+        """Rounds are folded in blocks of blocks: a run that ended passes a whole block in one step."""
+        start, most, goes_on = self._while_terms(region, env)
+        text_, none = F.lit(None).cast("string"), T.NullType()
+        kinds: list[T.DataType] = []
+
+        def round_(n: Column, last: Value, told: Column | None, kind: T.DataType | None) -> Column:
+            def close(inner: Env, fault: Column, events: Column) -> Column:
+                value = self._slots(region, inner)[0].value
+                kinds[:] = [value.kind]
+                good = fault.isNull()
+                fields = {"n": F.when(good, n + 1).otherwise(n), "last": value.column.cast(kind or value.kind), "done": ~good, "why": text_, "fault": fault}
+                if self.trace:
+                    at = E.some(good, F.array(E.event("node_progress", region.end, current=n + 1, total=F.lit(most))))
+                    fields["events"] = F.concat(told, events, at) if told is not None else events
+                return F.struct(*[c.alias(f) for f, c in fields.items()])
+
+            return self.bound(self.region(region), {**env, region.start: self._round_start(n + 1, last)}, close)
+
+        round_(F.lit(0).cast("long"), Value(F.lit(None), none), None, None)
+        kind = T.StringType() if isinstance(kinds[0], T.NullType) else kinds[0]
+        fields = {"n": F.lit(0).cast("long"), "last": F.lit(None).cast(kind), "done": F.lit(False), "why": text_, "fault": text_} | ({"events": E.none()} if self.trace else {})
+        begin = F.struct(*[c.alias(f) for f, c in fields.items()])
+
+        def step(s: Column, _: Column) -> Column:
+            test, wrong = goes_on(s["n"], Value(s["last"], kind))
+            over = F.struct(*[{"done": F.lit(True), "why": wrong}.get(f, s[f]).alias(f) for f in fields])
+            fresh = round_(s["n"], Value(s["last"], kind), s["events"] if self.trace else None, kind)
+            return F.when(s["done"] | (s["n"] >= most), s).when(test, fresh).otherwise(over)
+
+        def fold(state: Column, rounds: int) -> Column:
+            if rounds <= ROUNDS_AT_ONCE:
+                return F.aggregate(F.sequence(F.lit(1), F.lit(max(rounds, 1))), state, step)
+            block = -(-rounds // ROUNDS_AT_ONCE)
+            return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS_AT_ONCE)), state, lambda s, _: F.when(s["done"] | (s["n"] >= most), s).otherwise(fold(s, block)))
+
+        return fold(begin, most), self._while_end(region, env, kind)
+
+    def _while_end(self, region: Region, env: Env, kind: T.DataType) -> Callable[[Column], tuple[Placed, Placed]]:
+        start, most, _ = self._while_terms(region, env)
+        live = self.live(start, env)
+
+        def end_of(state: Column) -> tuple[Placed, Placed]:
+            # All rounds used up without the condition's refusal: a runaway, as the condition isn't tested again.
+            own = F.when(~state["done"] & (state["n"] >= most), F.lit(f"loop ran away: {most} rounds")).when(state["why"].isNotNull(), F.concat(F.lit("condition: "), state["why"]))
+            fault = F.when(live, F.coalesce(state["fault"], F.when(own.isNotNull(), F.concat(F.lit(f"{region.start}: "), own))))
+            value, n = Value(state["last"], kind), Value(state["n"], T.LongType())
+            policy = start if not self._stops(region.start) else self.compiled.flow.by_id[region.end]
+            end = self.finish(policy, self.compiled.operators[region.end], value, live, [fault], env)
+            first = self.finish(start, self.compiled.operators[region.start], {"output_1": n, "output_2": value, "result": n}, live, [fault], env)
+            story = F.when(live, state["events"]) if self.trace else None
+            return replace(first, named=True), replace(end, named=True, progress=(F.when(live, state["n"]), F.when(live, F.lit(most))), events=story)
+
+        return end_of
+
+    def _told_kind(self, region: Region) -> T.DataType | None:
+        """The type of a while loop's value where its operator states it."""
+        for e in self.compiled.flow.incoming(region.end):
+            op = self.compiled.operators[e.source]
+            out = next((o for o in self.compiled.outputs[e.source] if o.name == e.out), None)
+            if op.fn is not None and out is not None and not isinstance(spark_type(out.type), (T.VariantType, T.NullType, T.MapType)):
+                return spark_type(out.type)
+        return None
+
+    def _rounds(self, region, df, env):
         """Rounds of a body with Python operators: the runs still going are one table per round."""
-        if df.isStreaming:
-            raise CompilationError([f"{region.start}: a loop with Python operators can't run on a stream"])
-        names, kind, rest = df.columns, None, []
-        now = df.select("*", F.lit(0).cast("long").alias("_n"), F.lit(None).cast("string").alias("_last"))
+        start, most, goes_on = self._while_terms(region, env)
+        live = self.live(start, env)
+        own = f"{self.prefix}{region.start}__"
+        n_, last_, go_, why_, fault_, told_ = (f"{own}{x}" for x in ("n", "last", "go", "why", "bad", "told"))
+        at = lambda name: F.col(f"`{name}`")
+        names, kind, rest = df.columns, self._told_kind(region), []
+        now = df.select("*", F.lit(0).cast("long").alias(n_), F.lit(None).cast(kind or "string").alias(last_), F.lit(None).cast("string").alias(fault_), *([E.none().alias(told_)] if self.trace else []))
+        kept = [n_, last_, fault_, *([told_] if self.trace else [])]
         for n in range(most + 1):
-            last = Value(F.col("_last"), kind or T.NullType())
-            test, wrong = goes_on(F.col("_n"), last) if n < most else (F.lit(False), F.lit(None).cast("string"))
-            judged = cut(now.select("*", (test & live).alias("_go"), F.when(live, wrong).alias("_why")))
-            rest.append(judged.filter("not _go").select(*names, "_n", "_last", F.lit(n < most).alias("_done"), "_why"))
-            now = judged.filter("_go").drop("_go", "_why")
+            last = Value(at(last_), kind or T.NullType())
+            test, wrong = goes_on(at(n_), last) if n < most else (F.lit(False), F.lit(None).cast("string"))
+            judged = cut(now.select("*", F.coalesce(test & live & at(fault_).isNull(), F.lit(False)).alias(go_), F.when(live, wrong).alias(why_)))
+            rest.append(judged.filter(~at(go_)).select(*[at(c) for c in names], *[at(c) for c in kept], (at(fault_).isNotNull() | F.lit(n < most)).alias(go_), at(why_)))
+            now = judged.filter(at(go_)).drop(go_, why_)
             if now.isEmpty():
                 break
-            inner = replace(self, env=dict(env), prefix=f"{self.prefix}{region.start}__", waits=[], done=set())
-            handles = {"output_1": Handle(Value(F.col("_n") + 1, T.LongType()), F.lit(True)), "output_2": Handle(Value(F.col("_last"), kind or T.StringType()), F.lit(True))}
-            inner.env[region.start] = Placed(handles, F.lit(True), F.lit(None).cast("string"))
-            rows = inner.rows(now, self.region(region))
-            value = self._slots(region, inner.env)[0].value
-            kind = value.kind
-            now = rows.select(*names, (F.col("_n") + 1).alias("_n"), value.column.alias("_last"))
+            before = Value(at(last_), kind or T.StringType())
+            inner, rows = self._inside(region, now, {**env, region.start: self._round_start(at(n_) + 1, before)})
+
+            def close(body: Env, fault: Column, events: Column) -> Column:
+                value = self._slots(region, body)[0].value
+                fields = [value.column.alias("last"), fault.alias("fault")]
+                if self.trace:
+                    fields.append(F.concat(at(told_), events, E.some(fault.isNull(), F.array(E.event("node_progress", region.end, current=at(n_) + 1, total=F.lit(most))))).alias("told"))
+                return F.struct(*fields)
+
+            kind = self._slots(region, inner.env)[0].value.kind
+            done = rows.select(*[at(c) for c in names], at(n_), self._ended(inner, region, close).alias(go_))
+            now = done.select(*[at(c) for c in names], F.when(at(go_)["fault"].isNull(), at(n_) + 1).otherwise(at(n_)).alias(n_), at(go_)["last"].alias(last_), at(go_)["fault"].alias(fault_), *([at(go_)["told"].alias(told_)] if self.trace else []))
         kind = kind or T.StringType()
-        whole = reduce(DataFrame.unionByName, [r.withColumn("_last", F.col("_last").cast(kind)) for r in rest])
-        state = F.struct(F.col("_n").alias("n"), F.col("_last").alias("last"), F.col("_done").alias("done"), F.col("_why").alias("why")).alias(f"{self.prefix}{region.end}__rounds")
-        return whole.select(*names, state), F.col(f"`{self.prefix}{region.end}__rounds`"), kind
+        whole = reduce(DataFrame.unionByName, [r.withColumn(last_, at(last_).cast(kind)) for r in rest])
+        fields = {"n": n_, "last": last_, "done": go_, "why": why_, "fault": fault_} | ({"events": told_} if self.trace else {})
+        state = F.struct(*[at(c).alias(f) for f, c in fields.items()]).alias(f"{self.prefix}{region.end}__rounds")
+        return whole.select(*[at(c) for c in names], state), F.col(f"`{self.prefix}{region.end}__rounds`"), kind
 
     def subprocess(self, node: Node, env: Env, df: DataFrame | None) -> tuple[DataFrame | None, Placed]:
         """A sub-flow in place: its nodes are lowered with the call's inputs bound to data of the same name."""
@@ -576,7 +816,7 @@ class Lowering:
         parts = {i: p.handle("result") for i, p in inner.env.items() if p.handles}
         kind = T.StructType([T.StructField(i, h.value.kind) for i, h in parts.items()])
         value = Value(F.struct(*[F.when(h.live, h.value.column).alias(i) for i, h in parts.items()]), kind)
-        faults = [F.when(p.fault.isNotNull(), F.concat(F.lit(f"{i}: "), p.fault)) for i, p in inner.env.items()]
+        faults = [p.told(i) for i, p in inner.env.items() if inner._stops(i) and not p.safe]
         return df, self.finish(node, self.compiled.operators[node.id], value, live, faults, env)
 
     # -- whole flows ---------------------------------------------------------------------------------------------
@@ -620,7 +860,11 @@ class Lowering:
                 op = self.compiled.operators[node.id]
                 if op.pauses or op.fn is not None or op.place is not None:
                     raise CompilationError([f"{node.id} ({op.id}) can't run inside a native loop"])
-                if _holds_others(op):
+                if op.region in ("for-each", "while") and op.compound is None:
+                    made, end_of = self._rounds_of(self.compiled.regions[node.id], env)
+                    first, end = end_of(made)
+                    env.update({node.id: first, self.compiled.regions[node.id].end: end})
+                elif _holds_others(op):
                     env.update(self._place_region(node, env, None)[1])
                 elif op.expr is not None or op.base_id == "column":
                     env[node.id] = self.native(node, env)
@@ -705,6 +949,11 @@ def _holds_others(op: Operator) -> bool:
     return op.region in ("for-each", "while", "subprocess") or op.compound is not None
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _slot(mapped: Column, i: int) -> Column:
     """The live values of one slot of a loop's rounds."""
     return F.transform(F.filter(mapped, lambda x: x[f"l{i}"]), lambda x: x[f"v{i}"])

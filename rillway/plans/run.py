@@ -14,24 +14,14 @@ from rillway.functions import expression
 from rillway.functions.expression import Value
 from rillway.model import Flow, FlowError
 from rillway.operators.standard import standard
+from rillway.plans import events as E
 from rillway.plans.compile import Compiled, compile_flow
 from rillway.plans.control import Outcome
-from rillway.plans.lower import INVALID, Handle, Lowering, Placed, literal
+from rillway.plans.events import EVENT
+from rillway.plans.lower import Handle, Lowering, Placed, literal
 from rillway.registry import Registry
 
 
-#: Fields of events beside the run's key and the place in its sequence.
-EVENT = T.StructType(
-    [
-        *[T.StructField(n, T.StringType()) for n in ("type", "node_id", "error", "result", "idempotency_key", "results")],
-        *[T.StructField(n, T.LongType()) for n in ("attempt", "max_retries", "current", "total")],
-        *[T.StructField(n, T.DoubleType()) for n in ("delay", "elapsed_seconds", "timeout_seconds")],
-        *[T.StructField(n, T.BooleanType()) for n in ("cached", "is_validation", "is_timeout")],
-        T.StructField("completed", T.ArrayType(T.StringType())),
-    ]
-)
-
-
 @dataclass(frozen=True)
 class OutputRef:
     """A projected column: its name, and the node and handle it shows."""
@@ -71,12 +61,16 @@ class Result:
         return self.runs.select(*keep, *[self.column(o.node_id, o.handle).alias(o.name) for o in outputs])
 
     def summary(self, keep: tuple[str, ...] = ()) -> DataFrame:
-        """keep, status (complete or failed), error (of the first failed node), completed (node ids in order)."""
-        env, policy = self._own(), {n.id: self.compiled.flow.policy(n) for n in self.compiled.flow.nodes}
-        faults = [F.when(p.fault.isNotNull(), F.concat(F.lit(f"{i}: "), p.fault)) for i, p in env.items() if policy.get(i) != "continue"]
-        error = F.coalesce(*faults) if faults else F.lit(None).cast("string")
+        """keep, status (complete or failed), error (the first failed node's id, in a loop its body's, and fault),
+        completed (node ids in order)."""
+        env = self._own()
+        error = self._error(env)
         return self.runs.select(*keep, F.when(error.isNull(), "complete").otherwise("failed").alias("status"), error.alias("error"), self.completed().alias("completed"))
 
+    def _error(self, env: dict[str, Placed]) -> Column:
+        faults = [p.told(i) for i, p in env.items() if not p.safe and self.lowering._stops(i)]
+        return F.coalesce(*faults) if faults else F.lit(None).cast("string")
+
     def completed(self) -> Column:
         marks = [F.when(p.live & p.fault.isNull(), F.lit(i)) for i, p in self._own().items()]
         return F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>")
@@ -85,57 +79,21 @@ class Result:
         """key, seq and the fields of EVENT: what happened in each run, node by node, in one pass.
 
         Nodes give node_start (with their idempotency key), node_retry for each further attempt (attempt, max_retries,
-        delay and the error it follows), runtime_warning, node_progress for each item of a loop (current, total), and
-        node_complete (result, cached) or node_error (error, is_validation, is_timeout); or node_skipped. The run gives
-        flow_complete (results) or flow_error (error, completed).
+        delay and the error it follows), runtime_warning (error, the code `warning`, and the lengths as payload), node_progress
+        of a loop's end for each round that ended well (current, total), and node_complete (result, cached) or node_error
+        (error, is_validation, is_timeout); or node_skipped. The run gives flow_complete (results) or flow_error (error,
+        is_validation, completed). If the run was traced (run(..., trace=True)), the events of the nodes in a loop's
+        rounds come before the round's progress.
         """
-        none = T.ArrayType(EVENT)
         env = self._own()
-
-        def event(kind: str, node: str | None = None, **fields: Column) -> Column:
-            given = {"type": F.lit(kind), "node_id": F.lit(node), **fields}
-            return F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT.fields])
-
-        def some(where: Column, many: Column) -> Column:
-            return F.when(where, many).otherwise(F.array().cast(none))
-
-        def again(node: str, retries: int, delay: float, errors: Column):
-            return lambda k: event("node_retry", node, attempt=k, max_retries=F.lit(retries), delay=F.lit(delay) * F.pow(F.lit(2.0), k - 1), error=F.get(errors, k - 1))
-
-        def step(node: str, total: Column):
-            return lambda k: event("node_progress", node, current=k, total=total)
-
-        def shown(p: Placed) -> Column | None:
-            held = {h: x for h, x in p.handles.items() if h not in ("truncated", "total")}
-            return F.to_json(F.struct(*[F.when(x.live, x.value.column).alias(h) for h, x in held.items()])) if held else None
-
-        parts, faults = [], []
+        parts = []
         for i, p in env.items():
-            call, extra = f"{self.lowering.prefix}{i}__call", {}
-            if i in self.lowering.cache:
-                extra["cached"] = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNotNull() for c in self.lowering.cache[i].values()])
-            key_of = {"idempotency_key": p.handle("idempotency_key").value.column} if "idempotency_key" in p.handles else {}
-            between = []
-            if call in self.runs.columns:
-                retries, delay = self.lowering.retry[i]
-                tries, errors = F.coalesce(F.col(f"`{call}`.attempts_"), F.lit(1)), F.col(f"`{call}`.errors_")
-                between.append(some(tries > 1, F.transform(F.sequence(F.lit(1), F.greatest(tries - 1, F.lit(1))), again(i, retries, delay, errors))))
-            if "truncated" in p.handles:
-                told, total = p.handles["truncated"].value.column, F.coalesce(p.handles["total"].value.column, F.lit(0))
-                between.append(some(told.isNotNull(), F.array(event("runtime_warning", i, error=told))))
-                between.append(some(total > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(total, F.lit(1))), step(i, total))))
-            wrong = event("node_error", i, error=p.fault, is_validation=F.startswith(p.fault, F.lit(INVALID)), is_timeout=F.startswith(p.fault, F.lit("TimeoutError")))
-            result = shown(p)
-            done = event("node_complete", i, **({} if result is None else {"result": result}), **extra)
-            happened = F.concat(F.array(event("node_start", i, **key_of)), *between, F.array(F.when(p.fault.isNotNull(), wrong).otherwise(done)))
-            parts.append(F.when(p.live | p.fault.isNotNull(), happened).otherwise(F.array(event("node_skipped", i))))
-            node = self.compiled.flow.by_id.get(i)
-            if node is not None and self.compiled.flow.policy(node) != "continue":
-                faults.append(F.when(p.fault.isNotNull(), F.concat(F.lit(f"{i}: "), p.fault)))
-        error = F.coalesce(*faults) if faults else F.lit(None).cast("string")
+            start = {"idempotency_key": p.handle("idempotency_key").value.column} if "idempotency_key" in p.handles else {}
+            parts.append(self.lowering.story(i, p, self.lowering.calls(i), **start))
+        error = self._error(env)
         held = {i: h for i, p in env.items() if (h := p.handles.get("result") or p.handles.get("output_1"))}
         results = {"results": F.to_json(F.struct(*[F.when(h.live, h.value.column).alias(i) for i, h in held.items()]))} if held else {}
-        last = F.when(error.isNotNull(), event("flow_error", error=error, completed=self.completed())).otherwise(event("flow_complete", **results))
+        last = F.when(error.isNotNull(), E.event("flow_error", completed=self.completed(), **E.wrong(error))).otherwise(E.event("flow_complete", **results))
         rows = self.runs.select(key, F.posexplode(F.concat(*parts, F.array(last))).alias("seq", "e"))
         return rows.select(key, "seq", "e.*")
 
@@ -170,11 +128,7 @@ class Result:
         flow = self.compiled.flow
         env = self._own()
         order = [n for layer in self.compiled.order for n in layer if n.compensation and n.id in env]
-        policy = {n.id: flow.policy(n) for n in flow.nodes}
-        broken = F.lit(False)
-        for i, p in env.items():
-            if policy.get(i) != "continue":
-                broken = broken | p.fault.isNotNull()
+        broken = self._error(env).isNotNull()
         steps = []
         for n in reversed(order):
             p = env[n.id]
@@ -254,19 +208,20 @@ def match_signals(waiting: DataFrame, signals: DataFrame, key: str, correlation:
     return met.select(key, F.col(payload).alias("response"))
 
 
-def run(flow: Flow, df: DataFrame, registry: Registry | None = None, *, key: str | None = None, flows: dict[tuple[str, int], Flow] | None = None, strict: bool = False, on_fault: str = "column", cache: dict[str, dict[str, str]] | None = None, store: dict[str, Any] | None = None, context: dict[str, Any] | None = None) -> Result:
+def run(flow: Flow, df: DataFrame, registry: Registry | None = None, *, key: str | None = None, flows: dict[tuple[str, int], Flow] | None = None, strict: bool = False, on_fault: str = "column", cache: dict[str, dict[str, str]] | None = None, store: dict[str, Any] | None = None, context: dict[str, Any] | None = None, trace: bool = False) -> Result:
     """Lower a flow over df (one row, one run). Nothing is computed until a result is asked for.
 
     key: a column that names the run, for loops with Python operators. on_fault: `column` keeps a bad row as a row
     with an error, `raise` fails the job. cache: node id to {handle: column of df}; where the column isn't null the
-    node's own result isn't used. store and context: values that guards see as store.x and context columns.
+    node's own result isn't used. store and context: values that guards see as store.x and context columns. trace: keep
+    the events of the nodes inside loops.
     """
     compiled = compile_flow(flow, registry or standard(), strict, flows)
     for name, value in (context or {}).items():
         df = df.withColumn(name, literal(value).column)
     if store:
         df = df.withColumn("store", literal(store).column)
-    lowering = Lowering(compiled, key=key, on_fault=on_fault, cache=cache or {})
+    lowering = Lowering(compiled, key=key, on_fault=on_fault, cache=cache or {}, trace=trace)
     return Result(lowering, lowering.rows(df), df)
 
 

@@ -264,6 +264,42 @@ def foreach_index(spark, sf_dir):
     return r.project([OutputRef("out", "out")], ("p_partkey",))
 
 
+def inverse_loop(policy: str | None = None) -> Flow:
+    """1 / (x % 7) for the digits x of o_orderkey: a digit 0 or 7 fails its item."""
+    nodes = (col("o_orderkey"), Node("digits", "regex-extract", {"pattern": "[0-9]"}), Node("each", "for-each-start"), Node("left", "math-modulo", {"b": 7}), Node("inv", "math-divide", {"a": 42.0}, on_error=policy), Node("all", "for-each-end"))
+    return Flow(nodes, (wire("o_orderkey", "digits", "text"), wire("digits", "each", "items"), wire("each", "left", "a", "output_1"), wire("left", "inv", "b"), wire("inv", "all", "items")))
+
+
+_DIGITS = "list_transform(string_split(CAST(o_orderkey AS VARCHAR), ''), lambda x: CAST(x AS INTEGER) % 7)"
+
+
+@register("foreach_fault", f"SELECT o_orderkey, CASE WHEN list_contains({_DIGITS}, 0) THEN 'failed' ELSE 'complete' END AS status, CASE WHEN list_contains({_DIGITS}, 0) THEN 'inv: division by zero' END AS error, CASE WHEN NOT list_contains({_DIGITS}, 0) THEN list_sum(list_transform({_DIGITS}, lambda x: 42.0 / x)) END AS total FROM orders")
+def foreach_fault(spark, sf_dir):
+    """An item that fails fails its run, with the id of the body's node."""
+    r = run(inverse_loop(), table(spark, sf_dir, "orders"))
+    total = F.aggregate(r.column("all"), F.lit(0.0), lambda a, x: a + x)
+    rows = r.summary(("o_orderkey",)).join(r.runs.select("o_orderkey", total.alias("total")), "o_orderkey")
+    return rows.select("o_orderkey", "status", "error", "total")
+
+
+@register("foreach_fault_continue", f"SELECT o_orderkey, 'complete' AS status, CAST(len({_DIGITS}) AS BIGINT) AS items, CAST(len(list_filter({_DIGITS}, lambda x: x = 0)) AS BIGINT) AS empty FROM orders")
+def foreach_fault_continue(spark, sf_dir):
+    """With the policy `continue` of the body's node a failed item is null and the run goes on."""
+    r = run(inverse_loop("continue"), table(spark, sf_dir, "orders"))
+    empty = F.size(F.filter(r.column("all"), lambda x: x.isNull())).cast("long")
+    rows = r.summary(("o_orderkey",)).join(r.runs.select("o_orderkey", F.size(r.column("all")).cast("long").alias("items"), empty.alias("empty")), "o_orderkey")
+    return rows.select("o_orderkey", "status", "items", "empty")
+
+
+@register("while_fault", "SELECT o_orderkey, CASE WHEN o_custkey % 7 BETWEEN 1 AND 4 THEN 'failed' ELSE 'complete' END AS status, CASE WHEN o_custkey % 7 BETWEEN 1 AND 4 THEN 'inv: division by zero' END AS error, CAST(CASE WHEN o_custkey % 7 BETWEEN 1 AND 4 THEN NULL ELSE 4 END AS BIGINT) AS rounds FROM orders")
+def while_fault(spark, sf_dir):
+    """Round n divides by n - o_custkey % 7: runs whose remainder is among their four rounds fail there."""
+    nodes = (col("o_custkey"), Node("left", "math-modulo", {"b": 7}), Node("go", "while-start", {"condition": "iteration < 4"}), Node("gap", "math-subtract"), Node("inv", "math-divide", {"a": 1.0}), Node("stop", "while-end"))
+    edges = (wire("o_custkey", "left", "a"), wire("go", "gap", "a", "output_1"), wire("left", "gap", "b"), wire("gap", "inv", "b"), wire("inv", "stop", "item"))
+    r = run(Flow(nodes, edges), table(spark, sf_dir, "orders"))
+    return r.summary(("o_orderkey",)).join(r.project([OutputRef("rounds", "go", "output_1")], ("o_orderkey",)), "o_orderkey").select("o_orderkey", "status", "error", "rounds")
+
+
 @register("foreach_drops_skipped", "SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda x: contains(x, 'e')), ' ') AS out FROM part")
 def foreach_drops_skipped(spark, sf_dir):
     r = run(word_loop((Node("has", "if-else", {"condition": "Contains", "compare_to": "e"}),), (wire("each", "has", "value", "output_1"),), ("has", "output_1")), table(spark, sf_dir, "part"))
@@ -298,6 +334,62 @@ def foreach_python(spark, sf_dir):
     return r.project([OutputRef("out", "out")], ("p_partkey",))
 
 
+@register("foreach_python_fault", "SELECT p_partkey, CASE WHEN contains(p_name, 'x') THEN 'failed' ELSE 'complete' END AS status, CASE WHEN contains(p_name, 'x') THEN 'up: ValueError: no x' END AS error, CASE WHEN NOT contains(p_name, 'x') THEN upper(p_name) END AS out FROM part")
+def foreach_python_fault(spark, sf_dir):
+    """A Python body that raises for an item fails the run."""
+    registry = python_registry()
+
+    @registry.node("strict")
+    def strict(text: str) -> str:
+        if "x" in text:
+            raise ValueError("no x")
+        return text.upper()
+
+    r = run(word_loop((Node("up", "strict"),), (wire("each", "up", "text", "output_1"),), ("up", None)), table(spark, sf_dir, "part"), registry)
+    rows = r.runs.select("p_partkey", r.column("out").alias("out"))
+    return r.summary(("p_partkey",)).join(rows, "p_partkey").select("p_partkey", "status", "error", "out")
+
+
+def nested_loop(inner: str) -> Flow:
+    """The letters of each word of p_name: a loop over words around one over letters whose body is the operator `inner`."""
+    nodes = (col("p_name"), Node("cut", "text-split", {"separator": " "}), Node("words", "for-each-start"), Node("spell", "regex-extract", {"pattern": "[a-z]"}), Node("letters", "for-each-start"),
+             Node("up", inner), Node("spelt", "for-each-end"), Node("word", "text-join", {"separator": "."}), Node("all", "for-each-end"), Node("out", "text-join", {"separator": " "}))
+    edges = (wire("p_name", "cut", "text"), wire("cut", "words", "items"), wire("words", "spell", "text", "output_1"), wire("spell", "letters", "items"), wire("letters", "up", "text", "output_1"),
+             wire("up", "spelt", "items"), wire("spelt", "word", "parts"), wire("word", "all", "items"), wire("all", "out", "parts"))
+    return Flow(nodes, edges)
+
+
+def _spelt(letter: str) -> str:
+    return f"SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: array_to_string(list_transform(regexp_extract_all(w, '[a-z]'), lambda x: {letter}), '.')), ' ') AS out FROM part"
+
+
+@register("foreach_nested", _spelt("upper(x)"))
+def foreach_nested(spark, sf_dir):
+    return run(nested_loop("text-uppercase"), table(spark, sf_dir, "part")).project([OutputRef("out", "out")], ("p_partkey",))
+
+
+@register("foreach_nested_python", _spelt("upper(x) || '!'"))
+def foreach_nested_python(spark, sf_dir):
+    return run(nested_loop("shout"), table(spark, sf_dir, "part"), python_registry()).project([OutputRef("out", "out")], ("p_partkey",))
+
+
+@register("while_in_foreach_python", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w || repeat('!', CAST(greatest(6 - length(w), 0) AS INTEGER))), ' ') AS out FROM part")
+def while_in_foreach_python(spark, sf_dir):
+    """Each word grows by a mark a round, in Python, until it has six characters: a while loop inside a loop over words."""
+    registry = python_registry()
+
+    @registry.node("grow")
+    def grow(text: str, last: str = None) -> str:
+        return (text if last is None else last) + "!"
+
+    nodes = (col("p_name"), Node("cut", "text-split", {"separator": " "}), Node("words", "for-each-start"), Node("size", "text-length"), Node("long", "decision"), Node("go", "while-start", {"condition": "!exists(last) || size(last) < 6"}),
+             Node("more", "grow"), Node("stop", "while-end"), Node("as_is", "template", {"template": "{input}"}, consumes={"input": ("words", "output_1")}), Node("word", "template", {"template": "{input}"}), Node("all", "for-each-end"), Node("out", "text-join", {"separator": " "}))
+    edges = (wire("p_name", "cut", "text"), wire("cut", "words", "items"), wire("words", "size", "text", "output_1"), wire("size", "long", "value"),
+             Edge("short", "long", "go", None, None, "value < 6"), Edge("else", "long", "as_is", None, None), wire("words", "more", "text", "output_1"), wire("go", "more", "last", "output_2"), wire("more", "stop", "item"),
+             wire("stop", "word", "input"), wire("as_is", "word", "input"), wire("word", "all", "items"), wire("all", "out", "parts"))
+    return run(Flow(nodes, edges), table(spark, sf_dir, "part"), registry).project([OutputRef("out", "out")], ("p_partkey",))
+
+
 @register("python_operator", "SELECT c_custkey, upper(c_name) || '!' AS out FROM customer")
 def python_operator(spark, sf_dir):
     r = run(one("shout", text="@c_name"), table(spark, sf_dir, "customer"), python_registry())
@@ -329,6 +421,13 @@ def while_count(spark, sf_dir):
     return r.project([OutputRef("rounds", "go", "output_1"), OutputRef("last", "stop")], ("o_orderkey",))
 
 
+@register("while_count_default", "SELECT o_orderkey, CAST(ceil(20 / (o_custkey % 7 + 1)) AS BIGINT) AS rounds, CAST(ceil(20 / (o_custkey % 7 + 1)) * (o_custkey % 7 + 1) AS DOUBLE) AS last FROM orders")
+def while_count_default(spark, sf_dir):
+    """As while_count with the cap of 1,000 rounds that loops have unless told otherwise."""
+    r = run(order_loop("!exists(last) || last < 20", most=1000), table(spark, sf_dir, "orders"))
+    return r.project([OutputRef("rounds", "go", "output_1"), OutputRef("last", "stop")], ("o_orderkey",))
+
+
 @register("until_value", "SELECT o_orderkey, CAST(ceil(33 / (o_custkey % 7 + 1)) AS BIGINT) AS rounds, CAST(ceil(33 / (o_custkey % 7 + 1)) * (o_custkey % 7 + 1) AS DOUBLE) AS last FROM orders")
 def until_value(spark, sf_dir):
     r = run(order_loop("exists(last) && last >= 33", negate=True), table(spark, sf_dir, "orders"))
@@ -382,6 +481,34 @@ def progress_events(spark, sf_dir):
     return r.events("p_partkey").filter("type = 'node_progress'").select("p_partkey", "current", "total")
 
 
+@register(
+    "loop_events",
+    """WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS words FROM part),
+    i AS (SELECT p_partkey, words, unnest(range(1, len(words) + 1)) AS k FROM w), b AS (SELECT p_partkey, k, words[k] AS word, len(words) AS n FROM i),
+    e AS (SELECT p_partkey, 3 * k - 3 AS place, 'node_start' AS type, 'up' AS node_id, NULL AS result, NULL AS current, NULL AS total FROM b
+          UNION ALL SELECT p_partkey, 3 * k - 2, 'node_complete', 'up', '{"result":"' || upper(word) || '"}', NULL, NULL FROM b
+          UNION ALL SELECT p_partkey, 3 * k - 1, 'node_progress', 'all', NULL, k, n FROM b)
+    SELECT p_partkey, CAST(place AS BIGINT) AS place, type, node_id, result, CAST(current AS BIGINT) AS current, CAST(total AS BIGINT) AS total FROM e""",
+)
+def loop_events(spark, sf_dir):
+    """What a traced loop tells of its body's nodes, and its progress under the id of its end."""
+    r = run(word_loop((Node("up", "text-uppercase"),), (wire("each", "up", "text", "output_1"),), ("up", None)), table(spark, sf_dir, "part"), trace=True)
+    told = r.events("p_partkey").filter("node_id = 'up' OR type = 'node_progress'")
+    # The loop's end starts right before its rounds: place 0 is the eighth event.
+    return told.select("p_partkey", (F.col("seq") - 7).cast("long").alias("place"), "type", "node_id", "result", "current", "total")
+
+
+@register("loop_fault_events", f"""WITH d AS (SELECT o_orderkey, {_DIGITS} AS x FROM orders), f AS (SELECT o_orderkey, x, coalesce(list_position(x, 0), 0) AS bad FROM d)
+    SELECT o_orderkey, CAST(CASE WHEN bad > 0 THEN bad - 1 ELSE len(x) END AS BIGINT) AS progress, CAST(CASE WHEN bad > 0 THEN bad ELSE len(x) END AS BIGINT) AS started, CAST(CASE WHEN bad > 0 THEN 1 ELSE 0 END AS BIGINT) AS failed,
+           CASE WHEN bad > 0 THEN 'inv: division by zero' END AS error, CASE WHEN bad > 0 THEN false END AS is_validation FROM f""")
+def loop_fault_events(spark, sf_dir):
+    """A traced loop ends with the item that fails: what is told of its body's nodes, and by flow_error."""
+    e = run(inverse_loop(), table(spark, sf_dir, "orders"), trace=True).events("o_orderkey")
+    count = lambda test: F.count(F.when(F.expr(test), 1)).alias
+    last = lambda c: F.max(F.when(F.col("type") == "flow_error", F.col(c))).alias(c)
+    return e.groupBy("o_orderkey").agg(count("type = 'node_progress' AND node_id = 'all'")("progress"), count("type = 'node_start' AND node_id = 'inv'")("started"), count("type = 'node_error' AND node_id = 'inv'")("failed"), last("error"), last("is_validation"))
+
+
 def guard_flow() -> Flow:
     """A guard that divides by zero for some rows, behind one that decides others before."""
     goes = lambda n, when=None, priority=0: Edge(f"to {n}", "which", n, None, None, when, priority)

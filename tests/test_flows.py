@@ -352,3 +352,84 @@ def test_deadline(spark):
     assert Control(spark).run(lambda: 7).value == 7
     with pytest.raises(ZeroDivisionError):
         Control(spark).run(lambda: 1 / 0)
+
+
+# -- faults inside loops ----------------------------------------------------------------------------------------------
+
+
+def divide_loop(policy=None, start=None):
+    nodes = (Node("xs", "column", {"name": "xs"}), Node("each", "for-each-start", on_error=start), Node("inv", "math-divide", {"a": 1.0}, on_error=policy), Node("all", "for-each-end"))
+    return Flow(nodes, (Edge("a", "xs", "each", None, "items"), Edge("b", "each", "inv", "output_1", "b"), Edge("c", "inv", "all", None, "items")))
+
+
+@pytest.mark.parametrize(("policy", "start", "status", "error", "out"), [
+    (None, None, "failed", "inv: division by zero", None),
+    ("continue", None, "complete", None, [1.0, None, 0.5]),
+    (None, "continue", "complete", None, None),
+])
+def test_a_failing_item_fails_its_run(spark, policy, start, status, error, out):
+    df = spark.createDataFrame([(1, [1.0, 0.0, 2.0]), (2, [4.0]), (3, [])], "k int, xs array<double>")
+    r = run(divide_loop(policy, start), df)
+    got = {x["k"]: x for x in r.summary(("k",)).collect()}
+    values = {x["k"]: x["out"] for x in r.runs.select("k", r.column("all").alias("out")).collect()}
+    assert (got[1]["status"], got[1]["error"], values[1]) == (status, error, out)
+    assert (got[2]["status"], values[2], got[3]["status"], values[3]) == ("complete", [0.25], "complete", [])
+    assert ("all" in got[1]["completed"]) == (policy == "continue") and "all" in got[2]["completed"]
+
+
+def test_events_of_a_failing_loop(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0, 2.0])], "k int, xs array<double>")
+    events = run(divide_loop(), df, trace=True).events("k").orderBy("seq").collect()
+    told = [(e["type"], e["node_id"]) for e in events]
+    assert told[-7:] == [("node_start", "inv"), ("node_complete", "inv"), ("node_progress", "all"), ("node_start", "inv"), ("node_error", "inv"), ("node_error", "all"), ("flow_error", None)]
+    assert [(e["current"], e["total"]) for e in events if e["type"] == "node_progress"] == [(1, 3)]
+    assert events[-1]["error"] == "inv: division by zero" and events[-1]["is_validation"] is False
+
+
+def test_python_bodies_fault_and_nest(spark):
+    registry = standard()
+
+    @registry.node("half")
+    def half(x: float) -> float:
+        if x == 3:
+            raise ValueError("odd")
+        return x / 2
+
+    nodes = (Node("xss", "column", {"name": "xss"}), Node("outer", "for-each-start"), Node("inner", "for-each-start"), Node("h", "half"), Node("row", "for-each-end"), Node("all", "for-each-end"))
+    edges = (Edge("a", "xss", "outer", None, "items"), Edge("b", "outer", "inner", "output_1", "items"), Edge("c", "inner", "h", "output_1", "x"), Edge("d", "h", "row", None, "items"), Edge("e", "row", "all", None, "items"))
+    df = spark.createDataFrame([(1, [[2.0, 4.0], [], [6.0]]), (2, [[8.0], [3.0]]), (None, []), (None, [[2.0]])], "k int, xss array<array<double>>")
+    r = run(Flow(nodes, edges), df, registry, trace=True)
+    rows = sorted(map(str, r.runs.select("k", r.column("all").alias("out")).collect()))
+    assert rows == sorted(["Row(k=1, out=[[1.0, 2.0], [], [3.0]])", "Row(k=2, out=None)", "Row(k=None, out=[])", "Row(k=None, out=[[1.0]])"])
+    got = {x["k"]: x for x in r.summary(("k",)).filter("k IS NOT NULL").collect()}
+    assert (got[1]["status"], got[2]["status"], got[2]["error"]) == ("complete", "failed", "h: ValueError: odd")
+    told = [(e["type"], e["node_id"]) for e in r.events("k").filter("k = 2").orderBy("seq").collect()]
+    assert told.count(("node_error", "h")) == 1 and told.count(("node_progress", "row")) == 1 and told.count(("node_progress", "all")) == 1
+    assert told[-1] == ("flow_error", None)
+
+
+def test_while_faults_and_nested_while(spark):
+    registry = standard()
+
+    @registry.node("spend")
+    def spend(left: float, last: float = None) -> float:
+        if left < 0:
+            raise ValueError("broke")
+        return (left if last is None else last) - 1
+
+    nodes = (Node("x", "column", {"name": "x"}), Node("go", "while-start", {"condition": "!exists(last) || last > 0"}), Node("s", "spend"), Node("stop", "while-end"))
+    edges = (Edge("a", "x", "s", None, "left"), Edge("b", "go", "s", "output_2", "last"), Edge("c", "s", "stop", None, "item"))
+    df = spark.createDataFrame([(1, 3.0), (2, -1.0), (3, 0.5)], "k int, x double")
+    r = run(Flow(nodes, edges), df, registry, trace=True)
+    got = {x["k"]: x for x in r.summary(("k",)).collect()}
+    assert (got[1]["status"], got[2]["status"], got[2]["error"], got[3]["status"]) == ("complete", "failed", "s: ValueError: broke", "complete")
+    assert {x["k"]: x["out"] for x in r.runs.select("k", r.column("stop").alias("out")).collect()} == {1: 0.0, 2: None, 3: -0.5}
+    told = r.events("k").filter("type = 'node_progress'").groupBy("k").count().collect()
+    assert {x["k"]: x["count"] for x in told} == {1: 3, 3: 1}
+    nodes = (Node("x", "column", {"name": "x"}), Node("go", "while-start", {"condition": "iteration < 3"}), Node("gap", "math-subtract"), Node("inv", "math-divide", {"a": 1.0}), Node("stop", "while-end"))
+    edges = (Edge("a", "x", "gap", None, "b"), Edge("b", "go", "gap", "output_1", "a"), Edge("c", "gap", "inv", None, "b"), Edge("d", "inv", "stop", None, "item"))
+    r = run(Flow(nodes, edges), spark.createDataFrame([(1, 2.0), (2, 9.0)], "k int, x double"), trace=True)
+    got = {x["k"]: x for x in r.summary(("k",)).collect()}
+    assert (got[1]["status"], got[1]["error"], got[2]["status"]) == ("failed", "inv: division by zero", "complete")
+    told = [(e["type"], e["node_id"], e["current"]) for e in r.events("k").filter("k = 1 AND node_id IN ('inv', 'stop')").orderBy("seq").collect()]
+    assert told == [("node_start", "stop", None), ("node_start", "inv", None), ("node_complete", "inv", None), ("node_progress", "stop", 1), ("node_start", "inv", None), ("node_error", "inv", None), ("node_error", "stop", None)]
