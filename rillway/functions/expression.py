@@ -149,9 +149,7 @@ def parse(source: str) -> ast.expr:
 
 def identifiers(source: str) -> set[str]:
     """Free names of an expression."""
-    tree = parse(source)
-    called = {id(c.func) for c in ast.walk(tree) if isinstance(c, ast.Call)}
-    return {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and id(n) not in called and n.id != "root_"}
+    return _free(parse(source)) - {"root_"}
 
 
 def checked(source: str, scope: Scope) -> tuple[Value, Column]:
@@ -184,6 +182,33 @@ def condition(source: str, scope: Scope) -> Column:
     return truthy(value.column, value.kind)
 
 
+def equalities(source: str, one: Scope, other: Scope) -> list[tuple[Value, Value]]:
+    """What must be equal for the expression to be true, of names of `one` alone and of names of `other` alone: the pairs of
+    its top-level conjuncts that are ==, as values of one type (null == null holds)."""
+    found, todo = [], [parse(source)]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, ast.BoolOp) and isinstance(node.op, ast.And):
+            todo += node.values
+        elif isinstance(node, ast.Compare) and len(node.ops) == 1 and isinstance(node.ops[0], ast.Eq):
+            sides = (node.left, node.comparators[0])
+            names = [_free(x) for x in sides]
+            for (a, b), (of_a, of_b) in ((sides, names), (sides[::-1], names[::-1])):
+                if of_a and of_b and of_a <= one.keys() and of_b <= other.keys() and not of_a & other.keys() and not of_b & one.keys():
+                    try:
+                        pair = _Builder({}).alike(_Builder(one).build(a), _Builder(other).build(b))
+                    except ExpressionError:
+                        continue  # what can't be built here is left to the whole expression
+                    if type(pair[0].kind) is type(pair[1].kind) and isinstance(pair[0].kind, T.AtomicType) and not _is(pair[0], T.VariantType):
+                        found.append(pair)
+    return found[::-1]
+
+
+def _free(tree: ast.expr) -> set[str]:
+    called = {id(c.func) for c in ast.walk(tree) if isinstance(c, ast.Call)}
+    return {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and id(n) not in called}
+
+
 _NUM = T.NumericType
 
 

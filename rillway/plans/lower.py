@@ -35,6 +35,8 @@ from rillway.types import spark_type
 
 #: Items that a loop takes of its list, and rounds that a while loop may make.
 MAX_ITEMS, MAX_ROUNDS = 1000, 1000
+#: Layers of native nodes that share a select.
+LAYERS_AT_ONCE = 10
 #: While loops are folded in blocks of so many rounds, or blocks.
 ROUNDS_AT_ONCE = 10
 #: Handles of loop starts that tell about the loop.
@@ -130,6 +132,8 @@ def coerce(value: Value, name: str) -> tuple[Value, Column | None]:
         return made(F.try_variant_get(c, "$", want.simpleString()))
     if isinstance(want, T.StringType):
         return made(F.when(c.isNotNull(), text(c, have)))
+    if isinstance(want, T.DoubleType) and isinstance(have, (T.IntegralType, T.FloatType)):
+        return made(c.cast(want))
     if isinstance(have, T.StringType):
         cast = number(c) if isinstance(want, T.DoubleType) else strip(c).try_cast(want)
         if isinstance(want, T.BinaryType):
@@ -183,6 +187,12 @@ class Lowering:
     effects: bool = False
     retry: dict[str, tuple[int, float]] = field(default_factory=dict)
     trace: bool = False
+    #: Constants that are told by identity: a node whose liveness is `true` is always live, one whose fault is `none` is safe;
+    #: they get no columns.
+    true: Column = field(default_factory=lambda: F.lit(True))
+    none: Column = field(default_factory=lambda: F.lit(None).cast("string"))
+    #: Liveness that lies in a column already, by identity: nodes that share it need none of their own.
+    shared: dict[int, Column] = field(default_factory=dict)
 
     # -- reading inputs ------------------------------------------------------------------------------------------
 
@@ -253,8 +263,11 @@ class Lowering:
         return out, [F.nullif(F.concat_ws("; ", *faults), F.lit(""))] if faults else []
 
     def live(self, node: Node, env: Env) -> Column:
-        edges = [self._edge(e, env).live for e in self.compiled.flow.incoming(node.id)]
-        return F.coalesce(_any(edges), F.lit(False)) if edges else F.lit(True)
+        incoming = self.compiled.flow.incoming(node.id)
+        edges = [self._edge(e, env).live for e in incoming]
+        if not edges or any(x is self.true for x in edges):
+            return self.true
+        return F.coalesce(_any(edges), F.lit(False)) if len(edges) > 1 or env[incoming[0].source].taken is not None else edges[0]
 
     # -- placing nodes -------------------------------------------------------------------------------------------
 
@@ -274,17 +287,20 @@ class Lowering:
         """Values, liveness and error policy of a node from what its expression gave."""
         if not isinstance(made, dict):
             made = {"result": made}
-        fault = F.when(live, F.coalesce(*faults)) if faults else F.lit(None).cast("string")
-        good = fault.isNull()
+        fault = F.when(live, faults[0] if len(faults) == 1 else F.coalesce(*faults)) if faults else self.none
+        if live is self.true and faults:
+            fault = faults[0] if len(faults) == 1 else F.coalesce(*faults)
+        good = fault.isNull() if faults else self.true
         if faults and self.on_fault == "raise":
             made = {k: v if isinstance(v, Maybe) else Value(F.when(good, v.column).otherwise(F.raise_error(F.concat(F.lit(f"{node.id}: "), fault)).cast(v.kind)), v.kind) for k, v in made.items()}
-            faults = []
+            faults, fault = [], self.none
         goes_on = self.compiled.flow.policy(node) == "continue"
-        alive = live if goes_on or not faults else live & good
+        alive = live if goes_on or not faults else good if live is self.true else live & good
         handles = {}
         for name, v in made.items():
             value, own = (v.value, v.live) if isinstance(v, Maybe) else (v, None)
-            kept = Value(F.when(alive & good if faults and goes_on else alive, value.column), value.kind)
+            shown = alive & good if faults and goes_on else alive
+            kept = value if shown is self.true else Value(F.when(shown, value.column), value.kind)
             handles[name] = Handle(kept, alive if own is None else alive & F.coalesce(own, F.lit(False)))
         taken = None
         if op.is_decision:
@@ -330,7 +346,10 @@ class Lowering:
             columns.append((x.value.column.cast("string") if void else x.value.column).alias(f"{name}__v_{h}"))
             if x.live is not placed.live:
                 columns.append(x.live.alias(f"{name}__l_{h}"))
-        columns += [F.coalesce(placed.live, F.lit(False)).alias(f"{name}__live"), placed.fault.alias(f"{name}__fault")]
+        if placed.live is not self.true and id(placed.live) not in self.shared:
+            columns.append(F.coalesce(placed.live, F.lit(False)).alias(f"{name}__live"))
+        if placed.fault is not self.none:
+            columns.append(placed.fault.alias(f"{name}__fault"))
         if placed.taken is not None:
             columns.append(placed.taken.alias(f"{name}__taken"))
         if placed.progress is not None:
@@ -341,13 +360,16 @@ class Lowering:
 
     def read_back(self, name: str, placed: Placed, get: Callable[[str], Column]) -> Placed:
         at = lambda f: get(f"{name}__{f}")
-        live = at("live")
+        live = placed.live
+        if live is not self.true and id(live) not in self.shared:
+            live = at("live")
+            self.shared[id(live)] = live
         handles = {}
         for h, x in placed.handles.items():
             kind = T.StringType() if isinstance(x.value.kind, T.NullType) else x.value.kind
             handles[h] = Handle(Value(at(f"v_{h}"), kind), live if x.live is placed.live else at(f"l_{h}"))
         return replace(
-            placed, handles=handles, live=live, fault=at("fault"), taken=at("taken") if placed.taken is not None else None,
+            placed, handles=handles, live=live, fault=self.none if placed.fault is self.none else at("fault"), taken=at("taken") if placed.taken is not None else None,
             progress=(at("at"), at("of")) if placed.progress is not None else None, events=at("events") if placed.events is not None else None,
         )
 
@@ -477,7 +499,7 @@ class Lowering:
 
             return _once(F.struct(*columns), rest)
 
-        return layer(0, env, F.lit(None).cast("string"), E.none() if self.trace else F.lit(None))
+        return layer(0, env, self.none, E.none() if self.trace else F.lit(None))
 
     def _stops(self, node_id: str) -> bool:
         """Whether a fault of the node ends the run."""
@@ -587,9 +609,9 @@ class Lowering:
         lengths = F.when(uneven | over, F.to_json(F.struct(F.array(*sizes).alias("lengths"), F.greatest(short, F.lit(0)).alias("taken"))))
 
         def placed_start(item: Column, index: Column) -> Placed:
-            handles = {"output_1": Handle(Value(item["x0"], items[0].kind.elementType), F.lit(True)), "output_2": Handle(Value((index + 1).cast("long"), T.LongType()), F.lit(True))}
-            handles |= {f"output_{i + 2}": Handle(Value(item[f"x{i}"], v.kind.elementType), F.lit(True)) for i, v in enumerate(items) if i}
-            return Placed(handles, F.lit(True), F.lit(None).cast("string"), safe=True)
+            handles = {"output_1": Handle(Value(item["x0"], items[0].kind.elementType), self.true), "output_2": Handle(Value((index + 1).cast("long"), T.LongType()), self.true)}
+            handles |= {f"output_{i + 2}": Handle(Value(item[f"x{i}"], v.kind.elementType), self.true) for i, v in enumerate(items) if i}
+            return Placed(handles, self.true, self.none, safe=True)
 
         kinds: list[T.DataType] = []
         goes_on = not self._stops(region.start)
@@ -681,9 +703,8 @@ class Lowering:
 
         return start, int(start.data.get("max_iterations", MAX_ROUNDS)), goes_on
 
-    @staticmethod
-    def _round_start(iteration: Column, last: Value) -> Placed:
-        return Placed({"output_1": Handle(Value(iteration, T.LongType()), F.lit(True)), "output_2": Handle(last, F.lit(True))}, F.lit(True), F.lit(None).cast("string"), safe=True)
+    def _round_start(self, iteration: Column, last: Value) -> Placed:
+        return Placed({"output_1": Handle(Value(iteration, T.LongType()), self.true), "output_2": Handle(last, self.true)}, self.true, self.none, safe=True)
 
     def _while(self, region: Region, env: Env) -> tuple[Column, Callable]:
         """Rounds are folded in blocks of blocks: a run that ended passes a whole block in one step."""
@@ -870,9 +891,19 @@ class Lowering:
                     env[node.id] = self.native(node, env)
 
     def rows(self, df: DataFrame, nodes: list[Node] | None = None) -> DataFrame:
-        """Place nodes as columns of df; runs that pause leave df for `waits`."""
+        """Place nodes as columns of df; runs that pause leave df for `waits`.
+
+        Layers of native nodes wait for each other in one select, where a column may name one before it; so a deep flow
+        takes a select for every LAYERS_AT_ONCE layers."""
         if not self.columns:
             self.columns = {f.name: f.dataType for f in df.schema.fields}
+        pending: list[list[Column]] = []
+
+        def flushed(df: DataFrame) -> DataFrame:
+            columns = [c for layer in pending for c in layer]
+            pending.clear()
+            return df.select("*", *columns) if columns else df
+
         for layer in self._units(list(nodes if nodes is not None else self.compiled.flow.nodes)):
             todo = [n for n in layer if n.id not in self.done]
             native, regions, python, pausing = [], [], [], []
@@ -882,6 +913,8 @@ class Lowering:
             placed: dict[str, Placed] = {}
             for n in native:
                 placed[n.id] = self.cached(n, self.native(n, self.env))
+            if regions or len(pending) >= LAYERS_AT_ONCE:
+                df = flushed(df)
             for n in regions:
                 df, more = self._place_region(n, self.env, df)
                 placed |= more
@@ -890,8 +923,10 @@ class Lowering:
                 for i, p in placed.items():
                     more, self.env[i] = self.store_in(i, p)
                     columns += more
-                df = df.select("*", *columns)
+                pending.append(columns)
             self.done |= set(placed)
+            if python or pausing or any(i.shown.kind == "HumanReview" for n in todo for i in self.compiled.inputs[n.id]):
+                df = flushed(df)
             for n in python:
                 df = (self.python if self.compiled.operators[n.id].place is None else self.extension)(df, n, self.env)
                 self.done.add(n.id)
@@ -899,7 +934,7 @@ class Lowering:
                 df = self._review(df, n)
             for n in pausing:
                 df = self._pause(df, n)
-        return df
+        return flushed(df)
 
     def settled(self, df: DataFrame) -> DataFrame:
         """df before it is read more than once: a table, if Python operators had effects on the way to it."""

@@ -189,23 +189,41 @@ class Result:
         return Result(lowering, lowering.rows(rows))
 
 
-def match_signals(waiting: DataFrame, signals: DataFrame, key: str, correlation: str | None = None, payload: str = "payload") -> DataFrame:
-    """key and response: each waiting run with the payloads of signals of its name whose correlation holds.
+#: Parts over which the signals of a name are dealt where the correlation has no equality to join by.
+SIGNAL_PARTS = 32
+
+
+def match_signals(waiting: DataFrame, signals: DataFrame, key: str, correlation: str | None = None, payload: str = "payload", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, response and the columns `carry` of signals: each waiting run with the payloads of signals of its name whose
+    correlation holds.
 
     signals: signal_name and a payload struct (or more columns). The correlation is an expression over the payload's
-    fields; `run` is the waiting row. A correlation that fails, for a row or for the payload's shape, matches nothing.
+    fields (also `signal`, the payload itself); `run` is the waiting row. What it asks to be equal of the payload and of the
+    run is joined by, beside the name; the rest is asked of what meets. Without such equalities the signals of a name are
+    dealt over parts, to each of which its runs are sent. A correlation that fails, for a row or for the payload's shape,
+    matches nothing.
     """
     names = waiting.select(key, F.col("wait.signal_name").alias("_name"), F.struct(*[F.col(f"`{c}`") for c in waiting.columns if c != "wait"]).alias("run"))
-    met = names.join(signals, F.col("_name") == F.col("signal_name"))
+    told = signals.select(F.col("signal_name").alias("_signal"), F.col(payload).alias("_payload"), *[F.col(c).alias(f"_with_{c}") for c in carry])
+    pairs, test = [], F.lit(True)
     if correlation:
         held = signals.schema[payload].dataType
-        scope = {f.name: Value(F.col(f"`{payload}`.`{f.name}`"), f.dataType) for f in held.fields}
-        scope["run"] = Value(F.col("run"), names.schema["run"].dataType)
+        of_signal = {f.name: Value(F.col(f"_payload.`{f.name}`"), f.dataType) for f in held.fields} | {"signal": Value(F.col("_payload"), held)}
+        of_run = {"run": Value(F.col("run"), names.schema["run"].dataType)}
         try:
-            met = met.filter(expression.checked_condition(correlation, scope)[0])
+            pairs = expression.equalities(correlation, of_run, of_signal)
+            test = expression.checked_condition(correlation, {**of_signal, **of_run})[0]
         except expression.ExpressionError:
-            met = met.filter(F.lit(False))
-    return met.select(key, F.col(payload).alias("response"))
+            test = F.lit(False)
+    for i, (a, b) in enumerate(pairs):
+        names, told = names.withColumn(f"_a{i}", a.column), told.withColumn(f"_b{i}", b.column)
+    if not pairs:
+        names = names.withColumn("_a0", F.explode(F.sequence(F.lit(0), F.lit(SIGNAL_PARTS - 1))))
+        told = told.withColumn("_b0", F.pmod(F.xxhash64("_payload"), F.lit(SIGNAL_PARTS)).cast("int"))
+    met = F.col("_name") == F.col("_signal")
+    for i in range(max(1, len(pairs))):
+        met = met & F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}"))
+    return names.join(told, met).filter(test).select(key, F.col("_payload").alias("response"), *[F.col(f"_with_{c}").alias(c) for c in carry])
 
 
 def run(flow: Flow, df: DataFrame, registry: Registry | None = None, *, key: str | None = None, flows: dict[tuple[str, int], Flow] | None = None, strict: bool = False, on_fault: str = "column", cache: dict[str, dict[str, str]] | None = None, store: dict[str, Any] | None = None, context: dict[str, Any] | None = None, trace: bool = False) -> Result:

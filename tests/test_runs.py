@@ -189,3 +189,18 @@ def test_patterns_in_columns(spark):
     assert [tuple(x) for x in r.runs.select(r.column("out", "output_1"), r.column("out", "output_2"), r.column("out", "output_3")).collect()] == [("a1", ["a", "1"], True), ("a1", [], True), ("", [], False)]
     every = run(one("regex-extract", text="@t", pattern="@p"), df)
     assert [x["out"] for x in every.project([OutputRef("out", "out")]).collect()] == [["a", "b"], ["a1", "b2"], []]
+
+
+def test_correlations_join_by_their_equalities(spark):
+    rows = spark.createDataFrame([(1, 10, "a"), (2, 20, "b"), (None, None, "c")], "k int, user int, tag string")
+    signals = spark.createDataFrame([("go", (10, 5.0, "a")), ("go", (20, 1.0, "x")), ("go", (None, 9.0, "c")), ("no", (10, 5.0, "a")), ("go", (10, None, "a"))], "signal_name string, payload struct<user_id: long, value: double, tag: string>")
+    waiting = run(Flow((Node("hold", "signal-wait", {"signal_name": "go"}),)), rows).waiting("hold")
+    met = lambda c: sorted(((r["k"] is None, r["k"], r["response"]["value"]) for r in match_signals(waiting, signals, "k", c).collect()), key=str)
+    plan = lambda c: match_signals(waiting, signals, "k", c)._jdf.queryExecution().optimizedPlan().toString()
+    both = "user_id == run.user && value > 2 && run.tag == tag"
+    assert met(both) == [(False, 1, 5.0), (True, None, 9.0)]
+    joined = next(line for line in plan(both).splitlines() if line.lstrip(" +-:").startswith("Join"))
+    assert joined.count("<=>") == 2
+    assert met("1 / (value - 5) > 0 && signal.user_id == run.user") == [(True, None, 9.0)]  # where it fails nothing matches
+    assert len(met(None)) == 3 * 4 and len(met("value > 2 || tag == run.tag")) == 7
+    assert met("missing == run.user") == [] and met("user_id == run.tag") == []
