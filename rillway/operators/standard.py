@@ -107,12 +107,27 @@ MATH = (
 )
 
 
+def _variant(held: Value) -> Column:
+    if isinstance(held.kind, T.VariantType):
+        return held.column
+    return F.to_variant_object(held.column) if isinstance(held.kind, (T.ArrayType, T.MapType, T.StructType)) else held.column.cast("variant")
+
+
 def _json_get(i):
-    """Value at a dotted path; a numeric segment is a key or an index, negative ones count from the end."""
+    """Value at a dotted path; a numeric segment is a key or an index, negative ones count from the end. A stated path is a
+    chain of lookups, one from a column a fold over its segments."""
     held, path = i["value"], constant(i["path"])
+    now = _variant(held)
     if path is None:
-        raise TypeError("json-get needs a path that the flow states")
-    now = held.column if isinstance(held.kind, T.VariantType) else F.to_variant_object(held.column) if isinstance(held.kind, (T.ArrayType, T.MapType, T.StructType)) else held.column.cast("variant")
+        segments = F.filter(F.transform(F.split(i["path"].column, r"\."), strip), lambda x: x != "")
+
+        def step(at: Column, segment: Column) -> Column:
+            listed = F.try_variant_get(at, "$", "array<variant>")
+            index = segment.try_cast("int")
+            item = F.get(listed, F.when(index < 0, F.size(listed) + index).otherwise(index))
+            return F.when(listed.isNotNull(), item).otherwise(F.try_element_at(F.try_variant_get(at, "$", "map<string,variant>"), segment))
+
+        return Value(F.when(segments.isNotNull(), F.aggregate(segments, now, step)), T.VariantType())
     for part in (p.strip() for p in path.split(".") if path.strip()):
         by_key = F.try_variant_get(now, "$['{}']".format(part.replace("'", "\\'")), "variant")
         if re.fullmatch(r"-?\d+", part):
@@ -123,20 +138,53 @@ def _json_get(i):
     return Value(now, T.VariantType())
 
 
+#: Tokens of compact JSON: texts, empty containers, marks, and what lies between (numbers, true, false, null).
+_TOKENS = r'"(?:[^"\\]|\\.)*"|\[\]|\{\}|[\[\]{}:,]|[^"\[\]{}:,]+'
+
+
+def _ascii(token: Column) -> Column:
+    """A JSON text with all but printable ASCII as lower-case \\u escapes of UTF-16 units."""
+    units = lambda c: F.lower(F.hex(F.encode(c, "UTF-16BE")))
+    escaped = lambda c: F.regexp_replace(units(c), "(.{4})", r"\\u$1")
+    each = lambda c: F.when(c.startswith("\\u"), F.lower(c)).when(c.rlike(r"^[\x20-\x7E]+$"), c).otherwise(escaped(c))
+    whole = F.array_join(F.transform(F.regexp_extract_all(token, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\.|."), F.lit(0)), each), "")
+    return F.when(token.rlike(r"[^\x20-\x7E]|\\u"), whole).otherwise(token)
+
+
+def _float(token: Column) -> Column:
+    """A number with an exponent as Python shows it: plain from 1e-4 to 1e16, else with sign and two digits at least."""
+    plain = F.regexp_replace(token.cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    short = F.regexp_replace(F.regexp_replace(token, r"\.0E", "E"), "E(?=[0-9])", "e+")
+    short = F.regexp_replace(F.regexp_replace(short, "E-", "e-"), r"(e[+-])(\d)$", "$10$2")
+    size = F.abs(token.cast("double"))
+    return F.when((size >= 1e-4) & (size < 1e16), plain).otherwise(short)
+
+
 def _stringify(i):
+    """Compact JSON spaced, escaped and indented as Python writes it, token by token."""
     held, indent, ordered = i["value"], constant(i["indent"]), constant(i["sort_keys"])
-    if not indent and not ordered and isinstance(held.kind, (T.StringType, T.NumericType, T.BooleanType)):
-        shown = F.to_json(F.array(held.column))
-        return Value(F.substring(shown, F.lit(2), F.length(shown) - 2), STR)
-
-    def dump(compact: str | None) -> str | None:
-        if compact is None:
-            return "null"
-        return json.dumps(json.loads(compact), indent=indent or None, sort_keys=bool(ordered))
-
-    # Python's spacing, escapes and indent have no native form: an Arrow-batched function over the compact JSON.
-    shown = F.to_json(held.column) if isinstance(held.kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) else F.to_json(F.array(held.column))
-    return Value(F.udf(dump, STR, useArrow=True)(shown), STR)
+    options = {"ignoreNullFields": "false"}
+    if isinstance(held.kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        shown = F.to_json(_variant(held) if ordered else held.column, options)
+    else:
+        listed = F.to_json(F.array(held.column), options)
+        shown = F.substring(listed, F.lit(2), F.length(listed) - 2)
+    shown = F.coalesce(shown, F.lit("null"))
+    tokens = F.regexp_extract_all(shown, F.lit(_TOKENS), F.lit(0))
+    plain = lambda x: F.when(x.startswith('"'), _ascii(x)).when(x.rlike("[0-9]E"), _float(x)).otherwise(x)
+    if not indent:
+        spaced = lambda x: F.when(x == ",", ", ").when(x == ":", ": ").otherwise(plain(x))
+        return Value(F.array_join(F.transform(tokens, spaced), ""), STR)
+    line = lambda depth: F.concat(F.lit("\n"), F.repeat(F.lit(" " * int(indent)), depth))
+
+    def step(s: Column, x: Column) -> Column:
+        opens, closes = x.isin("[", "{"), x.isin("]", "}")
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        here = F.when(opens | (x == ","), F.concat(x, line(depth))).when(closes, F.concat(line(depth), x)).when(x == ":", ": ").otherwise(plain(x))
+        return F.struct(depth.alias("depth"), F.concat(s["out"], here).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    return Value(F.aggregate(tokens, begin, step, lambda s: s["out"]), STR)
 
 
 JSON = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
@@ -18,8 +19,9 @@ from rillway.plans import events as E
 from rillway.plans.compile import Compiled, compile_flow
 from rillway.plans.control import Outcome
 from rillway.plans.events import EVENT
-from rillway.plans.lower import Handle, Lowering, Placed, literal
+from rillway.plans.lower import STORE, Handle, Lowering, Placed, literal
 from rillway.registry import Registry
+from rillway.tables import cut
 
 
 @dataclass(frozen=True)
@@ -125,41 +127,71 @@ class Result:
 
         Completed nodes that name a compensation, last first; skipped and failed nodes have nothing to undo.
         """
+        return self._to_undo(key).select(key, "step", "node_id", "compensation_node_id", "original_inputs", "original_output")
+
+    def _to_undo(self, key: str, *more: Column) -> DataFrame:
         flow = self.compiled.flow
         env = self._own()
-        order = [n for layer in self.compiled.order for n in layer if n.compensation and n.id in env]
         broken = self._error(env).isNotNull()
         steps = []
-        for n in reversed(order):
+        for n in reversed([n for layer in self.compiled.order for n in layer if n.compensation and n.id in env]):
             p = env[n.id]
             inputs, _ = self.lowering.inputs(n, self.lowering.env)
             given = F.to_json(F.struct(*[v.column.alias(k) for k, v in inputs.items() if not isinstance(v.kind, T.NullType)]))
             step = F.struct(F.lit(n.id).alias("node_id"), F.lit(n.compensation).alias("compensation_node_id"), given.alias("original_inputs"), F.to_json(F.struct(p.handle("result").value.column.alias("result"))).alias("original_output"))
             steps.append(F.when(p.live & p.fault.isNull(), step))
-        kind = "step int, node_id string, compensation_node_id string, original_inputs string, original_output string"
-        if not steps:
-            return self.runs.sparkSession.createDataFrame([], f"{key} {self.runs.schema[key].dataType.simpleString()}, {kind}")
-        rows = self.runs.filter(broken).select(key, F.posexplode(F.array_compact(F.array(*steps))).alias("step", "s"))
-        return rows.select(key, "step", "s.*")
+        none = F.array().cast("array<struct<node_id: string, compensation_node_id: string, original_inputs: string, original_output: string>>")
+        held = self.runs.filter(broken).select(key, *more, (F.array_compact(F.array(*steps)) if steps else none).alias("steps"))
+        rows = held.select(*[c for c in held.columns if c != "steps"], F.posexplode("steps").alias("step", "s"))
+        return rows.select(*[c for c in rows.columns if c != "s"], "s.*")
 
     def undo(self, key: str) -> DataFrame:
         """The compensation steps carried out: each step's operator gets original_inputs, original_output and
-        target_node_id besides its own data. A step that fails is reported and the others go on (key, step, node_id,
-        compensation_node_id, result, error)."""
-        plan = self.compensation(key)
+        target_node_id besides its own data, and the run's store. A step that fails is reported and the others go on (key,
+        step, node_id, compensation_node_id, result, error).
+
+        With Python operators there is a pass for each step, and a table after it: the last completed node of all runs is
+        undone before the one before it, so effects come in reverse order of completion. The passes run when undo is
+        called, once. Native operators have no effects; theirs is one lazy pass.
+        """
+        names = sorted({n.compensation for n in self.compiled.flow.nodes if n.compensation})
+        found = [self.compiled.registry.get(self.compiled.flow.by_id[n].type) for n in names]
+        shown = (key, "step", "node_id", "compensation_node_id", "result", "error")
+        if all(op.fn is None or op.expr is not None for op in found):
+            return self._undone(self._to_undo(key), names, key).select(*shown)
+        more = [F.monotonically_increasing_id().alias("_run")]
+        stores = any("store" in inspect.signature(op.fn).parameters for op in found if op.fn is not None)
+        if stores:
+            more.append(F.col("store") if "store" in self.runs.columns else F.create_map().cast(STORE).alias("store"))
+        plan = cut(self._to_undo(key, *more))
+        passes, store = [], None
+        for step in range(sum(1 for n in self.compiled.flow.nodes if n.compensation)):
+            rows = plan.filter(F.col("step") == step)
+            if rows.isEmpty():
+                break
+            if store is not None:
+                rows = rows.drop("store").join(store, "_run")
+            passes.append(cut(self._undone(rows, names, key)))
+            store = passes[-1].select("_run", "store") if stores else None
+        if not passes:
+            return self._undone(plan, names[:1], key).select(*shown)
+        return reduce(DataFrame.unionByName, [p.select(*shown) for p in passes])
+
+    def _undone(self, plan: DataFrame, names: list[str], key: str) -> DataFrame:
+        """A plan's rows with result and error of their compensation nodes."""
         parts = []
-        for name in sorted({n.compensation for n in self.compiled.flow.nodes if n.compensation}):
+        kept = [c for c in plan.columns if c not in ("original_inputs", "original_output")]
+        for name in names:
             node = self.compiled.flow.by_id[name]
             op = self.compiled.registry.get(node.type)
-            flow = Flow((replace(node, on_error="continue", data={**node.data, **{k: Value(F.col(c), T.StringType()) for k, c in (("original_inputs", "original_inputs"), ("original_output", "original_output"), ("target_node_id", "node_id")) if op.input(k) or op.dynamic_handles}}),))
+            given = {k: Value(F.col(c), T.StringType()) for k, c in (("original_inputs", "original_inputs"), ("original_output", "original_output"), ("target_node_id", "node_id")) if op.input(k) or op.dynamic_handles}
+            flow = Flow((replace(node, on_error="continue", data={**node.data, **given}),))
             done = run(flow, plan.filter(F.col("compensation_node_id") == name), self.compiled.registry)
             value = done.lowering.env[name]
-            shown = F.to_json(F.struct(value.handle("result").value.column.alias("result")))
-            parts.append(done.runs.select(key, "step", "node_id", "compensation_node_id", shown.alias("result"), value.fault.alias("error")))
-        out = parts[0] if parts else plan.select(key, "step", "node_id", "compensation_node_id", F.lit(None).cast("string").alias("result"), F.lit(None).cast("string").alias("error"))
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+            parts.append(done.runs.select(*kept, F.to_json(F.struct(value.handle("result").value.column.alias("result"))).alias("result"), value.fault.alias("error")))
+        if not parts:
+            parts = [plan.select(*kept, F.lit(None).cast("string").alias("result"), F.lit(None).cast("string").alias("error"))]
+        return reduce(DataFrame.unionByName, parts)
 
     @property
     def waits(self):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rillway.model import Edge, Flow, Node
 from rillway.plans.run import OutputRef, Result, run
+from rillway.registry import Registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,6 +101,11 @@ _PARSED = Flow((col("props"), Node("parsed", "json-parse"), Node("out", "json-ge
 single("json_get", "events", "event_id", _PARSED, "json_extract_string(props, '$.k')", lambda c: F.try_variant_get(c, "$", "string"))
 single("json_parse", "events", "event_id", one("json-parse", text="@props"), "json_extract_string(props, '$.k')", lambda c: F.try_variant_get(c, "$.k", "string"))
 single("json_stringify", "part", "p_partkey", one("json-stringify", value="@p_name"), "'\"' || p_name || '\"'")
+_MADE = (col("p_name"), Node("made", "text-replace", {"text": '{"size": 1e20, "list": [2.50, "NAME", {"deep": true}, []]}', "needle": "NAME"}), Node("parsed", "json-parse"))
+_WIRED = (wire("p_name", "made", "replacement"), wire("made", "parsed", "text"))
+single("json_get_path_column", "orders", "o_orderkey", Flow((col("o_orderstatus"), Node("held", "json-parse", {"text": '{"F": {"x": ["a"]}, "O": {"x": [1, 2]}, "P": "p"}'}), Node("path", "text-concat", {"b": "x.-1", "separator": "."}), Node("out", "json-get")), (wire("o_orderstatus", "path", "a"), wire("held", "out", "value"), wire("path", "out", "path"))), "CASE o_orderstatus WHEN 'F' THEN 'a' WHEN 'O' THEN '2' END", lambda c: F.try_variant_get(c, "$", "string"))
+single("json_stringify_list", "part", "p_partkey", Flow((col("p_name"), Node("cut", "text-split", {"separator": " "}), Node("out", "json-stringify")), (wire("p_name", "cut", "text"), wire("cut", "out", "value"))), """'["' || replace(p_name, ' ', '", "') || '"]'""")
+single("json_stringify_object", "part", "p_partkey", Flow((*_MADE, Node("out", "json-stringify", {"indent": 2, "sort_keys": True})), (*_WIRED, wire("parsed", "out", "value"))), """'{' || chr(10) || '  "list": [' || chr(10) || '    2.5,' || chr(10) || '    "' || p_name || '",' || chr(10) || '    {' || chr(10) || '      "deep": true' || chr(10) || '    },' || chr(10) || '    []' || chr(10) || '  ],' || chr(10) || '  "size": 1e+20' || chr(10) || '}'""")
 single("regex_match", "part", "p_partkey", one("regex-match", text="@p_name", pattern="^C", ignore_case=True), "regexp_matches(lower(p_name), '^c')")
 single("regex_replace", "customer", "c_custkey", one("regex-replace", text="@c_name", pattern="([0-9])([0-9])", replacement=r"\2\1"), r"regexp_replace(c_name, '([0-9])([0-9])', '\2\1', 'g')")
 single("regex_extract", "customer", "c_custkey", one("regex-extract", text="@c_name", pattern="0([1-9])"), "array_to_string(regexp_extract_all(c_name, '0([1-9])', 1), ',')", lambda c: F.array_join(c, ","))
@@ -577,6 +584,43 @@ def compensation_undo(spark, sf_dir):
     return r.undo("o_orderkey").select("o_orderkey", "node_id", "result")
 
 
+def booking() -> tuple[Flow, Registry]:
+    """Reserve, pay, then a step that fails for even keys; each undo adds the node that it undoes to the run's log, and
+    undoing the payment fails for keys that 4 divides."""
+    from rillway.operators.standard import standard
+
+    registry = standard()
+
+    @registry.node("book")
+    def book(key: int, store=None) -> str:
+        store.set("log", "")
+        return f"booked {key}"
+
+    @registry.node("unbook")
+    def unbook(original_output: str = None, target_node_id: str = None, store=None) -> str:
+        store.set("log", f"{store.get('log', '')}{target_node_id};")
+        if target_node_id == "pay" and int(json.loads(original_output)["result"].split()[1]) % 4 == 0:
+            raise ValueError("no refund")
+        return store.get("log")
+
+    nodes = (col("o_orderkey"), Node("reserve", "book", compensation="drop"), Node("pay", "book", compensation="back"), Node("left", "math-modulo", {"b": 2}), Node("close", "math-divide", {"a": 1.0}, on_error="compensate"), Node("back", "unbook"), Node("drop", "unbook"))
+    edges = (wire("o_orderkey", "reserve", "key"), wire("o_orderkey", "pay", "key"), wire("reserve", "pay", "after"), wire("o_orderkey", "left", "a"), wire("left", "close", "b"), wire("pay", "close", "after"))
+    return Flow(nodes, edges), registry
+
+
+@register(
+    "compensation_order",
+    """WITH f AS (SELECT o_orderkey, o_orderkey % 4 = 0 AS bad FROM orders WHERE o_orderkey % 2 = 0)
+    SELECT o_orderkey, CAST(0 AS INTEGER) AS step, 'pay' AS node_id, CASE WHEN NOT bad THEN 'pay;' END AS log, CASE WHEN bad THEN 'ValueError: no refund' END AS error FROM f
+    UNION ALL SELECT o_orderkey, 1, 'reserve', CASE WHEN bad THEN 'reserve;' ELSE 'pay;reserve;' END, NULL FROM f""",
+)
+def compensation_order(spark, sf_dir):
+    """What was done last is undone first: the second undo of a run finds the first in the run's log."""
+    flow, registry = booking()
+    done = run(flow, table(spark, sf_dir, "orders"), registry).undo("o_orderkey")
+    return done.select("o_orderkey", "step", "node_id", F.get_json_object("result", "$.result").alias("log"), "error")
+
+
 @register("idempotency_key", "SELECT DISTINCT 'ch-' || o_custkey AS idempotency_key FROM orders")
 def idempotency_key(spark, sf_dir):
     from rillway.plans.run import idempotent
@@ -607,6 +651,27 @@ def signal_match(spark, sf_dir):
     return match_signals(waiting, signals, "c_custkey", "user_id == run.c_custkey && value > 50").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(
+    "stream_signals",
+    """SELECT c_custkey, 'thanks for ' || arg_min(event_id, (ts, event_id)) AS out, false AS timed_out FROM customer JOIN events ON event_type = 'purchase' AND user_id = c_custkey AND value > 50 GROUP BY c_custkey""",
+)
+def stream_signals(spark, sf_dir):
+    """A stream of events: each customer waits for a first purchase of over 50, then the rest of the flow is carried out."""
+    from rillway.streaming.runs import answered, resume_on_stream
+    from rillway.tables import new_path
+
+    test = "user_id == run.c_custkey && value > 50"
+    nodes = (Node("hold", "signal-wait", {"signal_name": "purchase", "correlation": test}), Node("thanks", "template", {"template": "thanks for {input}"}))
+    first = run(Flow(nodes, (wire("hold", "thanks", "input"),)), table(spark, sf_dir, "customer"))
+    # As a pattern, so that the table may be a single file.
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.[p]arquet")
+    signals = events.select(F.col("event_type").alias("signal_name"), F.struct("event_id", "user_id", "value").alias("payload"), "ts")
+    folder = new_path(spark, "stream-signals")
+    query = resume_on_stream(first, "hold", signals, "c_custkey", [OutputRef("out", "thanks")], folder, correlation=test, time="ts", answer=lambda p: p["event_id"].cast("string")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return answered(spark, folder)
+
+
 @register("signal_outer", "SELECT c_custkey, count(e.event_id) > 0 AS answered FROM customer LEFT JOIN events e ON e.user_id = c_custkey AND e.event_type = 'purchase' GROUP BY c_custkey")
 def signal_outer(spark, sf_dir):
     from rillway.plans.run import match_signals
@@ -749,6 +814,17 @@ def chain_100(spark, sf_dir):
     return r.project([OutputRef("out", "n99")], ("o_orderkey",))
 
 
+def chain(n: int) -> Flow:
+    nodes = [col("o_orderkey"), *(Node(f"n{k}", "math-add", {"b": 1}) for k in range(n))]
+    return Flow(tuple(nodes), tuple(wire(a.id, b.id, "a") for a, b in zip(nodes, nodes[1:], strict=False)))
+
+
+@register("chain_500", "SELECT o_orderkey, CAST(o_orderkey + 500 AS DOUBLE) AS out, CAST(o_orderkey + 250 AS DOUBLE) AS half FROM orders")
+def chain_500(spark, sf_dir):
+    """500 nodes in a row."""
+    return run(chain(500), table(spark, sf_dir, "orders")).project([OutputRef("out", "n499"), OutputRef("half", "n249")], ("o_orderkey",))
+
+
 @register("regex_of_column", "SELECT p_partkey, CASE WHEN contains(p_name, split_part(p_name, ' ', 2)) THEN [split_part(p_name, ' ', 2)] END AS hits FROM part WHERE regexp_matches(p_name, '^[a-z]+ [a-z]+')")
 def regex_of_column(spark, sf_dir):
     rows = table(spark, sf_dir, "part").filter("p_name rlike '^[a-z]+ [a-z]+'").withColumn("pattern", F.concat(F.lit("^[a-z]+ ("), F.split("p_name", " ")[1], F.lit(")")))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rillway.model import Flow, FlowError
-from rillway.plans.run import Result, run
+from rillway.plans.run import OutputRef, Result, match_signals, run
 from rillway.registry import Registry
 
 
@@ -79,3 +81,68 @@ def _settle(key: str, keep_seconds: float):
             state.setTimeoutDuration(int(seconds * 1000))
 
     return settle
+
+
+def resume_on_stream(first: Result, node_id: str, signals: DataFrame, key: str, outputs: list[OutputRef], folder: str, *, correlation: str | None = None, time: str = "time", since: str | None = None, answer: Callable[[Column], Column] = lambda p: p, keep_seconds: float = 86_400.0) -> DataStreamWriter:
+    """A stream that goes on with the runs that wait at a node as their signals come; start() it, with any trigger.
+
+    signals: a stream of signal_name, payload (a struct) and `time`. A waiting run is answered by the earliest signal of its
+    name whose correlation holds (see match_signals): answer(payload) becomes the node's result and the rest of the flow is
+    carried out. With `since`, a column of the run with the time that it began to wait, a run whose timeout_seconds end before
+    the latest time seen is given up; a later signal doesn't answer it. Signals that nobody waits for are kept for
+    keep_seconds of the signals' time.
+
+    Everything lies in tables by batch in `folder`: `out` (key, outputs, timed_out), `open` (the runs that wait still),
+    `signals` (those kept) and the stream's checkpoint. A batch reads the tables of the one before and overwrites its own, so
+    one that is repeated after a loss gives the same rows, once. A folder that has been begun is gone on with.
+    """
+    spark = signals.sparkSession
+    path = lambda name, n: f"{folder}/{name}/batch={n}"
+    waiting = first.waiting(node_id)
+    schema = waiting.schema
+    if not _begun(spark, folder):
+        waiting.write.mode("overwrite").parquet(path("open", -1))
+    told = signals.select("signal_name", "payload", F.col(time).cast("timestamp").alias("time"))
+
+    def settle(batch: DataFrame, n: int) -> None:
+        held = batch if n == 0 else spark.read.schema(told.schema).parquet(path("signals", n - 1)).unionByName(batch)
+        _write(held.withColumn("sid", F.monotonically_increasing_id()), path("told", n))
+        now = spark.read.parquet(path("told", n))
+        latest = now.agg(F.max("time").alias("latest"))
+        runs = spark.read.schema(schema).parquet(path("open", n - 1)).crossJoin(F.broadcast(latest))  # latest is one row
+        limit = F.col("wait.timeout_seconds").cast("double") if "timeout_seconds" in schema["wait"].dataType.names else F.lit(None).cast("double")
+        end = F.timestamp_seconds(F.unix_micros(F.col(since).cast("timestamp")) / 1e6 + limit) if since else F.lit(None).cast("timestamp")
+        runs = runs.withColumn("_end", F.when(limit > 0, end)).withColumn("_rid", F.monotonically_increasing_id())
+        _write(runs, path("runs", n))
+        runs = spark.read.parquet(path("runs", n))
+        met = match_signals(runs, now, "_rid", correlation, carry=("time", "sid"))
+        met = met.join(runs.select("_rid", "_end"), "_rid").filter(F.col("_end").isNull() | (F.col("time") <= F.col("_end")))
+        _write(met.select("_rid", "sid", "time", answer(F.col("response")).alias("response")), path("met", n))
+        met = spark.read.parquet(path("met", n))
+        answers = met.groupBy("_rid").agg(F.min_by("response", F.struct("time", "sid")).alias("response"))
+        done = first.resume(node_id, answers, "_rid", checkpoint=runs).project(outputs, keep=(key,)).withColumn("timed_out", F.lit(False))
+        left = runs.join(answers.select("_rid"), "_rid", "left_anti")
+        late = F.coalesce(F.col("_end") < F.col("latest"), F.lit(False))
+        given_up = left.filter(late).select(key, *[F.lit(None).cast(done.schema[o.name].dataType).alias(o.name) for o in outputs], F.lit(True).alias("timed_out"))
+        _write(done.unionByName(given_up), path("out", n))
+        _write(left.filter(~late).select(*schema.names), path("open", n))
+        fresh = now.crossJoin(F.broadcast(latest)).filter(F.unix_micros("time") > F.unix_micros("latest") - keep_seconds * 1e6)
+        _write(fresh.join(met.select("sid").distinct(), "sid", "left_anti").select(*told.columns), path("signals", n))
+
+    return told.writeStream.foreachBatch(settle).option("checkpointLocation", f"{folder}/checkpoint")
+
+
+def answered(spark: SparkSession, folder: str) -> DataFrame:
+    """What resume_on_stream has put out so far."""
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+def _write(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
+def _begun(spark: SparkSession, folder: str) -> bool:
+    try:
+        return spark.read.parquet(f"{folder}/open/batch=-1") is not None
+    except AnalysisException:
+        return False

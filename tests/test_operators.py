@@ -1,11 +1,14 @@
 """One-operator flows with stated inputs, exact results."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from rillway.functions.predicates import CATALOG, UnknownPredicate, predicate
 from rillway.model import Flow, Node
 from rillway.plans.run import run
+from rillway.queries import col, wire
 
 
 def out(spark, kind, handle="result", **data):
@@ -83,3 +86,21 @@ def test_predicates_that_cannot_judge(spark, name, a, b):
 def test_unknown_predicate():
     with pytest.raises(UnknownPredicate):
         predicate("nope", F.lit("a"))
+
+
+def test_json_as_python_writes_it(spark):
+    values = [{"b": [1, 2.5, "é\u0001\x7f😀\"\\u000B\n"], "a": {}, "c": [], "d": None, "e": [[], {"x": [1]}], "f": True, "g": 1e20, "h": 0.00025, "i": "\\\u000b", "j": 1e-05}, [], "x", 5, None, [None, {"k": {"y": [{}], "z": 1}}]]
+    df = spark.createDataFrame([(json.dumps(v),) for v in values], "t string")
+    for indent in (0, 2, 3):
+        flow = Flow((col("t"), Node("p", "json-parse"), Node("out", "json-stringify", {"indent": indent, "sort_keys": True})), (wire("t", "p", "text"), wire("p", "out", "value")))
+        r = run(flow, df)
+        assert [x["out"] for x in r.runs.select(r.column("out").alias("out")).collect()] == [json.dumps(v, indent=indent or None, sort_keys=True) for v in values]
+
+
+@pytest.mark.parametrize(("path", "want"), [("b.0", "1"), ("b.-1", '"x"'), ("b.9", None), ("b.x", None), ("a.k.n", "2"), ("a. k .0", None), ("", None), ("missing.y", None), (None, None)])
+def test_json_get_by_a_column(spark, path, want):
+    df = spark.createDataFrame([('{"a": {"k": {"n": 2}}, "b": [1, 2, "x"]}', path)], "t string, path string")
+    flow = Flow((col("t"), col("path"), Node("p", "json-parse"), Node("out", "json-get")), (wire("t", "p", "text"), wire("p", "out", "value"), wire("path", "out", "path")))
+    r = run(flow, df)
+    got = r.runs.select(F.to_json(r.column("out")).alias("out")).first()["out"]
+    assert got == ('{"a":{"k":{"n":2}},"b":[1,2,"x"]}' if path == "" else want)
