@@ -19,7 +19,7 @@ from rillway.plans import events as E
 from rillway.plans.compile import Compiled, compile_flow
 from rillway.plans.control import Outcome
 from rillway.plans.events import EVENT
-from rillway.plans.lower import STORE, Handle, Lowering, Placed, literal
+from rillway.plans.lower import LATE, STORE, Handle, Lowering, Placed, literal
 from rillway.registry import Registry
 from rillway.tables import cut
 
@@ -84,7 +84,7 @@ class Result:
         delay and the error it follows), runtime_warning (error, the code `warning`, and the lengths as payload), node_progress
         of a loop's end for each round that ended well (current, total), and node_complete (result, cached) or node_error
         (error, is_validation, is_timeout); or node_skipped. The run gives flow_complete (results) or flow_error (error,
-        is_validation, completed). If the run was traced (run(..., trace=True)), the events of the nodes in a loop's
+        is_validation, completed) or, if its own deadline had passed, flow_timeout (completed). If the run was traced (run(..., trace=True)), the events of the nodes in a loop's
         rounds come before the round's progress.
         """
         env = self._own()
@@ -95,7 +95,8 @@ class Result:
         error = self._error(env)
         held = {i: h for i, p in env.items() if (h := p.handles.get("result") or p.handles.get("output_1"))}
         results = {"results": F.to_json(F.struct(*[F.when(h.live, h.value.column).alias(i) for i, h in held.items()]))} if held else {}
-        last = F.when(error.isNotNull(), E.event("flow_error", completed=self.completed(), **E.wrong(error))).otherwise(E.event("flow_complete", **results))
+        late = F.coalesce(F.endswith(error, F.lit(LATE)), F.lit(False))
+        last = F.when(late, E.event("flow_timeout", completed=self.completed(), error=error)).when(error.isNotNull(), E.event("flow_error", completed=self.completed(), **E.wrong(error))).otherwise(E.event("flow_complete", **results))
         rows = self.runs.select(key, F.posexplode(F.concat(*parts, F.array(last))).alias("seq", "e"))
         return rows.select(key, "seq", "e.*")
 
@@ -258,20 +259,21 @@ def match_signals(waiting: DataFrame, signals: DataFrame, key: str, correlation:
     return names.join(told, met).filter(test).select(key, F.col("_payload").alias("response"), *[F.col(f"_with_{c}").alias(c) for c in carry])
 
 
-def run(flow: Flow, df: DataFrame, registry: Registry | None = None, *, key: str | None = None, flows: dict[tuple[str, int], Flow] | None = None, strict: bool = False, on_fault: str = "column", cache: dict[str, dict[str, str]] | None = None, store: dict[str, Any] | None = None, context: dict[str, Any] | None = None, trace: bool = False) -> Result:
+def run(flow: Flow, df: DataFrame, registry: Registry | None = None, *, key: str | None = None, flows: dict[tuple[str, int], Flow] | None = None, strict: bool = False, on_fault: str = "column", cache: dict[str, dict[str, str]] | None = None, store: dict[str, Any] | None = None, context: dict[str, Any] | None = None, trace: bool = False, deadline: str | None = None) -> Result:
     """Lower a flow over df (one row, one run). Nothing is computed until a result is asked for.
 
     key: a column that names the run, for loops with Python operators. on_fault: `column` keeps a bad row as a row
     with an error, `raise` fails the job. cache: node id to {handle: column of df}; where the column isn't null the
     node's own result isn't used. store and context: values that guards see as store.x and context columns. trace: keep
-    the events of the nodes inside loops.
+    the events of the nodes inside loops. deadline: a column of df with the time at which the run must have ended; Python
+    operators of a run whose time is over are stopped and the run ends as timed out.
     """
     compiled = compile_flow(flow, registry or standard(), strict, flows)
     for name, value in (context or {}).items():
         df = df.withColumn(name, literal(value).column)
     if store:
         df = df.withColumn("store", literal(store).column)
-    lowering = Lowering(compiled, key=key, on_fault=on_fault, cache=cache or {}, trace=trace)
+    lowering = Lowering(compiled, key=key, on_fault=on_fault, cache=cache or {}, trace=trace, deadline=deadline)
     return Result(lowering, lowering.rows(df), df)
 
 

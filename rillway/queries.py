@@ -298,6 +298,16 @@ def foreach_fault_continue(spark, sf_dir):
     return rows.select("o_orderkey", "status", "items", "empty")
 
 
+@register("run_deadline", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'flow_timeout' ELSE 'flow_complete' END AS type, CASE WHEN o_orderkey % 2 = 0 THEN 'shout: TimeoutError: the run''s time is over' END AS error, CASE WHEN o_orderkey % 2 = 1 THEN upper(o_orderpriority) || '!' END AS out FROM orders")
+def run_deadline(spark, sf_dir):
+    """Each run has its own time: those of even keys had until yesterday, the others have until tomorrow."""
+    until = F.current_timestamp() + F.when(F.col("o_orderkey") % 2 == 0, F.expr("INTERVAL -1 DAY")).otherwise(F.expr("INTERVAL 1 DAY"))
+    flow = Flow((col("o_orderpriority"), Node("shout", "shout")), (wire("o_orderpriority", "shout", "text"),))
+    r = run(flow, table(spark, sf_dir, "orders").withColumn("until", until), python_registry(), deadline="until")
+    last = r.events("o_orderkey").filter("type LIKE 'flow%'").select("o_orderkey", "type", "error")
+    return last.join(r.runs.select("o_orderkey", r.column("shout").alias("out")), "o_orderkey")
+
+
 @register("while_fault", "SELECT o_orderkey, CASE WHEN o_custkey % 7 BETWEEN 1 AND 4 THEN 'failed' ELSE 'complete' END AS status, CASE WHEN o_custkey % 7 BETWEEN 1 AND 4 THEN 'inv: division by zero' END AS error, CAST(CASE WHEN o_custkey % 7 BETWEEN 1 AND 4 THEN NULL ELSE 4 END AS BIGINT) AS rounds FROM orders")
 def while_fault(spark, sf_dir):
     """Round n divides by n - o_custkey % 7: runs whose remainder is among their four rounds fail there."""

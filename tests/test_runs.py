@@ -1,5 +1,6 @@
 """Faults of rows, loops by row, retries, effects and events."""
 
+import time
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +205,45 @@ def test_correlations_join_by_their_equalities(spark):
     assert met("1 / (value - 5) > 0 && signal.user_id == run.user") == [(True, None, 9.0)]  # where it fails nothing matches
     assert len(met(None)) == 3 * 4 and len(met("value > 2 || tag == run.tag")) == 7
     assert met("missing == run.user") == [] and met("user_id == run.tag") == []
+
+
+def test_a_slow_attempt_is_ended(spark, tmp_path):
+    """At its limit an attempt's process ends: it does nothing more beside the next; other calls of its worker go on."""
+    registry, place = standard(), str(tmp_path)
+
+    @registry.node("slow", timeout=0.5, max_retries=1, retry_delay=0.0)
+    def slow(text: str, store=None) -> str:
+        store.set("seen", text)
+        if text == "stuck":
+            time.sleep(2)
+            open(f"{place}/done", "a").close()
+        if text == "bad":
+            raise ValueError("bad text")
+        return text.upper()
+
+    flow = Flow((col("t"), Node("s", "slow")), (wire("t", "s", "text"),))
+    df = spark.createDataFrame([("a",), ("stuck",), ("bad",), ("b",)], "t string").coalesce(1)
+    r = run(flow, df, registry)
+    got = {x["t"]: (x["out"], x["fault"], x["seen"]) for x in r.runs.select("t", r.column("s").alias("out"), r.lowering.env["s"].fault.alias("fault"), F.col("store")["seen"].alias("seen")).collect()}
+    assert (got["a"], got["b"]) == (("A", None, "a"), ("B", None, "b"))
+    assert got["stuck"][:2] == (None, "TimeoutError: took over 0.5 s") and got["bad"][:2] == (None, "ValueError: bad text")
+    time.sleep(2)
+    assert not (tmp_path / "done").exists()
+
+
+def test_deadlines_of_runs(spark):
+    registry = standard()
+
+    @registry.node("nap", max_retries=3, retry_delay=0.01)
+    def nap(seconds: float) -> float:
+        time.sleep(seconds)
+        return seconds
+
+    flow = Flow((col("x"), Node("first", "nap"), Node("then", "nap")), (wire("x", "first", "seconds"), wire("first", "then", "seconds")))
+    now = time.time()
+    df = spark.createDataFrame([(1, 0.0, now + 3600), (2, 600.0, now + 12), (3, 0.0, now - 1), (4, 0.0, None)], "k int, x double, at double").withColumn("until", F.timestamp_seconds("at"))
+    r = run(flow, df, registry, deadline="until")
+    last = {e["k"]: e for e in r.events("k").filter("type LIKE 'flow%'").collect()}
+    assert {k: e["type"] for k, e in last.items()} == {1: "flow_complete", 2: "flow_timeout", 3: "flow_timeout", 4: "flow_complete"}
+    assert last[2]["completed"] == ["x"] and last[2]["error"] == "first: TimeoutError: the run's time is over"
+    assert time.time() - now < 120
