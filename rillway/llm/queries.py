@@ -69,6 +69,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def line_dedup_005(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9, with the pipeline's ratio."""
+    cut = line_dedup(table(spark, sf_dir, "documents"), ratio=0.05)
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def line_dedup_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of raw pages by the host of their url."""
+    cut = line_dedup(table(spark, sf_dir, "pages"), text_col="html", url_col="url")
+    return cut.select("page_id", "n_lines", "n_dropped", F.sha2(F.coalesce("html", F.lit("")), 256).alias("html_sha256"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -159,6 +171,8 @@ QUERIES = {
     "op11_pack_sequences": op11_pack_sequences,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_turn_repair": op13_turn_repair,
+    "line_dedup_005": line_dedup_005,
+    "line_dedup_hosts": line_dedup_hosts,
     "imatch_base": imatch_base,
     "license_scan_base": license_scan_base,
     "quality_rules_base": quality_rules_base,
@@ -269,3 +283,7 @@ ORACLE_SQL: dict[str, str] = {
                CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) AS BIGINT) AS n_hex
         FROM documents""",
 }
+
+ORACLE_SQL["line_dedup_005"] = ORACLE_SQL["op9_line_dedup"].replace("> 0.1 * total", "> 0.05 * total")
+_HOST = "CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
+ORACLE_SQL["line_dedup_hosts"] = f"WITH documents AS (SELECT page_id AS doc_id, {_HOST} AS source, html AS text FROM pages), " + ORACLE_SQL["op9_line_dedup"].split("WITH ", 1)[1].replace("pages AS (SELECT", "own AS (SELECT").replace("FROM pages", "FROM own").replace("SELECT doc_id, CAST", "SELECT doc_id AS page_id, CAST").replace("AS text_sha256", "AS html_sha256")
