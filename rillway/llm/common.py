@@ -30,11 +30,12 @@ def picked(df: DataFrame, **names: str) -> DataFrame:
     return held.select(*[F.col(c).alias(k) for k, c in zip(names, columns, strict=True)])
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", crowd: int = 500, parts: int = 64) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", crowd: int = 500, parts: int = 64, counted: DataFrame | None = None) -> DataFrame:
     """left joined with right on key, where keys with a crowd of rows on the left are dealt over `parts` partitions and
-    their rows on the right repeated there. left should be a table, as it is read twice. The 10,000 most crowded keys at
+    their rows on the right repeated there. left should be a table, as it is read twice; or its keys are counted in
+    `counted`, a table that has them as often. The 10,000 most crowded keys at
     most are dealt, so that their list can be broadcast; the others are joined as they are."""
-    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowd)
+    counts = (left if counted is None else counted).filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowd)
     hot = F.broadcast(counts.orderBy(F.desc("_n"), key).limit(10_000).select(F.col(key).alias("_hot")))
     others = [F.col(f"`{c}`") for c in left.columns]
     a = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*others), F.lit(parts))).otherwise(F.lit(0)).cast("int")).drop("_hot")

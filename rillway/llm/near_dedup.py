@@ -168,7 +168,7 @@ def sample(texts: pa.Table, notes: pa.Table, buckets: int, n_texts: int, thresho
                     k = mix64(k * _STEPS[6] + next(codes))
                 keys.append(k.view(np.int64))
     ends = np.append(starts, len(rows))[1:]
-    columns = ((value & np.uint64(0xFFFFFFFF)).astype(np.uint32), (weight / times).astype(np.float32), times.astype(np.uint32))
+    columns = (value, (weight / times).astype(np.float32), times.astype(np.uint32))
     blobs: tuple[list, list, list] = ([], [], [])
     for a, b in zip(starts, ends, strict=True):
         turn = np.argsort(columns[0][a:b], kind="stable")
@@ -187,7 +187,7 @@ class Bag:
     """A text's shingles, ascending, with their idf and times, from its blobs."""
 
     def __init__(self, shingles: bytes, idf: bytes, times: bytes):
-        self.shingles, self.idf = np.frombuffer(shingles, np.uint32), np.frombuffer(idf, np.float32)
+        self.shingles, self.idf = np.frombuffer(shingles, np.uint64), np.frombuffer(idf, np.float32)
         self.times = np.frombuffer(times, np.uint32) if times else np.ones(len(self.shingles), np.uint32)
         self.weights = (self.times * self.idf).astype(np.float64)
 
@@ -231,16 +231,17 @@ def closed(links: DataFrame) -> DataFrame:
     both = cut(links.select(F.col("x").alias("key"), F.col("y").alias("other")).union(links.select("y", "x")).distinct())
     labels = cut(both.groupBy("key").agg(F.least("key", F.min("other")).alias("root")))
     while True:
-        seen = both.join(labels.select(F.col("key").alias("other"), "root"), "other").groupBy("key").agg(F.min("root").alias("seen"))
-        nearer = labels.join(seen, "key").select("key", "root", F.least("root", "seen").alias("next"))
-        jumped = nearer.join(labels.select(F.col("key").alias("next"), F.col("root").alias("beyond")), "next", "left")
+        seen = spread_join(both, labels.select(F.col("key").alias("other"), "root"), "other").groupBy("key").agg(F.min("root").alias("seen"))
+        nearer = cut(labels.join(seen, "key").select("key", "root", F.least("root", "seen").alias("next")))
+        # The members of a class all ask for its root's label: dealt over parts, as a hub's neighbours are above.
+        jumped = spread_join(nearer, labels.select(F.col("key").alias("next"), F.col("root").alias("beyond")), "next", "left")
         moved = cut(jumped.select("key", F.least("next", F.coalesce("beyond", "next")).alias("root"), (F.least("next", F.coalesce("beyond", "next")) != F.col("root")).alias("moved")))
         labels = moved.select("key", "root")
         if moved.filter("moved").isEmpty():
             return labels
 
 
-PROBE = "shingle int, id long, root string, rest_w double, total_w double, rest_t double, total_t double"
+PROBE = "shingle long, id long, root string, rest_w double, total_w double, rest_t double, total_t double"
 
 
 def rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
@@ -257,9 +258,9 @@ def rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
                     rest = [np.cumsum(x[order][::-1], dtype=np.float64)[::-1] for x in (bag.weights, bag.times)]
                     keep = (rest[0] >= threshold * rest[0][0]) | (rest[1] >= threshold * rest[1][0])
                     n = int(keep.sum())
-                    for column, x in zip(out, (bag.shingles[order][keep].view(np.int32), np.full(n, row["id"]), [row["root"]] * n, rest[0][keep], np.full(n, rest[0][0]), rest[1][keep], np.full(n, rest[1][0])), strict=True):
+                    for column, x in zip(out, (bag.shingles[order][keep].view(np.int64), np.full(n, row["id"]), [row["root"]] * n, rest[0][keep], np.full(n, rest[0][0]), rest[1][keep], np.full(n, rest[1][0])), strict=True):
                         column.append(x)
-                kinds = (np.int32, np.int64, None, *[np.float64] * 4)
+                kinds = (np.int64, np.int64, None, *[np.float64] * 4)
                 arrays = [pa.array([r for x in c for r in x], pa.string()) if k is None else pa.array(np.concatenate([np.zeros(0, k), *c])) for c, k in zip(out, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PROBE.split(", ")])
 
@@ -298,13 +299,23 @@ def band_links(members: DataFrame, sampled: DataFrame, threshold: float) -> Data
     return _verified(held, threshold)
 
 
+#: Rows of one text in a chunk from which on a single one stands for them.
+CROWD = 64
+
+
 def class_roots(df: DataFrame, threshold: float, bands: int, rows_each: int, chunk_bytes: int, bucket_bytes: int) -> DataFrame:
     """key and root of the texts that are near others: the root is one key of the class. df: id, text."""
     size = df.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     chunks, buckets = max(1, -(-(size["bytes"] or 0) // chunk_bytes)), max(64, -(-(size["bytes"] or 0) // bucket_bytes))
     chunk = F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")
     texts = df.select(chunk.alias("chunk"), text_key("text").alias("key"), "text")
-    standing = df.select(text_key("text").alias("key"), chunk.alias("chunk")).groupBy("key").agg(F.min("chunk").alias("chunk"), F.count(F.lit(1)).alias("copies"))
+    met = cut(texts.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n")))
+    crowd = met.filter(F.col("n") > CROWD).select("key", "chunk")
+    if not crowd.isEmpty():
+        # Rows of equal id and text have one chunk: of a crowd of them one row is sent.
+        one = texts.join(crowd, ["key", "chunk"], "left_semi").groupBy("chunk", "key").agg(F.first("text").alias("text"))
+        texts = texts.join(crowd, ["key", "chunk"], "left_anti").select("chunk", "key", "text").unionByName(one)
+    standing = met.groupBy("key").agg(F.min("chunk").alias("chunk"), F.sum("n").alias("copies"))
     nothing = F.lit(None).cast("binary")
     notes = cut(standing.select("chunk", F.lit(-1).alias("bucket"), "key", "copies", nothing.alias("df"), nothing.alias("texts")))
     by_chunk = texts.groupBy("chunk")
@@ -320,7 +331,7 @@ def class_roots(df: DataFrame, threshold: float, bands: int, rows_each: int, chu
     several = spread_join(banded, mixed, "band").select("key", "root").distinct()
     left = cut(sampled.select("key", *BLOBS).join(several, "key").withColumn("id", F.monotonically_increasing_id()))
     pairs = cut(crossing(left, threshold))
-    near = pairs.join(_of(left, "a", i="id", x="root"), "i").join(_of(left, "b", j="id", y="root"), "j")
+    near = spread_join(spread_join(pairs, _of(left, "a", i="id", x="root"), "i"), _of(left, "b", j="id", y="root"), "j", counted=pairs)
     merged = closed(_verified(near, threshold).distinct()).select(F.col("key").alias("root"), F.col("root").alias("last"))
     return spread_join(rooted.select("key", "root"), merged, "root", "left").select("key", F.coalesce("last", "root").alias("root"))
 
@@ -335,7 +346,7 @@ def classes(rows: DataFrame, texts: DataFrame, threshold: float, bands: int, row
     return cut(spread_join(rooted, found, "root").select("key", F.col("first.low").alias("class_id"), "class_rows", (F.col("key") == F.col("first.key")).alias("leads")))
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 16, rows_each: int = 4, chunk_bytes: int = 1 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 16, rows_each: int = 4, chunk_bytes: int = 1 << 20, bucket_bytes: int = 32 << 20) -> DataFrame:
     """id, class_id (least id of the class), class_rows, stays (one row of each class; rows of one id and text alike);
     one row per row of df."""
     texts = picked(df, id=id_col, text=text_col)
@@ -344,7 +355,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     return spread_join(rows, known, "key").select(F.col("id").alias(id_col), "class_id", "class_rows", (F.col("leads") & F.col("id").eqNullSafe(F.col("class_id"))).alias("stays"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 16, rows_each: int = 4, chunk_bytes: int = 1 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 16, rows_each: int = 4, chunk_bytes: int = 1 << 20, bucket_bytes: int = 32 << 20) -> DataFrame:
     """df with one row of each class: the row of least id (of repeated rows one) that bears the class's leading text."""
     whole, (id_, text) = placed(df, id_col, text_col)
     texts = whole.select(F.col(id_).alias("id"), F.col(text).alias("text"))

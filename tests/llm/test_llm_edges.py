@@ -329,3 +329,15 @@ def test_mix_meets_its_targets_whatever_the_ids(spark, ids):
         assert abs(r["taken"] - r["target"]) <= 40 and r["most"] <= 2
     again = sorted(map(str, mixing.mix(df.repartition(3)).select("doc_id", "source", "text", "taken").collect()))
     assert again == sorted(map(str, got.select("doc_id", "source", "text", "taken").collect()))
+
+
+def test_near_dedup_of_a_crowd_of_equal_rows(spark, monkeypatch):
+    """Null ids and empty or equal texts by the hundred: one row stands for them, counts and classes stay."""
+    monkeypatch.setattr(near_dedup, "CROWD", 5)
+    words = [f"w{i}" for i in range(60)]
+    edited = " ".join([*words[:30], "other", *words[31:]])
+    rows = [(None, None)] * 40 + [(None, "")] * 30 + [(None, " ".join(words))] * 50 + [(7, " ".join(words))] * 20 + [(8, edited), (9, "alone " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_dedup(df).groupBy("doc_id", "class_id", "class_rows").count().collect()
+    assert {(r["doc_id"], r["class_id"], r["class_rows"], r["count"]) for r in got} == {(None, None, 40, 40), (None, None, 30, 30), (None, 7, 71, 50), (7, 7, 71, 20), (8, 7, 71, 1), (9, 9, 1, 1)}
+    assert near_dedup.keep_one(df).count() == 4
