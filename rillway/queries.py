@@ -189,6 +189,23 @@ def predicates_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", *[predicate(n, F.col("props"), F.lit(b) if b is not None else None).alias(n) for n, b in given.items()])
 
 
+@register(
+    "predicates_json_rows",
+    """WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+    SELECT event_id, event_type = 'click' AS has_key, event_type <> 'click' AS not_has_key, k % 3 = 0 AS is_empty_object, k % 3 <> 0 AS is_not_empty_object,
+           coalesce(k % 3 <> 0 AND k = 7, false) AS value_equals, coalesce(k % 3 <> 0 AND contains(CAST(k AS VARCHAR), '7'), false) AS value_contains FROM e""",
+)
+def predicates_json_rows(spark, sf_dir):
+    """The predicates on objects over texts in which keys come and go: {"<event_type>": k}, or {} for every third k."""
+    from rillway.functions.predicates import predicate
+
+    k = F.get_json_object("props", "$.k").cast("int")
+    typed = F.concat(F.lit('{"'), "event_type", F.lit('": 1}'))
+    held = F.when(k % 3 == 0, "{}").otherwise(F.concat(F.lit('{"k": '), k.cast("string"), F.lit("}")))
+    given = {"has_key": (typed, "click"), "not_has_key": (typed, "click"), "is_empty_object": (held, None), "is_not_empty_object": (held, None), "value_equals": (held, "k=7"), "value_contains": (held, "k=7")}
+    return table(spark, sf_dir, "events").select("event_id", *[F.coalesce(predicate(n, c, F.lit(b) if b is not None else None), F.lit(False)).alias(n) for n, (c, b) in given.items()])
+
+
 def _scope(df: DataFrame) -> dict:
     from rillway.functions.expression import Value
 
@@ -232,6 +249,44 @@ expressions("expr_ternary", "orders", "o_orderkey", {
 })
 
 
+expressions("expr_functions", "orders", "o_orderkey", {
+    "has_key": ("has({'F': 1, 'O': 2}, o_orderstatus)", "o_orderstatus IN ('F', 'O')"),
+    "has_part": ("has(o_orderpriority, 'U')", "contains(o_orderpriority, 'U')"),
+    "quiet": ("lower(o_orderpriority) + o_orderpriority.lower()", "lower(o_orderpriority) || lower(o_orderpriority)"),
+    "loud": ("o_orderpriority.upper()", "upper(o_orderpriority)"),
+    "shown": ("string(o_orderkey) + '/' + string(o_orderkey % 2 == 0)", "o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '/True' ELSE '/False' END"),
+    "cut": ("int(o_totalprice / 1000)", "CAST(trunc(o_totalprice / 1000) AS BIGINT)"),
+    "digit": ("int(o_orderstatus == 'F' ? '12' : '7')", "CAST(CASE WHEN o_orderstatus = 'F' THEN 12 ELSE 7 END AS BIGINT)"),
+    "real": ("double(o_orderkey) / 4", "o_orderkey / 4.0::DOUBLE"),
+    "odd": ("bool(o_orderkey % 2)", "o_orderkey % 2 = 1"),
+    "told": ("bool(o_orderstatus == 'F' ? 'false' : '')", "o_orderstatus = 'F'"),
+    "starts": ("o_orderpriority.startsWith('1')", "starts_with(o_orderpriority, '1')"),
+    "ends": ("o_orderpriority.endsWith('T')", "ends_with(o_orderpriority, 'T')"),
+    "key_of": ("{'F': 1, 'O': 2}.keys()[o_orderkey % 2]", "CASE WHEN o_orderkey % 2 = 0 THEN 'F' ELSE 'O' END"),
+    "value_of": ("{'F': 1, 'O': 2}.values()[o_orderkey % 2]", "CAST(o_orderkey % 2 + 1 AS BIGINT)"),
+    "no_keys": ("size(o_orderstatus.keys())", "CAST(0 AS BIGINT)"),
+    "root": ("$.o_orderkey + 1", "o_orderkey + 1"),
+    "item": ("[10, 20, 30][o_orderkey % 3]", "CAST((o_orderkey % 3 + 1) * 10 AS BIGINT)"),
+    "last_item": ("[o_orderkey, o_custkey][-1]", "o_custkey"),
+    "field": ("{'a': o_orderkey, 'b': 2}.a", "o_orderkey"),
+})
+
+
+@register(
+    "expr_faults",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 2 THEN 'index out of range' END AS index_fault, CASE WHEN o_orderkey % 4 <= 2 THEN CAST(o_orderkey % 4 AS BIGINT) END AS item,
+       o_orderstatus NOT IN ('F', 'O') AS key_missing, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END::BIGINT AS code, o_orderpriority NOT IN ('12') AS not_whole, o_orderkey % 5 = 0 AS divided FROM orders""",
+)
+def expr_faults(spark, sf_dir):
+    """What fails is a column too: an index out of range, a missing key, a text that is no whole number, a division by zero."""
+    from rillway.functions.expression import checked
+
+    rows = table(spark, sf_dir, "orders")
+    of = {n: checked(e, _scope(rows)) for n, e in {"item": "[0, 1, 2][o_orderkey % 4]", "code": "{'F': 1, 'O': 2}[o_orderstatus]", "whole": "int(o_orderpriority)", "div": "1 / (o_orderkey % 5)"}.items()}
+    failed = lambda n: of[n][1].isNotNull()
+    return rows.select("o_orderkey", of["item"][1].alias("index_fault"), of["item"][0].column.alias("item"), failed("code").alias("key_missing"), of["code"][0].column.alias("code"), failed("whole").alias("not_whole"), failed("div").alias("divided"))
+
+
 @register("fan_in_text", "SELECT p_partkey, p_brand || chr(10) || chr(10) || p_type AS out FROM part")
 def fan_in_text(spark, sf_dir):
     flow = Flow((col("p_brand"), col("p_type"), Node("out", "text-trim")), (wire("p_brand", "out", "text"), wire("p_type", "out", "text")))
