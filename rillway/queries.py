@@ -621,6 +621,69 @@ def flaky_registry():
     return registry
 
 
+@register("python_timeout", "SELECT s_suppkey, CASE WHEN s_suppkey % 40 = 0 THEN 'TimeoutError: took over 0.2 s' END AS error, CASE WHEN s_suppkey % 40 = 0 THEN true END AS is_timeout, CASE WHEN s_suppkey % 40 <> 0 THEN upper(s_name) END AS out FROM supplier")
+def python_timeout(spark, sf_dir):
+    """An attempt over its limit is ended and told as a timeout; here each fortieth supplier's."""
+    import time
+
+    registry = python_registry()
+
+    @registry.node("slow", timeout=0.2)
+    def slow(text: str, key: int) -> str:
+        if key % 40 == 0:
+            time.sleep(30)
+        return text.upper()
+
+    flow = Flow((col("s_name"), col("s_suppkey"), Node("s", "slow")), (wire("s_name", "s", "text"), wire("s_suppkey", "s", "key")))
+    r = run(flow, table(spark, sf_dir, "supplier"), registry)
+    told = r.events("s_suppkey").filter("node_id = 's' AND type IN ('node_error', 'node_complete')").select("s_suppkey", "error", "is_timeout")
+    return told.join(r.project([OutputRef("out", "s")], ("s_suppkey",)), "s_suppkey")
+
+
+@register("operator_versions", "SELECT c_custkey, upper(c_name) || '?' AS first, upper(c_name) || '!' AS second, upper(c_name) || '!' AS latest FROM customer")
+def operator_versions(spark, sf_dir):
+    """A node names a version of its operator, or gets the latest."""
+    from rillway.operators.standard import standard
+
+    registry = standard()
+
+    @registry.node("cry", version=1)
+    def cry_1(text: str) -> str:
+        return text.upper() + "?"
+
+    @registry.node("cry", version=2)
+    def cry_2(text: str) -> str:
+        return text.upper() + "!"
+
+    ids = {"first": "cry@1", "second": "cry@2", "latest": "cry"}
+    flow = Flow((col("c_name"), *(Node(n, kind) for n, kind in ids.items())), tuple(wire("c_name", n, "text") for n in ids))
+    return run(flow, table(spark, sf_dir, "customer"), registry).project([OutputRef(n, n) for n in ids], ("c_custkey",))
+
+
+@register("compound_of_ones_own", "SELECT p_partkey, upper(list_max(string_split(p_name, ' '))) AS out FROM part")
+def compound_of_ones_own(spark, sf_dir):
+    """A compound that a user adds: it runs its body once, for the greatest item of a list."""
+    from rillway.functions.expression import Value
+    from rillway.operators.standard import standard
+    from rillway.plans.lower import Handle, Placed
+    from rillway.registry import Input, Operator, Output
+
+    def greatest(lowering, region, env, df):
+        start = lowering.compiled.flow.by_id[region.start]
+        live, none = lowering.live(start, env), F.lit(None).cast("string")
+        items = lowering.inputs(start, env)[0]["items"]
+        item = Placed({"result": Handle(Value(F.array_max(items.column), items.kind.elementType), live)}, live, none)
+        value = lowering._slots(region, lowering._body(region, {**env, region.start: item}))[0].value
+        return df, item, Placed({"result": Handle(value, live)}, live, none)
+
+    registry = standard()
+    registry.add(Operator("greatest-start", inputs=(Input("items", "list[str]"),), outputs=(Output("result", "str"),), region="greatest", ends="greatest-end", compound=greatest))
+    registry.add(Operator("greatest-end", inputs=(Input("item", "any"),), region="greatest-end"))
+    nodes = (col("p_name"), Node("cut", "text-split", {"separator": " "}), Node("go", "greatest-start"), Node("up", "text-uppercase"), Node("stop", "greatest-end"), Node("out", "text-trim"))
+    edges = (wire("p_name", "cut", "text"), wire("cut", "go", "items"), wire("go", "up", "text"), wire("up", "stop", "item"), wire("stop", "out", "text"))
+    return run(Flow(nodes, edges), table(spark, sf_dir, "part"), registry).project([OutputRef("out", "out")], ("p_partkey",))
+
+
 @register("retry_then_success", "SELECT c_custkey, CASE WHEN ends_with(c_name, '7') THEN NULL ELSE lower(c_name) END AS out, CASE WHEN ends_with(c_name, '7') THEN 'out: ValueError: never' END AS error, CAST(CASE WHEN ends_with(c_name, '7') THEN 2 ELSE 1 END AS BIGINT) AS retries FROM customer")
 def retry_then_success(spark, sf_dir):
     r = run(one("flaky", text="@c_name"), table(spark, sf_dir, "customer"), flaky_registry())
