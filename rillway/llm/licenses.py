@@ -66,6 +66,10 @@ NOTICES = tuple(sorted({(label, " ".join(f"{lead} {name}".split()[-9:])) for lab
 TEMPLATES += NOTICES
 
 
+#: Template positions up to which they are broadcast.
+MOST_POSITIONS = 100_000
+
+
 def words(text: Column) -> Column:
     """Lower-cased (A-Z) words: runs of digits, letters and anything beyond ASCII."""
     lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -93,8 +97,9 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rolled = keyed.select("id", "key", F.posexplode(grams).alias("pos", "g")).select("id", "key", "pos", F.xxhash64("g.a", "g.b").alias("pair"), F.col("g.a").alias("ga"), F.col("g.b").alias("gb"), F.col("g.c").alias("gc"))
     held = template_positions(df.sparkSession, templates, base).withColumn("pair", F.xxhash64("a", "b"))
     same = (F.col("ga") == F.col("a")) & (F.col("gb") == F.col("b")) & (F.col("c").isNull() | (F.col("gc") == F.col("c")))
-    # The template table is a constant of this module or an argument of the call: broadcast.
-    hits = rolled.join(F.broadcast(held), "pair").filter(same)
+    # The templates lie with the driver; many of them are joined as a table.
+    rows = len(base) + sum(max(0, text.count(" ") - 1) for _, text in templates)
+    hits = rolled.join(F.broadcast(held) if rows <= MOST_POSITIONS else held, "pair").filter(same)
     # One row per text and diagonal, so repeated rows of df count once and a text's hits are summed before the shuffle.
     votes = hits.groupBy("id", "key", "template", "label", "is_base", "n", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     by_place = Window.partitionBy("id", "key", "template").orderBy("diagonal")
