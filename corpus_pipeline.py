@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing and byte-level BPE, one after the other.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; between stages the rows are a
-Parquet table in the shared folder. All but the last return the columns of documents.
+Parquet table in the shared folder. All but the last return the columns of documents. For all stages: columns are found by
+name in any case, others pass through (but for the last stage), repeated rows are rows of their own unless a stage says
+otherwise, long texts are worked on whole, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,27 +27,30 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go: null, empty and very short texts among them. Ids don't matter."""
     return keep_good(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source go; n_chars follows the text."""
+    """Lines that are boilerplate of their source go; n_chars follows the text. A null source is one of its own; a null text
+    stays null; pages of equal text count once; lines without a word stay."""
     return without_boilerplate(docs, ratio=LINE_RATIO, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: of its least id (null ids last), of repeated rows one. A null text
+    and the empty text are two groups; texts without words are near only their copies."""
     return keep_one(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: twice, once or not at all."""
+    """Documents as often as the mix takes them: twice, once or not at all, as rows. Texts without words (null ones too) go; a
+    null source comes last; rows of null or repeated ids are told apart by text, equal rows by number."""
     return mixed(docs)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and a check that they decode to its text."""
+    """Token ids of each document, and a check that they decode to its text; a null text has none and decodes to nothing."""
     own = picked(docs, doc_id="doc_id", lang="lang", source="source", text="text")
     rows = own.select(F.struct("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).alias("row"), "text")
     coded = bpe.encode(rows, RANKS, public_tokenizers.PATTERN, id_col="row", decoded=True)
