@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from rillway.llm import bpe, imatch, licenses, mixing, near_dedup, quality, secrets, suffix_dedup, url_filter
+from rillway.llm import bpe, imatch, licenses, mixing, near_dedup, periodic, quality, secrets, suffix_dedup, url_filter
 from rillway.llm.common import exact_ids, spread_join
 from rillway.llm.line_dedup import line_dedup
 from rillway.llm.queries import ORACLE_SQL, RANKS, RULES
@@ -40,6 +40,7 @@ def odd(spark):
 OPERATORS = {
     "mix": mixing.mix,
     "near": near_dedup.near_dedup,
+    "runs": periodic.find_runs,
     "url": lambda df: url_filter.url_filter(df, RULES, id_col="doc_id", url_col="text"),
     "url_join": lambda df: url_filter.url_filter(df, RULES, id_col="doc_id", url_col="text", max_bytes=0),
     "url_no_rules": lambda df: url_filter.url_filter(df, [], id_col="doc_id", url_col="text"),
@@ -67,8 +68,7 @@ def test_stages_at_the_edges(spark, odd):
         rows = stage(spark, odd, "")
         assert name == P.STAGES[-1][0] or rows.columns == COLUMNS
         found[name] = rows.collect()
-        if name != "near_dedup":
-            assert stage(spark, odd.filter("false"), "").collect() == []
+        assert stage(spark, odd.filter("false"), "").collect() == []
     id_, text, n_chars = 0, 1, 4
     assert sorted(len(r[text].split()) for r in found["quality_rules"]) == [60, 30_000]
     assert len(found["line_dedup"]) == 9 and all(r[n_chars] == (None if r[text] is None else len(r[text])) for r in found["line_dedup"])
