@@ -11,8 +11,6 @@ from __future__ import annotations
 
 import inspect
 import json
-import multiprocessing
-import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -29,6 +27,7 @@ from rillway.model import CompilationError, Edge, FlowError, Node, layers
 from rillway.operators.standard import Maybe
 from rillway.plans import events as E
 from rillway.plans.compile import MAX_DEPTH, Compiled, Region, compile_flow, guards_of
+from rillway.plans.python import LATE, SKIPPED, FlowStore, runner
 from rillway.registry import NOTHING, Input, Operator
 from rillway.tables import cut
 from rillway.types import spark_type
@@ -404,7 +403,7 @@ class Lowering:
                 self.columns["store"] = STORE
             names, shipped, coded = [*names, "store"], [*shipped, F.to_json(F.struct(F.col("store").alias("x")))], coded | {"store"}
         self.effects = True
-        call = F.udf(_runner(op.fn, names, coded, plain, retries, delay, limit), schema, useArrow=True).asNondeterministic()
+        call = F.udf(runner(op.fn, names, coded, plain, retries, delay, limit), schema, useArrow=True).asNondeterministic()
         name = f"{self.prefix}{node.id}__call"
         bad = F.coalesce(*faults) if faults else F.lit(None).cast("string")
         until = F.lit(None).cast("double") if self.deadline is None else F.unix_micros(F.col(f"`{self.deadline}`").cast("timestamp")) / 1e6
@@ -1011,149 +1010,4 @@ def _as_items(value: Value) -> Value:
     return Value(F.array(value.column), T.ArrayType(value.kind))
 
 
-#: The fault of a run whose deadline has passed.
-LATE = "TimeoutError: the run's time is over"
-
-
-class Attempts:
-    """Calls of a Python operator that may take too long: they run in a process of their own, which is ended at the limit,
-    so that no attempt goes on beside the next. The process is kept from call to call while it is in time."""
-
-    def __init__(self, fn: Callable):
-        self.fn, self.process, self.pipe = fn, None, None
-
-    def _begin(self) -> None:
-        fork = multiprocessing.get_context("fork")
-        self.pipe, theirs = fork.Pipe()
-        self.process = fork.Process(target=self._serve, args=(theirs,), daemon=True)
-        self.process.start()
-        theirs.close()
-
-    def _serve(self, pipe) -> None:
-        self.pipe.close()  # so that the caller's end is noticed
-        while True:
-            try:
-                args = pipe.recv()
-            except EOFError:
-                return
-            try:
-                made = self.fn(**args)
-                pipe.send((made, args["store"].to_dict() if "store" in args else None, None))
-            except Exception as e:
-                pipe.send((None, None, (type(e).__name__, str(e), getattr(e, "retryable", True))))
-
-    def __call__(self, args: dict[str, Any], limit: float) -> Any:
-        if self.process is None or not self.process.is_alive():
-            self._begin()
-        self.pipe.send(args)
-        if not self.pipe.poll(max(limit, 0.0)):
-            self.process.kill()
-            self.process.join()
-            self.pipe.close()
-            self.process = None
-            raise TimeoutError(f"took over {round(limit, 3):g} s")
-        made, store, wrong = self.pipe.recv()
-        if wrong is not None:
-            name, message, retryable = wrong
-            raise type(name, (Exception,), {"retryable": retryable})(message)
-        if store is not None:
-            args["store"].replace(store)
-        return made
-
-
-def _runner(fn, names, coded, outputs, retries, delay, limit):
-    """A Python operator for one row: dead rows give null; errors are retried with growing delay, unless they say
-    `retryable = False`, then reported. deadline: when the row's run must have ended (seconds since 1970), if at all."""
-    held: list[Attempts] = []
-
-    def once(args, deadline):
-        left = None if deadline is None else deadline - time.time()
-        if limit is None and left is None:
-            return fn(**args)
-        if left is not None and left <= 0:
-            raise _Late
-        if not held:
-            held.append(Attempts(fn))
-        try:
-            return held[0](args, min(x for x in (limit, left) if x is not None))
-        except TimeoutError:
-            if left is not None and (limit is None or left <= limit):
-                raise _Late from None
-            raise
-
-    def plain(value, kind):
-        return json.dumps(value) if isinstance(kind, T.StringType) and not isinstance(value, str) and value is not None else value
-
-    def run(live, deadline, *values):
-        if not live:
-            return None
-        args = {n: json.loads(v).get("x") if n in coded and v is not None else v for n, v in zip(names, values, strict=True)}
-        if "store" in args:
-            args["store"] = FlowStore(args["store"] or {})
-        errors: list[str] = []
-        for attempt in range(retries + 1):
-            try:
-                made = once(args, deadline)
-                break
-            except Exception as e:
-                late = isinstance(e, _Late)
-                errors.append(LATE if late else f"{type(e).__name__}: {e}")
-                if late or not getattr(e, "retryable", True) or attempt == retries:
-                    return {**dict.fromkeys(outputs), "live_": [], "fault_": errors[-1], "attempts_": attempt + 1, "errors_": errors}
-                pause = delay * 2.0**attempt
-                time.sleep(pause if deadline is None else max(0.0, min(pause, deadline - time.time())))
-        if isinstance(made, tuple):
-            made = {f"output_{i}": v for i, v in enumerate(made, 1)}
-        elif not (isinstance(made, dict) and set(made) >= set(outputs)):
-            made = {"result": made}
-        dead = [k for k, v in made.items() if v is SKIPPED]
-        told = {"store_": args["store"].to_dict()} if "store" in args else {}
-        return {**{k: None if k in dead else plain(made.get(k), kind) for k, kind in outputs.items()}, "live_": [k for k in outputs if k not in dead], "fault_": None, "attempts_": attempt + 1, "errors_": errors, **told}
-
-    return run
-
-
-class _Late(Exception):
-    """The run's deadline has passed."""
-
-
-class FlowStore:
-    """A run's side values, as text, that a Python operator with a `store` parameter reads and changes."""
-
-    def __init__(self, held: dict[str, str]):
-        self._held = dict(held)
-
-    def set(self, key: str, value: Any) -> None:
-        self._held[key] = value if isinstance(value, str) else json.dumps(value)
-
-    def get(self, key: str, default: Any = None) -> Any:
-        return self._held.get(key, default)
-
-    def has(self, key: str) -> bool:
-        return key in self._held
-
-    def keys(self) -> list[str]:
-        return list(self._held)
-
-    def clear(self) -> None:
-        self._held = {}
-
-    def to_dict(self) -> dict[str, str]:
-        return dict(self._held)
-
-    def replace(self, held: dict[str, str]) -> None:
-        self._held = dict(held)
-
-
-class _Skipped:
-    """What a Python operator returns for a handle that isn't taken."""
-
-    def __bool__(self):
-        return False
-
-    def __reduce__(self):
-        return "SKIPPED"
-
-
-SKIPPED = _Skipped()
-__all__ = ["SKIPPED", "FlowStore", "FlowError", "Lowering", "Wait", "connection_labels", "literal"]
+__all__ = ["LATE", "SKIPPED", "FlowStore", "FlowError", "Lowering", "Wait", "connection_labels", "literal"]
