@@ -108,8 +108,9 @@ def resume_on_stream(first: Result, node_id: str, signals: DataFrame, key: str,
         held = batch if n == 0 else spark.read.schema(told.schema).parquet(path("signals", n - 1)).unionByName(batch)
         _write(held.withColumn("sid", F.monotonically_increasing_id()), path("told", n))
         now = spark.read.parquet(path("told", n))
-        latest = now.agg(F.max("time").alias("latest"))
-        runs = spark.read.schema(schema).parquet(path("open", n - 1)).crossJoin(F.broadcast(latest))  # latest is one row
+        seen = now.agg(F.max(F.unix_micros("time"))).first()[0]
+        latest = F.lit(None).cast("timestamp") if seen is None else F.timestamp_micros(F.lit(seen))
+        runs = spark.read.schema(schema).parquet(path("open", n - 1))
         limit = F.col("wait.timeout_seconds").cast("double") if "timeout_seconds" in schema["wait"].dataType.names else F.lit(None).cast("double")
         end = F.timestamp_seconds(F.unix_micros(F.col(since).cast("timestamp")) / 1e6 + limit) if since else F.lit(None).cast("timestamp")
         runs = runs.withColumn("_end", F.when(limit > 0, end)).withColumn("_rid", F.monotonically_increasing_id())
@@ -122,11 +123,11 @@ def resume_on_stream(first: Result, node_id: str, signals: DataFrame, key: str,
         answers = met.groupBy("_rid").agg(F.min_by("response", F.struct("time", "sid")).alias("response"))
         done = first.resume(node_id, answers, "_rid", checkpoint=runs).project(outputs, keep=(key,)).withColumn("timed_out", F.lit(False))
         left = runs.join(answers.select("_rid"), "_rid", "left_anti")
-        late = F.coalesce(F.col("_end") < F.col("latest"), F.lit(False))
+        late = F.coalesce(F.col("_end") < latest, F.lit(False))
         given_up = left.filter(late).select(key, *[F.lit(None).cast(done.schema[o.name].dataType).alias(o.name) for o in outputs], F.lit(True).alias("timed_out"))
         _write(done.unionByName(given_up), path("out", n))
         _write(left.filter(~late).select(*schema.names), path("open", n))
-        fresh = now.crossJoin(F.broadcast(latest)).filter(F.unix_micros("time") > F.unix_micros("latest") - keep_seconds * 1e6)
+        fresh = now.filter(F.unix_micros("time") > F.unix_micros(latest) - keep_seconds * 1e6)
         _write(fresh.join(met.select("sid").distinct(), "sid", "left_anti").select(*told.columns), path("signals", n))
 
     return told.writeStream.foreachBatch(settle).option("checkpointLocation", f"{folder}/checkpoint")
