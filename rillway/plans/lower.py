@@ -187,6 +187,8 @@ class Lowering:
     retry: dict[str, tuple[int, float]] = field(default_factory=dict)
     trace: bool = False
     deadline: str | None = None
+    #: Inside a loop whose rows were dealt over the tasks.
+    dealt: bool = False
     #: Constants that are told by identity: a node whose liveness is `true` is always live, one whose fault is `none` is safe;
     #: they get no columns.
     true: Column = field(default_factory=lambda: F.lit(True))
@@ -645,19 +647,23 @@ class Lowering:
     def _exploded(self, region, df, zipped, env, placed_start, kinds):
         """The loop over exploded rows, for bodies with Python operators: one row per item, collected by a number that
         each row gets in a table of its own, so that rows of equal or null keys stay apart and what lies before the loop
-        takes effect once. Loops nest: each has columns of its own."""
+        takes effect once. Loops nest: each has columns of its own. A table's size tells nothing about its items, so the
+        collected ones are joined by merging, never broadcast; and rows are dealt out before the outermost loop, as a table
+        of few files has few tasks."""
         own = f"{self.prefix}{region.start}__"
         row, place, item = f"{own}row", f"{own}pos", f"{own}item"
+        if not self.dealt:
+            df = df.hint("repartition")
         held = cut(df.withColumn(row, F.monotonically_increasing_id()))
         rows = held.select("*", F.posexplode(zipped).alias(place, item))
         inner, rows = self._inside(region, rows, {**env, region.start: placed_start(F.col(f"`{item}`"), F.col(f"`{place}`"))})
         out = self._ended(inner, region, self._out(region, kinds))
         taken = rows.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(f"`{place}`").alias("at"), out.alias("s")))), lambda x: x["s"]).alias(f"{self.prefix}{region.end}__rounds"))
-        return held.join(taken, row, "left").drop(row), F.col(f"`{self.prefix}{region.end}__rounds`")
+        return held.join(taken.hint("merge"), row, "left").drop(row), F.col(f"`{self.prefix}{region.end}__rounds`")
 
     def _inside(self, region: Region, rows: DataFrame, env: Env) -> tuple[Lowering, DataFrame]:
         """The body's nodes placed as columns of rows."""
-        inner = replace(self, env=dict(env), prefix=f"{self.prefix}{region.start}__", waits=[], done=set(), retry={})
+        inner = replace(self, env=dict(env), prefix=f"{self.prefix}{region.start}__", waits=[], done=set(), retry={}, dealt=True)
         rows = inner.rows(rows, self.region(region))
         self.effects = True
         return inner, rows

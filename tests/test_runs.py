@@ -12,7 +12,7 @@ from rillway.model import Edge, Flow, Node
 from rillway.operators.standard import standard
 from rillway.plans.control import Control
 from rillway.plans.run import OutputRef, idempotent, match_signals, run
-from rillway.queries import ORACLE_SQL, QUERIES, col, one, parity_flow, wire, word_loop
+from rillway.queries import ORACLE_SQL, QUERIES, col, nested_loop, one, parity_flow, python_registry, wire, word_loop
 
 
 def faults(df, source):
@@ -101,6 +101,20 @@ def test_loops_of_repeated_and_null_keys(spark, tmp_path):
     assert r.summary().count() == 4 and calls() == before <= 6
 
 
+def test_what_a_loop_collects_is_never_broadcast(spark):
+    """A small table may have any number of items; and a table of one file isn't left to one task."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(64, numPartitions=1).select("id", F.lit("ab cde").alias("p_name"))
+        r = run(nested_loop("shout"), rows, python_registry())
+        plan = r._runs._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+        assert len(r._runs.inputFiles()) > 2  # the outer and the inner loop's tables
+        assert [tuple(x) for x in r.project([OutputRef("out", "out")]).groupBy("out").count().collect()] == [("A!.B! C!.D!.E!", 64)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_effects_happen_once(spark, tmp_path):
     registry, calls = counted(tmp_path)
     flow = Flow((col("t"), Node("m", "mark", compensation="undo"), Node("bad", "math-divide", {"a": 1, "b": 0}, on_error="compensate"), Node("undo", "template", {"template": "undo {input}", "input": ""})), (wire("t", "m", "text"), wire("m", "bad", "after")))
