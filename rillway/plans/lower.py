@@ -27,7 +27,7 @@ from rillway.model import CompilationError, Edge, FlowError, Node, layers
 from rillway.operators.standard import Maybe
 from rillway.plans import events as E
 from rillway.plans.compile import MAX_DEPTH, Compiled, Region, compile_flow, guards_of
-from rillway.plans.python import LATE, SKIPPED, FlowStore, runner
+from rillway.plans.python import LATE, SKIPPED, FlowStore, by_batch, by_row, packed, unpacked
 from rillway.registry import NOTHING, Input, Operator
 from rillway.tables import cut
 from rillway.types import spark_type
@@ -187,7 +187,7 @@ class Lowering:
     retry: dict[str, tuple[int, float]] = field(default_factory=dict)
     trace: bool = False
     deadline: str | None = None
-    #: Inside a loop whose rows were dealt over the tasks.
+    #: Whether the rows were dealt over the tasks for Python operators.
     dealt: bool = False
     #: Constants that are told by identity: a node whose liveness is `true` is always live, one whose fault is `none` is safe;
     #: they get no columns.
@@ -377,6 +377,14 @@ class Lowering:
 
     # -- Python operators ----------------------------------------------------------------------------------------
 
+    def dealt_out(self, df: DataFrame) -> DataFrame:
+        """df dealt over the session's tasks by number, whatever its size: its rows may take long to wait for."""
+        if self.dealt or df.isStreaming:
+            return df
+        self.dealt = True
+        session = df.sparkSession
+        return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism))
+
     def python(self, df: DataFrame, node: Node, env: Env) -> DataFrame:
         op = self.compiled.operators[node.id]
         live = self.live(node, env)
@@ -405,7 +413,13 @@ class Lowering:
                 self.columns["store"] = STORE
             names, shipped, coded = [*names, "store"], [*shipped, F.to_json(F.struct(F.col("store").alias("x")))], coded | {"store"}
         self.effects = True
-        call = F.udf(runner(op.fn, names, coded, plain, retries, delay, limit), schema, useArrow=True).asNondeterministic()
+        given = (op.fn, names, coded, plain, retries, delay, limit)
+        if limit is None and self.deadline is None:
+            call = F.udf(by_row(*given), schema, useArrow=True).asNondeterministic()
+        else:
+            df = self.dealt_out(df)
+            pack, calls, unpack = F.udf(packed, "binary", useArrow=True), F.arrow_udf(by_batch(*given), "binary"), F.udf(unpacked, schema, useArrow=True)
+            call = lambda *row: unpack.asNondeterministic()(calls.asNondeterministic()(pack(*row)))
         name = f"{self.prefix}{node.id}__call"
         bad = F.coalesce(*faults) if faults else F.lit(None).cast("string")
         until = F.lit(None).cast("double") if self.deadline is None else F.unix_micros(F.col(f"`{self.deadline}`").cast("timestamp")) / 1e6
@@ -441,6 +455,10 @@ class Lowering:
     def _needs_rows(self, region: Region) -> bool:
         return any(self.compiled.operators[i].fn is not None for i in region.body)
 
+    def _limited(self, region: Region) -> bool:
+        """Whether attempts of the body's Python operators have a limit."""
+        return self.deadline is not None or any(self.compiled.operators[i].timeout is not None for i in region.body)
+
     def _body(self, region: Region, env: Env) -> Env:
         """The body's nodes in a copy of env, as plain expressions: for compounds of one's own that make one round."""
         inner = dict(env)
@@ -652,18 +670,23 @@ class Lowering:
         of few files has few tasks."""
         own = f"{self.prefix}{region.start}__"
         row, place, item = f"{own}row", f"{own}pos", f"{own}item"
-        if not self.dealt:
+        before = self.dealt
+        if self._limited(region):
+            df = self.dealt_out(df)
+        elif not self.dealt:
             df = df.hint("repartition")
         held = cut(df.withColumn(row, F.monotonically_increasing_id()))
         rows = held.select("*", F.posexplode(zipped).alias(place, item))
+        self.dealt = True
         inner, rows = self._inside(region, rows, {**env, region.start: placed_start(F.col(f"`{item}`"), F.col(f"`{place}`"))})
         out = self._ended(inner, region, self._out(region, kinds))
         taken = rows.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(f"`{place}`").alias("at"), out.alias("s")))), lambda x: x["s"]).alias(f"{self.prefix}{region.end}__rounds"))
+        self.dealt = before
         return held.join(taken.hint("merge"), row, "left").drop(row), F.col(f"`{self.prefix}{region.end}__rounds`")
 
     def _inside(self, region: Region, rows: DataFrame, env: Env) -> tuple[Lowering, DataFrame]:
         """The body's nodes placed as columns of rows."""
-        inner = replace(self, env=dict(env), prefix=f"{self.prefix}{region.start}__", waits=[], done=set(), retry={}, dealt=True)
+        inner = replace(self, env=dict(env), prefix=f"{self.prefix}{region.start}__", waits=[], done=set(), retry={})
         rows = inner.rows(rows, self.region(region))
         self.effects = True
         return inner, rows
@@ -785,6 +808,8 @@ class Lowering:
         n_, last_, go_, why_, fault_, told_ = (f"{own}{x}" for x in ("n", "last", "go", "why", "bad", "told"))
         at = lambda name: F.col(f"`{name}`")
         names, kind, rest = df.columns, self._told_kind(region), []
+        if self._limited(region):
+            df = self.dealt_out(df)
         now = df.select("*", F.lit(0).cast("long").alias(n_), F.lit(None).cast(kind or "string").alias(last_), F.lit(None).cast("string").alias(fault_), *([E.none().alias(told_)] if self.trace else []))
         kept = [n_, last_, fault_, *([told_] if self.trace else [])]
         for n in range(most + 1):

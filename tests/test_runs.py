@@ -5,6 +5,7 @@ import time
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillway.functions import expression as E
 from rillway.functions.expression import Value
@@ -260,6 +261,50 @@ def test_a_slow_attempt_is_ended(spark, tmp_path):
     assert not (tmp_path / "done").exists()
 
 
+def test_slow_attempts_are_dealt_over_tasks_and_wait_side_by_side(spark):
+    registry = standard()
+
+    @registry.node("stuck", timeout=0.5)
+    def stuck(key: int) -> int:
+        if key % 2 == 0:
+            time.sleep(60)
+        return key
+
+    flow = Flow((col("id"), Node("s", "stuck")), (wire("id", "s", "key"),))
+    began = time.time()
+    r = run(flow, spark.range(160, numPartitions=1), registry)
+    got = {x["id"]: (x["out"], x["fault"]) for x in r.runs.select("id", r.column("s").alias("out"), r.lowering.env["s"].fault.alias("fault")).collect()}
+    assert time.time() - began < 30  # one after another the 80 limits alone take 40 s
+    assert got == {k: (k, None) if k % 2 else (None, "TimeoutError: took over 0.5 s") for k in range(160)}
+    assert len(r.runs.inputFiles()) > 1
+
+
+def test_attempts_that_work_have_the_task_to_themselves():
+    from rillway.plans.python import runner, side_by_side
+
+    def act(how: str) -> str:
+        began = time.process_time()
+        while how == "work" and time.process_time() - began < 0.15:
+            pass
+        time.sleep({"nap": 0.3, "stuck": 60}.get(how, 0))
+        if how == "bad":
+            raise ValueError("bad text")
+        return how.upper()
+
+    def told(*hows):
+        held = []
+        steps = runner(act, ["how"], set(), {"result": T.StringType()}, 1, 0.01, 1.0, held)
+        try:
+            return [(x["result"], x["fault_"], x["attempts_"]) for x in side_by_side(steps(True, None, how) for how in hows)], len(held)
+        finally:
+            for a in held:
+                a.end()
+
+    assert told(*["work"] * 6) == ([("WORK", None, 1)] * 6, 1)
+    made, processes = told(*["nap", "stuck", "bad", "a"] * 3)
+    assert made == [("NAP", None, 1), (None, "TimeoutError: took over 1 s", 2), (None, "ValueError: bad text", 2), ("A", None, 1)] * 3 and processes > 2
+
+
 def test_deadlines_of_runs(spark):
     registry = standard()
 
